@@ -48,3 +48,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def small(ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """A stored table of a few short columns, to be broadcast if it has at most ``most`` rows; else Spark joins it as any other."""
+    return F.broadcast(ids) if ids.count() <= most else ids
