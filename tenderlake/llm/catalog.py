@@ -1,6 +1,6 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from tenderlake.llm import mixing, ngram_join, packing
+from tenderlake.llm import fingerprints, line_dedup, mixing, ngram_join, packing
 
-QUERIES = {f.__name__: f for f in (packing.op4_packing, mixing.op8_mixing, ngram_join.op9_ngram_join)}
+QUERIES = {f.__name__: f for f in (fingerprints.op2_fingerprints, packing.op4_packing, line_dedup.op6_line_dedup, mixing.op8_mixing, ngram_join.op9_ngram_join)}
 SQL = {"op8_mixing": mixing.SQL}

@@ -48,8 +48,8 @@ def grouped(entries: DataFrame, check: Callable[[DataFrame], DataFrame], ratio:
     """
     alike = f"least(size, other) >= {ratio} * greatest(size, other)"
     pair = F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")
-    blocks = entries.groupBy("key").agg(F.min(F.struct("id", "size")).alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = blocks.select("key", F.col("r.id").alias("with"), F.col("r.size").alias("other"))
+    smallest = F.min("id").alias("with"), F.min_by("size", "id").alias("other")
+    blocks = entries.groupBy("key").agg(*smallest, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = shared.written(entries.join(blocks, "key"), "members")
     tested = shared.written(members.where("id != with").where(alike).select(*pair).distinct(), "pairs")
     links = shared.written(check(tested), "linked")
@@ -60,7 +60,7 @@ def grouped(entries: DataFrame, check: Callable[[DataFrame], DataFrame], ratio:
         if last:
             return found
         labelled = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-        parts = labelled.groupBy("key", "label").agg(F.min(F.struct("id", "size")).alias("r"), F.count(F.lit(1)).alias("n"))
+        parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("within")).where("labels > 1")
         mixed = shared.written(mixed, "mixed")
         across, held = mixed.agg(F.sum(F.col("n").cast("double") * F.col("n") - F.col("within")) / 2, F.sum("n")).first()  # one row
@@ -72,8 +72,7 @@ def grouped(entries: DataFrame, check: Callable[[DataFrame], DataFrame], ratio:
             others = labelled.select("key", F.col("id").alias("with"), F.col("size").alias("other"), F.col("label").alias("their"))
             pairs = labelled.join(others, "key").where("id < with and label != their").where(alike)
         else:
-            others = labelled.groupBy("key", "label").agg(F.min(F.struct("id", "size")).alias("r"))
-            others = others.select("key", F.col("r.id").alias("with"), F.col("r.size").alias("other"), F.col("label").alias("their"))
+            others = labelled.groupBy("key", "label").agg(*smallest).withColumnRenamed("label", "their")
             pairs = labelled.join(others, "key").where("label != their").where(alike)
         pairs = shared.written(pairs.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         new = shared.written(check(pairs), "linked")

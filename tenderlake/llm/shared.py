@@ -36,10 +36,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: computed once, lineage cut, safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` as Parquet to the shared folder and reads it back: computed once, lineage cut, safe from lost executors.
+
+    Its shuffle files go once it is written.
+    """
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}/{name}", spark.conf.get(cleanup)
+    spark.conf.set(cleanup, True)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
