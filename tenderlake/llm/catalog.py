@@ -1,12 +1,12 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
-from tenderlake.llm import fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, toxicity
+from tenderlake.llm import fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, topk_search, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         substring_dedup.op1_substring_dedup, fingerprints.op2_fingerprints, toxicity.op3_toxicity, packing.op4_packing, license_scan.op5_license_scan,
-        line_dedup.op6_line_dedup, quality.op7_quality, mixing.op8_mixing, ngram_join.op9_ngram_join,
+        line_dedup.op6_line_dedup, quality.op7_quality, mixing.op8_mixing, ngram_join.op9_ngram_join, topk_search.op10_topk_search,
     )
 }
 SQL = {"op1_substring_dedup": substring_dedup.SQL, "op8_mixing": mixing.SQL}
