@@ -75,6 +75,22 @@ def mix(documents: DataFrame, id: str = "doc_id", text: str = "text", source: st
     )
 
 
+def mixture(documents: DataFrame, **options) -> DataFrame:
+    """The documents (all columns) of the mix, each as often as it is taken; the last copy of a source's last one is cut to the words taken.
+
+    n_chars is counted anew where a text is cut. Rows with equal ids and sizes are taken alike.
+    """
+    taken = mix(documents, **options).groupBy(F.col("doc_id").alias("_doc"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken")).where("_taken > 0")
+    size = F.coalesce(F.regexp_count("text", F.lit(shared.SPACED_WORD)), F.lit(0)).cast("long")
+    found = documents.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (size == F.col("_size")))
+    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
+    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).withColumn("_words", F.least("_size", F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")))
+    parts = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # a word and the white space behind it; any before the first is a part too
+    cut = F.array_join(F.slice(parts, 1, (F.col("_words") + F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")).cast("int")), "")
+    found = found.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
+    return found.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*documents.columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(shared.documents(spark, sf_dir)).drop("source")
 

@@ -131,6 +131,19 @@ def score(documents: DataFrame, model: FactorizationMachine) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The documents (all columns) that score less than ``threshold``; null and empty texts stay unless most rows are toxic."""
+    model = train(shared.only(documents, doc_id="doc_id", text="text"), labels)
+    shipped = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            scores = shipped.value.scores(*terms(batch.column(batch.schema.get_field_index("text"))))
+            yield batch.filter(pa.array(scores < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Returns a row per document: doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on).
 
