@@ -2,16 +2,19 @@
 
 Documents are tokenised and cut where they exceed a sequence; what is packed then are only lengths. The configuration
 linear program over the length histogram (at most ``capacity`` rows, whatever the input) is solved by multiplicative
-weights, priced by a knapsack dynamic program, and rounded; the tables of every piece are placed by its rank among
-pieces of its length, which Spark computes from counts of hash ranges.
+weights, priced by a knapsack dynamic program, and rounded; every piece is placed by its rank among the pieces of its
+length, which Spark computes from counts of hash ranges.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tenderlake.llm import shared
 from tenderlake.llm.textbytes import pieces
@@ -36,39 +40,81 @@ class _Encoder:
 
     The tokenizer drops white space, and neither its normaliser nor its splitter looks across it, so a text's ids are
     its chunks' ids one after the other. ASCII capitals are lower-cased first, as the normaliser would, save where a
-    special token's text may stand. The store of chunks is emptied when full.
+    special token's text may stand. A chunk of letters and closing punctuation is the two of them; a new word of small
+    letters goes to the tokenizer's model at once. The store is emptied when full.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
-        self.encode, self.most = _tokenizer(path).encode_batch_fast, most
+    CLOSED = re.compile(rb"(.*[^!-/:-@\[-`{-~])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+
+    def __init__(self, path: str, most: int = 700_000):
+        tokenizer = _tokenizer(path)
+        self.encode, self.model, self.most = tokenizer.encode_batch_fast, tokenizer.model, most
+        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.clear()
 
     def clear(self) -> None:
         self.codes: dict[bytes, int] = {}
-        self.ids, self.starts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
-
-    def chunks(self, text: str) -> list[bytes]:
-        raw = text.encode()
-        return (raw if b"<|" in raw else raw.lower()).split()
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, chunks: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.codes.update(zip(chunks, range(len(self.codes), len(self.codes) + len(chunks))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+
+    def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks one after the other, and how many each has."""
+        first, lengths = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(first - (ends - lengths), lengths) + np.arange(int(lengths.sum()))], lengths
+
+    @staticmethod
+    def word(chunk: bytes) -> str | None:
+        """The chunk as one word of small letters in composed form, if it is one."""
+        if (text := chunk.decode()).isascii():
+            return text if text.isalpha() else None
+        if not text.isalpha() or "\u03a3" in text or "\u0130" in text:  # letters whose small ones are not a letter's own
+            return None
+        return small if is_normalized("NFC", text) and is_normalized("NFC", small := text.lower()) and small.isalpha() else None
+
+    def learn(self, chunks: list[bytes]) -> None:
+        words, odd, closed = {}, [], []
+        for chunk in chunks:
+            if (word := self.word(chunk)) is not None:
+                words[chunk] = word
+            elif (m := self.CLOSED.fullmatch(chunk)) and (word := self.word(m[1])) is not None:
+                closed.append((chunk, m[1], m[2]))
+                if m[1] not in self.codes:
+                    words[m[1]] = word
+                if m[2] not in self.codes:
+                    odd.append(m[2])
+            else:
+                odd.append(chunk)
+        found = [[x.id for x in self.model.tokenize(w if w.isascii() else self.as_bytes(w)[0][0])] for w in words.values()]
+        self.add(list(words), np.array([i for x in found for i in x], np.uint32), np.array(list(map(len, found)), np.int64))
+        odd = list(dict.fromkeys(odd))
+        found = [x.ids for x in self.encode([x.decode() for x in odd], add_special_tokens=False)]
+        self.add(odd, np.array([i for x in found for i in x], np.uint32), np.array(list(map(len, found)), np.int64))
+        if closed:
+            parts = np.array([(self.codes[head], self.codes[tail]) for _, head, tail in closed])
+            ids, lengths = self.take(parts.ravel())
+            self.add([x[0] for x in closed], ids, lengths.reshape(-1, 2).sum(1))
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > self.most:
             self.clear()
-        split, known = [self.chunks(t) for t in texts], self.codes
-        if new := list({c for chunks in split for c in chunks if c not in known}):
-            found = [x.ids for x in self.encode([c.decode() for c in new], add_special_tokens=False)]
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())))
-            self.starts.append(self.starts[-1][-1] + np.cumsum(lengths))
-            self.ids, self.starts = [np.concatenate(self.ids)], [np.concatenate(self.starts)]
-        ids, starts, out = self.ids[0], self.starts[0], []
-        for chunks in split:
-            codes = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-            first, lengths = starts[codes], starts[codes + 1] - starts[codes]
-            places = np.repeat(first - np.concatenate([[0], np.cumsum(lengths)[:-1]])[: len(first)], lengths) + np.arange(int(lengths.sum()))
-            out.append(ids[places])
-        return out
+        chunks, counts = [], []
+        for text in texts:
+            raw = text.encode()
+            own = (raw if b"<|" in raw else raw.lower()).split()
+            chunks += own
+            counts.append(len(own))
+        codes = np.fromiter(map(self.codes.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(codes < 0).tolist()
+        self.learn(list({chunks[i] for i in missing}))
+        codes[missing] = [self.codes[chunks[i]] for i in missing]
+        ids, lengths = self.take(codes)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
+        return np.split(ids, ends[:-1])
 
 
 def tokenised_pieces(documents: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -81,7 +127,7 @@ def tokenised_pieces(documents: DataFrame, id: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(path)
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 4 << 20):
             rows: list[tuple] = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.batch(texts), strict=True):
