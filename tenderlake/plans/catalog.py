@@ -1,5 +1,624 @@
 """Every query by name with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = "radar"
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tenderlake.functions import keywords as K
+from tenderlake.functions import predicates as P
+from tenderlake.functions import scalars as S
+from tenderlake.operators import aggregate as A
+from tenderlake.operators import resolve as R
+from tenderlake.operators import score as M
+from tenderlake.operators import upsert as U
+from tenderlake.sources import adapters as D
+from tenderlake.sources import html as H
+from tenderlake.sources import io
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+FLAGSHIP = "m9_radar"
+
+
+def as_of():
+    return F.lit(D.AS_OF).cast("date")
+
+
+def now():
+    return F.lit(D.AS_OF + " 00:00:00").cast("timestamp_ntz")
+
+
+def query(sql: str | None = None, *views: str):
+    """Registers a function of (spark, sf_dir) under its own name, with SQL over the named domain tables."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = D.with_views(sql, *views)
+        return f
+
+    return register
+
+
+def _any(c: str, words) -> str:
+    return "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in words) + ")"
+
+
+def _steps(value: str, steps, sign: str) -> str:
+    return "CASE " + " ".join(f"WHEN {value} {sign} {a} THEN {b}" for a, b in steps) + " ELSE 0 END"
+
+
+STAGE = "trim(regexp_replace(replace(lower(trim(tahap)), '[...]', ''), '\\s+', ' ', 'g'))"
+SUBMITTABLE = f"(NOT {_any(STAGE, K.NON_SUBMITTABLE)} AND {_any(STAGE, K.SUBMITTABLE)})"
+DEADLINE = """list_max([CAST(strptime(x.sampai, '%d-%m-%Y') AS DATE) FOR x IN jadwal IF contains(lower(x.tahap), 'penawaran')])"""
+DEADLINE2 = """list_max([CAST(strptime(x.sampai, '%d-%m-%Y') AS DATE) FOR x IN jadwal IF contains(lower(x.tahap), 'kualifikasi')])"""
+TIER = f"coalesce({DEADLINE}, {DEADLINE2}, list_max([CAST(strptime(x.sampai, '%d-%m-%Y') AS DATE) FOR x IN jadwal]))"
+FIRST = "coalesce([CAST(strptime(x.sampai, '%d-%m-%Y') AS DATE) FOR x IN jadwal IF contains(lower(x.tahap), 'penawaran') OR contains(lower(x.tahap), 'kualifikasi')][1], list_max([CAST(strptime(x.sampai, '%d-%m-%Y') AS DATE) FOR x IN jadwal]))"
+
+
+# Scalars
+
+
+@query(
+    """SELECT o_orderkey AS id, CAST(floor(o_totalprice / 1000) AS BIGINT) * 1000000000 AS miliar, CAST(floor(o_totalprice / 1000) AS BIGINT) * 1000000 AS juta,
+      CAST(floor(o_totalprice) AS BIGINT) * 100 AS rp, CAST(floor(o_totalprice) AS BIGINT) AS money, CAST(floor(o_totalprice) AS BIGINT) AS harga, CAST(NULL AS BIGINT) AS bad FROM orders"""
+)
+def f3_parse_amounts(spark, sf_dir):
+    n = F.floor("o_totalprice").cast("long").cast("string")
+    k = F.floor(F.col("o_totalprice") / 1000).cast("long").cast("string")
+    return D.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), S.parse_hps(F.concat(k, F.lit(",0 M"))).alias("miliar"), S.parse_hps(F.concat(k, F.lit(" Juta"))).alias("juta"), S.parse_hps(F.concat(F.lit("Rp. "), n, F.lit(",00"))).alias("rp"),
+        S.parse_money(F.concat(F.lit("Rp. "), n, F.lit(",31"))).alias("money"), S.parse_harga(F.concat(F.lit("Rp "), n)).alias("harga"), S.parse_money(F.lit("Rp. abc")).alias("bad"),
+    )
+
+
+@query("SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) AS b, CAST(o_orderdate AS DATE) AS c, CAST(o_orderdate AS DATE) AS d, CAST(NULL AS DATE) AS e FROM orders")
+def f6_parse_dates(spark, sf_dir):
+    as_text = lambda f: S.parse_tender_date(F.date_format("o_orderdate", f))
+    return D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), as_text("dd-MM-yyyy").alias("a"), as_text("yyyy-MM-dd").alias("b"), as_text("dd/MM/yyyy").alias("c"), as_text("dd MMMM yyyy").alias("d"), as_text("dd MMMM yyyy HH:mm").alias("e"))
+
+
+@query(
+    f"""SELECT id, deadline, CASE WHEN id % 4 <> 0 THEN 'Upload Dokumen Penawaran' ELSE 'Pembuktian Kualifikasi' END AS stage, first, latest, deadline - DATE '{D.AS_OF}' AS days_left,
+      CASE WHEN deadline - DATE '{D.AS_OF}' < 0 THEN 'overdue' WHEN deadline - DATE '{D.AS_OF}' <= 3 THEN 'urgent' WHEN deadline - DATE '{D.AS_OF}' <= 7 THEN 'warning' ELSE '' END AS urgency
+      FROM (SELECT id, {TIER} AS deadline, {FIRST} AS first, list_max([CAST(strptime(x.sampai, '%d-%m-%Y') AS DATE) FOR x IN jadwal]) AS latest FROM tenders)""",
+    "tenders",
+)
+def f7_deadlines(spark, sf_dir):
+    j = F.col("jadwal")
+    rows = D.tenders(spark, sf_dir).select("id", S.submission_deadline(j).alias("d"), S.deadline_first_match(j).alias("first"), S.deadline_latest(j).alias("latest"))
+    days = S.days_left(F.col("d.date"), as_of())
+    return rows.select("id", F.col("d.date").alias("deadline"), F.col("d.tahap").alias("stage"), "first", "latest", days.cast("long").alias("days_left"), S.urgency(days).alias("urgency"))
+
+
+@query(
+    "SELECT id, CASE " + " ".join(f"WHEN hps >= {a} THEN '{k}'" for k, (a, _) in K.HPS_RANGES.items()) + """ END AS bucket,
+      'K' || CASE WHEN hps < 1000000000 THEN '' ELSE 'm' END AS big, CASE WHEN length(id_lelang) <= 4 THEN '****' ELSE substr(id_lelang, 1, 2) || '****' || right(id_lelang, 2) END AS masked,
+      year(day)::VARCHAR AS year FROM tenders""",
+    "tenders",
+)
+def f11_hps_and_masks(spark, sf_dir):
+    return D.tenders(spark, sf_dir).select("id", S.hps_bucket(F.col("hps")).alias("bucket"), F.concat(F.lit("K"), F.when(S.format_hps_short(F.col("hps")).endswith(" M"), "m").otherwise("")).alias("big"), S.mask_identifier(F.col("id_lelang")).alias("masked"), S.extract_budget_year(F.date_format("scraped_at", "'TA 'yyyy")).alias("year"))
+
+
+@query(f"SELECT id, {STAGE} AS stage FROM tenders", "tenders")
+def f13_normalize_tahap(spark, sf_dir):
+    return D.tenders(spark, sf_dir).select("id", S.normalize_tahap(F.col("tahap")).alias("stage"))
+
+
+@query(
+    """SELECT tender_id, source_id, CASE WHEN npwp = '' OR regexp_matches(npwp, '[A-Za-z*#]') THEN NULL ELSE npwp END AS npwp, nullif(nib, '') AS nib,
+      CASE WHEN name LIKE 'CV.%' THEN 'lain ' || source_id ELSE trim(regexp_replace(regexp_replace(substr(lower(name), 5), '[.,\\-/()''"]+', ' ', 'g'), '\\s+', ' ', 'g')) END AS bare, npwp LIKE '0****%' AS fits FROM participants""",
+    "participants",
+)
+def f14_identities(spark, sf_dir):
+    own = D.companies(spark, sf_dir).select(F.col("id").alias("source_id"), F.col("npwp").alias("own"))
+    rows = D.participants(spark, sf_dir).join(own, "source_id")
+    return rows.select("tender_id", "source_id", S.normalize_npwp(F.col("npwp")).alias("npwp"), S.normalize_identifier(F.col("nib")).alias("nib"), S.normalize_company_name(F.col("name")).alias("bare"), S.matches_masked_npwp(F.col("npwp"), F.col("own")).alias("fits"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN contains(html, '62019') THEN '62019' WHEN contains(html, '62090') THEN '62090' WHEN contains(html, '62029') THEN '62029' ELSE '' END AS kbli,
+      """ + _any("html", [w.lower() for w in K.BLOCKED_PAGE]) + """ AS blocked, substr(trim(regexp_replace(html, '<[^>]+>', '', 'g'), ' '), 1, 200) AS cell FROM pages"""
+)
+def f19_page_cells(spark, sf_dir):
+    h = F.col("html")
+    return D.table(spark, sf_dir, "pages").select("page_id", S.extract_kbli_code(h).alias("kbli"), P.page_blocked(h).alias("blocked"), S.clean_cell(h, 200).alias("cell"))
+
+
+@query("SELECT id, 'https://portal.example/' || kode_instansi || '/lelang/' || id_lelang || '/jadwal' AS schedule, CASE WHEN syarat <> '' THEN syarat WHEN length(trim(requirement_text)) > 20 THEN requirement_text ELSE nama_paket || ' ' || instansi END AS need, CASE WHEN length(trim(requirement_text)) >= 10 THEN requirement_text WHEN length(syarat) >= 10 THEN syarat ELSE nama_paket END AS usable FROM tenders", "tenders")
+def f22_urls_and_texts(spark, sf_dir):
+    c = F.col
+    return D.tenders(spark, sf_dir).select("id", S.tender_url(F.lit("https://portal.example/"), c("kode_instansi"), c("id_lelang"), "jadwal").alias("schedule"), S.requirement_text(c("syarat"), c("requirement_text"), c("nama_paket"), c("instansi")).alias("need"), S.usable_text(c("requirement_text"), c("syarat"), c("nama_paket")).alias("usable"))
+
+
+@query("SELECT id, is_it_priority AS is_it, CAST(priority_score AS INTEGER) AS score, CASE WHEN priority_score = 100 THEN 'KBLI ' || kbli_code || ' (IT)' WHEN nama_paket LIKE 'Pengembangan%' THEN 'IT keywords: pengembangan sistem' WHEN nama_paket LIKE '%Server%' THEN 'IT keywords: server, cloud' WHEN nama_paket LIKE '%Fiber%' THEN 'IT keywords: fiber optik' WHEN nama_paket LIKE '%Bandwidth%' THEN 'IT keywords: sewa bandwidth, internet' WHEN nama_paket LIKE '%Jalan%' THEN 'Exclusion: jalan' WHEN nama_paket LIKE '%Kendaraan%' THEN 'Exclusion: pengadaan kendaraan' ELSE '' END AS reason FROM tenders", "tenders")
+def f25_it_priority(spark, sf_dir):
+    found = S.it_priority(F.col("kbli_code"), F.col("nama_paket"), F.array(*map(F.lit, K.KBLI_TARGETS)))
+    return D.tenders(spark, sf_dir).select("id", found.alias("p")).select("id", "p.is_it", "p.score", "p.reason")
+
+
+@query("SELECT doc_id, len(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in K.STOP_WORDS) + "], w)))::INTEGER AS tokens FROM documents")
+def f26_tokenize(spark, sf_dir):
+    return D.table(spark, sf_dir, "documents").select("doc_id", F.size(S.tokenize(F.col("text"))).alias("tokens"))
+
+
+@query("SELECT tender_id, company_id, sha256(tender_id || ':' || company_id || ':f:v1') AS cache_key FROM matches", "matches")
+def f28_match_cache_key(spark, sf_dir):
+    return D.matches(spark, sf_dir).select("tender_id", "company_id", S.match_cache_key(F.col("tender_id"), F.col("company_id"), F.lit("f"), "v1").alias("cache_key"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'provider_error' ELSE substr(event_type || ' ' || props, 1, 2000) END AS message, event_type = 'error' AS failed FROM events")
+def f29_error_notes(spark, sf_dir):
+    note = F.when(F.col("event_type") == "error", F.lit("api_key wrong")).otherwise(F.concat_ws(" ", "event_type", "props"))
+    return D.table(spark, sf_dir, "events").select("event_id", S.sanitize_error(note).alias("message"), S.is_failed_note(F.when(F.col("event_type") == "error", "Peserta GUGUR").otherwise("ok")).alias("failed"))
+
+
+# Predicates
+
+
+@query(
+    f"""SELECT id, NOT {_any("tahap", K.DISCOVERY_SKIP)} AS discovery, CASE WHEN {_any("tahap", K.ABORTED)} THEN 'aborted' WHEN {_any("tahap", K.AWARDED)} THEN 'retained' WHEN {_any("tahap", K.ACCEPT)} THEN 'eligible' ELSE 'unknown' END AS class,
+      is_prakualifikasi AS prak, {SUBMITTABLE} AS submittable, {_any("tahap", K.TERMINAL)} AS terminal,
+      CASE WHEN is_prakualifikasi THEN 'prakualifikasi' WHEN {_any("tahap", ("selesai", "pembatalan"))} THEN 'selesai' WHEN {_any("tahap", ("kontrak", "penandatanganan"))} THEN 'dikontrak' ELSE 'aktif' END AS label,
+      NOT {_any("tahap", ("kualifikasi", "pengumuman", "evaluasi", "penawaran"))} AS other FROM tenders""",
+    "tenders",
+)
+def p1_stage_predicates(spark, sf_dir):
+    t = F.col("tahap")
+    return D.tenders(spark, sf_dir).select("id", P.discovery_keep(t).alias("discovery"), P.stage_class(t).alias("class"), P.is_prakualifikasi(t).alias("prak"), P.is_submittable(t).alias("submittable"), P.is_terminal(t).alias("terminal"), P.status_label(t, F.col("is_prakualifikasi")).alias("label"), P.stage_group(t, "lainnya").alias("other"))
+
+
+@query(f"SELECT id, hps FROM tenders WHERE hps BETWEEN 1000000 AND 199999999 AND jenis = 'Jasa Konsultansi' AND kbli_code IN ('62019', '62090') AND contains(lower(nama_paket), 'sistem') AND {FIRST} >= DATE '1994-01-01'", "tenders")
+def p7_filter_tenders(spark, sf_dir):
+    return P.filter_tenders(D.tenders(spark, sf_dir), search="sistem", hps_range="lt200j", hps_min=1_000_000, jenis=["Jasa Konsultansi"], kbli=["62019", "62090"], deadline_from="1994-01-01").select("id", "hps")
+
+
+@query(f"SELECT id, 'aktif' AS tab FROM tenders WHERE NOT {_any('tahap', K.DASHBOARD_CLOSED)} AND NOT is_prakualifikasi UNION ALL SELECT id, 'it_priority' FROM tenders WHERE is_it_priority UNION ALL SELECT id, 'groups' FROM tenders WHERE {_any('tahap', ('evaluasi', 'penawaran'))}", "tenders")
+def p8_tabs_and_groups(spark, sf_dir):
+    t = D.tenders(spark, sf_dir)
+    parts = [P.filter_tab(t, tab).select("id", F.lit(tab).alias("tab")) for tab in ("aktif", "it_priority")] + [P.filter_stage_groups(t, ["evaluasi", "penawaran"]).select("id", F.lit("groups").alias("tab"))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT id, syarat = '' OR peserta_count <= 0 AS delta, syarat = '' AS cli FROM tenders", "tenders")
+def p10_missing_enrichment(spark, sf_dir):
+    return D.tenders(spark, sf_dir).select("id", P.missing_enrichment("delta").alias("delta"), P.missing_enrichment("cli").alias("cli"))
+
+
+_CODES = "list_sort(list_distinct([c FOR c IN flatten(list(list_append(kbli_codes, kbli_code))) IF c <> '']))"
+PROFILE = f"""profile AS (SELECT c.id AS company_id, nib, npwp, penghasilan, modal, is_active, coalesce(codes, []::VARCHAR[]) AS codes, coalesce(has_izin, false) AS has_izin, coalesce(has_sbu, false) AS has_sbu, coalesce(has_sdm, false) AS has_sdm,
+  coalesce(experience, 0)::BIGINT AS experience, coalesce(complete, 0)::BIGINT AS complete, coalesce(n, 0)::BIGINT AS qualifications FROM companies c LEFT JOIN (
+  SELECT company_id, {_CODES} AS codes, bool_or(category = 'izin_usaha') AS has_izin, bool_or(category = 'sbu') AS has_sbu, bool_or(category = 'sdm') AS has_sdm, count(*) FILTER (category = 'pengalaman_kerja') AS experience,
+  count(*) FILTER (category = 'pengalaman_kerja' AND project_name <> '' AND client_name <> '' AND project_year <> 0 AND value_amount <> 0) AS complete, count(*) AS n
+  FROM qualifications WHERE status = 'active' GROUP BY company_id) q ON q.company_id = c.id)"""
+
+
+def _profile(spark, sf_dir):
+    return M.company_profile(D.companies(spark, sf_dir), D.qualifications(spark, sf_dir))
+
+
+@query(
+    f""", {PROFILE} SELECT tender_id, company_id, error IS NULL AND skip IS NULL AS eligible, CASE WHEN error IS NULL THEN skip END AS skip_reason FROM (
+      SELECT m.tender_id, m.company_id, CAST(NULL AS VARCHAR) AS error, CASE WHEN NOT is_active THEN 'company_inactive' WHEN len(codes) = 0 THEN 'company_without_kbli' WHEN NOT {SUBMITTABLE} THEN 'not_submittable' WHEN {_any("tahap", K.TERMINAL)} THEN 'terminal'
+      WHEN list_max([CAST(strptime(x.sampai, '%d-%m-%Y') AS DATE) FOR x IN jadwal]) < DATE '{D.AS_OF}' THEN 'expired' END AS skip
+      FROM matches m JOIN tenders t ON t.id = m.tender_id JOIN profile p USING (company_id))""",
+    "tenders", "companies", "qualifications", "matches",
+)
+def p11_eligibility(spark, sf_dir):
+    t = D.tenders(spark, sf_dir).select(F.col("id").alias("tender_id"), "tahap", "jadwal", "requirement_text", "syarat", "nama_paket")
+    firms = _profile(spark, sf_dir).select("company_id", "is_active", F.col("codes").alias("kbli_codes"))
+    pairs = D.matches(spark, sf_dir).select("tender_id", "company_id").join(t, "tender_id").join(firms, "company_id")
+    return P.eligibility(pairs, as_of()).select("tender_id", "company_id", "eligible", "skip_reason")
+
+
+@query("SELECT event_id, event_type AS action FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY AND event_type = 'click'")
+def p13_audit_window(spark, sf_dir):
+    log = D.table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("created_at"), F.col("event_type").alias("action"), F.col("user_id").alias("company_id"))
+    last = log.agg(F.max("created_at").alias("last"))
+    return P.audit_window(log.crossJoin(F.broadcast(last)), F.col("last"), 30, "click").select("event_id", "action")  # last: one row
+
+
+# Joins
+
+
+RESOLVED = """keyed AS (SELECT *, row_number() OVER () AS row, nullif(nib, '') AS k_nib, CASE WHEN npwp = '' OR regexp_matches(npwp, '[A-Za-z*#]') THEN NULL ELSE npwp END AS k_npwp FROM participants),
+by_nib AS (SELECT nib AS k_nib, list_sort(list(id)) AS nib_ids FROM companies GROUP BY nib), by_npwp AS (SELECT npwp AS k_npwp, list_sort(list(id)) AS npwp_ids FROM companies GROUP BY npwp),
+by_name AS (SELECT lower(name) AS k_name, list_sort(list(id)) AS name_ids, list(struct_pack(id := id, npwp := npwp)) AS named FROM companies GROUP BY ALL),
+joined AS (SELECT k.*, nib_ids, npwp_ids, name_ids, list_sort([x.id FOR x IN coalesce(named, []) IF k.npwp LIKE '0****%' AND substr(x.npwp, 6) = substr(k.npwp, 6) AND x.npwp LIKE '0%']) AS fit
+  FROM keyed k LEFT JOIN by_nib USING (k_nib) LEFT JOIN by_npwp USING (k_npwp) LEFT JOIN by_name ON k_name = lower(k.name)),
+resolved AS (SELECT tender_id, source_id, CASE WHEN len(nib_ids) = 1 THEN 'EXACT_OFFICIAL_IDENTIFIER' WHEN len(nib_ids) > 1 THEN 'IDENTITY_CONFLICT' WHEN len(npwp_ids) = 1 THEN 'EXACT_NPWP' WHEN len(npwp_ids) > 1 THEN 'IDENTITY_CONFLICT'
+  WHEN k_npwp IS NOT NULL THEN CASE WHEN len(name_ids) > 0 THEN 'CANDIDATE_ONLY' ELSE 'UNRESOLVED' END WHEN len(fit) = 1 THEN 'EXACT_MATCH_NAME_MASKED_NPWP' WHEN len(fit) > 1 THEN 'IDENTITY_CONFLICT' WHEN len(name_ids) > 0 THEN 'CANDIDATE_ONLY' ELSE 'UNRESOLVED' END AS status,
+  CASE WHEN len(nib_ids) >= 1 THEN nib_ids WHEN len(npwp_ids) >= 1 THEN npwp_ids WHEN k_npwp IS NULL AND len(fit) > 0 THEN fit ELSE coalesce(name_ids, []) END AS ids, name, npwp, alasan FROM joined)"""
+
+
+def _resolved(spark, sf_dir):
+    return R.resolve_entities(D.participants(spark, sf_dir), D.companies(spark, sf_dir))
+
+
+@query(f", {RESOLVED} SELECT tender_id, source_id, status, CASE WHEN status LIKE 'EXACT%' THEN ids[1] END AS company_id, array_to_string(ids, ',') AS candidates FROM resolved", "participants")
+def j1_resolve_entities(spark, sf_dir):
+    return _resolved(spark, sf_dir).select("tender_id", "source_id", "status", "company_id", F.array_join(F.transform("candidate_ids", lambda x: x.cast("string")), ",").alias("candidates"))
+
+
+@query(f", {RESOLVED} SELECT tender_id, source_id, CASE WHEN status LIKE 'EXACT%' THEN ids[1] WHEN source_id % 2 = 0 THEN source_id END AS company_id, CASE WHEN status LIKE 'EXACT%' OR source_id % 2 <> 0 THEN status ELSE 'EXACT_NPWP' END AS status FROM resolved", "participants")
+def j2_apply_resolution(spark, sf_dir):
+    found = _resolved(spark, sf_dir)
+    linked = F.col("source_id") % 2 == 0
+    existing = found.select("tender_id", "source_id", F.when(linked, F.col("source_id")).alias("company_id"), F.when(linked, "EXACT_NPWP").otherwise("UNRESOLVED").alias("status"))
+    return R.apply_resolution(existing, found, ["tender_id", "source_id"])
+
+
+@query("SELECT tender_id, count(*) AS n, count(*) FILTER (alasan <> '') AS noted, count(*) FILTER (npwp <> '') AS numbered FROM (SELECT tender_id, lower(regexp_replace(name, '[^\\p{L}\\p{N}_\\s]', '', 'g')) AS key, max(npwp) FILTER (source_id % 3 <> 0) AS a, CASE WHEN coalesce(max(npwp) FILTER (source_id % 3 <> 0), '') <> '' THEN max(npwp) FILTER (source_id % 3 <> 0) ELSE coalesce(max(npwp) FILTER (source_id % 2 = 0), '') END AS npwp, coalesce(max(alasan) FILTER (source_id % 2 = 0), '') AS alasan FROM participants WHERE source_id % 3 <> 0 OR source_id % 2 = 0 GROUP BY ALL) GROUP BY tender_id", "participants")
+def j3_merge_participant_sources(spark, sf_dir):
+    rows = D.participants(spark, sf_dir).withColumn("nilai", F.lit(""))
+    merged = R.merge_participant_sources(rows.where("source_id % 3 <> 0").withColumn("alasan", F.lit("")), rows.where("source_id % 2 = 0"))
+    return merged.groupBy("tender_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("alasan") != "").alias("noted"), F.count_if(F.col("npwp") != "").alias("numbered"))
+
+
+@query(f"SELECT t.id AS tender_id, c.id AS company_id FROM tenders t, companies c WHERE t.id % 50 = 1 AND {SUBMITTABLE} AND is_active AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.tender_id = t.id AND j.company_id = c.id)".replace("t.id % 50 = 1 AND ", "day >= DATE '1998-01-01' AND "), "tenders", "companies", "jobs")
+def j4_candidate_pairs(spark, sf_dir):
+    t = D.tenders(spark, sf_dir).where(P.is_submittable(F.col("tahap")) & (F.col("scraped_at") >= F.lit("1998-01-01").cast("timestamp_ntz")))
+    return R.candidate_pairs(t, D.companies(spark, sf_dir), D.jobs(spark, sf_dir))
+
+
+@query(f", {PROFILE}, m AS (SELECT kbli_code, count(*) AS n FROM tenders GROUP BY ALL) SELECT company_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT company_id, unnest(codes) AS kbli_code FROM profile) JOIN m USING (kbli_code) GROUP BY company_id", "tenders", "companies", "qualifications")
+def j5_kbli_matches(spark, sf_dir):
+    return R.kbli_matches(D.tenders(spark, sf_dir), _profile(spark, sf_dir)).groupBy("company_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id FROM tenders WHERE id IN (SELECT tender_id FROM matches WHERE company_id = 3)", "tenders", "matches")
+def j6_matched_tenders(spark, sf_dir):
+    return R.matched_tenders(D.tenders(spark, sf_dir), D.matches(spark, sf_dir).where("company_id = 3")).select("id")
+
+
+@query("SELECT tender_id, company_id FROM matches WHERE fit_score = 0 OR company_id % 5 = 0", "matches")
+def j7_stale_matches(spark, sf_dir):
+    rows = D.matches(spark, sf_dir).withColumn("cache_key", S.match_cache_key(F.col("tender_id"), F.col("company_id"), F.lit("f"), "v2"))
+    return R.stale_matches(rows, rows.where("company_id % 5 <> 0")).select("tender_id", "company_id")
+
+
+@query("SELECT t.id, company_name AS winner_name, winning_value, CASE WHEN company_name IS NULL THEN 'not_available' ELSE 'ok' END AS status FROM tenders t LEFT JOIN winners w ON w.tender_id = t.id", "tenders", "winners")
+def j8_tender_winner(spark, sf_dir):
+    return R.tender_winner(D.tenders(spark, sf_dir), D.winners(spark, sf_dir))
+
+
+@query("SELECT t.id, CASE WHEN peserta_count > 0 THEN peserta_count END AS bidders, CASE WHEN peserta_count > 0 THEN 'ok' ELSE 'not_available' END AS status, coalesce(names, '') AS names FROM tenders t LEFT JOIN (SELECT tender_id, string_agg(name, '|' ORDER BY name) AS names FROM participants GROUP BY ALL) p ON p.tender_id = t.id", "tenders", "participants")
+def j9_tender_competition(spark, sf_dir):
+    return R.tender_competition(D.tenders(spark, sf_dir), D.participants(spark, sf_dir)).withColumn("names", F.array_join("names", "|"))
+
+
+@query(f"SELECT tender_id, company_id, nama_paket AS tender_name, c.name AS company_name, {FIRST} AS deadline, CASE WHEN {FIRST} - DATE '{D.AS_OF}' < 0 THEN 'overdue' WHEN {FIRST} - DATE '{D.AS_OF}' <= 3 THEN 'urgent' WHEN {FIRST} - DATE '{D.AS_OF}' <= 7 THEN 'warning' ELSE '' END AS urgency FROM submissions s JOIN tenders t ON t.id = s.tender_id JOIN companies c ON c.id = s.company_id", "submissions", "tenders", "companies")
+def j10_watchlist_listing(spark, sf_dir):
+    watch = D.submissions(spark, sf_dir).select("tender_id", "company_id")
+    return R.watchlist_listing(watch, D.tenders(spark, sf_dir), D.companies(spark, sf_dir), as_of()).select("tender_id", "company_id", "tender_name", "company_name", "deadline", "urgency")
+
+
+_WON = "(source_id = w.company_id OR lower(substr(p.name, 5)) = lower(substr(w.company_name, 5)) AND p.name NOT LIKE 'CV.%' OR p.npwp = w.npwp OR p.npwp LIKE '0****%' AND substr(p.npwp, 6) = substr(w.npwp, 6))"
+
+
+@query(f"SELECT p.tender_id, source_id, coalesce({_WON}, false) AS is_winner FROM participants p LEFT JOIN winners w USING (tender_id)", "participants", "winners")
+def j11_winner_flag(spark, sf_dir):
+    rows = D.participants(spark, sf_dir).withColumn("company_id", F.col("source_id"))
+    return R.winner_flag(rows, D.winners(spark, sf_dir)).select("tender_id", "source_id", "is_winner")
+
+
+# Matching and scoring
+
+
+@query(f", {PROFILE} SELECT * EXCLUDE (codes), array_to_string(codes, ',') AS codes FROM profile", "companies", "qualifications")
+def m1_company_profile(spark, sf_dir):
+    return _profile(spark, sf_dir).withColumn("codes", F.array_join("codes", ","))
+
+
+@query("SELECT id, nullif(regexp_extract(lower(requirement_text), 'kbli[:\\s]+([0-9]{5})', 1), '') AS kbli, regexp_matches(lower(requirement_text), '\\b(sbu|sertifikat badan usaha)\\b') AS sbu, regexp_matches(lower(requirement_text), '\\b(nib|nomor induk berusaha|izin usaha|siup|iujk)\\b') AS license, regexp_matches(lower(requirement_text), '\\b(npwp|nomor pokok wajib pajak|pajak)\\b') AS npwp FROM tenders", "tenders")
+def m2_required_gates(spark, sf_dir):
+    return D.tenders(spark, sf_dir).select("id", M.required_gates(F.col("requirement_text")).alias("g")).select("id", "g.*")
+
+
+_SCORE = f"""pairs AS (SELECT m.tender_id, m.company_id, m.fit_score, hps, kbli_code, tahap, {TIER} - DATE '{D.AS_OF}' AS days, penghasilan, codes, experience, complete, {SUBMITTABLE} AS ready,
+  CASE WHEN hps > 0 AND penghasilan > 0 THEN hps / penghasilan END AS ratio FROM matches m JOIN tenders t ON t.id = m.tender_id JOIN profile p USING (company_id)),
+parts AS (SELECT *, CASE WHEN ratio IS NOT NULL THEN {_steps("ratio", K.FINANCIAL_STEPS, "<=")} END AS f, CASE WHEN experience = 0 THEN 0 WHEN complete > 0 THEN 75 ELSE 60 END AS e, CASE WHEN days IS NOT NULL THEN {_steps("days", K.DEADLINE_STEPS, ">=")} END AS d,
+  CASE WHEN kbli_code <> '' AND list_contains(codes, kbli_code) AND fit_score >= 90 THEN 100 WHEN fit_score >= 80 THEN 85 WHEN fit_score >= 70 THEN 70 WHEN fit_score >= 50 THEN 50 ELSE 25 END AS s FROM pairs),
+weighted AS (SELECT *, 0.35::DOUBLE + CASE WHEN f IS NULL THEN 0 ELSE 0.2::DOUBLE END + 0.2::DOUBLE + CASE WHEN d IS NULL THEN 0 ELSE 0.15::DOUBLE END + 0.1::DOUBLE AS w FROM parts),
+scored AS (SELECT *, CASE WHEN ready THEN CAST(round_even(fit_score * (0.35::DOUBLE / w) + CASE WHEN f IS NULL THEN 0 ELSE f * (0.2::DOUBLE / w) END + e * (0.2::DOUBLE / w) + CASE WHEN d IS NULL THEN 0 ELSE d * (0.15::DOUBLE / w) END + s * (0.1::DOUBLE / w), 0) AS INTEGER) ELSE 0 END AS final_score FROM weighted),
+classed AS (SELECT *, CASE WHEN NOT ready THEN '' {" ".join(f"WHEN final_score >= {a} THEN '{b}'" for a, b in K.CLASSES)} END AS classification FROM scored)"""
+
+
+def _scored(spark, sf_dir):
+    t = D.tenders(spark, sf_dir).select(F.col("id").alias("tender_id"), "hps", "kbli_code", "tahap", "jadwal", "priority_score", "is_prakualifikasi", "is_it_priority", "peserta_count", "ai_score")
+    firms = _profile(spark, sf_dir).select("company_id", "penghasilan", "modal", "codes", "experience", "complete", "has_izin", "has_sbu", "has_sdm")
+    return M.opportunity_score(D.matches(spark, sf_dir).join(t, "tender_id").join(firms, "company_id"), as_of())
+
+
+@query(f", {PROFILE}, {_SCORE} SELECT tender_id, company_id, CASE WHEN ready THEN 'ready' ELSE 'not_ready' END AS status, CASE WHEN ready THEN coalesce(f, 0) ELSE 0 END AS financial_score, CASE WHEN ready THEN coalesce(d, 0) ELSE 0 END AS deadline_score, CASE WHEN ready THEN s ELSE 0 END AS strategic_score, final_score, classification FROM classed", "tenders", "companies", "qualifications", "matches")
+def m7_opportunity_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("tender_id", "company_id", "status", "financial_score", "deadline_score", "strategic_score", "final_score", "classification")
+
+
+_CLASS_PLACE = "CASE classification " + " ".join(f"WHEN '{b}' THEN {i}" for i, (_, b) in enumerate(K.CLASSES)) + " ELSE 9 END"
+
+
+@query(f", {PROFILE}, {_SCORE} SELECT * FROM (SELECT company_id, tender_id, final_score, classification, CAST(days AS BIGINT) AS days_left, CAST(row_number() OVER (PARTITION BY company_id ORDER BY {_CLASS_PLACE}, final_score DESC, days NULLS LAST, tender_id) AS INTEGER) AS rank FROM classed WHERE ready AND NOT {_any('tahap', K.TERMINAL)}) WHERE rank <= 50", "tenders", "companies", "qualifications", "matches")
+def m9_radar(spark, sf_dir):
+    rows = _scored(spark, sf_dir).withColumn("days_left", F.datediff(S.submission_deadline(F.col("jadwal"))["date"], as_of()).cast("long"))
+    return M.radar(rows, limit=50).select("company_id", "tender_id", "final_score", "classification", "days_left", "rank")
+
+
+@query(
+    f""", {PROFILE}, {_SCORE}, open AS (SELECT c.company_id, c.tender_id, c.final_score, c.codes, t.is_prakualifikasi, t.priority_score, t.hps, c.kbli_code <> '' AND list_contains(codes, c.kbli_code) AS kbli_match
+      FROM classed c JOIN tenders t ON t.id = c.tender_id WHERE NOT {_any("c.tahap", K.DASHBOARD_CLOSED)}),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY company_id, kbli_match ORDER BY priority_score DESC, hps DESC, tender_id) AS place FROM open WHERE kbli_match OR is_prakualifikasi),
+    best AS (SELECT company_id, tender_id, final_score, kbli_match, CAST(row_number() OVER (PARTITION BY company_id ORDER BY final_score DESC, tender_id) AS INTEGER) AS rank FROM placed WHERE place <= CASE WHEN kbli_match THEN 20 WHEN len(codes) = 0 THEN 50 ELSE 10 END)
+    SELECT * FROM best WHERE rank <= 20""",
+    "tenders", "companies", "qualifications", "matches",
+)
+def m10_recommended(spark, sf_dir):
+    return M.recommended(_scored(spark, sf_dir))
+
+
+@query()
+def m5_rule_match(spark, sf_dir):
+    firms = _profile(spark, sf_dir).select("company_id", "codes", "has_sbu", "has_izin", "nib", "npwp", "qualifications")
+    texts = D.qualifications(spark, sf_dir).where("status = 'active'").groupBy("company_id").agg(F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct("category", "name", "kbli_code", "project_name", "client_name")))), " ").alias("text"))
+    firms = M.company_words(firms.join(texts, "company_id", "left"), "text")
+    t = M.tender_words(D.tenders(spark, sf_dir).select(F.col("id").alias("tender_id"), "kbli_code", F.col("requirement_text").alias("requirement")))
+    pairs = D.matches(spark, sf_dir).select("tender_id", "company_id").join(t, "tender_id").join(firms, "company_id")
+    return M.enforce_hard_gates(M.rule_match(pairs)).select("tender_id", "company_id", "status", "fit_score", "blockers", "missing", "actions")
+
+
+@query()
+def m4_tfidf_cosine(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), S.tokenize(F.col("text")).alias("tokens"))
+    items = D.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), S.tokenize(F.col("text")).alias("tokens"))
+    best = M.tfidf_cosine(items, docs)
+    return best.groupBy("left_id").agg(F.max_by("right_id", F.struct("cosine", -F.col("right_id"))).alias("right_id"), F.round(F.max("cosine"), 9).alias("cosine"))
+
+
+@query()
+def m8_opportunity_score_legacy(spark, sf_dir):
+    rows = _scored(spark, sf_dir).drop("status", "qualification_score", "financial_score", "experience_score", "deadline_score", "strategic_score", "final_score", "classification")
+    rows = rows.withColumn("recent", F.col("experience")).withColumn("metode", F.lit("Seleksi"))
+    return M.opportunity_score_legacy(rows, as_of()).select("tender_id", "company_id", "qualification_score", "financial_score", "experience_score", "deadline_score", "strategic_score", "final_score", "label")
+
+
+@query(
+    "SELECT id, CASE WHEN id % 5 = 0 THEN 'completed' WHEN id % 5 = 1 THEN 'pending' WHEN id % 5 = 2 THEN 'failed' WHEN id % 5 = 4 THEN 'skipped' WHEN attempts + 1 >= 3 THEN 'failed' ELSE 'pending' END AS next_status, CASE WHEN id % 5 IN (1, 4) THEN attempts ELSE attempts + 1 END AS next_attempts FROM jobs", "jobs")
+def m11_next_job_state(spark, sf_dir):
+    rows = D.jobs(spark, sf_dir).withColumn("outcome", D.pick(("success", "rate_limited", "permanent", "transient", "skip"), F.col("id")))
+    return M.next_job_state(rows, now()).select("id", "next_status", "next_attempts")
+
+
+# Aggregates
+
+
+_LABEL = f"CASE WHEN is_prakualifikasi THEN 'prakualifikasi' WHEN {_any('tahap', ('selesai', 'pembatalan'))} THEN 'selesai' WHEN {_any('tahap', ('kontrak', 'penandatanganan'))} THEN 'dikontrak' ELSE 'aktif' END"
+_FACETS = [("hps", k, f"hps >= {a}" + (f" AND hps <= {b}" if b else "")) for k, (a, b) in K.HPS_RANGES.items()] + [("status", k, f"{_LABEL} = '{k}'") for k in ("aktif", "prakualifikasi", "selesai")]
+_FACETS += [("stage", g, _any("tahap", w)) for g, w in K.STAGE_GROUPS.items()] + [("stage", "lainnya", f"NOT {_any('tahap', ('kualifikasi', 'pengumuman', 'evaluasi', 'penawaran'))}"), ("it", "it_priority", "is_it_priority"), ("total", "total", "true")]
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{f}' AS facet, '{v}' AS value, count(*) FILTER (({c}) AND jenis = 'Jasa Lainnya') AS n FROM tenders" for f, v, c in _FACETS)
+    + "".join(f" UNION ALL SELECT 'jenis', '{k}', count(*) FILTER (jenis = '{k}') FROM tenders" for k in K.PROCUREMENT_KINDS)
+    + "".join(f" UNION ALL SELECT 'kbli', '{k}', count(*) FILTER (kbli_code = '{k}' AND jenis = 'Jasa Lainnya') FROM tenders" for k in (*K.KBLI_TARGETS, "99999")),
+    "tenders",
+)
+def a1_facet_counts(spark, sf_dir):
+    t = D.tenders(spark, sf_dir)
+    codes = t.select("kbli_code").limit(1).select(F.explode(F.array(*map(F.lit, (*K.KBLI_TARGETS, "99999")))).alias("code"))
+    return A.facet_counts(t, codes, {"jenis": F.col("jenis") == "Jasa Lainnya"})
+
+
+@query(
+    """, marks AS (SELECT tender_id AS id, bool_or(status IN ('sudah_submit', 'menang')) AS s, bool_or(status = 'menang') AS w, bool_or(status = 'sudah_submit') AS sent FROM submissions GROUP BY ALL)
+    SELECT count(*) AS tenders, count(*) FILTER (ai_score > 60) AS potential, count(*) FILTER (s) AS submitted, count(*) FILTER (w) AS won, CAST(coalesce(sum(hps) FILTER (ai_score > 60), 0) AS BIGINT) AS hps_potential,
+      CAST(coalesce(sum(hps) FILTER (s), 0) AS BIGINT) AS hps_submitted, CAST(coalesce(sum(hps) FILTER (w), 0) AS BIGINT) AS hps_won, count(*) FILTER (NOT coalesce(sent, false)) AS not_submitted,
+      CASE WHEN count(*) FILTER (s) > 0 THEN round_even(count(*) FILTER (w) / count(*) FILTER (s), 4) END AS win_rate FROM tenders LEFT JOIN marks USING (id)""",
+    "tenders", "submissions",
+)
+def a2_report_summary(spark, sf_dir):
+    return A.report_summary(D.tenders(spark, sf_dir), D.submissions(spark, sf_dir))
+
+
+@query("SELECT instansi AS value, count(*) AS n FROM tenders GROUP BY ALL ORDER BY n DESC, value LIMIT 10", "tenders")
+def a2_top_instansi(spark, sf_dir):
+    return A.top_counts(D.tenders(spark, sf_dir), "instansi")
+
+
+@query(
+    f""", open AS (SELECT id AS tender_id, {FIRST} - DATE '{D.AS_OF}' AS days FROM tenders WHERE NOT {_any("tahap", K.DASHBOARD_CLOSED)}),
+    o AS (SELECT count(*) AS active, count(*) FILTER (days > 0 AND days <= 3) AS a3, count(*) FILTER (days > 3 AND days <= 7) AS a7 FROM open),
+    s AS (SELECT company_id, {", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in K.SUBMISSION_STATUSES if x != "belum_diproses")}, count(DISTINCT tender_id) AS n FROM submissions GROUP BY ALL),
+    d AS (SELECT company_id, count(*) FILTER (days > 0 AND days <= 3) AS o3, count(*) FILTER (days > 3 AND days <= 7) AS o7 FROM (SELECT DISTINCT company_id, tender_id FROM submissions) JOIN open USING (tender_id) GROUP BY ALL)
+    SELECT c.id AS company_id, {", ".join(f"coalesce({x}, 0) AS {x}" for x in K.SUBMISSION_STATUSES if x != "belum_diproses")}, greatest(0, active - coalesce(n, 0)) AS belum_diproses, a3 - coalesce(o3, 0) AS due_3, a7 - coalesce(o7, 0) AS due_7
+    FROM companies c CROSS JOIN o LEFT JOIN s ON s.company_id = c.id LEFT JOIN d ON d.company_id = c.id""",
+    "tenders", "submissions", "companies",
+)
+def a3_pipeline_summary(spark, sf_dir):
+    return A.pipeline_summary(D.tenders(spark, sf_dir), D.submissions(spark, sf_dir), D.companies(spark, sf_dir), as_of())
+
+
+@query("SELECT company_id, participations, wins, total_value, CASE WHEN participations IS NOT NULL THEN round_even(coalesce(wins, 0) / participations, 4) END AS win_rate FROM (SELECT source_id AS company_id, count(DISTINCT tender_id) AS participations FROM participants GROUP BY ALL) FULL JOIN (SELECT company_id, count(*) AS wins, CAST(sum(winning_value) AS BIGINT) AS total_value FROM winners GROUP BY ALL) USING (company_id)", "participants", "winners")
+def a4_company_intelligence(spark, sf_dir):
+    return A.company_intelligence(D.participants(spark, sf_dir).withColumn("company_id", F.col("source_id")), D.winners(spark, sf_dir))
+
+
+@query("SELECT company_id, value, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY n DESC, value) AS rank FROM (SELECT company_id, instansi AS value, count(*) AS n FROM matches m JOIN tenders t ON t.id = m.tender_id GROUP BY ALL)) WHERE rank <= 20", "tenders", "matches")
+def a5_frequency_topk(spark, sf_dir):
+    t = D.tenders(spark, sf_dir).select(F.col("id").alias("tender_id"), "instansi", "kode_instansi")
+    return A.frequency_topk(D.matches(spark, sf_dir).join(t, "tender_id"), F.coalesce(S.blank_to_null(F.col("instansi")), "kode_instansi"))
+
+
+@query(
+    f""", live AS (SELECT id FROM tenders WHERE {SUBMITTABLE} AND NOT {_any("tahap", K.TERMINAL)}), m AS (SELECT company_id, count(*) AS matched FROM matches WHERE tender_id IN (SELECT id FROM live) GROUP BY ALL),
+    s AS (SELECT company_id, count(*) AS scored, count(*) FILTER (fit_score >= 50) AS ready FROM matches WHERE tender_id % 2 = 0 AND tender_id IN (SELECT id FROM live) GROUP BY ALL)
+    SELECT company_id, tenders, matched, scored, ready, CAST(round_even(matched * 100.0::DOUBLE / tenders, 0) AS INTEGER) AS matched_percent, CAST(round_even(scored * 100.0::DOUBLE / tenders, 0) AS INTEGER) AS scored_percent, CASE WHEN ready = 0 THEN 'NOT_READY' WHEN matched >= tenders AND scored >= tenders THEN 'READY' ELSE 'PARTIAL' END AS state
+    FROM (SELECT c.id AS company_id, (SELECT count(*) FROM live) AS tenders, coalesce(matched, 0) AS matched, coalesce(scored, 0) AS scored, coalesce(ready, 0) AS ready FROM companies c LEFT JOIN m ON m.company_id = c.id LEFT JOIN s ON s.company_id = c.id)""",
+    "tenders", "matches", "companies",
+)
+def a6_intelligence_status(spark, sf_dir):
+    m = D.matches(spark, sf_dir)
+    scores = m.where("tender_id % 2 = 0").withColumn("status", F.when(F.col("fit_score") >= 50, "ready").otherwise("not_ready"))
+    return A.intelligence_status(D.tenders(spark, sf_dir), m, scores, D.companies(spark, sf_dir))
+
+
+@query()
+def a7_company_completion(spark, sf_dir):
+    return A.company_completion(D.companies(spark, sf_dir), D.qualifications(spark, sf_dir))
+
+
+@query("SELECT company_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in K.JOB_STATUSES) + " FROM jobs GROUP BY company_id", "jobs")
+def a8_job_status_counts(spark, sf_dir):
+    return A.job_status_counts(D.jobs(spark, sf_dir))
+
+
+@query("SELECT company_id, CAST(started_at AS DATE) AS usage_date, count(*) AS used, greatest(0, 100 - count(*)) AS remaining FROM jobs GROUP BY ALL", "jobs")
+def a9_daily_usage(spark, sf_dir):
+    return A.daily_usage(D.jobs(spark, sf_dir))
+
+
+@query("SELECT kode_instansi, count(*) AS found, count(*) FILTER (id % 7 > 1) AS saved, count(*) FILTER (id % 7 = 1) AS skipped, count(*) FILTER (id % 7 = 0) AS error, CAST(round_even(count(*) FILTER (id % 7 > 1) * 100.0::DOUBLE / count(*), 0) AS INTEGER) AS percent FROM tenders GROUP BY ROLLUP (kode_instansi)", "tenders")
+def a10_crawl_summary(spark, sf_dir):
+    outcome = F.when(F.col("id") % 7 == 0, "error").when(F.col("id") % 7 == 1, "skipped").otherwise("saved")
+    return A.crawl_summary(D.tenders(spark, sf_dir).select("kode_instansi", outcome.alias("outcome")))
+
+
+# Windows
+
+
+@query("SELECT tender_id, company_id, status, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY tender_id, company_id ORDER BY updated_at DESC, event_id DESC) AS r FROM history) WHERE r = 1", "history")
+def w1_latest_per_key(spark, sf_dir):
+    return R.latest_per_key(D.history(spark, sf_dir), ["tender_id", "company_id"], F.col("updated_at"), F.col("event_id")).drop("event_id")
+
+
+@query("SELECT company_id, tender_id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY created_at DESC, tender_id) AS r FROM winners) WHERE r <= 10", "winners")
+def w2_recent_n(spark, sf_dir):
+    return A.recent_n(D.winners(spark, sf_dir), F.desc("created_at"), F.col("tender_id")).select("company_id", "tender_id", "rank")
+
+
+@query("SELECT id FROM tenders ORDER BY is_it_priority DESC, priority_score DESC, scraped_at DESC, id LIMIT 20 OFFSET 20", "tenders")
+def w3_result_page(spark, sf_dir):
+    return A.result_page(D.tenders(spark, sf_dir), page=2).select("id")
+
+
+@query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY company_id, CAST(started_at AS DATE) ORDER BY priority DESC, scheduled_at NULLS FIRST, id) AS r, count(*) FILTER (status = 'completed') OVER (PARTITION BY company_id, CAST(started_at AS DATE)) AS used FROM jobs) WHERE r <= 5 - used", "jobs")
+def w4_budget_gate(spark, sf_dir):
+    jobs = D.jobs(spark, sf_dir)
+    return A.budget_gate(jobs, A.daily_usage(jobs.where("status = 'completed'")).drop("remaining"), limit=5).select("id")
+
+
+@query(f"SELECT id FROM jobs WHERE status = 'pending' AND (scheduled_at IS NULL OR scheduled_at <= TIMESTAMP '2024-01-15 00:00:00') ORDER BY priority DESC, scheduled_at NULLS FIRST, id LIMIT 10", "jobs")
+def w5_claim_jobs(spark, sf_dir):
+    return A.claim_jobs(D.jobs(spark, sf_dir), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("id")
+
+
+@query(f"SELECT id FROM tenders WHERE {SUBMITTABLE} AND id NOT IN (SELECT tender_id FROM jobs) ORDER BY scraped_at DESC, id DESC LIMIT 500", "tenders", "jobs")
+def w5_enqueue_new(spark, sf_dir):
+    return A.enqueue_new(D.tenders(spark, sf_dir), D.jobs(spark, sf_dir)).select("id")
+
+
+@query("SELECT tender_id, company_id, old_value, status AS new_value, updated_at FROM (SELECT *, coalesce(lag(status) OVER (PARTITION BY tender_id, company_id ORDER BY updated_at, event_id), '') AS old_value FROM history) WHERE old_value <> status", "history")
+def w6_status_changes(spark, sf_dir):
+    return A.status_changes(D.history(spark, sf_dir), "updated_at", "event_id")
+
+
+@query("SELECT tender_id, company_id, min(updated_at) AS first_seen FROM history GROUP BY ALL", "history")
+def w7_first_seen(spark, sf_dir):
+    return A.first_seen(D.history(spark, sf_dir), ["tender_id", "company_id"], "updated_at")
+
+
+# Upserts and deletes
+
+
+@query("SELECT id_lelang, nama_paket, CASE WHEN id % 3 = 1 THEN 'Selesai' ELSE tahap END AS tahap, CASE WHEN id % 3 = 1 THEN hps + 1 ELSE hps END AS hps FROM tenders WHERE id % 2 = 0 OR id % 3 = 1", "tenders")
+def u1_upsert_overwrite(spark, sf_dir):
+    t = D.tenders(spark, sf_dir).select("id", "kode_instansi", "id_lelang", "nama_paket", "tahap", "hps", "scraped_at")
+    new = t.where("id % 3 = 1").withColumn("tahap", F.lit("Selesai")).withColumn("hps", F.col("hps") + 1)
+    old = new.withColumn("tahap", F.lit("Alt")).withColumn("scraped_at", F.col("scraped_at") - F.make_dt_interval(F.lit(1)))
+    return U.upsert_tenders(t.where("id % 2 = 0"), new.union(old)).select("id_lelang", "nama_paket", "tahap", "hps")
+
+
+@query("SELECT id_lelang, tahap, CASE WHEN id % 3 = 1 AND id % 2 = 0 AND syarat = '' THEN requirement_text WHEN id % 3 = 1 THEN syarat ELSE requirement_text END AS requirement_text FROM tenders WHERE id % 2 = 0 OR id % 3 = 1", "tenders")
+def u1_upsert_fill(spark, sf_dir):
+    t = D.tenders(spark, sf_dir).select("id", "kode_instansi", "id_lelang", "tahap", "requirement_text", "syarat", "scraped_at")
+    new = t.where("id % 3 = 1").withColumn("requirement_text", F.col("syarat")).withColumn("tahap", F.when(F.col("id") % 2 == 0, "").otherwise(F.col("tahap")))
+    return U.upsert_tenders(t.where("id % 2 = 0"), new, "fill").select("id_lelang", "tahap", "requirement_text")
+
+
+@query("SELECT tender_id, name, CASE WHEN source_id % 3 = 0 THEN 'baru' ELSE alasan END AS alasan FROM participants WHERE source_id % 2 = 0 OR source_id % 3 = 0", "participants")
+def u2_upsert_participants(spark, sf_dir):
+    rows = D.participants(spark, sf_dir).select("tender_id", "source_id", "name", "alasan")
+    return U.upsert_participants(rows.where("source_id % 2 = 0"), rows.where("source_id % 3 = 0").withColumn("alasan", F.lit("baru"))).select("tender_id", "name", "alasan")
+
+
+@query("SELECT tender_id, company_name, CASE WHEN tender_id % 3 = 0 THEN winning_value + 1 ELSE winning_value END AS winning_value FROM winners WHERE tender_id % 2 = 0 OR tender_id % 3 = 0", "winners")
+def u3_upsert_winners(spark, sf_dir):
+    w = D.winners(spark, sf_dir)
+    return U.upsert_winners(w.where("tender_id % 2 = 0"), w.where("tender_id % 3 = 0").withColumn("winning_value", F.col("winning_value") + 1)).select("tender_id", "company_name", "winning_value")
+
+
+_DERIVED = f"derived AS (SELECT tender_id, source_id AS company_id, CASE WHEN p.alasan <> '' THEN 'gagal' WHEN coalesce({_WON}, false) THEN 'menang' ELSE 'sudah_submit' END AS new FROM participants p LEFT JOIN winners w USING (tender_id))"
+
+
+@query(f", {_DERIVED} SELECT tender_id, company_id, CASE WHEN company_id % 2 = 0 AND new = 'sudah_submit' THEN 'menang' ELSE new END AS status FROM derived", "participants", "winners")
+def u4_derive_submissions(spark, sf_dir):
+    p = D.participants(spark, sf_dir).withColumn("company_id", F.col("source_id"))
+    had = p.where("company_id % 2 = 0").select("tender_id", "company_id", F.lit("menang").alias("status"))
+    return U.derive_submissions(p, D.winners(spark, sf_dir), had)
+
+
+@query("SELECT DISTINCT company_id, tender_id FROM (SELECT company_id, tender_id FROM submissions UNION ALL SELECT source_id, tender_id FROM participants)", "submissions", "participants")
+def u5_auto_watchlist(spark, sf_dir):
+    derived = D.participants(spark, sf_dir).select(F.col("source_id").alias("company_id"), "tender_id")
+    return U.auto_watchlist(D.submissions(spark, sf_dir).select("company_id", "tender_id"), derived)
+
+
+_SAFE = "id IN (SELECT tender_id FROM submissions WHERE status IN ('sudah_submit', 'menang', 'cocok_diproses'))"
+
+
+@query(f"SELECT 'completed' AS mode, id, {_any('tahap', K.PURGE_COMPLETED)} AND NOT {_SAFE} AS deleted FROM tenders UNION ALL SELECT 'inactive', id, {_any('tahap', K.PURGE_INACTIVE)} FROM tenders UNION ALL SELECT 'non_retained', id, NOT ({_any('tahap', (*K.AWARDED, *K.ACCEPT))}) AND NOT {_SAFE} FROM tenders", "tenders", "submissions")
+def u6_purge(spark, sf_dir):
+    t, s = D.tenders(spark, sf_dir), D.submissions(spark, sf_dir)
+    a, b, c = (U.purge(t, s, m).select(F.lit(m).alias("mode"), "id", "deleted") for m in ("completed", "inactive", "non_retained"))
+    return a.union(b).union(c)
+
+
+@query(f"SELECT tender_id, source_id FROM participants WHERE tender_id NOT IN (SELECT id FROM tenders WHERE {_any('tahap', K.PURGE_INACTIVE)})", "participants", "tenders")
+def u7_cascade_delete(spark, sf_dir):
+    gone = U.purge(D.tenders(spark, sf_dir), D.submissions(spark, sf_dir), "inactive").where("deleted")
+    return U.cascade_delete(D.participants(spark, sf_dir), gone).select("tender_id", "source_id")
+
+
+@query(f"SELECT id FROM tenders WHERE NOT {_any('tahap', K.ABORTED)} AND {_any('tahap', (*K.AWARDED, *K.ACCEPT))}", "tenders")
+def p2_crawl_gate(spark, sf_dir):
+    return U.crawl_gate(D.tenders(spark, sf_dir)).select("id")
+
+
+# Sources, sinks and pages
+
+
+@query("SELECT id_lelang, nama_paket, hps, peserta_count FROM (SELECT id_lelang, nama_paket, CAST(floor(hps / 1000000000) AS BIGINT) * 1000000000 AS hps, peserta_count FROM tenders)", "tenders")
+def s1_discovery_rows(spark, sf_dir):
+    t = D.tenders(spark, sf_dir)
+    blank, text = F.lit(""), lambda c: F.col(c).cast("string")
+    amount = F.concat(F.floor(F.col("hps") / 1_000_000_000).cast("string"), F.lit(" M"))
+    cells = F.array(text("id_lelang"), F.concat(F.lit("<b>"), "nama_paket", F.lit("</b>")), "instansi", "tahap", amount, blank, blank, blank, "jenis", text("peserta_count"), blank)
+    return io.parse_discovery_row(t.select("kode_instansi", cells.alias("cells"))).select("id_lelang", "nama_paket", "hps", "peserta_count")
+
+
+@query("""SELECT kode_instansi AS "Kode Instansi", id_lelang AS "ID Lelang", hps AS "HPS", CASE WHEN is_it_priority THEN 'Ya' ELSE 'Tidak' END AS "Prioritas IT", strftime(scraped_at, '%Y-%m-%d %H:%M') AS "Waktu Ambil" FROM tenders""", "tenders")
+def s4_export_rows(spark, sf_dir):
+    return io.export_rows(D.tenders(spark, sf_dir).select("kode_instansi", "id_lelang", "hps", "is_it_priority", "scraped_at"), dashboard=True)
+
+
+@query()
+def h6_extract_pages(spark, sf_dir):
+    return H.extract_pages(D.table(spark, sf_dir, "pages")).select("page_id", "lokasi", "tahap", "requirement_text")
+
+
+@query("SELECT id, CASE WHEN status = 'processing' AND started_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 30 MINUTE THEN 'pending' ELSE status END AS status, CASE WHEN status = 'processing' AND started_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 30 MINUTE THEN NULL ELSE started_at END AS started_at FROM jobs", "jobs")
+def t5_recover_stale(spark, sf_dir):
+    return A.recover_stale(D.jobs(spark, sf_dir), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("id", "status", "started_at")
