@@ -37,28 +37,28 @@ def components(links: DataFrame) -> DataFrame:
         stars = shared.written(small, "links")
 
 
-def grouped(entries: DataFrame, check: Callable[[DataFrame], DataFrame], ratio: float, spare: int = 16) -> DataFrame:
+def grouped(entries: DataFrame, check: Callable[[DataFrame], DataFrame], possible: str, once: str = "true", sized: bool = True, spare: int = 4, rounds: int = 6) -> DataFrame:
     """(node, component) of the graph whose links are the pairs that share a key and pass ``check``.
 
-    entries: (key, id, size). check: takes distinct pairs (a, b), returns those that link. Sizes of linked ids differ by
-    ``ratio`` at most. First each id of a block is held against the block's smallest id; then only pairs of different
-    components are left to test. While these are more than ``spare`` times the entries, ids are held against one member of
-    each other component of their block; when few are left or nothing merges any more, all of them are tested. So every
-    candidate pair that could still change the components is tested, yet copies are never expanded into all pairs.
+    entries: (key, id, size). ``possible`` is SQL over a pair's ``size`` and ``other`` that every link meets; ``once`` may say,
+    over these and ``key``, at which of a pair's shared keys it is to be met. check: takes distinct pairs (a, b), returns
+    those that link. First each id is held against one id of its block, round after round against another one, while
+    that merges components and the pairs across components are more than ``spare`` times the entries. What is then left
+    across components is tested pair by pair. So every candidate pair that could still change the components is tested,
+    yet copies are never expanded into all pairs.
     """
-    alike = f"least(size, other) >= {ratio} * greatest(size, other)"
-    pair = F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")
-    smallest = F.min("id").alias("with"), F.min_by("size", "id").alias("other")
-    blocks = entries.groupBy("key").agg(*smallest, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+    def candidates(rows: DataFrame) -> DataFrame:
+        return rows.select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
+
+    other = [F.min_by("size", "id").alias("other")] if sized else []
+    blocks = entries.groupBy("key").agg(F.min("id").alias("with"), *other, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = shared.written(entries.join(blocks, "key"), "members")
-    tested = shared.written(members.where("id != with").where(alike).select(*pair).distinct(), "pairs")
+    tested = shared.written(candidates(members.where("id != with").where(possible if sized else "true")), "pairs")
     links = shared.written(check(tested), "linked")
-    members = members.select("key", "id", "size")
-    last = False
+    members, stalled, turn = members.select("key", "id", "size"), False, 0
     while True:
         found = components(links)
-        if last:
-            return found
         labelled = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id"))
         parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("within")).where("labels > 1")
@@ -67,19 +67,16 @@ def grouped(entries: DataFrame, check: Callable[[DataFrame], DataFrame], ratio:
         if not across:
             return found
         labelled = shared.written(labelled.join(mixed.select("key"), "key", "left_semi").select("key", "id", "size", "label"), "labelled")
-        last = across <= spare * held
+        last, turn = stalled or turn >= rounds or across <= spare * held, turn + 1
+        other = F.col("id").alias("with"), F.col("size").alias("other"), F.col("label").alias("their")
         if last:
-            others = labelled.select("key", F.col("id").alias("with"), F.col("size").alias("other"), F.col("label").alias("their"))
-            pairs = labelled.join(others, "key").where("id < with and label != their").where(alike)
+            pairs = labelled.join(labelled.select("key", *other), "key").where("id < with and label != their").where(possible).where(once)
         else:
-            others = labelled.groupBy("key", "label").agg(*smallest).withColumnRenamed("label", "their")
-            pairs = labelled.join(others, "key").where("label != their").where(alike)
-        pairs = shared.written(pairs.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            chosen = F.min_by(F.struct(*other), F.xxhash64("id", F.lit(turn)))
+            pairs = labelled.join(labelled.groupBy("key").agg(chosen.alias("o")).select("key", "o.*"), "key").where("label != their").where(possible)
+        pairs = shared.written(candidates(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
         new = shared.written(check(pairs), "linked")
         tested, links = tested.union(pairs), links.union(new)
-        if not last and new.isEmpty():
-            last = True
-            others = labelled.select("key", F.col("id").alias("with"), F.col("size").alias("other"), F.col("label").alias("their"))
-            pairs = labelled.join(others, "key").where("id < with and label != their").where(alike)
-            pairs = shared.written(pairs.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-            links = links.union(shared.written(check(pairs), "linked"))
+        if last:
+            return components(links)
+        stalled = new.count() * 20 < pairs.count()

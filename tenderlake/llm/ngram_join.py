@@ -7,7 +7,6 @@ and pairs of its frequent shingles are keys. Candidates are verified on whole se
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from tenderlake.llm.components import grouped
 from tenderlake.llm.textbytes import BASE, IS_SPACED, mixed, pieces, ragged, runs, words
 
 #: Share of the hash range whose shingles may be rare ones; those above count as frequent.
-ZONE = 0.15
+ZONE = 0.2
 
 
 def _shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,17 +46,24 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def _ladder(percent: int, top: int = 1 << 40) -> list[int]:
-    """First sizes of size classes: linked sets are of one class or of neighbouring ones."""
-    steps = [1]
-    while steps[-1] < top:
-        steps.append(max(steps[-1] + 1, (steps[-1] - 1) * 100 // percent + 1))
-    return steps
+def _needed(n: np.ndarray) -> np.ndarray:
+    """Rare shingles in the prefixes that two sets must share, of which the larger has ``n``; see NEEDED."""
+    return 2 + n // 32
 
 
-def _spread(n: int, percent: int) -> int:
-    """Groups of frequent shingles in a size class, by which prefixes are extended."""
-    return max(1, (n - -(-n * percent // 100) + 1) // 4)
+#: The same as SQL. A pair of frequent shingles counts as all that are needed.
+NEEDED, ALL = "2 + greatest({a}, {b}) div 32", 1 << 40
+
+
+def _spread(size_class: int, percent: int) -> int:
+    """Groups that frequent shingles of a size class are dealt to; a class holds the sizes of so many binary digits."""
+    return max(1, int(_prefix(np.int64(1 << size_class - 1), percent)) // 2)
+
+
+def _longest(n: np.ndarray, percent: int) -> np.ndarray:
+    """How far a prefix may be extended."""
+    up = n * 100 // percent + 1
+    return _prefix(n, percent) + _prefix(up, percent) // 2 + 1 + _needed(up)
 
 
 def shingle_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
@@ -70,7 +76,7 @@ def shingle_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
             n = np.diff(bounds)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (values, mixed(values ^ np.uint64(0x5851F42D4C957F2D)))]
             zone = np.concatenate([[0], np.cumsum(values < limit)])
-            keep = np.minimum(n, np.maximum(zone[bounds[1:]] - zone[bounds[:-1]], _prefix(n, percent) * 3 // 2 + 4))
+            keep = np.minimum(n, np.maximum(zone[bounds[1:]] - zone[bounds[:-1]], _longest(n, percent)))
             held = np.arange(len(values)) - np.repeat(bounds[:-1], n) < np.repeat(keep, n)
             low = ragged(values[held].view(np.int64), np.concatenate([[0], np.cumsum(keep)]))
             s1, s2 = (pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums)
@@ -80,8 +86,13 @@ def shingle_sets(documents: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _signatures(nodes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(key, id, size): what a set is found by."""
-    ladder, limit = _ladder(percent), np.uint64(int(ZONE * 2**64))
+    """(key, id, size, weight): what a set is found by.
+
+    Let p be the prefix that shares a shingle at least with any linked set's, rare shingles first. Extended by k - 1 they
+    share k. If either has so many rare ones, k keys are shared. Otherwise, extended further by the number of groups, they
+    share k rare ones, or more frequent ones than there are groups, so two in one group: a key of weight ALL.
+    """
+    limit = np.uint64(int(ZONE * 2**64))
     frequent = np.append(frequent, np.uint64(2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,30 +106,35 @@ def _signatures(nodes: DataFrame, frequent: np.ndarray, percent: int) -> DataFra
             so_far = np.concatenate([[0], np.cumsum(rare)])
             bounds = np.concatenate([[0], np.cumsum(counts)])
             rank = so_far[:-1] - so_far[bounds[text]]
-            prefix = _prefix(n, percent)
-            use = rare & (rank < prefix[text])
+            up = n * 100 // percent + 1
+            reach = _prefix(n, percent) + _needed(up) - 1
+            use = rare & (rank < reach[text])
             keys, of = [values[use]], [text[use]]
+            singles = int(use.sum())
             rares = so_far[bounds[1:]] - so_far[bounds[:-1]]
-            for d in np.flatnonzero(rares < prefix):
+            for d in np.flatnonzero(rares < reach):
                 own = slice(bounds[d], bounds[d + 1])
                 others = values[own][~rare[own]]
-                size_class = bisect_right(ladder, int(n[d])) - 1
-                for c in (size_class, size_class + 1):
-                    spread = _spread(ladder[c], percent)
-                    chosen = others[: prefix[d] + spread - rares[d]]
+                for size_class in {int(n[d]).bit_length(), int(up[d]).bit_length()}:
+                    spread = _spread(size_class, percent)
+                    chosen = others[: reach[d] + spread - rares[d]]
                     group = chosen % np.uint64(spread)
-                    for g in range(spread):
-                        x = chosen[group == g]
-                        i, j = np.triu_indices(len(x), 1)
-                        keys.append(mixed(mixed(x[i] * BASE + x[j]) ^ np.uint64(c + 1)))
-                        of.append(np.full(len(i), d))
+                    order = np.argsort(group, kind="stable")
+                    chosen, sizes = chosen[order], np.bincount(group.astype(np.int64), minlength=spread)
+                    for at, m in zip(np.cumsum(sizes) - sizes, sizes):
+                        if m > 1:
+                            i, j = np.triu_indices(m, 1)
+                            keys.append(mixed(mixed(chosen[at + i] * BASE + chosen[at + j]) ^ np.uint64(size_class)))
+                            of.append(np.full(len(i), d))
             keys, of = np.concatenate(keys), np.concatenate(of)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[of]), pa.array(n[of].astype(np.int32))], ["key", "id", "size"])
+            weight = np.ones(len(keys), np.int64)
+            weight[singles:] = ALL
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[of]), pa.array(n[of].astype(np.int32)), pa.array(weight)], ["key", "id", "size", "weight"])
 
-    return nodes.select("id", "n", "low").mapInArrow(run, "key long, id long, size int")
+    return nodes.select("id", "n", "low").mapInArrow(run, "key long, id long, size int, weight long")
 
 
-def near_groups(documents: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, few: int = 10, most_frequent: int = 1 << 21) -> DataFrame:
+def near_groups(documents: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, few: int = 5, most_frequent: int = 1 << 21) -> DataFrame:
     """Returns a row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
     A document's set is its distinct ``size``-word shingles, A-Z lower-cased; with fewer words, all of them as one. Two
@@ -137,21 +153,42 @@ def near_groups(documents: DataFrame, id: str = "doc_id", text: str = "text", si
     counts = nodes.select(F.explode(seen).alias("token")).groupBy("token").count().where(F.col("count") >= max(few, total // most_frequent))
     frequent = np.sort(counts.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))  # at most ``most_frequent`` rows
 
-    def check(pairs: DataFrame) -> DataFrame:
-        ids = shared.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        texts = source.join(shared.small(ids), "doc_id", "left_semi")
+    entries = _signatures(nodes, frequent, percent)
+    blocks = entries.groupBy("key").count().where("count > 1").select("key")
+    members = shared.written(entries.join(blocks, "key"), "members")
+    strong = members.groupBy("id").agg(F.sum("weight").alias("w"), F.max("size").alias("n")).where("w >= " + NEEDED.format(a="n", b="n"))
+    ids = shared.written(strong.select(F.col("id").alias("doc_id")), "ids")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, "text"):
-                values, bounds = _shingles(batch.column(1), size)
-                yield pa.RecordBatch.from_arrays([batch.column(0), ragged(values.view(np.int64), bounds)], ["doc_id", "tokens"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            values, bounds = _shingles(batch.column(1), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ragged(values.view(np.int64), bounds)], ["id", "tokens"])
+
+    whole = source.join(shared.small(ids), "doc_id", "left_semi").mapInArrow(run, "id long, tokens array<long>")
+    whole = shared.written(whole, "whole")
+    if whole.count() > ids.count():  # rows with equal ids
+        whole = shared.written(whole.dropDuplicates(["id"]), "whole")
+    # Shingles that no other of these sets has are in no intersection, which few sets outlive. Those that do are joined by
+    # the rarest of their shingles among themselves.
+    alone = whole.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+    alone = shared.small(shared.written(alone.groupBy("id").agg(F.count(F.lit(1)).alias("u")), "alone"))
+    left = whole.join(alone, "id", "left").where(f"100 * (size(tokens) - coalesce(u, 0)) >= {percent} * size(tokens)").select("id", "tokens")
+    tokens = shared.written(left, "left").select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = shared.written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+    ordered = tokens.join(counts, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("o")).withColumn("u", F.expr("n - size(o)"))
+    first = F.slice("o", 1, F.expr(f"greatest(0, cast(n - ceil(n * {percent} / 100D) + 1 as int) - u)"))
+    ranked = ordered.select("id", "n", "u", F.transform(first, lambda x: x["token"]).alias("keys"))
+    ranked = shared.written(ranked.where("size(keys) > 0"), "ranked")
+    found_by = ranked.select(F.explode("keys").alias("key"), "id", F.struct("n", "u", "keys").alias("size"))
+    most = "least(size.n - size.u, other.n - other.u)"
+    possible = f"100 * least(size.n, other.n) >= {percent} * greatest(size.n, other.n) and 100 * {most} >= {percent} * ({most} + size.u + other.u)"
 
-        whole = shared.written(texts.mapInArrow(run, "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]), "whole")
-        both = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
+    def check(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
         both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("shared") * 100 >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
-    found = grouped(_signatures(nodes, frequent, percent), check, percent / 100)
+    found = grouped(found_by, check, possible, "array_min(array_intersect(size.keys, other.keys)) = key")
     firsts = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
     return (
         sets.join(firsts.join(found, "node", "left"), ["n", "s1", "s2"], "left")
@@ -159,5 +196,14 @@ def near_groups(documents: DataFrame, id: str = "doc_id", text: str = "text", si
     )
 
 
+def one_of_each(documents: DataFrame, **options) -> DataFrame:
+    """The documents (all columns) that are the first of their group of near equal ones; of rows with equal ids one stays."""
+    groups = shared.written(near_groups(documents, **options).select("doc_id", "component_id").where("doc_id is not null"), "groups")
+    if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
+        documents = documents.where("doc_id is null").unionByName(documents.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    gone = shared.written(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    return documents.join(shared.small(gone), "doc_id", "left_anti").select(*documents.columns)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(shared.documents(spark, sf_dir))
