@@ -1,6 +1,7 @@
 """Every operator against a plain version, and on odd rows: nulls, empty and long texts, ties, repeated rows, no rows at all."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -221,6 +222,24 @@ def test_lines_match_brute_force(spark):
     assert {r.doc_id: r.kept_doc_id for r in line_dedup.repeated_lines(table, radius=4, blocks=7).collect()} == want and want
 
 
+def test_lines_match_brute_force_by_default(spark):
+    """The default finds what edit similarity alone links: words replaced in longer lines, typing errors in short ones."""
+    r, rows = random.Random(6), [(i, t) for i, t in prose(100, seed=6, words=40) if len(t) > 12]
+    for i in range(60):
+        text = list(r.choice(rows)[1][: r.randint(5, 32)].strip() if i % 2 else r.choice(rows[-i // 2 :])[1][:32].strip())
+        for _ in range(len(text) // 5):
+            at = r.randrange(len(text))
+            text[at : at + 1] = r.choice(("", "x", "ab", " "))
+        rows.append((1000 + i, "".join(text)))
+    table = docs(spark, rows)
+    forms = {x.doc_id: x.norm for x in line_dedup.lines(table).select("doc_id", line_dedup.normalised("line").alias("norm")).where("norm != ''").collect()}
+    pairs = spark.createDataFrame(list(forms.items()), "i long, x string")
+    near = pairs.join(pairs.toDF("j", "y"), F.expr("i < j and levenshtein(x, y) <= floor(0.2 * greatest(char_length(x), char_length(y)))"))
+    links = {(p.i, p.j) for p in near.select("i", "j").collect()}
+    want = {i: g for i, g in groups(list(forms), lambda a, b: (a, b) in links).items() if i != g}
+    assert {x.doc_id: x.kept_doc_id for x in line_dedup.repeated_lines(table).collect()} == want and len(want) > 40
+
+
 def test_lines_odd(spark):
     got = line_dedup.repeated_lines(docs(spark, ODD)).collect()
     assert {(r.doc_id, r.kept_doc_id) for r in got} == {(5, 4), (9, 8)}
