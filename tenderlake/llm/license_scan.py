@@ -66,17 +66,14 @@ def matches(text: str | None, base: tuple[tuple[str, str], ...], notices: tuple[
             out.append((label, True, line.count(b" ", 0, at), phrase.count(" ") + 1, 0))
             exact.add((at + 1, label))
     for label, k, seeds, pattern in _fuzzy(notices):
-        size, done = sum(len(s) for s, _ in seeds), set()
+        size, done = sum(len(s.decode()) for s, _ in seeds), set()
         for seed, place in seeds:
             at = -1
             while (at := line.find(seed, at + 1)) >= 0:
-                start = max(0, at - place - k - 1)
-                end = at - place + size + k + 1
-                while start and line[start] & 0xC0 == 0x80:
-                    start -= 1
-                while end < len(line) and line[end] & 0xC0 == 0x80:
-                    end += 1
-                window = line[start:end].decode()
+                # Errors are counted in characters, of four bytes at most: cut in bytes first, then in characters.
+                left, right = place + k + 1, size - place + k + 1
+                before = line[max(0, at - 4 * left) : at].decode(errors="ignore")[-left:]
+                start, window = at - len(before.encode()), before + line[at : at + 4 * right].decode(errors="ignore")[:right]
                 if (m := pattern.search(window)) and (found := start + len(window[: m.start()].encode())) not in done:
                     done.add(found)
                     if (found, label) not in exact:

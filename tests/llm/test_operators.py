@@ -180,6 +180,17 @@ def test_license_places(spark):
     assert not any(m.base for m in got[4].matches) and show(6)[0][0] == "gpl"
 
 
+def test_license_beside_other_characters():
+    """What is found in windows is what the pattern finds in the whole line."""
+    notices = tuple((license_scan.BASE | license_scan.NOTICES).items())
+    for phrase in dict(notices):
+        for a, b in (("“", "”"), ("“", ""), ("", "”"), ("—", ""), ("𝄞", "𝄞"), ("é", ""), ("x", "y")):
+            for text in (f"the {a}{phrase}{b} é日本語", f"日本語日本語 {a}{phrase.replace('e', '日', 1)}{b}", f"{a}{phrase}{b}"):
+                line = f" {' '.join(PLAIN.findall(text))} "
+                want = {label for label, _, _, pattern in license_scan._fuzzy(notices) if pattern.search(line)}
+                assert {label for label, exact, *_ in license_scan.matches(text, (), notices)[1]} == want, text
+
+
 def test_license_odd(spark):
     got = license_scan.scan(docs(spark, ODD)).collect()
     assert sorted(r.n_words for r in got) == sorted(len(PLAIN.findall((t or "").translate(LOWER))) for _, t in ODD)
