@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tenderlake.llm import catalog, line_dedup, mixing, ngram_join, shared, toxicity
-from tests.llm.helpers import ODD, SPACED, docs
+from tests.llm.helpers import ODD, SPACED, docs, groups, prose, shingles
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
@@ -53,6 +53,14 @@ def test_pipeline(spark):
     assert packed.where("piece = 0").count() == mixed.count() and packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def test_near_copies_are_of_five_words(spark):
+    """The stage keeps one of those whose sets of five-word shingles are alike by 0.8, by brute force."""
+    rows = prose(150, seed=11)
+    alike = lambda size, percent: groups(list(sets := {i: shingles(t, size) for i, t in rows}), lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]))
+    want = set(alike(5, 80).values())
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), DATA).collect()} == want != set(alike(3, 90).values())
+
+
 def test_stages_on_odd_rows(spark):
     for rows in (ODD, []):
         table = docs(spark, rows)
