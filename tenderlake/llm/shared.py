@@ -61,3 +61,15 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small(ids: DataFrame, most: int = 500_000) -> DataFrame:
     """A stored table of a few short columns, to be broadcast if it has at most ``most`` rows; else Spark joins it as any other."""
     return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``groups``, a stored table of a row per key with its number of rows ``n``; both without null keys.
+
+    Keys that have one in ``share`` of all rows or more are at most ``share``, so they are broadcast and their rows stay where
+    they are. No hot key goes through a shuffle.
+    """
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one row
+    most = max(2, -(-total // share))
+    hot = F.broadcast(groups.where(F.col("n") >= most))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("n") < most), keys))

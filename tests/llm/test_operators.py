@@ -17,22 +17,55 @@ from tests.llm.helpers import LOWER, ODD, PLAIN, SPACED, bm25, docs, groups, pro
 
 def test_units_keep_the_first(spark):
     line = "one two three four five six seven eight nine ten"
-    rows = [(3, f"x\n{line.upper()}"), (1, f"{line}\nshort"), (2, f"{line}  \n{line}"), (2, None)]
-    got = substring_dedup.repeated_units(docs(spark, rows))
-    assert sorted(map(tuple, got.collect())) == [(2, 0, 0, 50, 1, 0), (2, 1, 51, 99, 1, 0), (3, 1, 2, 50, 1, 0)]
-    assert dict(map(tuple, substring_dedup.without_units(docs(spark, rows), got.where("doc_id = 3")).collect())) == {3: "x\n"}
+    rows = [(3, f"x\n{line.upper()}\ny"), (1, f"{line}\nshort"), (2, f"{line}  \n{line}"), (2, None), (4, "short")]
+    got = substring_dedup.repeated_units(docs(spark, rows), min_words=10)
+    assert sorted((r.doc_id, r.unit, r.start, r.end, r.kept_doc_id, r.kept_start) for r in got.collect()) == [(2, 0, 0, 50, 1, 0), (2, 1, 51, 99, 1, 0), (3, 1, 2, 50, 1, 0)]
+    left = {r.doc_id: (r.text, len(r.removed)) for r in substring_dedup.without_repeats(docs(spark, rows).where("text is not null"), min_words=10).collect()}
+    assert left == {1: (rows[1][1], 0), 3: ("x\ny", 1), 4: ("short", 0)}  # nothing is left of document 2
+
+
+def plain_dedup(rows, min_words):
+    """Text left of each document, by a loop over lines in order of (doc_id, start)."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        words = [x.lower().split() for x in lines]
+        later = [bool(w) and tuple(w) in seen or tuple(w) in map(tuple, words[:k]) for k, w in enumerate(words)]
+        seen |= {tuple(w) for w in words if w}
+        gone, run = set(), []
+        for k in range(len(lines) + 1):
+            if k < len(lines) and (later[k] and words[k]):
+                run.append(k)
+            elif k == len(lines) or words[k]:
+                if sum(len(words[j]) for j in run) >= min_words:
+                    gone |= set(run)
+                run = []
+        kept = [k for k in range(len(lines)) if k not in gone]
+        if not gone or any(words[k] for k in kept):
+            out[i] = "\n".join(lines[k] for k in kept)
+    return out
+
+
+def test_runs_of_units_match_a_plain_loop(spark):
+    r = random.Random(4)
+    pool = [" ".join(r.choice("abcde") for _ in range(r.randint(0, 6))) for _ in range(25)]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 6)))) for i in range(80)]
+    got = {x.doc_id: x.text for x in substring_dedup.without_repeats(docs(spark, rows), min_words=8).collect()}
+    assert got == plain_dedup(rows, 8) and len(got) < 80 and got != dict(rows)
 
 
 def test_units_of_paragraphs(spark):
     a = "a b c d e f g h i j\nk"
-    got = substring_dedup.repeated_units(docs(spark, [(1, a + "\n\nrest"), (2, "new\n \n" + a)]), unit="paragraph")
-    assert [(r.doc_id, r.start, r.end, r.kept_doc_id) for r in got.collect()] == [(2, 6, 6 + len(a), 1)]
+    table = docs(spark, [(1, a + "\n\nrest"), (2, "new\n \n" + a + "\n\n\nend")])
+    got = substring_dedup.without_repeats(table, unit="paragraph", min_words=10).collect()
+    assert {r.doc_id: (r.text, [(x.start, x.end, x.kept_doc_id) for x in r.removed]) for r in got} == {1: (a + "\n\nrest", []), 2: ("new\n \nend", [(6, 6 + len(a), 1)])}
 
 
 def test_units_odd(spark):
-    got = substring_dedup.repeated_units(docs(spark, ODD + [(7, "word " * 3000)]), min_words=1).collect()
-    assert {r.doc_id for r in got} == {5, 7, 9}  # of the equal rows with id 5 both go: document 4 has the line first
-    assert sum(r.doc_id == 7 for r in got) == 1 and sum(r.doc_id == 5 for r in got) == 2
+    rows = ODD + [(12, "word " * 3000), (13, "w " * 2_500_000)]
+    got = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs(spark, rows), min_words=1).collect()}
+    assert set(got) == {None, 1, 2, 3, 4, 6, 7, 8, 13} and got[1] is None and got[2] == ""  # 5 repeats 4, and 9 repeats 8
+    assert substring_dedup.without_repeats(docs(spark, [])).count() == 0
 
 
 # Fingerprints
