@@ -71,7 +71,7 @@ class _Encoder:
     def word(chunk: bytes) -> str | None:
         """The chunk as one word of small letters in composed form, if it is one."""
         if (text := chunk.decode()).isascii():
-            return text if text.isalpha() else None
+            return text.lower() if text.isalpha() else None
         if not text.isalpha() or "\u03a3" in text or "\u0130" in text:  # letters whose small ones are not a letter's own
             return None
         return small if is_normalized("NFC", text) and is_normalized("NFC", small := text.lower()) and small.isalpha() else None

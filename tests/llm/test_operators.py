@@ -182,6 +182,36 @@ def test_histogram_is_packed_whole():
         assert got == histogram and bins <= 1.05 * -(-int(lengths.sum()) // 64) + 30
 
 
+def test_encoder_is_the_tokenizer():
+    """Ids of made-up texts, capitals beside the marks of special tokens among them."""
+    path = packing.public_tokenizers.path("word_bpe_49k.json")
+    encode, encoder, r = packing._tokenizer(path).encode, packing._Encoder(path), random.Random(12)
+    parts = ["Hello", "WORLD", "<|", "|>", "<|endoftext|>", "don't", "É", "été", "Σας", "İx", "ﬁne", "日本", ",", ".", "?!", "(", "3.14", "x_y", "’", "\u0301", "\u200b", "\x00", "\x1c", "\x85", "\xa0"]
+    texts = ["Hello, World. a <| b"] + ["".join(r.choice(parts) + r.choice(("", "", " ", "\n", "\t ")) for _ in range(r.randint(1, 9))) for _ in range(4000)]
+    for text, ids in zip(texts, encoder.batch(texts), strict=True):
+        assert list(ids) == encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_is_near_an_exact_optimum():
+    """On small histograms: against the fewest sequences by a search over all packings."""
+    from functools import lru_cache
+
+    @lru_cache(maxsize=None)
+    def fewest(left: tuple[tuple[int, int], ...], room: int) -> int:
+        best = None
+        for k, (n, c) in enumerate(left):
+            if n <= room:
+                rest = (*left[:k], *([(n, c - 1)] if c > 1 else []), *left[k + 1 :])
+                found = fewest(rest, room - n)
+                best = found if best is None else min(best, found)
+        return best if best is not None else 1 + fewest(left, 20) if left else 0
+
+    r = random.Random(13)
+    for _ in range(12):
+        histogram = {n: r.randint(1, 2) for n in r.sample(range(2, 19), 4)}
+        assert sum(n for n, _ in packing.pack_histogram(histogram, 20)) <= 1 + fewest(tuple(sorted(histogram.items())), 0)
+
+
 def test_packing_round_trip(spark):
     rows = prose(60) + [(1000, "word " * 5000), (1001, None), (1002, ""), (1003, "don't <|endoftext|> ÉTÉ ﬁ Σας İ  ok...")]
     encode = packing._tokenizer(packing.public_tokenizers.path("word_bpe_49k.json")).encode
