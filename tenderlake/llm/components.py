@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlake.llm import shared
@@ -34,49 +34,78 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b"), F.col("m"))).where("a != b").distinct()
-        stars = shared.written(small, "links")
+        older, stars = stars, shared.written(small, "links")
+        shared.drop(older)
 
 
-def grouped(entries: DataFrame, check: Callable[[DataFrame], DataFrame], possible: str, once: str = "true", sized: bool = True, spare: int = 4, rounds: int = 6) -> DataFrame:
+def grouped(entries: DataFrame, possible: str, texts: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame, DataFrame], DataFrame], finer: Column | None = None, exact: bool = False, small: int = 16) -> DataFrame:
     """(node, component) of the graph whose links are the pairs that share a key and pass ``check``.
 
-    entries: (key, id, size). ``possible`` is SQL over a pair's ``size`` and ``other`` that every link meets; ``once`` may say,
-    over these and ``key``, at which of a pair's shared keys it is to be met. check: takes distinct pairs (a, b), returns
-    those that link. First each id is held against one id of its block, round after round against another one, while
-    that merges components and the pairs across components are more than ``spare`` times the entries. What is then left
-    across components is tested pair by pair. So every candidate pair that could still change the components is tested,
-    yet copies are never expanded into all pairs.
+    entries: (key, id, size, ...). ``possible`` is SQL over a pair's columns, the second's with a ``_`` behind, that every
+    link meets. texts: (id, ...) of ids, what check needs. check: of distinct pairs (a, b) and these texts, those that link.
+
+    All pairs of a block of up to ``small`` ids are tested. In a larger block each id is held against the block's first,
+    so a block of copies takes a test each, not all pairs. What is then still apart in such a block is dealt to
+    smaller ones by the keys ``finer``, whose pairs are tested alike; in those that are large still, ids are held against
+    one id after the other, chosen by hash, as long as that links any. With ``exact``, all pairs that are possible then
+    across components are tested too, so that no link of any block is lost.
     """
+    columns = [c for c in entries.columns if c != "key"]
+    second = [F.col(c).alias(f"{c}_") for c in columns]
 
     def candidates(rows: DataFrame) -> DataFrame:
-        return rows.select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
-
-    other = [F.min_by("size", "id").alias("other")] if sized else []
-    blocks = entries.groupBy("key").agg(F.min("id").alias("with"), *other, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = shared.written(entries.join(blocks, "key"), "members")
-    tested = shared.written(candidates(members.where("id != with").where(possible if sized else "true")), "pairs")
-    links = shared.written(check(tested), "linked")
-    members, stalled, turn = members.select("key", "id", "size"), False, 0
-    while True:
+        return rows.where("id != id_").select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        """Rows of blocks of two ids or more, with the number that the block has ("held")."""
+        rows = rows.repartition("key")  # what is counted and what is joined is dealt once
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+        return shared.written(rows.join(counts.hint("shuffle_hash"), "key"), name)
+
+    def all_pairs(rows: DataFrame, apart: str = "true") -> DataFrame:
+        return rows.join(rows.select("key", *(F.col(c).alias(f"{c}_") for c in rows.columns if c not in ("key", "held"))), "key").where(f"id < id_ and {possible} and {apart}")
+
+    def against_one(rows: DataFrame, chosen: Column, apart: str = "true") -> DataFrame:
+        ones = rows.groupBy("key").agg(chosen.alias("one")).select("key", "one.*")
+        return rows.join(ones, "key").where(f"id != id_ and {possible} and {apart}")
+
+    members = dealt(entries, "members")
+    few, many = members.where(F.col("held") <= small), members.where(F.col("held") > small)
+    first = F.min_by(F.struct(*second), "id")
+    tested = shared.written(candidates(all_pairs(few)).union(candidates(against_one(many, first))).distinct(), "pairs")
+    known = texts(tested.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct())
+    links = shared.written(check(tested, known), "linked")
+    found = components(links)
+    if many.isEmpty():
+        return found
+    turn, label = 0, [F.col("label").alias("label_")]
+
+    def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Rows of blocks that hold more than one component, with the component as label."""
+        now = rows.drop("label").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+        return shared.written(now.join(mixed, "key", "left_semi"), "apart")
+
+    rest = apart(many.drop("held"), found)
+    if finer is not None:
+        rest = dealt(rest.withColumn("part", F.explode(finer)).select(F.xxhash64("key", "part").alias("key"), *columns, "label"), "finer")
+        few, rest = rest.where(F.col("held") <= small), rest.where(F.col("held") > small).drop("held")
+        pairs = shared.written(candidates(all_pairs(few.drop("held"), "label != label_")).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested, links = tested.union(pairs), links.union(shared.written(check(pairs, known), "linked"))
         found = components(links)
-        labelled = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-        parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("within")).where("labels > 1")
-        mixed = shared.written(mixed, "mixed")
-        across, held = mixed.agg(F.sum(F.col("n").cast("double") * F.col("n") - F.col("within")) / 2, F.sum("n")).first()  # one row
-        if not across:
-            return found
-        labelled = shared.written(labelled.join(mixed.select("key"), "key", "left_semi").select("key", "id", "size", "label"), "labelled")
-        last, turn = stalled or turn >= rounds or across <= spare * held, turn + 1
-        other = F.col("id").alias("with"), F.col("size").alias("other"), F.col("label").alias("their")
-        if last:
-            pairs = labelled.join(labelled.select("key", *other), "key").where("id < with and label != their").where(possible).where(once)
-        else:
-            chosen = F.min_by(F.struct(*other), F.xxhash64("id", F.lit(turn)))
-            pairs = labelled.join(labelled.groupBy("key").agg(chosen.alias("o")).select("key", "o.*"), "key").where("label != their").where(possible)
-        pairs = shared.written(candidates(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = shared.written(check(pairs), "linked")
-        tested, links = tested.union(pairs), links.union(new)
-        if last:
-            return components(links)
-        stalled = new.count() * 20 < pairs.count()
+        rest = apart(rest, found)
+    while not rest.isEmpty():
+        turn += 1
+        pairs = candidates(against_one(rest, F.min_by(F.struct(*second, *label), F.xxhash64("id", F.lit(turn))), "label != label_"))
+        pairs = shared.written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = shared.written(check(pairs, known), "linked")
+        tested, links, some = tested.union(pairs), links.union(new), not new.isEmpty()
+        if not some and exact:
+            pairs = shared.written(candidates(all_pairs(rest, "label != label_")).join(tested, ["a", "b"], "left_anti"), "pairs")
+            links = links.union(shared.written(check(pairs, known), "linked"))
+        if some or exact:
+            found = components(links)
+        if not some:
+            break
+        rest = apart(rest, found)
+    return found

@@ -131,7 +131,7 @@ def _signatures(nodes: DataFrame, frequent: np.ndarray, percent: int) -> DataFra
             weight[singles:] = ALL
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[of]), pa.array(n[of].astype(np.int32)), pa.array(weight)], ["key", "id", "size", "weight"])
 
-    return nodes.select("id", "n", "low").mapInArrow(run, "key long, id long, size int, weight long")
+    return nodes.select("doc_id", "n", "low").mapInArrow(run, "key long, id long, size int, weight long")
 
 
 def near_groups(documents: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, few: int = 5, most_frequent: int = 1 << 21) -> DataFrame:
@@ -145,19 +145,21 @@ def near_groups(documents: DataFrame, id: str = "doc_id", text: str = "text", si
     """
     source = shared.only(documents, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     sets = shared.written(shingle_sets(source, size, percent), "sets")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
+    plain = shared.written(sets.select("doc_id", "n", "s1", "s2"), "plain")
+    classes = shared.written(plain.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("m")), "classes")
     least = percent / (100 - percent) if percent < 100 else float("inf")  # smaller sets link with equal ones only
-    nodes = shared.written(classes.agg(F.min("doc_id").alias("id"), F.any_value("low").alias("low")).where(F.col("n") >= least).select("id", "n", "low"), "nodes")
+    firsts = shared.written(classes.where((F.col("n") >= least) & F.col("node").isNotNull()).select(F.col("node").alias("doc_id")), "firsts")
+    nodes = sets.join(shared.small(firsts), "doc_id", "left_semi")
     seen = F.slice("low", 1, F.expr(f"cast((n - ceil(n * {percent} / 100D) + 1) * 1.5 + 4 as int)"))
     total = nodes.agg(F.coalesce(F.sum(F.size(seen)), F.lit(0))).first()[0]  # one row
     counts = nodes.select(F.explode(seen).alias("token")).groupBy("token").count().where(F.col("count") >= max(few, total // most_frequent))
     frequent = np.sort(counts.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))  # at most ``most_frequent`` rows
 
-    entries = _signatures(nodes, frequent, percent)
+    entries = _signatures(nodes, frequent, percent).repartition("key")  # what is counted and what is joined is dealt once
     blocks = entries.groupBy("key").count().where("count > 1").select("key")
-    members = shared.written(entries.join(blocks, "key"), "members")
-    strong = members.groupBy("id").agg(F.sum("weight").alias("w"), F.max("size").alias("n")).where("w >= " + NEEDED.format(a="n", b="n"))
+    strong = entries.join(blocks.hint("shuffle_hash"), "key").groupBy("id").agg(F.sum("weight").alias("w"), F.max("size").alias("n")).where("w >= " + NEEDED.format(a="n", b="n"))
     ids = shared.written(strong.select(F.col("id").alias("doc_id")), "ids")
+    shared.drop(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -167,33 +169,35 @@ def near_groups(documents: DataFrame, id: str = "doc_id", text: str = "text", si
     whole = source.join(shared.small(ids), "doc_id", "left_semi").mapInArrow(run, "id long, tokens array<long>")
     whole = shared.written(whole, "whole")
     if whole.count() > ids.count():  # rows with equal ids
-        whole = shared.written(whole.dropDuplicates(["id"]), "whole")
+        whole, double = shared.written(whole.dropDuplicates(["id"]), "whole"), whole
+        shared.drop(double)
     # Shingles that no other of these sets has are in no intersection, which few sets outlive. Those that do are joined by
     # the rarest of their shingles among themselves.
     alone = whole.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
     alone = shared.small(shared.written(alone.groupBy("id").agg(F.count(F.lit(1)).alias("u")), "alone"))
     left = whole.join(alone, "id", "left").where(f"100 * (size(tokens) - coalesce(u, 0)) >= {percent} * size(tokens)").select("id", "tokens")
-    tokens = shared.written(left, "left").select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    left = shared.written(left, "left")
+    shared.drop(whole)
+    tokens = left.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = shared.written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
     ordered = tokens.join(counts, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("o")).withColumn("u", F.expr("n - size(o)"))
     first = F.slice("o", 1, F.expr(f"greatest(0, cast(n - ceil(n * {percent} / 100D) + 1 as int) - u)"))
-    ranked = ordered.select("id", "n", "u", F.transform(first, lambda x: x["token"]).alias("keys"))
-    ranked = shared.written(ranked.where("size(keys) > 0"), "ranked")
-    found_by = ranked.select(F.explode("keys").alias("key"), "id", F.struct("n", "u", "keys").alias("size"))
-    most = "least(size.n - size.u, other.n - other.u)"
-    possible = f"100 * least(size.n, other.n) >= {percent} * greatest(size.n, other.n) and 100 * {most} >= {percent} * ({most} + size.u + other.u)"
-
-    def check(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(whole.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-        both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
+    ranked = ordered.select("id", "n", "u", F.transform(first, lambda x: x["token"]).alias("keys")).where("size(keys) > 0")
+    found_by = ranked.select(F.posexplode("keys").alias("at", "key"), "id", "n", "u").select("key", "id", "n", (F.col("u") + F.col("at")).alias("at"))
+    found_by = shared.written(found_by, "found_by")
+    shared.drop(counts)
+    # At the first key that a pair shares, no more than what stands behind it in either set can be shared.
+    possible = f"least(n - at, n_ - at_) * {100 + percent} >= {percent} * (n + n_)"
+
+    def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("shared") * 100 >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
-    found = grouped(found_by, check, possible, "array_min(array_intersect(size.keys, other.keys)) = key")
-    firsts = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    return (
-        sets.join(firsts.join(found, "node", "left"), ["n", "s1", "s2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
-    )
+    found = shared.written(grouped(found_by, possible, lambda ids: left, check, exact=True), "found")
+    shared.drop(left, found_by)
+    components = shared.written(classes.join(found, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"), F.col("m")), "components")
+    some = shared.joined_to_groups(plain.where("n > 0"), components, ["n", "s1", "s2"], size="m")
+    return some.unionByName(plain.where("n = 0"), allowMissingColumns=True).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:

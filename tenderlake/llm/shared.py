@@ -50,6 +50,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once all that is computed from them is written itself."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -63,13 +71,13 @@ def small(ids: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
-    """``rows`` joined to ``groups``, a stored table of a row per key with its number of rows ``n``; both without null keys.
+def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n", share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``groups``, a stored table of a row per key with its number of rows; both without null keys.
 
     Keys that have one in ``share`` of all rows or more are at most ``share``, so they are broadcast and their rows stay where
     they are. No hot key goes through a shuffle.
     """
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one row
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]  # one row
     most = max(2, -(-total // share))
-    hot = F.broadcast(groups.where(F.col("n") >= most))
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("n") < most), keys))
+    hot = F.broadcast(groups.where(F.col(size) >= most))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(size) < most), keys))

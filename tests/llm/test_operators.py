@@ -263,37 +263,53 @@ def test_license_odd(spark):
 # Line dedup
 
 
+def line_groups(spark, rows):
+    """What edit similarity by words or by characters links, over all pairs: the first id of each group."""
+    found = spark.createDataFrame(rows, "i long, line string").select("i", line_dedup.normalised("line").alias("x")).where("x != ''")
+    forms, words = {r.i: r.x for r in found.collect()}, {}
+    coded = {i: "".join(chr(0x4E00 + words.setdefault(w, len(words))) for w in x.split(" ")) for i, x in forms.items()}
+    one = spark.createDataFrame([(i, x, coded[i]) for i, x in forms.items()], "i long, x string, c string")
+    near = "levenshtein({a}, {b}) <= floor(0.200000001 * greatest(char_length({a}), char_length({b})))"
+    links = {(r.i, r.j) for r in one.join(one.toDF("j", "y", "d"), F.expr("i < j and (" + near.format(a="x", b="y") + " or " + near.format(a="c", b="d") + ")")).select("i", "j").collect()}
+    return {i: g for i, g in groups(list(forms), lambda a, b: (a, b) in links).items() if i != g}
+
+
 def test_lines(spark):
     line = " ".join(f"word{i}" for i in range(60))
     rows = [(1, f"{line}\nkeep me"), (2, f"{line.upper()}!\nmine"), (3, f"{line.replace('word7 ', 'wort7 ')}"), (4, "other " + line[::-1]), (5, None), (6, "---\n---")]
-    got = sorted(map(tuple, line_dedup.repeated_lines(docs(spark, rows), radius=6, blocks=9).collect()))
+    got = sorted(map(tuple, line_dedup.repeated_lines(docs(spark, rows)).collect()))
     assert got == [(2, 0, 1, 0), (3, 0, 1, 0)]
     left = line_dedup.without_lines(docs(spark, rows), line_dedup.repeated_lines(docs(spark, rows)))
     kept = {r.doc_id: (r.text, r.n_chars) for r in left.collect()}
     assert kept[2] == ("mine", 4) and kept[1][0] == rows[0][1] and kept[5] == (None, None) and kept[6][0] == "---\n---"
 
 
-def test_lines_match_brute_force(spark):
-    """Everything that is linked is similar, and all pairs within the radius that are similar are linked."""
-    rows = [(i, t) for i, t in prose(80, seed=5, words=80)]
-    table = docs(spark, rows)
-    forms = {r.doc_id: r.norm for r in line_dedup.lines(table).select("doc_id", line_dedup.normalised("line").alias("norm")).collect()}
-    sims = {r.doc_id: r.sim for r in line_dedup.simhashes(line_dedup.lines(table).withColumn("norm", line_dedup.normalised("line")).select("doc_id", "line_no", "norm")).collect()}
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    def linked(a, b):
-        x, y = forms[a], forms[b]
-        return x == y or bin(sims[a] ^ sims[b]).count("1") <= 4 and 1 - distance(x, y) / max(len(x), len(y)) >= 0.8
-
-    want = {i: g for i, g in groups(list(forms), linked).items() if i != g}
-    assert {r.doc_id: r.kept_doc_id for r in line_dedup.repeated_lines(table, radius=4, blocks=7).collect()} == want and want
+def test_simhash_is_the_vote_of_all_words(spark):
+    """Of lines of any length, against plain counts."""
+    r = random.Random(3)
+    rows = [[r.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 3, 17, 254, 255, 256, 600, 70_000)]
+    got = line_dedup.with_simhash(spark.createDataFrame([(i, h) for i, h in enumerate(rows)], "i int, h array<long>"))
+    for i, sim in got.select("i", "sim").collect():
+        h = np.array(rows[i], np.int64).view(np.uint64)
+        want = sum(1 << b for b in range(line_dedup.BITS) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
+        assert sim == want
+
+
+@pytest.mark.parametrize("size", [8, 12, 20, 40, 80])
+def test_lines_with_replaced_words(spark, size):
+    """By default at least nine in ten lines with a word in ten replaced, one at least, are found, at any length."""
+    r = random.Random(size)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 10)))
+    rows = []
+    for i in range(100):
+        text = [word() for _ in range(size)]
+        rows.append((2 * i, " ".join(text)))
+        for at in r.sample(range(size), max(1, size // 10)):
+            text[at] = word()
+        rows.append((2 * i + 1, " ".join(text)))
+    want = line_groups(spark, rows)
+    got = {x.doc_id: x.kept_doc_id for x in line_dedup.repeated_lines(docs(spark, rows)).collect()}
+    assert len(want) >= 90 and len(set(got.items()) & set(want.items())) >= 0.9 * len(want) and set(got.items()) <= set(want.items())
 
 
 def test_lines_match_brute_force_by_default(spark):
@@ -305,13 +321,24 @@ def test_lines_match_brute_force_by_default(spark):
             at = r.randrange(len(text))
             text[at : at + 1] = r.choice(("", "x", "ab", " "))
         rows.append((1000 + i, "".join(text)))
-    table = docs(spark, rows)
-    forms = {x.doc_id: x.norm for x in line_dedup.lines(table).select("doc_id", line_dedup.normalised("line").alias("norm")).where("norm != ''").collect()}
-    pairs = spark.createDataFrame(list(forms.items()), "i long, x string")
-    near = pairs.join(pairs.toDF("j", "y"), F.expr("i < j and levenshtein(x, y) <= floor(0.2 * greatest(char_length(x), char_length(y)))"))
-    links = {(p.i, p.j) for p in near.select("i", "j").collect()}
-    want = {i: g for i, g in groups(list(forms), lambda a, b: (a, b) in links).items() if i != g}
-    assert {x.doc_id: x.kept_doc_id for x in line_dedup.repeated_lines(table).collect()} == want and len(want) > 40
+    want = line_groups(spark, rows)
+    got = {x.doc_id: x.kept_doc_id for x in line_dedup.repeated_lines(docs(spark, rows)).collect()}
+    assert got == want and len(want) > 40
+
+
+def test_a_frequent_run_links_no_others(spark):
+    """A hundred lines share a run of words; those alike are found, within the block and out of it, and no others."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(5, 10)))
+    rows = [(i, " ".join([word() for _ in range(9)] + ["always", "repeated", "passage"] + [word() for _ in range(9)])) for i in range(100)]
+    rows += [(1000 + i, text.replace(text.split()[3], "changed")) for i, text in rows[:20]]
+    want = line_groups(spark, rows)
+    assert {x.doc_id: x.kept_doc_id for x in line_dedup.repeated_lines(docs(spark, rows)).collect()} == want and len(want) == 20
+
+
+def test_lines_are_native(spark):
+    plan = line_dedup.repeated_lines(docs(spark, ODD))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_lines_odd(spark):
