@@ -111,3 +111,22 @@ STOP_WORDS = (
     "oleh", "karena", "mereka", "kami", "kita", "anda", "ia", "hal", "cara", "program", "upa", "upaya", "per", "tiap", "setiap", "lebih", "bagi",
     "antara", "serta", "namun", "tetapi", "jika", "maka", "sebagai", "menjadi", "harus", "wajib", "para", "tersebut", "sesuai",
 )
+
+# What is recommended for a class of score.
+RECOMMENDATIONS = {
+    "PRIORITAS_TINGGI": "Sangat Direkomendasikan",
+    "LAYAK_DIKEJAR": "Direkomendasikan",
+    "REVIEW": "Perlu Ditinjau",
+    "RISIKO_TINGGI": "Perlu Ditinjau",
+    "TIDAK_DIREKOMENDASIKAN": "Tidak Direkomendasikan",
+}
+
+# Weights of the categories of a company's completion.
+COMPLETION_WEIGHTS = {
+    "identitas": 0.20,
+    "legal_kontak": 0.20,
+    "keuangan": 0.20,
+    "kualifikasi": 0.15,
+    "pengalaman": 0.15,
+    "sdm": 0.10,
+}

@@ -96,14 +96,23 @@ def intelligence_status(tenders: DataFrame, matches: DataFrame, scores: DataFram
 
 
 def company_completion(companies: DataFrame, quals: DataFrame) -> DataFrame:
-    """Per company a percentage of six weighted categories, truncated, and its qualifications by status."""
-    q = quals.groupBy("company_id").agg(*(F.bool_or((F.col("category") == c) & (F.col("status") == "active")).alias(f"has_{c}") for c in ("izin_usaha", "sbu", "sdm", "pengalaman_kerja")), *(F.count_if(F.col("status") == s).alias(s) for s in ("active", "expired")))
+    """Per company a percentage of six weighted categories, truncated, the six, and its qualifications by status."""
+    statuses = ("active", "expired", "needs_renewal")
+    q = quals.groupBy("company_id").agg(*(F.bool_or((F.col("category") == c) & (F.col("status") == "active")).alias(f"has_{c}") for c in ("izin_usaha", "sbu", "sdm", "pengalaman_kerja")), *(F.count_if(F.col("status") == s).alias(s) for s in statuses))
     rows = companies.join(q.withColumnRenamed("company_id", "id"), "id", "left")
-    filled = lambda *c: reduce(Column.__add__, ((F.length(F.trim(S.text(x))) > 0).cast("int") for x in c)) / len(c)
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    money = ((F.coalesce("modal", F.lit(0)) > 0).cast("int") + (F.coalesce("penghasilan", F.lit(0)) > 0).cast("int")) / 2
-    total = filled("name", "npwp") * 20 + (flag("has_izin_usaha") + filled("nib")) / 2 * 20 + money * 20 + flag("has_sbu") * 15 + flag("has_pengalaman_kerja") * 15 + flag("has_sdm") * 10
-    return rows.select(F.col("id").alias("company_id"), F.floor(total + 1e-9).cast("int").alias("completion"), *(F.coalesce(s, F.lit(0)).alias(s) for s in ("active", "expired")))
+    share = lambda n, *c: reduce(Column.__add__, (F.when(x, n).otherwise(0) for x in c))
+    filled = lambda *c: [S.text(x) != "" for x in c]
+    flags = lambda *c: [F.coalesce(x, F.lit(False)) for x in c]
+    parts = {
+        "identitas": share(50, *filled("name", "nib")),
+        "legal_kontak": share(20, *filled("npwp", "address", "phone", "email", "contact_person")),
+        "keuangan": share(50, F.coalesce("modal", F.lit(0)) > 0, F.coalesce("penghasilan", F.lit(0)) > 0),
+        "kualifikasi": share(50, *flags("has_izin_usaha", "has_sbu")),
+        "pengalaman": share(100, *flags("has_pengalaman_kerja")),
+        "sdm": share(100, *flags("has_sdm")),
+    }
+    total = reduce(Column.__add__, (parts[name] * weight for name, weight in K.COMPLETION_WEIGHTS.items()))
+    return rows.select(F.col("id").alias("company_id"), F.least(total.cast("int"), F.lit(100)).alias("completion"), *(c.alias(n) for n, c in parts.items()), *(F.coalesce(s, F.lit(0)).alias(s) for s in statuses))
 
 
 def job_status_counts(jobs: DataFrame) -> DataFrame:

@@ -118,13 +118,17 @@ def rule_match(pairs: DataFrame) -> DataFrame:
 
 
 def enforce_hard_gates(rows: DataFrame) -> DataFrame:
-    """Holds any match against the gates anew: kbli_code, requirement, codes, has_sbu, has_izin, nib, qualifications, blockers, fit_score."""
+    """Holds any match against the gates anew: kbli_code, codes, has_sbu, has_izin, nib, qualifications, blockers, fit_score.
+
+    Also needs ``gates``, or else ``requirement`` to find them in.
+    """
+    gates = F.col("gates") if "gates" in rows.columns else required_gates(F.col("requirement"))
     has_nib = F.length(F.trim(S.text("nib"))) >= 5
     known = lambda word: F.exists("blockers", lambda b: F.contains(F.lower(b), F.lit(word)))
     code = F.trim(S.text("kbli_code"))
     added = F.array_compact(F.array(
         F.when((code != "") & ~F.array_contains("codes", code) & ~known("kbli mismatch"), F.concat(F.lit("KBLI mismatch: Tender mensyaratkan KBLI "), code, F.lit(", perusahaan tidak memilikinya."))),
-        F.when(required_gates(F.col("requirement"))["sbu"] & ~F.col("has_sbu") & ~known("sbu"), "SBU tidak ditemukan pada profil perusahaan."),
+        F.when(gates["sbu"] & ~F.col("has_sbu") & ~known("sbu"), "SBU tidak ditemukan pada profil perusahaan."),
         F.when(~has_nib & ~F.col("has_izin") & ~known("izin") & ~known("nib"), "NIB / Izin Usaha tidak ditemukan pada profil perusahaan."),
     ))
     unready = (F.col("qualifications") == 0) & ~has_nib
@@ -135,6 +139,29 @@ def enforce_hard_gates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("blockers", F.col("_b")).withColumn("status", status).withColumn("fit_score", score.cast("int")).drop("_b")
 
 
+def match_pairs(pairs: DataFrame, tenders: DataFrame, firms: DataFrame) -> DataFrame:
+    """``rule_match`` and ``enforce_hard_gates`` for pairs (tender_id, company_id) of tenders (tender_id, kbli_code, requirement).
+
+    firms: ``company_words`` rows. Words are compared once for each requirement text and company, however many tenders
+    share the text.
+    """
+    keyed = tenders.select("tender_id", "kbli_code", "requirement", F.xxhash64("requirement").alias("key"))
+    rows = pairs.join(keyed.drop("requirement"), "tender_id")
+    texts = tender_words(keyed.select("key", "requirement").dropDuplicates(["key"])).drop("requirement")
+    matched = rule_match(rows.select("key", "company_id").distinct().join(texts, "key").join(firms, "company_id"))
+    matched = matched.select("key", "company_id", "gates", "codes", "has_sbu", "has_izin", "nib", "qualifications", "status", "fit_score", "blockers", "missing", "actions")
+    return enforce_hard_gates(rows.join(matched, ["key", "company_id"])).drop("key")
+
+
+def with_deadline(tenders: DataFrame) -> DataFrame:
+    """Adds ``deadline``, once for all pairs of a tender, and drops the schedule."""
+    return tenders.withColumn("deadline", S.submission_deadline(F.col("jadwal"))["date"]).drop("jadwal")
+
+
+def _days_left(rows: DataFrame, as_of: Column) -> Column:
+    return F.datediff(F.col("deadline") if "deadline" in rows.columns else S.submission_deadline(F.col("jadwal"))["date"], as_of)
+
+
 def _steps(value: Column, steps, below: bool) -> Column:
     return reduce(lambda c, s: c.when(value <= s[0] if below else value >= s[0], s[1]), steps, F.when(F.lit(False), 0)).otherwise(0)
 
@@ -146,12 +173,11 @@ def classification(score: Column) -> Column:
 def opportunity_score(pairs: DataFrame, as_of: Column) -> DataFrame:
     """Adds status, five component scores, final_score and classification.
 
-    pairs: fit_score (null: no match), hps, kbli_code, tahap, jadwal; penghasilan, codes, experience, complete. Components
+    pairs: fit_score (null: no match), hps, kbli_code, tahap, deadline (or jadwal); penghasilan, codes, experience, complete. Components
     without data drop out and the weights of the others grow; they count 0 in their own column.
     """
     ready = P.is_submittable(F.col("tahap")) & F.col("fit_score").isNotNull()
-    days = F.datediff(S.submission_deadline(F.col("jadwal"))["date"], as_of)
-    rows = pairs.withColumn("_days", days).withColumn("_ratio", F.when((F.col("hps") > 0) & (F.col("penghasilan") > 0), F.col("hps") / F.col("penghasilan")))
+    rows = pairs.withColumn("_days", _days_left(pairs, as_of)).withColumn("_ratio", F.when((F.col("hps") > 0) & (F.col("penghasilan") > 0), F.col("hps") / F.col("penghasilan")))
     fit = F.col("fit_score")
     match = (S.text("kbli_code") != "") & F.array_contains("codes", F.trim(S.text("kbli_code")))
     parts = {
@@ -173,35 +199,69 @@ def opportunity_score(pairs: DataFrame, as_of: Column) -> DataFrame:
     return rows.select(*pairs.columns, "status", *scores, "final_score", "classification")
 
 
+def recent_experience(quals: DataFrame, as_of: Column, years: int = 3) -> DataFrame:
+    """(company_id, recent): projects since that many years ago, whatever the status of the qualification."""
+    return quals.where((F.col("category") == "pengalaman_kerja") & (F.col("project_year") >= F.year(as_of) - years)).groupBy("company_id").agg(F.count(F.lit(1)).alias("recent"))
+
+
 def opportunity_score_legacy(pairs: DataFrame, as_of: Column) -> DataFrame:
-    """Adds the older score: five components weighted .40 .20 .15 .10 .15, truncated, and its label.
+    """Adds the older score: five components weighted .40 .20 .15 .10 .15, truncated; recommendation, reason, strengths, risks.
 
-    pairs: hps, kbli_code, jadwal, is_it_priority, is_prakualifikasi, peserta_count, metode, ai_score; codes, has_izin, has_sbu,
-    has_sdm, experience, recent, modal, penghasilan.
+    pairs: company_id (null: the tender alone is scored), hps, kbli_code, deadline (or jadwal), is_it_priority,
+    is_prakualifikasi, peserta_count, metode, ai_score; codes, has_izin, has_sbu, has_sdm, experience, recent, modal, penghasilan.
     """
-    has = F.col("experience") > 0
+    firm, has = F.col("company_id").isNotNull(), F.coalesce(F.col("experience") > 0, F.lit(False))
+    izin, sbu, sdm = (F.coalesce(c, F.lit(False)) for c in ("has_izin", "has_sbu", "has_sdm"))
+    hps, modal, income, recent = (F.coalesce(c, F.lit(0)) for c in ("hps", "modal", "penghasilan", "recent"))
     code = F.trim(S.text("kbli_code"))
-    hit = F.array_contains("codes", code)
-    qualification = F.when(code == "", 25).when(hit, 50).otherwise(0) + F.when(F.col("has_izin"), 12).otherwise(0) + F.when(F.col("has_sbu"), 12).otherwise(0) + F.when(has, 13).otherwise(0) + F.when(F.col("has_sdm"), 13).otherwise(0)
-    capital, income = F.col("modal") / F.col("hps"), F.col("penghasilan") / F.col("hps")
-    money = F.when(F.col("hps") <= 0, 50).when(F.col("modal") > 0, F.when(capital >= 0.5, 95).when(capital >= 0.25, 75).when(capital >= 0.1, 50).otherwise(20)).when(F.col("penghasilan") > 0, F.when(income >= 1, 80).when(income >= 0.5, 60).otherwise(30)).otherwise(30)
-    money = F.when(~has & (money > 50), F.greatest(F.lit(20), money - 10)).otherwise(money)
-    experience = F.when(F.col("recent") >= 3, 95).when(F.col("recent") >= 1, 70).otherwise(20)
-    days = F.datediff(S.submission_deadline(F.col("jadwal"))["date"], as_of)
+    hit, any_code = firm & (code != "") & F.coalesce(F.array_contains("codes", code), F.lit(False)), F.coalesce(F.size("codes") > 0, F.lit(False))
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    qualification = F.when(~firm, 50).otherwise(F.when(hit, 50).when(code == "", 25).otherwise(0) + points(izin, 12) + points(sbu, 12) + points(has, 13) + points(sdm, 13))
+    by_capital, by_income = firm & (hps > 0) & (modal > 0), firm & (hps > 0) & (modal <= 0) & (income > 0)
+    capital, earned = F.try_divide(modal, hps), F.try_divide(income, hps)
+    money = F.when(by_capital, F.when(capital >= 0.5, 95).when(capital >= 0.25, 75).when(capital >= 0.1, 50).otherwise(20)).when(by_income, F.when(earned >= 1, 80).when(earned >= 0.5, 60).otherwise(30)).otherwise(50)
+    money = F.when(firm & ~has & (money > 50), F.greatest(money - 10, F.lit(20))).otherwise(money)
+    experience = F.when(~firm, 30).when(recent >= 3, 95).when(recent >= 1, 70).otherwise(20)
+    days = _days_left(pairs, as_of)
     deadline = F.when(days.isNull(), 60).when(days > 14, 95).when(days > 7, 75).when(days > 3, 50).when(days > 0, 25).otherwise(5)
-    bidders, method = F.col("peserta_count"), F.lower(S.text("metode"))
+    bidders, method, ai = F.coalesce("peserta_count", F.lit(0)), F.lower(S.text("metode")), F.coalesce("ai_score", F.lit(0))
+    all_, best = F.contains(method, F.lit("selectall")) | F.contains(method, F.lit("select all")), F.contains(method, F.lit("best"))
+    it, early = F.coalesce("is_it_priority", F.lit(False)), F.coalesce("is_prakualifikasi", F.lit(False))
+    in_field = firm & any_code & hit
     strategic = (
-        F.lit(40) + F.when(F.col("is_it_priority"), 20).otherwise(0) + F.when(F.col("is_prakualifikasi"), 8).otherwise(0) + F.when(code == "", 0).when(hit, 12).otherwise(-5)
-        + F.when(bidders > 20, -8).when(bidders > 0, 5).otherwise(3) + F.when(F.contains(method, F.lit("seleksi")), 5).when(F.contains(method, F.lit("terbaik")), 3).otherwise(0)
-        + F.when(F.col("ai_score") > 70, 10).when(F.col("ai_score") > 40, 5).otherwise(0)
+        F.lit(40) + points(it, 20) + points(early, 8) + F.when(in_field, 12).when(firm & any_code & (code != ""), -5).otherwise(0) + F.when(bidders > 20, -8).when(bidders > 0, 5).when(bidders == 0, 3).otherwise(0)
+        + F.when(all_, 5).when(best, 3).otherwise(0) + F.when(ai > 70, 10).when(ai > 40, 5).otherwise(0)
     )
-    rows = pairs
-    clamp = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), c))
+    rows, clamp = pairs, lambda c: F.greatest(F.lit(0), F.least(F.lit(100), c)).cast("int")
     for name, value in (("qualification", qualification), ("financial", money), ("experience", experience), ("deadline", deadline), ("strategic", strategic)):
         rows = rows.withColumn(f"{name}_score", clamp(value))
-    final = F.col("qualification_score") * 0.40 + F.col("financial_score") * 0.20 + F.col("experience_score") * 0.15 + F.col("deadline_score") * 0.10 + F.col("strategic_score") * 0.15
-    rows = rows.withColumn("final_score", clamp(F.floor(final + 1e-9)).cast("int"))
-    return rows.withColumn("label", F.when(F.col("final_score") >= 85, "sangat_layak").when(F.col("final_score") >= 70, "layak").when(F.col("final_score") >= 50, "pertimbangkan").otherwise("kurang_layak"))
+    score = F.col
+    final = score("qualification_score") * 0.40 + score("financial_score") * 0.20 + score("experience_score") * 0.15 + score("deadline_score") * 0.10 + score("strategic_score") * 0.15
+    rows = rows.withColumn("final_score", clamp(final.cast("int")))
+    percent = lambda c: F.concat(F.bround(c * 100).cast("long").cast("string"), F.lit("%"))
+    say = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    # What the score says for and against a tender.
+    strengths = [
+        (hit, say("KBLI ", code, " sesuai")), (firm & izin, say("Izin Usaha aktif")), (firm & sbu, say("SBU aktif")), (firm & has, say("Pengalaman Kerja tercatat")), (firm & sdm, say("SDM/Manajerial tercatat")),
+        (by_capital & (capital >= 0.5), say("Modal mencukupi (", percent(capital), " dari HPS)")), (by_capital & (capital >= 0.25) & (capital < 0.5), say("Modal cukup (", percent(capital), " dari HPS)")),
+        (by_income & (earned >= 1), say("Penghasilan mencukupi (", percent(earned), " dari HPS)")), (firm & (recent >= 3), say(recent, " proyek pengalaman (3 tahun terakhir)")), (firm & (recent >= 1) & (recent < 3), say(recent, " proyek pengalaman")),
+        (days > 7, say("Sisa waktu ", days, " hari")), (it, say("Tender IT Priority")), (early, say("Pra-Kualifikasi")), (in_field, say("KBLI sesuai bidang usaha")), ((bidders > 0) & (bidders <= 20), say(bidders, " peserta terdaftar")),
+        (bidders == 0, say("Belum ada peserta terdaftar")), (all_, say("Metode Select All — kualifikasi semua")), (best & ~all_, say("Metode Best Value")), (ai > 70, say("Kesesuaian Kualifikasi AI ", ai, "%")),
+    ]
+    risks = [
+        (firm & (code != "") & ~hit, say("KBLI ", code, " tidak sesuai")), (firm & ~izin, say("Izin Usaha belum ada")), (firm & ~sbu, say("SBU belum ada")), (firm & ~has, say("Belum ada pengalaman kerja")), (firm & ~sdm, say("SDM/Manajerial belum ada")),
+        (by_capital & (capital < 0.1), say("Modal tidak mencukupi (", percent(capital), " dari HPS)")), (by_income & (earned < 0.5), say("Penghasilan tidak mencukupi")), (firm & (recent < 1), say("Tidak ada pengalaman tercatat (3 tahun terakhir)")),
+        ((days > 0) & (days <= 3), say("Sisa waktu ", days, " hari — mendesak")), (days <= 0, say("Deadline sudah lewat")),
+    ]
+    rows = rows.withColumns({name: F.array_compact(F.array(*(F.when(c, x) for c, x in found))) for name, found in (("strengths", strengths), ("risks", risks))})
+    total, fine = F.col("final_score"), lambda name, x: F.when(F.col(f"{name}_score") >= 70, x).otherwise("")
+    reason = (
+        F.when(total >= 70, say("Tender ini cocok dengan profil perusahaan.", fine("qualification", " Kualifikasi memadai."), fine("financial", " Kemampuan keuangan mencukupi."), fine("experience", " Pengalaman relevan tersedia.")))
+        .when(total >= 50, say("Tender ini perlu ditinjau lebih lanjut.", F.when(F.size("risks") > 0, say(" Perhatikan: ", F.get("risks", F.lit(0)), ".")).otherwise("")))
+        .otherwise(say("Tender ini kurang sesuai dengan profil perusahaan saat ini.", F.when(F.col("qualification_score") < 40, " Kualifikasi belum memadai.").otherwise("")))
+    )
+    label = F.when(total >= 85, "Sangat Direkomendasikan").when(total >= 70, "Direkomendasikan").when(total >= 50, "Perlu Ditinjau").otherwise("Tidak Direkomendasikan")
+    return rows.withColumn("recommendation", label).withColumn("reason", reason)
 
 
 def radar(scored: DataFrame, limit: int | None = None, offset: int = 0, only_ready: bool = True) -> DataFrame:
@@ -217,17 +277,35 @@ def radar(scored: DataFrame, limit: int | None = None, offset: int = 0, only_rea
     return rows.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)) if limit is not None else rows
 
 
-def recommended(pairs: DataFrame, matching: int = 20, others: int = 10, without: int = 50, top: int = 20) -> DataFrame:
-    """Per company the best of its code-matching tenders and of other prequalification tenders, by score.
+def recommended_candidates(tenders: DataFrame, profiles: DataFrame, matching: int = 20, others: int = 10, without: int = 50) -> DataFrame:
+    """(company_id, tender_id, kbli_match, place): per company the open tenders to be scored, by priority and value.
 
-    pairs: company_id, tender_id, tahap, kbli_code, is_prakualifikasi, priority_score, hps, codes, final_score.
+    The first ``matching`` of those with one of its codes, and the first ``others`` of the rest in a qualification stage, or
+    ``without`` of them for a company without codes. tenders: tender_id, tahap, kbli_code, priority_score, hps; profiles:
+    company_id, codes. Tenders are ranked within their code first, so no company meets more than the first of each code.
     """
-    rows = pairs.where(P.is_open(F.col("tahap"))).withColumn("_match", F.array_contains("codes", S.text("kbli_code")) & (S.text("kbli_code") != ""))
-    order = Window.partitionBy("company_id", "_match").orderBy(F.desc("priority_score"), F.desc("hps"), "tender_id")
-    rows = rows.where("_match or is_prakualifikasi").withColumn("_place", F.row_number().over(order))
-    chosen = rows.where(F.when(F.col("_match"), F.col("_place") <= matching).when(F.size("codes") == 0, F.col("_place") <= without).otherwise(F.col("_place") <= others))
-    best = Window.partitionBy("company_id").orderBy(F.desc("final_score"), "tender_id")
-    return chosen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("company_id", "tender_id", "final_score", "rank", F.col("_match").alias("kbli_match"))
+    best = [F.desc("priority_score"), F.desc("hps"), "tender_id"]
+    columns = ["tender_id", "kbli_code", "priority_score", "hps"]
+    live = tenders.where(P.is_open(F.col("tahap"))).withColumn("kbli_code", S.text("kbli_code"))
+    of_code = lambda rows, most: rows.withColumn("_p", F.row_number().over(Window.partitionBy("kbli_code").orderBy(*best))).where(F.col("_p") <= most).select(*columns)
+    own = profiles.select("company_id", F.explode("codes").alias("kbli_code")).join(of_code(live.where("kbli_code != ''"), matching), "kbli_code")
+    placed = Window.partitionBy("company_id").orderBy(*best)
+    hits = own.withColumn("place", F.row_number().over(placed)).where(F.col("place") <= matching)
+    # The first of the rest are among the first few overall, as each of a company's codes has at most ``without`` above them.
+    rest = of_code(live.where(F.contains(F.lower("tahap"), F.lit("kualifikasi"))), without).withColumn("_all", F.row_number().over(Window.orderBy(*best)))
+    firms = profiles.select("company_id", "codes", F.when(F.size("codes") > 0, others).otherwise(without).alias("_most"))
+    far = firms.join(rest, (F.col("_all") <= F.col("_most") + F.size("codes") * without) & ~F.array_contains("codes", F.col("kbli_code")))
+    far = far.withColumn("place", F.row_number().over(placed)).where(F.col("place") <= F.col("_most"))
+    kept = "company_id", "tender_id", "place"
+    return hits.select(*kept, F.lit(True).alias("kbli_match")).unionByName(far.select(*kept, F.lit(False).alias("kbli_match")))
+
+
+def recommended(scored: DataFrame, top: int = 20) -> DataFrame:
+    """Per company the best of its ``recommended_candidates`` by ``opportunity_score``; ties in their order."""
+    best = Window.partitionBy("company_id").orderBy(F.desc("final_score"), F.desc("kbli_match"), "place")
+    rows = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    label = reduce(lambda c, x: c.when(F.col("classification") == x[0], x[1]), K.RECOMMENDATIONS.items(), F.when(F.lit(False), "")).otherwise("Tidak Direkomendasikan")
+    return rows.select("company_id", "tender_id", "final_score", "rank", "kbli_match", label.alias("recommendation"))
 
 
 def next_job_state(jobs: DataFrame, as_of: Column, retry_minutes: int = 15) -> DataFrame:

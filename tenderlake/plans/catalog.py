@@ -319,8 +319,10 @@ def m2_required_gates(spark, sf_dir):
     return D.tenders(spark, sf_dir).select("id", M.required_gates(F.col("requirement_text")).alias("g")).select("id", "g.*")
 
 
-_SCORE = f"""pairs AS (SELECT m.tender_id, m.company_id, m.fit_score, hps, kbli_code, tahap, {TIER} - DATE '{D.AS_OF}' AS days, penghasilan, codes, experience, complete, {SUBMITTABLE} AS ready,
-  CASE WHEN hps > 0 AND penghasilan > 0 THEN hps / penghasilan END AS ratio FROM matches m JOIN tenders t ON t.id = m.tender_id JOIN profile p USING (company_id)),
+def _score(source: str) -> str:
+    """Tables up to ``classed``: the score of pairs (tender_id, company_id, fit_score)."""
+    return f"""pairs AS (SELECT m.tender_id, m.company_id, m.fit_score, hps, kbli_code, tahap, {TIER} - DATE '{D.AS_OF}' AS days, penghasilan, codes, experience, complete, ({SUBMITTABLE} AND m.fit_score IS NOT NULL) AS ready,
+  CASE WHEN hps > 0 AND penghasilan > 0 THEN hps / penghasilan END AS ratio FROM {source} m JOIN tenders t ON t.id = m.tender_id JOIN profile p USING (company_id)),
 parts AS (SELECT *, CASE WHEN ratio IS NOT NULL THEN {_steps("ratio", K.FINANCIAL_STEPS, "<=")} END AS f, CASE WHEN experience = 0 THEN 0 WHEN complete > 0 THEN 75 ELSE 60 END AS e, CASE WHEN days IS NOT NULL THEN {_steps("days", K.DEADLINE_STEPS, ">=")} END AS d,
   CASE WHEN kbli_code <> '' AND list_contains(codes, kbli_code) AND fit_score >= 90 THEN 100 WHEN fit_score >= 80 THEN 85 WHEN fit_score >= 70 THEN 70 WHEN fit_score >= 50 THEN 50 ELSE 25 END AS s FROM pairs),
 weighted AS (SELECT *, 0.35::DOUBLE + CASE WHEN f IS NULL THEN 0 ELSE 0.2::DOUBLE END + 0.2::DOUBLE + CASE WHEN d IS NULL THEN 0 ELSE 0.15::DOUBLE END + 0.1::DOUBLE AS w FROM parts),
@@ -328,10 +330,17 @@ scored AS (SELECT *, CASE WHEN ready THEN CAST(round_even(fit_score * (0.35::DOU
 classed AS (SELECT *, CASE WHEN NOT ready THEN '' {" ".join(f"WHEN final_score >= {a} THEN '{b}'" for a, b in K.CLASSES)} END AS classification FROM scored)"""
 
 
+_SCORE = _score("matches")
+
+
+def _tenders_to_score(spark, sf_dir):
+    rows = D.tenders(spark, sf_dir).select(F.col("id").alias("tender_id"), "hps", "kbli_code", "tahap", "jadwal", "priority_score", "is_prakualifikasi", "is_it_priority", "peserta_count", "ai_score")
+    return M.with_deadline(rows)
+
+
 def _scored(spark, sf_dir):
-    t = D.tenders(spark, sf_dir).select(F.col("id").alias("tender_id"), "hps", "kbli_code", "tahap", "jadwal", "priority_score", "is_prakualifikasi", "is_it_priority", "peserta_count", "ai_score")
     firms = _profile(spark, sf_dir).select("company_id", "penghasilan", "modal", "codes", "experience", "complete", "has_izin", "has_sbu", "has_sdm")
-    return M.opportunity_score(D.matches(spark, sf_dir).join(t, "tender_id").join(firms, "company_id"), as_of())
+    return M.opportunity_score(D.matches(spark, sf_dir).join(_tenders_to_score(spark, sf_dir), "tender_id").join(firms, "company_id"), as_of())
 
 
 @query(f", {PROFILE}, {_SCORE} SELECT tender_id, company_id, CASE WHEN ready THEN 'ready' ELSE 'not_ready' END AS status, CASE WHEN ready THEN coalesce(f, 0) ELSE 0 END AS financial_score, CASE WHEN ready THEN coalesce(d, 0) ELSE 0 END AS deadline_score, CASE WHEN ready THEN s ELSE 0 END AS strategic_score, final_score, classification FROM classed", "tenders", "companies", "qualifications", "matches")
@@ -344,20 +353,29 @@ _CLASS_PLACE = "CASE classification " + " ".join(f"WHEN '{b}' THEN {i}" for i, (
 
 @query(f", {PROFILE}, {_SCORE} SELECT * FROM (SELECT company_id, tender_id, final_score, classification, CAST(days AS BIGINT) AS days_left, CAST(row_number() OVER (PARTITION BY company_id ORDER BY {_CLASS_PLACE}, final_score DESC, days NULLS LAST, tender_id) AS INTEGER) AS rank FROM classed WHERE ready AND NOT {_any('tahap', K.TERMINAL)}) WHERE rank <= 50", "tenders", "companies", "qualifications", "matches")
 def m9_radar(spark, sf_dir):
-    rows = _scored(spark, sf_dir).withColumn("days_left", F.datediff(S.submission_deadline(F.col("jadwal"))["date"], as_of()).cast("long"))
+    rows = _scored(spark, sf_dir).withColumn("days_left", F.datediff("deadline", as_of()).cast("long"))
     return M.radar(rows, limit=50).select("company_id", "tender_id", "final_score", "classification", "days_left", "rank")
 
 
+_LABELS = "CASE classification " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in K.RECOMMENDATIONS.items()) + " ELSE 'Tidak Direkomendasikan' END"
+
+
 @query(
-    f""", {PROFILE}, {_SCORE}, open AS (SELECT c.company_id, c.tender_id, c.final_score, c.codes, t.is_prakualifikasi, t.priority_score, t.hps, c.kbli_code <> '' AND list_contains(codes, c.kbli_code) AS kbli_match
-      FROM classed c JOIN tenders t ON t.id = c.tender_id WHERE NOT {_any("c.tahap", K.DASHBOARD_CLOSED)}),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY company_id, kbli_match ORDER BY priority_score DESC, hps DESC, tender_id) AS place FROM open WHERE kbli_match OR is_prakualifikasi),
-    best AS (SELECT company_id, tender_id, final_score, kbli_match, CAST(row_number() OVER (PARTITION BY company_id ORDER BY final_score DESC, tender_id) AS INTEGER) AS rank FROM placed WHERE place <= CASE WHEN kbli_match THEN 20 WHEN len(codes) = 0 THEN 50 ELSE 10 END)
+    f""", {PROFILE},
+    candidates AS (SELECT company_id, t.id AS tender_id, p.codes, t.priority_score, t.hps, list_contains(p.codes, t.kbli_code) AS kbli_match FROM tenders t CROSS JOIN profile p
+      WHERE NOT {_any("t.tahap", ("selesai", "kontrak", "pembatalan"))} AND (list_contains(p.codes, t.kbli_code) OR contains(lower(t.tahap), 'kualifikasi'))),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY company_id, kbli_match ORDER BY priority_score DESC, hps DESC, tender_id) AS place FROM candidates),
+    chosen AS (SELECT c.*, m.fit_score FROM placed c LEFT JOIN matches m USING (tender_id, company_id) WHERE place <= CASE WHEN kbli_match THEN 20 WHEN len(codes) = 0 THEN 50 ELSE 10 END),
+    {_score("(SELECT tender_id, company_id, fit_score FROM chosen)")},
+    best AS (SELECT s.company_id, s.tender_id, s.final_score, c.kbli_match, {_LABELS} AS recommendation,
+      CAST(row_number() OVER (PARTITION BY s.company_id ORDER BY s.final_score DESC, c.kbli_match DESC, c.place) AS INTEGER) AS rank FROM classed s JOIN chosen c USING (tender_id, company_id))
     SELECT * FROM best WHERE rank <= 20""",
     "tenders", "companies", "qualifications", "matches",
 )
 def m10_recommended(spark, sf_dir):
-    return M.recommended(_scored(spark, sf_dir))
+    tenders, firms = _tenders_to_score(spark, sf_dir), _profile(spark, sf_dir).select("company_id", "penghasilan", "codes", "experience", "complete")
+    chosen = M.recommended_candidates(tenders, firms).join(D.matches(spark, sf_dir), ["tender_id", "company_id"], "left")
+    return M.recommended(M.opportunity_score(chosen.join(tenders, "tender_id").join(firms, "company_id"), as_of()))
 
 
 @query()
@@ -365,9 +383,8 @@ def m5_rule_match(spark, sf_dir):
     firms = _profile(spark, sf_dir).select("company_id", "codes", "has_sbu", "has_izin", "nib", "npwp", "qualifications")
     texts = D.qualifications(spark, sf_dir).where("status = 'active'").groupBy("company_id").agg(F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct("category", "name", "kbli_code", "project_name", "client_name")))), " ").alias("text"))
     firms = M.company_words(firms.join(texts, "company_id", "left"), "text")
-    t = M.tender_words(D.tenders(spark, sf_dir).select(F.col("id").alias("tender_id"), "kbli_code", F.col("requirement_text").alias("requirement")))
-    pairs = D.matches(spark, sf_dir).select("tender_id", "company_id").join(t, "tender_id").join(firms, "company_id")
-    return M.enforce_hard_gates(M.rule_match(pairs)).select("tender_id", "company_id", "status", "fit_score", "blockers", "missing", "actions")
+    tenders = D.tenders(spark, sf_dir).select(F.col("id").alias("tender_id"), "kbli_code", F.col("requirement_text").alias("requirement"))
+    return M.match_pairs(D.matches(spark, sf_dir).select("tender_id", "company_id"), tenders, firms).select("tender_id", "company_id", "status", "fit_score", "blockers", "missing", "actions")
 
 
 @query()
@@ -378,11 +395,43 @@ def m4_tfidf_cosine(spark, sf_dir):
     return best.groupBy("left_id").agg(F.max_by("right_id", F.struct("cosine", -F.col("right_id"))).alias("right_id"), F.round(F.max("cosine"), 9).alias("cosine"))
 
 
-@query()
+METHODS = ("Select All", "Best Value", "Tender", "SelectAll Prakualifikasi")
+
+
+@query(
+    f""", {PROFILE},
+    recents AS (SELECT company_id, count(*) AS recent FROM qualifications WHERE category = 'pengalaman_kerja' AND project_year >= {int(D.AS_OF[:4]) - 3} GROUP BY company_id),
+    facts AS (SELECT t.id AS tender_id, p.company_id, t.hps, t.kbli_code AS code, {TIER} - DATE '{D.AS_OF}' AS days, t.is_it_priority AS it, t.is_prakualifikasi AS early, t.peserta_count AS bidders, t.ai_score AS ai,
+      lower({D._sql_pick(METHODS, "t.id")}) AS method, p.codes, p.has_izin, p.has_sbu, p.has_sdm, p.experience > 0 AS has, coalesce(recent, 0) AS recent, p.modal, p.penghasilan AS income
+      FROM matches m JOIN tenders t ON t.id = m.tender_id JOIN profile p USING (company_id) LEFT JOIN recents r ON r.company_id = p.company_id),
+    money AS (SELECT *, code <> '' AND list_contains(codes, code) AS hit, CASE
+      WHEN hps > 0 AND modal > 0 THEN CASE WHEN modal / hps >= 0.5 THEN 95 WHEN modal / hps >= 0.25 THEN 75 WHEN modal / hps >= 0.1 THEN 50 ELSE 20 END
+      WHEN hps > 0 AND income > 0 THEN CASE WHEN income / hps >= 1 THEN 80 WHEN income / hps >= 0.5 THEN 60 ELSE 30 END ELSE 50 END AS paid FROM facts),
+    parts AS (SELECT *, CASE WHEN hit THEN 50 WHEN code = '' THEN 25 ELSE 0 END + 12 * has_izin::INT + 12 * has_sbu::INT + 13 * has::INT + 13 * has_sdm::INT AS q,
+      CASE WHEN NOT has AND paid > 50 THEN greatest(paid - 10, 20) ELSE paid END AS f, CASE WHEN recent >= 3 THEN 95 WHEN recent >= 1 THEN 70 ELSE 20 END AS e,
+      CASE WHEN days IS NULL THEN 60 WHEN days > 14 THEN 95 WHEN days > 7 THEN 75 WHEN days > 3 THEN 50 WHEN days > 0 THEN 25 ELSE 5 END AS d,
+      greatest(0, least(100, 40 + 20 * it::INT + 8 * early::INT + CASE WHEN len(codes) = 0 THEN 0 WHEN hit THEN 12 WHEN code <> '' THEN -5 ELSE 0 END + CASE WHEN bidders > 20 THEN -8 WHEN bidders > 0 THEN 5 ELSE 3 END
+        + CASE WHEN contains(method, 'selectall') OR contains(method, 'select all') THEN 5 WHEN contains(method, 'best') THEN 3 ELSE 0 END + CASE WHEN ai > 70 THEN 10 WHEN ai > 40 THEN 5 ELSE 0 END)) AS s FROM money),
+    total AS (SELECT *, CAST(trunc(q * 0.40::DOUBLE + f * 0.20::DOUBLE + e * 0.15::DOUBLE + d * 0.10::DOUBLE + s * 0.15::DOUBLE) AS INTEGER) AS t,
+      CASE WHEN code <> '' AND NOT hit THEN 'KBLI ' || code || ' tidak sesuai' WHEN NOT has_izin THEN 'Izin Usaha belum ada' WHEN NOT has_sbu THEN 'SBU belum ada' WHEN NOT has THEN 'Belum ada pengalaman kerja'
+        WHEN NOT has_sdm THEN 'SDM/Manajerial belum ada' WHEN hps > 0 AND modal > 0 AND modal / hps < 0.1 THEN 'Modal tidak mencukupi (' || CAST(round_even(modal / hps * 100, 0) AS BIGINT) || '% dari HPS)'
+        WHEN hps > 0 AND modal <= 0 AND income > 0 AND income / hps < 0.5 THEN 'Penghasilan tidak mencukupi' WHEN recent < 1 THEN 'Tidak ada pengalaman tercatat (3 tahun terakhir)'
+        WHEN days > 0 AND days <= 3 THEN 'Sisa waktu ' || days || ' hari — mendesak' WHEN days <= 0 THEN 'Deadline sudah lewat' END AS risk FROM parts)
+    SELECT tender_id, company_id, q AS qualification_score, f AS financial_score, e AS experience_score, d AS deadline_score, s AS strategic_score, t AS final_score,
+      CASE WHEN t >= 85 THEN 'Sangat Direkomendasikan' WHEN t >= 70 THEN 'Direkomendasikan' WHEN t >= 50 THEN 'Perlu Ditinjau' ELSE 'Tidak Direkomendasikan' END AS recommendation, risk AS first_risk,
+      CASE WHEN t >= 70 THEN 'Tender ini cocok dengan profil perusahaan.' || CASE WHEN q >= 70 THEN ' Kualifikasi memadai.' ELSE '' END || CASE WHEN f >= 70 THEN ' Kemampuan keuangan mencukupi.' ELSE '' END
+        || CASE WHEN e >= 70 THEN ' Pengalaman relevan tersedia.' ELSE '' END
+        WHEN t >= 50 THEN 'Tender ini perlu ditinjau lebih lanjut.' || coalesce(' Perhatikan: ' || risk || '.', '')
+        ELSE 'Tender ini kurang sesuai dengan profil perusahaan saat ini.' || CASE WHEN q < 40 THEN ' Kualifikasi belum memadai.' ELSE '' END END AS reason FROM total""",
+    "tenders", "companies", "qualifications", "matches",
+)
 def m8_opportunity_score_legacy(spark, sf_dir):
-    rows = _scored(spark, sf_dir).drop("status", "qualification_score", "financial_score", "experience_score", "deadline_score", "strategic_score", "final_score", "classification")
-    rows = rows.withColumn("recent", F.col("experience")).withColumn("metode", F.lit("Seleksi"))
-    return M.opportunity_score_legacy(rows, as_of()).select("tender_id", "company_id", "qualification_score", "financial_score", "experience_score", "deadline_score", "strategic_score", "final_score", "label")
+    tenders = _tenders_to_score(spark, sf_dir).withColumn("metode", D.pick(METHODS, F.col("tender_id")))
+    firms = _profile(spark, sf_dir).select("company_id", "penghasilan", "modal", "codes", "experience", "has_izin", "has_sbu", "has_sdm")
+    firms = firms.join(M.recent_experience(D.qualifications(spark, sf_dir), as_of()), "company_id", "left")
+    rows = D.matches(spark, sf_dir).join(tenders, "tender_id").join(firms, "company_id")
+    scores = [f"{n}_score" for n in ("qualification", "financial", "experience", "deadline", "strategic", "final")]
+    return M.opportunity_score_legacy(rows, as_of()).select("tender_id", "company_id", *scores, "recommendation", F.get("risks", F.lit(0)).alias("first_risk"), "reason")
 
 
 @query(
@@ -465,7 +514,16 @@ def a6_intelligence_status(spark, sf_dir):
     return A.intelligence_status(D.tenders(spark, sf_dir), m, scores, D.companies(spark, sf_dir))
 
 
-@query()
+@query(
+    """, q AS (SELECT company_id, bool_or(category = 'izin_usaha' AND status = 'active') AS izin, bool_or(category = 'sbu' AND status = 'active') AS sbu, bool_or(category = 'pengalaman_kerja' AND status = 'active') AS work,
+      bool_or(category = 'sdm' AND status = 'active') AS staff, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'expired') AS expired, count(*) FILTER (status = 'needs_renewal') AS needs_renewal
+      FROM qualifications GROUP BY company_id),
+    parts AS (SELECT id AS company_id, 50 * (name <> '')::INT + 50 * (nib <> '')::INT AS identitas, 20 * ((npwp <> '')::INT + (address <> '')::INT + (phone <> '')::INT + (email <> '')::INT + (contact_person <> '')::INT) AS legal_kontak,
+      50 * (modal > 0)::INT + 50 * (penghasilan > 0)::INT AS keuangan, 50 * coalesce(izin, false)::INT + 50 * coalesce(sbu, false)::INT AS kualifikasi, 100 * coalesce(work, false)::INT AS pengalaman, 100 * coalesce(staff, false)::INT AS sdm,
+      coalesce(active, 0) AS active, coalesce(expired, 0) AS expired, coalesce(needs_renewal, 0) AS needs_renewal FROM companies LEFT JOIN q ON q.company_id = id)
+    SELECT *, CAST(trunc(identitas * 0.20::DOUBLE + legal_kontak * 0.20::DOUBLE + keuangan * 0.20::DOUBLE + kualifikasi * 0.15::DOUBLE + pengalaman * 0.15::DOUBLE + sdm * 0.10::DOUBLE) AS INTEGER) AS completion FROM parts""",
+    "companies", "qualifications",
+)
 def a7_company_completion(spark, sf_dir):
     return A.company_completion(D.companies(spark, sf_dir), D.qualifications(spark, sf_dir))
 

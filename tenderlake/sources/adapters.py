@@ -72,6 +72,8 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("id"), F.concat(F.lit("PT. "), F.col("s_name")).alias("name"), F.lpad((k - F.when((k > 0) & (k % 50 == 0), 1).otherwise(0)).cast("string"), 13, "0").alias("nib"),
         F.concat(F.lit("0"), F.lpad((k - F.when((k > 0) & (k % 40 == 0), 1).otherwise(0)).cast("string"), 14, "0")).alias("npwp"),
         (F.round(F.col("s_acctbal") * 100).cast("long") * 10_000).alias("modal"), (F.round(F.col("s_acctbal") * 100).cast("long") * 50_000).alias("penghasilan"), (k % 7 != 0).alias("is_active"),
+        F.when(k % 3 != 0, F.concat(F.lit("Jl. Raya "), k.cast("string"))).otherwise("").alias("address"), F.when(k % 4 != 0, F.concat(F.lit("021-"), k.cast("string"))).otherwise("").alias("phone"),
+        F.when(k % 5 != 0, F.concat(F.lit("info@"), k.cast("string"), F.lit(".test"))).otherwise("").alias("email"), F.when(k % 2 != 0, "Direktur").otherwise("").alias("contact_person"),
     )
 
 
@@ -84,7 +86,7 @@ def qualifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         (k * 10 + n).alias("id"), k.alias("company_id"), pick(CATEGORIES, n - 1).alias("category"), F.concat(F.lit("Dokumen "), pick(CATEGORIES, n - 1)).alias("name"),
         pick(CODES, k + n).alias("kbli_code"), F.array(pick(CODES, k), pick(CODES, k + 2 * n)).alias("kbli_codes"),
-        F.when((k + n) % 4 != 0, "active").otherwise("expired").alias("status"), F.when(k % 2 == 0, F.concat(F.lit("Proyek "), k.cast("string"))).otherwise("").alias("project_name"),
+        F.when((k + n) % 4 != 0, "active").when((k + n) % 8 != 0, "needs_renewal").otherwise("expired").alias("status"), F.when(k % 2 == 0, F.concat(F.lit("Proyek "), k.cast("string"))).otherwise("").alias("project_name"),
         F.when(k % 3 != 0, "Klien").otherwise("").alias("client_name"), (F.lit(1990) + k % 7).cast("int").alias("project_year"), (k * 1_000_000).alias("value_amount"),
     )
 
@@ -171,12 +173,14 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
     "companies": """
 SELECT s_suppkey AS id, 'PT. ' || s_name AS name, lpad(CAST(s_suppkey - CASE WHEN s_suppkey > 0 AND s_suppkey % 50 = 0 THEN 1 ELSE 0 END AS VARCHAR), 13, '0') AS nib,
   '0' || lpad(CAST(s_suppkey - CASE WHEN s_suppkey > 0 AND s_suppkey % 40 = 0 THEN 1 ELSE 0 END AS VARCHAR), 14, '0') AS npwp,
-  CAST(round(s_acctbal * 100) AS BIGINT) * 10000 AS modal, CAST(round(s_acctbal * 100) AS BIGINT) * 50000 AS penghasilan, s_suppkey % 7 <> 0 AS is_active
+  CAST(round(s_acctbal * 100) AS BIGINT) * 10000 AS modal, CAST(round(s_acctbal * 100) AS BIGINT) * 50000 AS penghasilan, s_suppkey % 7 <> 0 AS is_active,
+  CASE WHEN s_suppkey % 3 <> 0 THEN 'Jl. Raya ' || s_suppkey ELSE '' END AS address, CASE WHEN s_suppkey % 4 <> 0 THEN '021-' || s_suppkey ELSE '' END AS phone,
+  CASE WHEN s_suppkey % 5 <> 0 THEN 'info@' || s_suppkey || '.test' ELSE '' END AS email, CASE WHEN s_suppkey % 2 <> 0 THEN 'Direktur' ELSE '' END AS contact_person
 FROM supplier""",
     "qualifications": f"""
 SELECT s_suppkey * 10 + n AS id, s_suppkey AS company_id, {_sql_pick(CATEGORIES, "(n - 1)")} AS category, 'Dokumen ' || {_sql_pick(CATEGORIES, "(n - 1)")} AS name,
   {_sql_pick(CODES, "(s_suppkey + n)")} AS kbli_code, [{_sql_pick(CODES, "s_suppkey")}, {_sql_pick(CODES, "(s_suppkey + 2 * n)")}] AS kbli_codes,
-  CASE WHEN (s_suppkey + n) % 4 <> 0 THEN 'active' ELSE 'expired' END AS status, CASE WHEN s_suppkey % 2 = 0 THEN 'Proyek ' || s_suppkey ELSE '' END AS project_name,
+  CASE WHEN (s_suppkey + n) % 4 <> 0 THEN 'active' WHEN (s_suppkey + n) % 8 <> 0 THEN 'needs_renewal' ELSE 'expired' END AS status, CASE WHEN s_suppkey % 2 = 0 THEN 'Proyek ' || s_suppkey ELSE '' END AS project_name,
   CASE WHEN s_suppkey % 3 <> 0 THEN 'Klien' ELSE '' END AS client_name, CAST(1990 + s_suppkey % 7 AS INTEGER) AS project_year, s_suppkey * 1000000 AS value_amount
 FROM supplier, range(1, 6) t(n) WHERE (s_suppkey + n) % 3 <> 0""",
     "participants": """
