@@ -1,8 +1,9 @@
 """Mixing sources to target weights.
 
 Documents get hash-random keys; within each source they are taken in key order until the source's budget of words is
-used up exactly, over several epochs where the budget exceeds the source. Running totals come from sums of hash ranges,
-so no source is ever sorted in one task.
+used up exactly, over several epochs where the budget exceeds the source. So a source is cut at one key. It is found by
+running totals of sums of hash ranges, and then within one range, so no source is ever sorted in one task; a row for
+each source then tells every document what is taken of it, without a shuffle of documents.
 """
 
 from __future__ import annotations
@@ -46,49 +47,79 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
     )
 
 
-def mix(documents: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, epochs: int = 3, range_rows: int = 4096) -> DataFrame:
-    """Returns a row per document: doc_id, source, size (words), source_size, target and taken (words, repeats counted).
+#: What documents of a source are taken in order of.
+ORDER = ("key", "doc_id", "size", "text_hash")
 
-    A document is taken at most ``epochs`` times; the last one of a source only so far as the budget goes, so a source
-    takes floor(target) words. Null and empty texts have size 0 and are never taken; a null source is a source; rows
-    with equal ids each take part. Rows of one key range (about ``range_rows``) meet in a task.
-    """
+
+def _sized(documents: DataFrame) -> DataFrame:
+    """Adds size (words), key and text_hash to rows with doc_id and text."""
     words = F.coalesce(F.regexp_count("text", F.lit(shared.SPACED_WORD)), F.lit(0)).cast("long")
-    sized = shared.written(shared.only(documents, doc_id=id, text=text, source=source).select("doc_id", "source", words.alias("size"), hash_key(F.col("doc_id")).alias("key")), "sizes")
+    return documents.withColumns({"size": words, "key": hash_key(F.col("doc_id")), "text_hash": F.xxhash64("text")})
+
+
+def source_cuts(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, epochs: int = 3, range_rows: int = 4096) -> DataFrame:
+    """A row per source: source, source_size, target, whole (epochs taken in full), cut (the ORDER columns) and at_cut.
+
+    sized: a stored table of source and the ORDER columns. In the last epoch rows before ``cut`` are taken whole, and of
+    those equal to it ``at_cut`` words each. Rows of one source and key range (about ``range_rows``) meet in a task, and
+    the sums of a source's ranges.
+    """
     bits = max(0, (sized.count() // range_rows).bit_length())
-    sized = sized.withColumn("range", F.shiftright("key", KEY_BITS - bits))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, weights, share, epochs)
-    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("words")).select("source", "range", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
-    ranges = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.source", "range", "ahead", "source_size", "target")
-    within = Window.partitionBy("d.source", "d.range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    budget = F.floor("target").cast("long")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.try_divide(budget, F.col("source_size")))).otherwise(0).cast("long")
-    return (
-        sized.alias("d")
-        .join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range")))
-        .withColumn("start", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .withColumn("whole", whole)
-        .withColumn("rest", budget - F.col("whole") * F.col("source_size"))
-        .select("doc_id", "d.source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("start")))).alias("taken"))
-    )
+    dealt = sized.withColumn("range", F.shiftright("key", KEY_BITS - bits))
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.try_divide(F.floor("target"), F.col("source_size")))).otherwise(0).cast("long")
+    targets = targets.withColumn("whole", whole).withColumn("rest", F.floor("target").cast("long") - F.col("whole") * F.col("source_size"))
+    targets = shared.written(targets, "targets")
+    so_far = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = dealt.groupBy("source", "range").agg(F.sum("size").alias("words")).withColumn("ahead", so_far(Window.partitionBy("source").orderBy("range")))
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    cut = ranges.alias("r").join(shared.small(targets).alias("t"), same("r", "t")).where("ahead <= rest and rest < ahead + words").select("r.source", "range", "ahead", "rest")
+    cut = shared.small(shared.written(cut, "ranges"))
+    own = dealt.alias("d").join(cut.alias("c"), same("d", "c") & (F.col("d.range") == F.col("c.range")), "left_semi").groupBy("source", *ORDER).agg(F.count(F.lit(1)).alias("rows"))
+    own = own.withColumn("words", F.col("rows") * F.col("size")).withColumn("start", so_far(Window.partitionBy("source").orderBy(*ORDER)))
+    own = own.alias("o").join(cut.alias("c"), same("o", "c")).withColumn("left", F.col("rest") - F.col("ahead") - F.col("start")).where("left >= 0 and left < words")
+    own = own.select("o.source", F.struct(*ORDER).alias("cut"), F.floor(F.col("left") / F.col("rows")).cast("long").alias("at_cut"))
+    return targets.alias("t").join(own.alias("o"), same("t", "o"), "left").select("t.source", "source_size", "target", "whole", "cut", "at_cut")
+
+
+def _taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds source_size, target and taken to rows with source and the ORDER columns."""
+    place = F.struct(*(F.col(f"d.{c}").alias(c) for c in ORDER))
+    last = F.when(F.col("cut").isNull(), 0).when(place.eqNullSafe(F.col("cut")), F.col("at_cut")).when(place < F.col("cut"), F.col("size")).otherwise(0)
+    found = rows.alias("d").join(shared.small(cuts).alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
+    return found.select("d.*", "source_size", "target", (F.col("whole") * F.col("size") + last).alias("taken"))
+
+
+def mix(documents: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """Returns a row per document: doc_id, source, size (words), source_size, target and taken (words, repeats counted).
+
+    options: see ``source_targets`` and ``source_cuts``. A document is taken at most ``epochs`` times; the last one of a
+    source only so far as the budget goes, so a source takes floor(target) words. Rows of a source with equal ids and
+    texts share alike what is left when their turn comes. Null and empty texts have size 0 and are never taken; a null
+    source is a source.
+    """
+    sized = shared.written(_sized(shared.only(documents, doc_id=id, text=text, source=source)).select("source", *ORDER), "sizes")
+    cuts = shared.written(source_cuts(sized, **options), "cuts")
+    return _taken(sized, cuts).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mixture(documents: DataFrame, **options) -> DataFrame:
     """The documents (all columns) of the mix, each as often as it is taken; the last copy of a source's last one is cut to the words taken.
 
-    n_chars is counted anew where a text is cut. Rows with equal ids and sizes are taken alike.
+    n_chars is counted anew where a text is cut. Texts are only read: for their sizes, and again as they are taken.
     """
-    taken = mix(documents, **options).groupBy(F.col("doc_id").alias("_doc"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken")).where("_taken > 0")
-    size = F.coalesce(F.regexp_count("text", F.lit(shared.SPACED_WORD)), F.lit(0)).cast("long")
-    found = documents.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (size == F.col("_size")))
-    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).withColumn("_words", F.least("_size", F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")))
+    own = shared.only(documents, doc_id="doc_id", text="text", source="source")
+    sized = shared.written(_sized(own).select("source", *ORDER), "sizes")
+    cuts = shared.written(source_cuts(sized, **options), "cuts")
+    shared.drop(sized)
+    found = _taken(_sized(documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "text", "source")), cuts).where("taken > 0")
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).withColumn("words", F.least("size", F.col("taken") - (F.col("copy") - 1) * F.col("size")))
     parts = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # a word and the white space behind it; any before the first is a part too
-    cut = F.array_join(F.slice(parts, 1, (F.col("_words") + F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")).cast("int")), "")
-    found = found.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
-    return found.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*documents.columns)
+    cut = F.array_join(F.slice(parts, 1, (F.col("words") + F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")).cast("int")), "")
+    found = found.withColumn("is_cut", F.col("words") < F.col("size")).withColumn("text", F.when(F.col("is_cut"), cut).otherwise(F.col("text")))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("is_cut"), F.char_length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in documents.columns))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -395,6 +395,17 @@ def test_mixture_texts(spark):
     assert words == {i: n for i, n in taken.items() if n}
 
 
+def test_mixture_keeps_to_its_targets_with_ties(spark):
+    """Rows without ids and repeated rows: the stage takes as many words as the query, and neither exceeds the target."""
+    rows = [(None if i % 3 == 0 else i % 7, f"a b {i % 2} d") for i in range(60)]
+    table = docs(spark, rows, lambda i: "s" if i is None else "t")
+    taken = mixing.mix(table, range_rows=8).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("target")).collect()
+    words = {}
+    for r in mixing.mixture(table, range_rows=8).collect():
+        words[r.source] = words.get(r.source, 0) + len(SPACED.findall(r.text))
+    assert words == {r.source: r.n for r in taken} and all(r.target - 30 < r.n <= r.target for r in taken)
+
+
 def test_mixture_odd(spark):
     got = mixing.mix(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and sum(r.taken for r in got) == sum(r["size"] for r in got)
