@@ -130,3 +130,24 @@ COMPLETION_WEIGHTS = {
     "pengalaman": 0.15,
     "sdm": 0.10,
 }
+
+# What is taken out of a company's name, step by step.
+COMPANY_NAME_STEPS = (
+    (r"(?U)^(pt\.|pt|cv\.|cv|ud\.|ud|po\.|po|fa\.|firma|koperasi|yayasan|perum|perseroan terbatas)\b[\s.]*", ""),
+    (r"^(p\.t\.|c\.v\.|u\.d\.)[\s.]*", ""),
+    (r"(?U)\b(tbk|persero)\b", ""),
+    (r"[.,\-/()'\"]+", " "),
+    (r"\s+", " "),
+)
+
+# A code behind a keyword, and keywords near which codes are looked for.
+KBLI_BEHIND = r"(?i)(?:KBLI|K\.?B\.?L\.?I\.?|SBU|sub\s*bidang)[^0-9]{0,30}?(\d{2}[.\s]?\d{2}[.\s]?\d{1,2})"
+KBLI_NEAR = r"(?:KBLI|SBU|sub\s*bidang)"
+
+# The stage in a detail page's source, by the first shape that gives text.
+STAGE_SHAPES = (
+    r"(?i)Tahap\s+(?:Tender\s+)?Saat\s+Ini\s*[:\"]?\s*<[^>]*>\s*([^<]+)",
+    r"(?i)Tahap\s+Saat\s+Ini\s*[:\"]?\s*<[^>]*>\s*([^<]+)",
+    r"(?i)data-tahap[^>]*>\s*([^<]+)",
+    r"(?i)class=[\"']tahap[^\"']*[\"'][^>]*>\s*([^<]+)",
+)

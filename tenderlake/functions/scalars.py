@@ -41,10 +41,10 @@ def parse_hps(c: Column, rp_compat: bool = True) -> Column:
 
 
 def parse_money(c: Column) -> Column:
-    """855800811 of 'Rp. 855.800.811,31'; null if there is no number."""
-    raw = F.regexp_replace(F.trim(text(c)), r"(?i)^rp\.?\s*", "")
-    whole = F.replace(F.regexp_replace(raw, r",\d*$", ""), F.lit("."), F.lit(""))
-    return F.when(whole.rlike(r"^\d+$"), whole.try_cast("long"))
+    """855800811 of 'Rp. 855.800.811,31'; of the number it starts with, whatever follows; null if there is none."""
+    raw = F.trim(F.regexp_replace(text(c), r"(?i)^rp\.?\s*", ""))
+    number = F.replace(F.replace(F.regexp_extract(raw, r"^[\d.,]+", 0), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return F.when(number.rlike(r"^(\d+\.?\d*|\.\d+)$"), number.try_cast("double").try_cast("long"))
 
 
 def parse_harga(c: Column) -> Column:
@@ -142,14 +142,7 @@ def normalize_identifier(c: Column) -> Column:
 
 def normalize_company_name(c: Column) -> Column:
     """Without legal form, listing words, punctuation and double blanks."""
-    steps = (
-        (r"(?U)^(pt\.|pt|cv\.|cv|ud\.|ud|po\.|po|fa\.|firma|koperasi|yayasan|perum|perseroan terbatas)\b[\s.]*", ""),
-        (r"^(p\.t\.|c\.v\.|u\.d\.)[\s.]*", ""),
-        (r"(?U)\b(tbk|persero)\b", ""),
-        (r"[.,\-/()'\"]+", " "),
-        (r"\s+", " "),
-    )
-    return F.trim(reduce(lambda s, step: F.regexp_replace(s, *step), steps, F.lower(F.trim(text(c)))))
+    return F.trim(reduce(lambda s, step: F.regexp_replace(s, *step), K.COMPANY_NAME_STEPS, F.lower(F.trim(text(c)))))
 
 
 def matches_masked_npwp(masked: Column, full: Column) -> Column:
@@ -173,15 +166,20 @@ def mask_identifier(c: Column) -> Column:
 
 
 def extract_kbli_code(html: Column) -> Column:
-    """A target code: behind a keyword; near one (100 characters before to 500 behind); anywhere, in order of the list; else ''."""
+    """A target code: behind a keyword; near one (100 characters before to 500 behind); anywhere, in order of the list; else ''.
+
+    Of the codes near keywords the first one near the first keyword counts.
+    """
     html = text(html)
     known = F.array(*map(F.lit, K.KBLI_TARGETS))
-    keyed = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)(?:KBLI|K\.?B\.?L\.?I\.?|SBU|sub\s*bidang)[^0-9]{0,30}?(\d{2}[.\s]?\d{2}[.\s]?\d{1,2})"), F.lit(1)), lambda x: F.regexp_replace(x, r"[.\s]", ""))
-    first = F.get(F.filter(keyed, lambda x: F.array_contains(known, x)), F.lit(0))
-    ahead = F.regexp_extract(html, r"(?is)(?:KBLI|SBU|sub\s*bidang).{0,500}?(" + "|".join(K.KBLI_TARGETS) + ")", 1)
-    behind = F.regexp_extract(html, "(?is)(" + "|".join(K.KBLI_TARGETS) + r").{0,100}?(?:KBLI|SBU|sub\s*bidang)", 1)
+    keyed = F.transform(F.regexp_extract_all(html, F.lit(K.KBLI_BEHIND), F.lit(1)), lambda x: F.regexp_replace(x, r"[.\s]", ""))
+    first = lambda codes: F.get(F.filter(codes, lambda x: F.array_contains(known, x)), F.lit(0))
+    # What stands before and behind each keyword, none of it used up, so that keywords may be near each other.
+    before = F.regexp_extract_all(html, F.lit(rf"(?is)(?<=(\A.{{0,99}}|.{{100}})){K.KBLI_NEAR}"), F.lit(1))
+    behind = F.regexp_extract_all(html, F.lit(rf"(?is){K.KBLI_NEAR}(?=(.{{0,500}}))"), F.lit(1))
+    near = F.zip_with(before, behind, lambda a, b: F.regexp_extract_all(F.concat(a, F.lit("|"), b), F.lit(r"(62\d{3})"), F.lit(1)))
     anywhere = F.get(F.filter(known, lambda x: F.contains(html, x)), F.lit(0))
-    return F.coalesce(first, F.nullif(ahead, F.lit("")), F.nullif(behind, F.lit("")), anywhere, F.lit(""))
+    return F.coalesce(first(keyed), first(F.flatten(near)), anywhere, F.lit(""))
 
 
 def kbli_description(code: Column) -> Column:
@@ -190,13 +188,7 @@ def kbli_description(code: Column) -> Column:
 
 def extract_tahap(html: Column) -> Column:
     """The stage in a detail page, lower-cased, by the first of four shapes that gives text; else ''."""
-    shapes = (
-        r"(?i)Tahap\s+(?:Tender\s+)?Saat\s+Ini\s*[:\"]?\s*<[^>]*>\s*([^<]+)",
-        r"(?i)Tahap\s+Saat\s+Ini\s*[:\"]?\s*<[^>]*>\s*([^<]+)",
-        r"(?i)data-tahap[^>]*>\s*([^<]+)",
-        r"(?i)class=[\"']tahap[^\"']*[\"'][^>]*>\s*([^<]+)",
-    )
-    return F.lower(F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text(html), s, 1)), F.lit("")) for s in shapes), F.lit("")))
+    return F.lower(F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text(html), s, 1)), F.lit("")) for s in K.STAGE_SHAPES), F.lit("")))
 
 
 def extract_budget_year(c: Column) -> Column:

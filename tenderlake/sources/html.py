@@ -1,4 +1,4 @@
-"""Typed rows out of captured pages: one walk over a page's tables, in mapInPandas, with the standard library's parser."""
+"""Typed rows out of captured pages: one walk over a page's elements, in mapInPandas, with the standard library's parser."""
 
 from __future__ import annotations
 
@@ -8,122 +8,202 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tenderlake.functions import scalars as S
 
 SCHEDULE = "array<struct<no: string, tahap: string, mulai: string, sampai: string, perubahan: string>>"
 BIDDERS = "array<struct<name: string, npwp: string, alasan: string, nilai: string>>"
-WINNER = "struct<company_name: string, alamat: string, npwp: string, harga_penawaran: string, harga_terkoreksi: string, harga_negosiasi: string>"
+WINNER = "struct<company_name: string, alamat: string, npwp: string, harga_penawaran: bigint, harga_terkoreksi: bigint, harga_negosiasi: bigint, winning_value: bigint>"
 FIELDS = f"lokasi string, metode string, tahun string, satuan_kerja string, jadwal {SCHEDULE}, peserta {BIDDERS}, evaluasi {BIDDERS}, winner {WINNER}, requirement_text string, tahap string"
-# Labels of a detail page, reasons in bidder tables and headings of requirements.
-LABELS = {"lokasi": ("lokasi pekerjaan", "lokasi"), "metode": ("metode pengadaan", "metode"), "tahun": ("tahun anggaran",), "satuan_kerja": ("satuan kerja",)}
-REASONS = ("tidak", "gugur", "lulus", "memenuhi", "ambang batas", "diskualifikasi", "alasan")
-HEADINGS = ("syarat", "kualifikasi", "persyaratan", "requirement")
+# Labels of a detail page, reasons in bidder tables, headings of requirements and of the stage.
+LABELS = {"lokasi": ("lokasi pekerjaan", "lokasi"), "metode": ("metode pengadaan", "metode pemilihan"), "tahun": ("tahun anggaran",), "satuan_kerja": ("satuan kerja",)}
+REASONS = ("tidak lulus", "gugur", "ambang batas", "memenuhi", "tidak memenuhi", "diskualifikasi", "alasan", "keterangan", "tidak menghadiri")
+HEADINGS = ("persyaratan", "kualifikasi", "syarat", "ketentuan")
+STAGES = ("tahap tender saat ini", "tahap saat ini", "tahapan saat ini")
+FAILED = "Tidak lulus evaluasi kualifikasi SPSE"
+UNKNOWN_STAGE = "tidak diketahui"
+
 
+class _Page(HTMLParser):
+    """Elements in document order; each knows its parent, its last descendant and which parts of the text are its own."""
 
-class _Tables(HTMLParser):
-    """Rows of cells in document order, nested tables' rows on their own, and the page's text."""
+    EMPTY = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr"}
+    #: What a start tag ends, up to the nearest table.
+    ENDS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "p": ("p",), "li": ("li",)}
 
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list[tuple[str, str]]] = []  # (tag, text)
-        self.open: list[list] = []  # rows being read; a cell is [tag, parts]
-        self.text: list[str] = []
-        self.skip = 0
-        self.failed: set[int] = set()
+        self.tags: list[str] = []
+        self.classes: list[str] = []
+        self.parent: list[int] = []
+        self.last: list[int] = []
+        self.span: list[list[int]] = []
+        self.parts: list[str] = []
+        self.open: list[int] = []
+        self.feed(html)
+        self.close()
+        while self.open:
+            self._end()
+
+    def _end(self) -> None:
+        node = self.open.pop()
+        self.last[node], self.span[node][1] = len(self.tags) - 1, len(self.parts)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.skip += 1
-        elif tag == "tr":
-            self.open.append([])
-        elif tag in ("td", "th") and self.open:
-            self.open[-1].append([tag, []])
-        elif tag in ("i", "span", "img") and self.open and re.search(r"fa-(times|close|ban)|text-danger", str(dict(attrs).get("class"))):
-            self.failed.add(len(self.rows))
-        elif tag == "br":
-            self.handle_data("\n")
+        ends = self.ENDS.get(tag, ())
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.tags[self.open[depth]] == "table":
+                break
+            if self.tags[self.open[depth]] in ends:
+                while len(self.open) > depth:
+                    self._end()
+        self.tags.append(tag)
+        self.classes.append((dict(attrs).get("class") or "").lower())
+        self.parent.append(self.open[-1] if self.open else -1)
+        self.last.append(len(self.tags) - 1)
+        self.span.append([len(self.parts), len(self.parts)])
+        if tag not in self.EMPTY:
+            self.open.append(len(self.tags) - 1)
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        elif tag == "tr" and self.open:
-            self.rows.append([(t, re.sub(r"\s+", " ", "".join(parts)).strip()) for t, parts in self.open.pop()])
+        depth = next((d for d in range(len(self.open) - 1, -1, -1) if self.tags[self.open[d]] == tag), None)
+        while depth is not None and len(self.open) > depth:
+            self._end()
 
     def handle_data(self, data):
-        if not self.skip:
-            self.text.append(data)
-            if self.open and self.open[-1]:
-                self.open[-1][-1][1].append(data)
+        self.parts.append(data)
+
+    def all(self, *tags: str) -> list[int]:
+        return [i for i, tag in enumerate(self.tags) if tag in tags]
+
+    def within(self, node: int, *tags: str) -> list[int]:
+        return [i for i in range(node + 1, self.last[node] + 1) if self.tags[i] in tags]
 
+    def text(self, node: int) -> str:
+        """The element's text, its descendants' too."""
+        return "".join(self.parts[slice(*self.span[node])]).strip()
 
-def _labels(rows: list[list[str]]) -> dict[str, str]:
-    out = {}
-    for name, words in LABELS.items():
-        out[name] = next((" ".join(r[1:]).strip() for r in rows if len(r) > 1 and any(w in r[0].lower() for w in words)), "")
+    def up(self, node: int) -> str:
+        return self.text(self.parent[node]) if self.parent[node] >= 0 else ""
+
+
+def _labels(page: _Page, rows: list[int]) -> dict[str, str]:
+    out = dict.fromkeys(LABELS, "")
+    for row in rows:
+        cells = [page.text(c) for c in page.within(row, "th", "td")]
+        for name, words in LABELS.items():
+            if not out[name] and len(cells) > 1 and any(w in cells[0].lower() for w in words):
+                out[name] = re.sub(r"\s+", " ", " ".join(cells[1:])).strip()
+    if year := re.search(r"\d{4}", out["tahun"]):
+        out["tahun"] = year[0]
     return out
 
 
-def _schedule(rows: list[list[str]]) -> list[dict]:
-    return [dict(zip(("no", "tahap", "mulai", "sampai", "perubahan"), [*r[:5], ""][:5])) for r in rows if len(r) >= 4 and r[1] and r[2] and r[0].rstrip(".").isdigit()]
+def _schedule(cells: list[list[str]]) -> list[dict]:
+    return [dict(zip(("no", "tahap", "mulai", "sampai", "perubahan"), [*r[:5], ""])) for r in cells if len(r) >= 4 and r[1] and r[2]]
+
+
+def _bidder(name: str, npwp: str, cells: list[str], reasons: tuple[str, ...], long: int) -> dict:
+    """Of the cells behind the number: reasons (a keyword, or over ``long`` characters), the first other number is the value."""
+    why = [c for c in cells if any(w in c.lower() for w in reasons) or len(c) > long]
+    value = next((c for c in cells if c not in why and re.search(r"^\d+([.,]\d+)?$", c)), "")
+    return {"name": name, "npwp": npwp, "alasan": "; ".join(why), "nilai": value}
 
 
-def _bidders(rows: list[tuple[int, list[str]]], failed: set[int], npwp_anywhere: bool, long: int) -> list[dict]:
-    """Rows whose first cell is a number: name, tax number, then reasons (a keyword or over ``long`` characters) and values."""
+def _participants(cells: list[list[str]]) -> list[dict]:
+    return [_bidder(r[1], r[2], [c for c in r[3:] if c], REASONS, 25) for r in cells if len(r) >= 3 and r[0].isdigit() and r[1]]
+
+
+def _is_npwp(cell: str) -> bool:
+    return bool(re.search(r"^\d{2}[*.\d\-]{6,}", cell)) or len(cell) >= 10 and "*" in cell and any(c.isdigit() for c in cell)
+
+
+def _evaluation(page: _Page, rows: list[int]) -> list[dict]:
     out = []
-    for at, r in rows:
-        if len(r) < 3 or not r[0].rstrip(".").isdigit() or not r[1]:
+    for row in rows:
+        r = [page.text(c) for c in page.within(row, "td", "th")]
+        if len(r) < 3 or not r[0].isdigit() or r[1].lower() in ("", "nama peserta", "nama"):
             continue
-        npwp, rest = ("", r[2:]) if npwp_anywhere else (r[2], r[3:])
-        reasons, value = [], ""
-        for cell in rest:
-            if npwp_anywhere and not npwp and re.fullmatch(r"[\d.*xX#\-]{15,}", cell):
-                npwp = cell
-            elif any(w in cell.lower() for w in REASONS) or len(cell) > long:
-                reasons.append(cell)
-            elif not value and re.fullmatch(r"[\d.,\s%]+|Rp.*", cell):
-                value = cell
-        if npwp_anywhere and not reasons and at in failed:
-            reasons.append("Tidak lulus evaluasi")
-        out.append({"name": r[1], "npwp": npwp, "alasan": "; ".join(reasons), "nilai": value})
+        rest = [c for c in r[2:] if c]
+        at = next((k for k, c in enumerate(rest) if _is_npwp(c)), None)
+        npwp = "" if at is None else rest.pop(at)
+        found = _bidder(r[1], npwp, rest, (*REASONS, "evaluasi"), 20)
+        if not found["alasan"] and any(x in page.classes[i] for i in page.within(row, "i") for x in ("fa-close", "fa-times")):
+            found["alasan"] = FAILED
+        out.append(found)
     return out
 
 
-def _winner(rows: list[list[tuple[str, str]]]) -> dict | None:
-    for head, body in zip(rows, rows[1:]):
-        if any(t == "th" and "nama pemenang" in x.lower() for t, x in head) and len(body) >= 6:
-            return dict(zip(("company_name", "alamat", "npwp", "harga_penawaran", "harga_terkoreksi", "harga_negosiasi"), [x for _, x in body]))
-    return None
-
-
-def _requirements(rows: list[list[str]], text: str) -> str:
-    found = [" ".join(r) for r in rows if r and any(h in r[0].lower() for h in HEADINGS)][:5]
-    if found:
-        return "\n".join(found)[:4000]
-    if rows:
-        return "\n".join(" | ".join(r) for r in rows[:30])[:4000]
-    return re.sub(r"\s+", " ", text).strip()[:3000]
+def _money(cell: str) -> int | None:
+    """As ``scalars.parse_money``."""
+    found = re.match(r"([\d.,]+)", re.sub(r"(?i)^rp\.?\s*", "", cell).strip())
+    try:
+        return int(float(found[1].replace(".", "").replace(",", "."))) if found else None
+    except ValueError:
+        return None
+
+
+def _winner(page: _Page, rows: list[int]) -> dict | None:
+    """The row after the one that has the heading among its own cells, not those of tables within."""
+    own = lambda row, tag: [page.text(c) for c in page.within(row, tag) if page.parent[c] == row]
+    at = next((k for k, row in enumerate(rows) if "nama pemenang" in [h.lower() for h in own(row, "th")]), None)
+    cells = own(rows[at + 1], "td") if at is not None and at + 1 < len(rows) else []
+    if len(cells) < 6 or not cells[0]:
+        return None
+    offered, corrected, agreed = map(_money, cells[3:6])
+    return {"company_name": cells[0], "alamat": cells[1], "npwp": cells[2], "harga_penawaran": offered, "harga_terkoreksi": corrected, "harga_negosiasi": agreed, "winning_value": agreed or corrected or offered}
+
+
+def _requirements(page: _Page, rows: list[int]) -> str:
+    """Sections under headings; else the page's tables; else its text."""
+    sections = [s for i in page.all("h2", "h3", "h4", "strong", "b", "td", "th") if any(h in page.text(i).lower() for h in HEADINGS) and len(s := page.up(i)) > 20]
+    if sections:
+        return "\n\n".join(sections[:5])[:4000]
+    lines = [" | ".join(c for c in map(page.text, page.within(row, "td")) if c) for row in rows]
+    if lines := [x for x in lines if len(x) > 10]:
+        return "\n".join(lines[:30])[:4000]
+    body = page.all("body")
+    return (page.text(body[0]) if body else "".join(page.parts))[:3000]
+
+
+def _stage(page: _Page, cells: list[list[str]]) -> str:
+    """What stands behind the stage's heading in the text of its parent; else the cell beside it."""
+    for i in page.all("td", "span", "div", "p", "strong", "b", "label"):
+        own = page.text(i).lower()
+        for heading in STAGES:
+            if heading in own:
+                text = page.up(i)
+                at = text.lower().find(heading)
+                after = re.sub(r"^[:\s]+", "", text[at + len(heading) :].strip()) if at >= 0 else ""
+                if after:
+                    return after.lower().split("\n")[0].strip()
+    return next((r[1].lower() for r in cells if len(r) > 1 and "tahap" in r[0].lower() and r[1]), "")
 
 
 def parse_page(html: str | None) -> dict:
-    tables = _Tables()
-    tables.feed(html or "")
-    tables.close()
-    cells = [[x for _, x in r] for r in tables.rows]
-    data = [(i, [x for t, x in r if t == "td"]) for i, r in enumerate(tables.rows)]
-    text = "".join(tables.text)
-    stage = next((r[1] for r in cells if len(r) > 1 and "tahap" in r[0].lower() and "saat ini" in r[0].lower()), "")
+    page = _Page(html or "")
+    rows = page.all("tr")
+    cells = [[page.text(c) for c in page.within(row, "td")] for row in rows]
     return {
-        **_labels(cells), "jadwal": _schedule([r for _, r in data]), "peserta": _bidders(data, set(), False, 25), "evaluasi": _bidders(data, tables.failed, True, 20),
-        "winner": _winner(tables.rows), "requirement_text": _requirements([r for r in cells if any(r)], text), "tahap": (stage or "tidak diketahui").lower(),
+        **_labels(page, rows), "jadwal": _schedule(cells), "peserta": _participants(cells), "evaluasi": _evaluation(page, rows),
+        "winner": _winner(page, rows), "requirement_text": _requirements(page, rows), "tahap": _stage(page, cells),
     }
 
 
 def extract_pages(pages: DataFrame, id: str = "page_id") -> DataFrame:
-    """One row per page (id, html) with all that its tables say; a page is parsed once for all fields."""
+    """One row per page (id, html) with all that its elements say; a page is parsed once for all fields.
+
+    The stage is the one that ``scalars.extract_tahap`` finds in the source, else that of the elements, else unknown.
+    """
     kind = dict(pages.dtypes)[id]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [parse_page(h) for h in batch["html"]]
-            yield pd.DataFrame({id: batch[id].reset_index(drop=True)}).join(pd.DataFrame(rows)) if rows else pd.DataFrame(columns=[id])
+            kept = batch[[id, "stage"]].reset_index(drop=True)
+            yield kept.join(pd.DataFrame(rows)) if rows else pd.DataFrame(columns=[id])
 
-    return pages.select(id, "html").mapInPandas(run, f"{id} {kind}, {FIELDS}")
+    found = pages.select(id, "html", S.extract_tahap(F.col("html")).alias("stage")).mapInPandas(run, f"{id} {kind}, stage string, {FIELDS}")
+    stage = F.coalesce(F.nullif("stage", F.lit("")), F.nullif("tahap", F.lit("")), F.lit(UNKNOWN_STAGE))
+    return found.withColumn("tahap", stage).drop("stage")

@@ -133,10 +133,30 @@ def test_pages(spark):
     a = got[0]
     assert (a.lokasi, a.metode, a.jadwal[0].tahap, a.jadwal[0].sampai) == ("Kota A", "Seleksi", "Pengumuman", "05-01-2026")
     assert [(p.name, p.npwp, p.alasan, p.nilai) for p in a.peserta if p.name == "PT Maju"] == [("PT Maju", "012345678901234", "Tidak memenuhi ambang batas", "80,5")]
-    assert (a.winner.company_name, a.winner.harga_negosiasi) == ("PT Menang", "Rp 3") and "SBU" in a.requirement_text
+    assert (a.winner.company_name, a.winner.harga_negosiasi, a.winner.winning_value) == ("PT Menang", 3, 3)
     assert got[1].requirement_text == "" and got[2].requirement_text == "teks" and got[2].tahap == "tidak diketahui"
 
 
+def test_page_rules():
+    """Made-up pages for each rule of the parser."""
+    row = lambda *cells, tag="td": "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in cells) + "</tr>"
+    table = lambda *rows: "<table>" + "".join(rows) + "</table>"
+    page = H.parse_page(table(row("Lokasi", ""), row("Lokasi", "Kota  B", "Blok C"), row("Metode Pemilihan", "Tender"), row("Tahun Anggaran", "LAINNYA 2026")))
+    assert (page["lokasi"], page["metode"], page["tahun"], page["satuan_kerja"]) == ("Kota B Blok C", "Tender", "2026", "")
+    assert [x["tahap"] for x in H.parse_page(table(row("a", "Evaluasi", "1", "2"), row("", "", "1", "2"), row("1", "Kontrak", "3", "4", "x")))["jadwal"]] == ["Evaluasi", "Kontrak"]
+    bidders = H.parse_page(table(row("1", "PT A", "01", "90", "91.5", "Gugur", "x" * 26), row("1.", "PT B", "02"), row("2", "", "03"), row("3", "PT C", "04", "keterangan lain", "Rp 5")))["peserta"]
+    assert [(b["name"], b["alasan"], b["nilai"]) for b in bidders] == [("PT A", "Gugur; " + "x" * 26, "90"), ("PT C", "keterangan lain", "")]
+    judged = H.parse_page(table(row("1", "PT A", "08*3**5****21**0", "77,5", "tidak lulus"), row("2", "PT B", "<i class='fa fa-times'></i>"), row("1", "Nama Peserta", "x"), row("3", "PT D", "012.345.678", tag="th")))["evaluasi"]
+    assert [(b["name"], b["npwp"], b["alasan"], b["nilai"]) for b in judged] == [("PT A", "08*3**5****21**0", "tidak lulus", "77,5"), ("PT B", "", H.FAILED, ""), ("PT D", "012.345.678", "", "")]
+    head = row("Nama Pemenang", "Alamat", "NPWP", "A", "B", "C", tag="th")
+    won = lambda *cells: H.parse_page(table("<tr><td>meta" + table(head, row(*cells)) + "</td></tr>"))["winner"]
+    assert won("PT A", "Jl", "1", "Rp. 855.800.811,31", "", "")["winning_value"] == 855800811 and won("PT A", "Jl", "1", "Rp 5", "Rp 4", "Rp 0")["winning_value"] == 4
+    assert won("", "Jl", "1", "1", "2", "3") is None and won("PT A", "Jl", "1") is None and H.parse_page(table(head))["winner"] is None
+    assert H.parse_page("<div><h3>Ketentuan</h3> Memiliki pengalaman sejenis</div>")["requirement_text"] == "Ketentuan Memiliki pengalaman sejenis"
+    assert H.parse_page(table(row("nilai kontrak", "besar")))["requirement_text"] == "nilai kontrak | besar"
+    assert H.parse_page("<p><b>Tahap Saat Ini</b>: Evaluasi Dokumen\nlain</p>")["tahap"] == "evaluasi dokumen" and H.parse_page(table(row("Tahap", "Kontrak")))["tahap"] == "kontrak"
+
+
 def test_discovery_and_csv(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"kode_instansi": "K1", "data": [["12", "<b>Paket</b>", "Dinas", "aktif", "1,5 M", "", "", "", "Jasa", "7"], ["", "x", "y"], ["None", "x", "y"], ["9"]]}')
     rows = io.parse_discovery_row(io.read_discovery(spark, str(tmp_path / "a.json"))).collect()

@@ -95,7 +95,7 @@ def test_it_priority(spark, kbli, name, want):
     assert (found.is_it, found.score, found.keywords) == want
 
 
-@pytest.mark.parametrize("html, code", [("<td>KBLI : 62.01.9</td>", "62019"), ("code 62029 then sbu", "62029"), ("<p>62090</p>", "62090"), ("<p>12345</p>", ""), (None, "")])
+@pytest.mark.parametrize("html, code", [("<td>KBLI : 62.01.9</td>", "62019"), ("code 62029 then sbu", "62029"), ("<p>62090</p>", "62090"), ("<p>12345</p>", ""), (None, ""), ("<p>62090</p> bidang KBLI jasa 62019", "62019"), ("<p>62090</p> bidang KBLI jasa dan lain lain yang jauh dari sini 62019", "62090"), ("sbu x sbu 62029", "62029")])
 def test_kbli(spark, html, code):
     assert one(spark, S.extract_kbli_code(F.col("h")), h=html) == code
 
@@ -106,3 +106,8 @@ def test_tahap_of_page(spark):
 
 def test_tokens(spark):
     assert one(spark, S.tokenize(F.col("c")), c="Étion dan KBLI-62 a b, étion") == ["étion", "kbli", "62", "étion"]
+
+
+@pytest.mark.parametrize("cell, amount", [("Rp 855.800.811,31 (lima)", 855800811), ("1.234", 1234), ("1,5,6", None), (".", None), ("abc 1", None), ("", None), (None, None)])
+def test_money_is_the_leading_number(spark, cell, amount):
+    assert one(spark, S.parse_money(F.col("h")), h=cell) == amount
