@@ -38,29 +38,29 @@ def components(links: DataFrame) -> DataFrame:
         shared.drop(older)
 
 
-def grouped(entries: DataFrame, possible: str, texts: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame, DataFrame], DataFrame], finer: Column | None = None, exact: bool = False, small: int = 16) -> DataFrame:
+def grouped(entries: DataFrame, possible: str, texts: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame, DataFrame], DataFrame], finer: Column | None = None, small: int = 16, spare: int = 64) -> DataFrame:
     """(node, component) of the graph whose links are the pairs that share a key and pass ``check``.
 
     entries: (key, id, size, ...). ``possible`` is SQL over a pair's columns, the second's with a ``_`` behind, that every
     link meets. texts: (id, ...) of ids, what check needs. check: of distinct pairs (a, b) and these texts, those that link.
 
     All pairs of a block of up to ``small`` ids are tested. In a larger block each id is held against the block's first,
-    so a block of copies takes a test each, not all pairs. What is then still apart in such a block is dealt to
-    smaller ones by the keys ``finer``, whose pairs are tested alike; in those that are large still, ids are held against
-    one id after the other, chosen by hash, as long as that links any. With ``exact``, all pairs that are possible then
-    across components are tested too, so that no link of any block is lost.
+    so a block of copies takes a test each, not all pairs; and again against one id after the other, chosen by hash, as
+    long as that merges components and what is still apart within blocks is more than ``spare`` pairs for each row (before
+    ``possible``). Then all pairs across components are tested, so no link of any block is lost. With ``finer``, blocks that hold more than
+    that are dealt to smaller ones by these keys before, and where ids held against others merge none any more, the
+    pairs left in the largest blocks are not tested.
     """
     columns = [c for c in entries.columns if c != "key"]
     second = [F.col(c).alias(f"{c}_") for c in columns]
+    label_ = F.col("label").alias("label_")
 
     def candidates(rows: DataFrame) -> DataFrame:
         return rows.where("id != id_").select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
     def dealt(rows: DataFrame, name: str) -> DataFrame:
         """Rows of blocks of two ids or more, with the number that the block has ("held")."""
-        rows = rows.repartition("key")  # what is counted and what is joined is dealt once
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-        return shared.written(rows.join(counts.hint("shuffle_hash"), "key"), name)
+        return shared.written(shared.with_partners(rows, "held"), name)
 
     def all_pairs(rows: DataFrame, apart: str = "true") -> DataFrame:
         return rows.join(rows.select("key", *(F.col(c).alias(f"{c}_") for c in rows.columns if c not in ("key", "held"))), "key").where(f"id < id_ and {possible} and {apart}")
@@ -69,43 +69,44 @@ def grouped(entries: DataFrame, possible: str, texts: Callable[[DataFrame], Data
         ones = rows.groupBy("key").agg(chosen.alias("one")).select("key", "one.*")
         return rows.join(ones, "key").where(f"id != id_ and {possible} and {apart}")
 
+    def apart(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, float, int]:
+        """Rows of blocks that hold more than one component, which is the label; pairs across components; rows."""
+        now = rows.drop("label").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        parts = now.groupBy("key", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")).where("labels > 1")
+        mixed = shared.written(mixed, "mixed")
+        pairs, held = mixed.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("within")) / 2, F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()  # one row
+        return (shared.written(now.join(mixed.select("key"), "key", "left_semi"), "apart") if pairs else now), pairs, held
+
     members = dealt(entries, "members")
-    few, many = members.where(F.col("held") <= small), members.where(F.col("held") > small)
-    first = F.min_by(F.struct(*second), "id")
-    tested = shared.written(candidates(all_pairs(few)).union(candidates(against_one(many, first))).distinct(), "pairs")
+    few, many = members.where(F.col("held") <= small), members.where(F.col("held") > small).drop("held")
+    tested = shared.written(candidates(all_pairs(few)).union(candidates(against_one(many, F.min_by(F.struct(*second), "id")))).distinct(), "pairs")
     known = texts(tested.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct())
-    links = shared.written(check(tested, known), "linked")
-    found = components(links)
-    if many.isEmpty():
-        return found
-    turn, label = 0, [F.col("label").alias("label_")]
+    links, found = shared.written(check(tested, known), "linked"), None
 
-    def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
-        """Rows of blocks that hold more than one component, with the component as label."""
-        now = rows.drop("label").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-        return shared.written(now.join(mixed, "key", "left_semi"), "apart")
+    def also(pairs: DataFrame) -> bool:
+        """Tests more pairs; whether that has linked any."""
+        nonlocal tested, links
+        pairs = shared.written(candidates(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+        ids = shared.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        new = shared.written(check(pairs, known.join(shared.small(ids), "id", "left_semi")), "linked")
+        tested, links = tested.union(pairs), links.union(new)
+        return not new.isEmpty()
 
-    rest = apart(many.drop("held"), found)
-    if finer is not None:
+    found = components(links)
+    rest, across, held = apart(many, found)
+    if finer is not None and across > spare * held:
         rest = dealt(rest.withColumn("part", F.explode(finer)).select(F.xxhash64("key", "part").alias("key"), *columns, "label"), "finer")
-        few, rest = rest.where(F.col("held") <= small), rest.where(F.col("held") > small).drop("held")
-        pairs = shared.written(candidates(all_pairs(few.drop("held"), "label != label_")).join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested, links = tested.union(pairs), links.union(shared.written(check(pairs, known), "linked"))
-        found = components(links)
-        rest = apart(rest, found)
-    while not rest.isEmpty():
+        if also(all_pairs(rest.where(F.col("held") <= small), "label != label_")):
+            found = components(links)
+        rest, across, held = apart(rest.where(F.col("held") > small).drop("held"), found)
+    turn, merges = 0, True
+    while across > spare * held and merges:
         turn += 1
-        pairs = candidates(against_one(rest, F.min_by(F.struct(*second, *label), F.xxhash64("id", F.lit(turn))), "label != label_"))
-        pairs = shared.written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = shared.written(check(pairs, known), "linked")
-        tested, links, some = tested.union(pairs), links.union(new), not new.isEmpty()
-        if not some and exact:
-            pairs = shared.written(candidates(all_pairs(rest, "label != label_")).join(tested, ["a", "b"], "left_anti"), "pairs")
-            links = links.union(shared.written(check(pairs, known), "linked"))
-        if some or exact:
+        merges = also(against_one(rest, F.min_by(F.struct(*second, label_), F.xxhash64("id", F.lit(turn))), "label != label_"))
+        if merges:
             found = components(links)
-        if not some:
-            break
-        rest = apart(rest, found)
+            rest, across, held = apart(rest, found)
+    if across and (finer is None or across <= spare * held) and also(all_pairs(rest, "label != label_")):
+        found = components(links)
     return found

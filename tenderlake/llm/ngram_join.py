@@ -155,9 +155,8 @@ def near_groups(documents: DataFrame, id: str = "doc_id", text: str = "text", si
     counts = nodes.select(F.explode(seen).alias("token")).groupBy("token").count().where(F.col("count") >= max(few, total // most_frequent))
     frequent = np.sort(counts.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))  # at most ``most_frequent`` rows
 
-    entries = _signatures(nodes, frequent, percent).repartition("key")  # what is counted and what is joined is dealt once
-    blocks = entries.groupBy("key").count().where("count > 1").select("key")
-    strong = entries.join(blocks.hint("shuffle_hash"), "key").groupBy("id").agg(F.sum("weight").alias("w"), F.max("size").alias("n")).where("w >= " + NEEDED.format(a="n", b="n"))
+    entries = shared.with_partners(_signatures(nodes, frequent, percent), "held")
+    strong = entries.groupBy("id").agg(F.sum("weight").alias("w"), F.max("size").alias("n")).where("w >= " + NEEDED.format(a="n", b="n"))
     ids = shared.written(strong.select(F.col("id").alias("doc_id")), "ids")
     shared.drop(sets)
 
@@ -193,7 +192,7 @@ def near_groups(documents: DataFrame, id: str = "doc_id", text: str = "text", si
         both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("shared") * 100 >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
-    found = shared.written(grouped(found_by, possible, lambda ids: left, check, exact=True), "found")
+    found = shared.written(grouped(found_by, possible, lambda ids: left, check), "found")
     shared.drop(left, found_by)
     components = shared.written(classes.join(found, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"), F.col("m")), "components")
     some = shared.joined_to_groups(plain.where("n > 0"), components, ["n", "s1", "s2"], size="m")

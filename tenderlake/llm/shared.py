@@ -81,3 +81,15 @@ def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size:
     most = max(2, -(-total // share))
     hot = F.broadcast(groups.where(F.col(size) >= most))
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(size) < most), keys))
+
+
+def with_partners(rows: DataFrame, name: str) -> DataFrame:
+    """The rows whose ``key`` others have too, with their number as ``name``. Rows are dealt by key once.
+
+    The count keeps a maximum of every column, as Spark would else deal rows without them once more.
+    """
+    dealt = rows.repartition("key")
+    others = [c for c in rows.columns if c != "key"]
+    counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias(name), *(F.max(c).alias(f"_{c}") for c in others))
+    counts = counts.where((F.col(name) > 1) & F.coalesce(*(F.xxhash64(f"_{c}") for c in others)).isNotNull()).select("key", name)
+    return dealt.join(counts.hint("shuffle_hash"), "key")
