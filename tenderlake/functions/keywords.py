@@ -151,3 +151,6 @@ STAGE_SHAPES = (
     r"(?i)data-tahap[^>]*>\s*([^<]+)",
     r"(?i)class=[\"']tahap[^\"']*[\"'][^>]*>\s*([^<]+)",
 )
+
+# What a match can say of eligibility.
+ELIGIBILITY = ("ELIGIBLE", "CONDITIONALLY_ELIGIBLE", "NOT_ELIGIBLE", "NOT_READY", "NOT_APPLICABLE")

@@ -16,6 +16,12 @@ def _by_key(companies: DataFrame, key: Column, name: str) -> DataFrame:
     return found.groupBy(name).agg(F.sort_array(F.collect_list("id")).alias(f"{name}_ids"))
 
 
+def _left_join(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """A left join on a key that most rows may lack: those meet nothing, each under a key of its own, so no task gets them all."""
+    own = F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col("_row").cast("string")))
+    return rows.withColumn("_key", own).join(found.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+
+
 def resolve_entities(source: DataFrame, companies: DataFrame) -> DataFrame:
     """Adds status, company_id, candidate_ids and reason to rows with name, npwp and nib.
 
@@ -30,8 +36,8 @@ def resolve_entities(source: DataFrame, companies: DataFrame) -> DataFrame:
     by_name = companies.select(S.normalize_company_name(F.col("name")).alias("_name"), "id", F.col("npwp").alias("full")).where("_name != ''")
     by_name = by_name.groupBy("_name").agg(F.sort_array(F.collect_list(F.struct("id", "full"))).alias("_named"))
     for key, value in (("_nib", S.normalize_identifier(F.col("nib"))), ("_npwp", S.normalize_npwp(F.col("npwp"))), ("_exact", F.lower(F.trim(S.text("name"))))):
-        rows = rows.join(_by_key(companies, value, key), key, "left")
-    rows = rows.join(by_name, "_name", "left")
+        rows = _left_join(rows, _by_key(companies, value, key), key)
+    rows = _left_join(rows, by_name, "_name")
     fitting = F.transform(F.filter("_named", lambda x: S.matches_masked_npwp(F.col("npwp"), x["full"])), lambda x: x["id"])
     rows = rows.withColumn("_fit", fitting).withColumn("_named_ids", F.transform("_named", lambda x: x["id"]))
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
@@ -94,6 +100,13 @@ def kbli_matches(tenders: DataFrame, profile: DataFrame) -> DataFrame:
     return tenders.select(F.col("id").alias("tender_id"), "kbli_code").join(codes, "kbli_code").select("tender_id", "company_id")
 
 
+def kbli_match_counts(tenders: DataFrame, profile: DataFrame) -> DataFrame:
+    """(company_id, n): how many tenders match, counted by code before companies are joined."""
+    of_code = tenders.where("kbli_code != ''").groupBy("kbli_code").agg(F.count(F.lit(1)).alias("n"))
+    codes = profile.select("company_id", F.explode("codes").alias("kbli_code"))
+    return codes.join(of_code, "kbli_code").groupBy("company_id").agg(F.sum("n").alias("n"))
+
+
 def matched_tenders(tenders: DataFrame, matches: DataFrame) -> DataFrame:
     return tenders.join(matches.select(F.col("tender_id").alias("id")), "id", "left_semi")
 

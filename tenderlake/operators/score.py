@@ -28,6 +28,20 @@ def company_profile(companies: DataFrame, quals: DataFrame) -> DataFrame:
     )
 
 
+#: What a company's fingerprint is made of, besides the id that orders it.
+FINGERPRINTED = ("category", "name", "kbli_code", "kbli_codes", "status", "project_name", "client_name", "project_year", "value_amount")
+
+
+def qualification_fingerprint(quals: DataFrame, fields: tuple[str, ...] = FINGERPRINTED) -> DataFrame:
+    """(company_id, fingerprint): a hash of a company's active qualifications, which changes when any of them does.
+
+    It is of their JSON in order of id, fields in order of name.
+    """
+    item = F.struct("id", F.struct(*sorted(fields)).alias("item"))
+    listed = quals.where("status = 'active'").groupBy("company_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return listed.select("company_id", F.sha2(F.to_json(F.transform("items", lambda x: x["item"])), 256).alias("fingerprint"))
+
+
 def required_gates(req: Column) -> Column:
     """struct(kbli or null, sbu, license, npwp): what a requirement text asks for."""
     lower = F.lower(S.text(req))
@@ -277,6 +291,25 @@ def radar(scored: DataFrame, limit: int | None = None, offset: int = 0, only_rea
     return rows.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)) if limit is not None else rows
 
 
+def filter_radar(scored: DataFrame, classification: str = "", min_score: int = 0, search: str = "", kbli: str = "", location: str = "", it_only: bool = False, deadline_after: Column | None = None, deadline_before: Column | None = None, hps_min: int = 0, hps_max: int = 0) -> DataFrame:
+    """The rows that meet every filter that is given, before they are ranked.
+
+    scored: nama_paket, instansi, id_lelang, kbli_code, lokasi, is_it_priority, hps, deadline; status, classification and
+    final_score. Class and score are known of ready rows only; rows without a deadline meet no bound on it.
+    """
+    ready = F.col("status") == "ready"
+    holds = lambda c, words: F.contains(F.lower(S.text(c)), F.lit(words.lower()))
+    wanted = [
+        (search.strip(), reduce(Column.__or__, (holds(c, search.strip()) for c in ("nama_paket", "instansi", "id_lelang")))),
+        (kbli.strip(), S.text("kbli_code") == kbli.strip()), (location.strip(), holds("lokasi", location.strip())), (it_only, F.col("is_it_priority")),
+        (hps_min, F.col("hps") >= hps_min), (hps_max, F.col("hps") <= hps_max), (classification.strip(), ready & (F.col("classification") == classification.strip())), (min_score, ready & (F.col("final_score") >= min_score)),
+        (deadline_after is not None, F.col("deadline") >= deadline_after), (deadline_before is not None, F.col("deadline") <= deadline_before),
+    ]
+    for given, condition in wanted:
+        scored = scored.where(condition) if given else scored
+    return scored
+
+
 def recommended_candidates(tenders: DataFrame, profiles: DataFrame, matching: int = 20, others: int = 10, without: int = 50) -> DataFrame:
     """(company_id, tender_id, kbli_match, place): per company the open tenders to be scored, by priority and value.
 

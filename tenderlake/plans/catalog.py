@@ -146,9 +146,36 @@ def f26_tokenize(spark, sf_dir):
     return D.table(spark, sf_dir, "documents").select("doc_id", F.size(S.tokenize(F.col("text"))).alias("tokens"))
 
 
-@query("SELECT tender_id, company_id, sha256(tender_id || ':' || company_id || ':f:v1') AS cache_key FROM matches", "matches")
+_FINGERPRINT = """fingerprints AS (SELECT company_id, sha256(to_json(list({'category': category, 'client_name': client_name, 'kbli_code': kbli_code, 'kbli_codes': kbli_codes, 'name': name, 'project_name': project_name,
+  'project_year': project_year, 'status': status, 'value_amount': value_amount} ORDER BY id))::VARCHAR) AS fingerprint FROM qualifications WHERE status = 'active' GROUP BY company_id)"""
+
+
+@query(f", {_FINGERPRINT} SELECT tender_id, company_id, fingerprint, sha256(tender_id || ':' || company_id || ':' || fingerprint || ':v1') AS cache_key FROM matches JOIN fingerprints USING (company_id)", "matches", "qualifications")
 def f28_match_cache_key(spark, sf_dir):
-    return D.matches(spark, sf_dir).select("tender_id", "company_id", S.match_cache_key(F.col("tender_id"), F.col("company_id"), F.lit("f"), "v1").alias("cache_key"))
+    rows = D.matches(spark, sf_dir).join(M.qualification_fingerprint(D.qualifications(spark, sf_dir)), "company_id")
+    return rows.select("tender_id", "company_id", "fingerprint", S.match_cache_key(F.col("tender_id"), F.col("company_id"), F.col("fingerprint"), "v1").alias("cache_key"))
+
+
+@query(
+    """, replies AS (SELECT tender_id, company_id, fit_score, (tender_id + company_id) % 6 AS kind FROM matches)
+    SELECT tender_id, company_id, CASE WHEN kind = 5 THEN 'NOT_READY' WHEN kind IN (0, 1) THEN 'NOT_ELIGIBLE' WHEN fit_score * 2 >= 70 THEN 'ELIGIBLE' ELSE 'CONDITIONALLY_ELIGIBLE' END AS eligibility_status, kind IN (2, 3, 4) AS mandatory_passed,
+      CASE WHEN kind = 5 THEN 0 WHEN kind IN (0, 1) THEN fit_score ELSE least(100, fit_score * 2) END AS fit_score, CASE WHEN kind = 5 THEN 'Gagal mem-parse respons AI.' WHEN kind = 4 THEN '' ELSE 'b' || company_id END AS blockers,
+      CASE WHEN kind IN (4, 5) THEN '' ELSE 'NIB/LEGAL/needs_action' END AS criteria FROM replies""",
+    "matches",
+)
+def f27_validate_match_response(spark, sf_dir):
+    """Replies made of the matches: plain, fenced, among other words, without lists, cut off."""
+    rows = D.matches(spark, sf_dir).withColumn("kind", (F.col("tender_id") + F.col("company_id")) % 6)
+    lists = F.concat(F.lit('"blockers": ["b'), F.col("company_id"), F.lit('", "", null], "criteria": [7, {"requirement": " "}, {"requirement": " NIB ", "status": "unknown"}]'))
+    low = F.concat(F.lit('{"fit_score": '), F.col("fit_score"), F.lit(', "eligibility_status": "not_eligible", '), lists, F.lit("}"))
+    high = F.concat(F.lit('{"fit_score": "'), F.col("fit_score") * 2, F.lit('", "eligibility_status": "?", '), lists, F.lit("}"))
+    bare = F.concat(F.lit('{"fit_score": '), F.col("fit_score") * 2, F.lit(".0}"))
+    fenced = lambda c: F.concat(F.lit("```json\n"), c, F.lit("\n```"))
+    k = F.col("kind")
+    reply = F.when(k == 0, low).when(k == 1, fenced(low)).when(k == 2, high).when(k == 3, F.concat(F.lit("Jawaban: "), high, F.lit(" selesai"))).when(k == 4, bare).otherwise(F.substring(low, 1, 20))
+    r = rows.withColumn("r", S.validate_match_response(reply))
+    shown = F.array_join(F.transform("r.criteria", lambda c: F.concat_ws("/", c["requirement"], c["category"], c["status"])), ",")
+    return r.select("tender_id", "company_id", "r.eligibility_status", "r.mandatory_passed", F.col("r.fit_score").alias("fit_score"), F.array_join("r.blockers", ",").alias("blockers"), shown.alias("criteria"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'provider_error' ELSE substr(event_type || ' ' || props, 1, 2000) END AS message, event_type = 'error' AS failed FROM events")
@@ -252,27 +279,27 @@ def j2_apply_resolution(spark, sf_dir):
     return R.apply_resolution(existing, found, ["tender_id", "source_id"])
 
 
-@query("SELECT tender_id, count(*) AS n, count(*) FILTER (alasan <> '') AS noted, count(*) FILTER (npwp <> '') AS numbered FROM (SELECT tender_id, lower(regexp_replace(name, '[^\\p{L}\\p{N}_\\s]', '', 'g')) AS key, max(npwp) FILTER (source_id % 3 <> 0) AS a, CASE WHEN coalesce(max(npwp) FILTER (source_id % 3 <> 0), '') <> '' THEN max(npwp) FILTER (source_id % 3 <> 0) ELSE coalesce(max(npwp) FILTER (source_id % 2 = 0), '') END AS npwp, coalesce(max(alasan) FILTER (source_id % 2 = 0), '') AS alasan FROM participants WHERE source_id % 3 <> 0 OR source_id % 2 = 0 GROUP BY ALL) GROUP BY tender_id", "participants")
+@query("SELECT tender_id, count(*) AS n, count(*) FILTER (alasan <> '') AS noted, count(*) FILTER (npwp <> '') AS numbered FROM (SELECT tender_id, lower(regexp_replace(name, '[^\\p{L}\\p{N}_\\s]', '', 'g')) AS key, max(npwp) AS npwp, coalesce(max(alasan) FILTER (source_id % 2 = 0), '') AS alasan FROM participants GROUP BY ALL) GROUP BY tender_id", "participants")
 def j3_merge_participant_sources(spark, sf_dir):
     rows = D.participants(spark, sf_dir).withColumn("nilai", F.lit(""))
-    merged = R.merge_participant_sources(rows.where("source_id % 3 <> 0").withColumn("alasan", F.lit("")), rows.where("source_id % 2 = 0"))
+    merged = R.merge_participant_sources(rows.withColumn("alasan", F.lit("")), rows.withColumn("alasan", F.when(F.col("source_id") % 2 == 0, F.col("alasan")).otherwise("")))
     return merged.groupBy("tender_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("alasan") != "").alias("noted"), F.count_if(F.col("npwp") != "").alias("numbered"))
 
 
-@query(f"SELECT t.id AS tender_id, c.id AS company_id FROM tenders t, companies c WHERE t.id % 50 = 1 AND {SUBMITTABLE} AND is_active AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.tender_id = t.id AND j.company_id = c.id)".replace("t.id % 50 = 1 AND ", "day >= DATE '1998-01-01' AND "), "tenders", "companies", "jobs")
+@query(f"SELECT t.id AS tender_id, c.id AS company_id FROM tenders t, companies c WHERE {SUBMITTABLE} AND is_active AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.tender_id = t.id AND j.company_id = c.id)", "tenders", "companies", "jobs")
 def j4_candidate_pairs(spark, sf_dir):
-    t = D.tenders(spark, sf_dir).where(P.is_submittable(F.col("tahap")) & (F.col("scraped_at") >= F.lit("1998-01-01").cast("timestamp_ntz")))
+    t = D.tenders(spark, sf_dir).where(P.is_submittable(F.col("tahap")))
     return R.candidate_pairs(t, D.companies(spark, sf_dir), D.jobs(spark, sf_dir))
 
 
 @query(f", {PROFILE}, m AS (SELECT kbli_code, count(*) AS n FROM tenders GROUP BY ALL) SELECT company_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT company_id, unnest(codes) AS kbli_code FROM profile) JOIN m USING (kbli_code) GROUP BY company_id", "tenders", "companies", "qualifications")
 def j5_kbli_matches(spark, sf_dir):
-    return R.kbli_matches(D.tenders(spark, sf_dir), _profile(spark, sf_dir)).groupBy("company_id").agg(F.count(F.lit(1)).alias("n"))
+    return R.kbli_match_counts(D.tenders(spark, sf_dir), _profile(spark, sf_dir))
 
 
-@query("SELECT id FROM tenders WHERE id IN (SELECT tender_id FROM matches WHERE company_id = 3)", "tenders", "matches")
+@query("SELECT id FROM tenders WHERE id IN (SELECT tender_id FROM matches)", "tenders", "matches")
 def j6_matched_tenders(spark, sf_dir):
-    return R.matched_tenders(D.tenders(spark, sf_dir), D.matches(spark, sf_dir).where("company_id = 3")).select("id")
+    return R.matched_tenders(D.tenders(spark, sf_dir), D.matches(spark, sf_dir)).select("id")
 
 
 @query("SELECT tender_id, company_id FROM matches WHERE fit_score = 0 OR company_id % 5 = 0", "matches")
@@ -357,6 +384,18 @@ def m9_radar(spark, sf_dir):
     return M.radar(rows, limit=50).select("company_id", "tender_id", "final_score", "classification", "days_left", "rank")
 
 
+@query(
+    f""", {PROFILE}, {_SCORE} SELECT * FROM (SELECT c.company_id, c.tender_id, c.final_score, CAST(row_number() OVER (PARTITION BY c.company_id ORDER BY {_CLASS_PLACE}, final_score DESC, days NULLS LAST, c.tender_id) AS INTEGER) AS rank
+      FROM classed c JOIN tenders t ON t.id = c.tender_id WHERE ready AND NOT {_any('c.tahap', K.TERMINAL)} AND final_score >= 40 AND contains(lower(t.nama_paket), 'sistem') AND t.hps >= 1000000 AND contains(lower(t.lokasi), 'kota 1') AND days >= 0 AND days <= 400) WHERE rank <= 20""",
+    "tenders", "companies", "qualifications", "matches",
+)
+def m9_radar_filtered(spark, sf_dir):
+    names = D.tenders(spark, sf_dir).select(F.col("id").alias("tender_id"), "nama_paket", "instansi", "id_lelang", "lokasi")
+    rows = _scored(spark, sf_dir).join(names, "tender_id").withColumn("days_left", F.datediff("deadline", as_of()).cast("long"))
+    rows = M.filter_radar(rows, min_score=40, search="Sistem", location="kota 1", hps_min=1_000_000, deadline_after=as_of(), deadline_before=F.date_add(as_of(), 400))
+    return M.radar(rows, limit=20).select("company_id", "tender_id", "final_score", "rank")
+
+
 _LABELS = "CASE classification " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in K.RECOMMENDATIONS.items()) + " ELSE 'Tidak Direkomendasikan' END"
 
 
@@ -591,31 +630,34 @@ def w7_first_seen(spark, sf_dir):
 # Upserts and deletes
 
 
-@query("SELECT id_lelang, nama_paket, CASE WHEN id % 3 = 1 THEN 'Selesai' ELSE tahap END AS tahap, CASE WHEN id % 3 = 1 THEN hps + 1 ELSE hps END AS hps FROM tenders WHERE id % 2 = 0 OR id % 3 = 1", "tenders")
+@query("SELECT id_lelang, nama_paket, CASE WHEN id % 3 = 1 THEN tahap ELSE 'Selesai' END AS tahap, CASE WHEN id % 3 = 1 THEN hps ELSE hps + 1 END AS hps FROM tenders UNION ALL SELECT id_lelang || '-baru', nama_paket, 'Selesai', hps + 1 FROM tenders WHERE id % 3 = 1", "tenders")
 def u1_upsert_overwrite(spark, sf_dir):
+    """The whole table gets a batch as large: changed tenders, new ones, and an older version of each."""
     t = D.tenders(spark, sf_dir).select("id", "kode_instansi", "id_lelang", "nama_paket", "tahap", "hps", "scraped_at")
-    new = t.where("id % 3 = 1").withColumn("tahap", F.lit("Selesai")).withColumn("hps", F.col("hps") + 1)
+    new = t.withColumn("id_lelang", F.when(F.col("id") % 3 == 1, F.concat("id_lelang", F.lit("-baru"))).otherwise(F.col("id_lelang"))).withColumn("tahap", F.lit("Selesai")).withColumn("hps", F.col("hps") + 1)
     old = new.withColumn("tahap", F.lit("Alt")).withColumn("scraped_at", F.col("scraped_at") - F.make_dt_interval(F.lit(1)))
-    return U.upsert_tenders(t.where("id % 2 = 0"), new.union(old)).select("id_lelang", "nama_paket", "tahap", "hps")
+    return U.upsert_tenders(t, new.union(old)).select("id_lelang", "nama_paket", "tahap", "hps")
 
 
-@query("SELECT id_lelang, tahap, CASE WHEN id % 3 = 1 AND id % 2 = 0 AND syarat = '' THEN requirement_text WHEN id % 3 = 1 THEN syarat ELSE requirement_text END AS requirement_text FROM tenders WHERE id % 2 = 0 OR id % 3 = 1", "tenders")
+@query("SELECT id_lelang, tahap, CASE WHEN syarat = '' THEN requirement_text ELSE syarat END AS requirement_text FROM tenders", "tenders")
 def u1_upsert_fill(spark, sf_dir):
     t = D.tenders(spark, sf_dir).select("id", "kode_instansi", "id_lelang", "tahap", "requirement_text", "syarat", "scraped_at")
-    new = t.where("id % 3 = 1").withColumn("requirement_text", F.col("syarat")).withColumn("tahap", F.when(F.col("id") % 2 == 0, "").otherwise(F.col("tahap")))
-    return U.upsert_tenders(t.where("id % 2 = 0"), new, "fill").select("id_lelang", "tahap", "requirement_text")
+    new = t.withColumn("requirement_text", F.col("syarat")).withColumn("tahap", F.when(F.col("id") % 2 == 0, "").otherwise(F.col("tahap")))
+    return U.upsert_tenders(t, new, "fill").select("id_lelang", "tahap", "requirement_text")
 
 
-@query("SELECT tender_id, name, CASE WHEN source_id % 3 = 0 THEN 'baru' ELSE alasan END AS alasan FROM participants WHERE source_id % 2 = 0 OR source_id % 3 = 0", "participants")
+@query("SELECT tender_id, name, CASE WHEN source_id % 3 = 0 THEN 'baru' ELSE alasan END AS alasan FROM participants", "participants")
 def u2_upsert_participants(spark, sf_dir):
     rows = D.participants(spark, sf_dir).select("tender_id", "source_id", "name", "alasan")
-    return U.upsert_participants(rows.where("source_id % 2 = 0"), rows.where("source_id % 3 = 0").withColumn("alasan", F.lit("baru"))).select("tender_id", "name", "alasan")
+    batch = rows.withColumn("alasan", F.when(F.col("source_id") % 3 == 0, "baru").otherwise(F.col("alasan")))
+    return U.upsert_participants(rows, batch).select("tender_id", "name", "alasan")
 
 
-@query("SELECT tender_id, company_name, CASE WHEN tender_id % 3 = 0 THEN winning_value + 1 ELSE winning_value END AS winning_value FROM winners WHERE tender_id % 2 = 0 OR tender_id % 3 = 0", "winners")
+@query("SELECT tender_id, company_name, CASE WHEN tender_id % 3 = 0 THEN winning_value + 1 ELSE winning_value END AS winning_value FROM winners", "winners")
 def u3_upsert_winners(spark, sf_dir):
     w = D.winners(spark, sf_dir)
-    return U.upsert_winners(w.where("tender_id % 2 = 0"), w.where("tender_id % 3 = 0").withColumn("winning_value", F.col("winning_value") + 1)).select("tender_id", "company_name", "winning_value")
+    batch = w.withColumn("winning_value", F.when(F.col("tender_id") % 3 == 0, F.col("winning_value") + 1).otherwise(F.col("winning_value")))
+    return U.upsert_winners(w, batch).select("tender_id", "company_name", "winning_value")
 
 
 _DERIVED = f"derived AS (SELECT tender_id, source_id AS company_id, CASE WHEN p.alasan <> '' THEN 'gagal' WHEN coalesce({_WON}, false) THEN 'menang' ELSE 'sudah_submit' END AS new FROM participants p LEFT JOIN winners w USING (tender_id))"
