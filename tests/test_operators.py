@@ -207,3 +207,38 @@ def test_stream_upsert(spark, tmp_path):
     read = lambda: spark.read.parquet(state["now"]) if state else None
     T.stream_upsert(stream(spark, tmp_path / "in", df), read, write, U.upsert_tenders, str(tmp_path / "cp")).start().awaitTermination()
     assert sorted(r.id_lelang for r in read().collect()) == ["1", "2"]
+
+
+PAIR = "tender_id long, company_id long, hps long, kbli_code string, deadline date, is_it_priority boolean, is_prakualifikasi boolean, peserta_count int, metode string, ai_score int, codes array<string>, has_izin boolean, has_sbu boolean, has_sdm boolean, experience long, recent long, modal long, penghasilan long"
+
+
+def test_legacy_score(spark):
+    """By hand: a firm that has all, one without money or codes, and a tender alone."""
+    at = datetime.date(2026, 1, 1)
+    after = lambda n: at + datetime.timedelta(n)
+    rows = [
+        (1, 5, 1000, "62019", after(15), True, True, 5, "Select All", 90, ["62019"], True, True, True, 3, 3, 500, 0),
+        (2, 6, 1000, "62019", after(3), False, False, 21, "best value", 41, [], False, False, False, 0, 0, 0, 0),
+        (3, None, 0, "", None, False, False, None, None, None, None, None, None, None, None, None, None, None),
+        (4, 7, 1000, "41011", after(0), False, False, 0, "Seleksi", 0, ["62019"], True, False, False, 0, 1, 0, 400),
+    ]
+    got = {r.tender_id: r for r in M.opportunity_score_legacy(spark.createDataFrame(rows, PAIR), F.lit("2026-01-01").cast("date")).collect()}
+    parts = lambda i: tuple(got[i][f"{n}_score"] for n in ("qualification", "financial", "experience", "deadline", "strategic", "final"))
+    assert parts(1) == (100, 95, 95, 95, 100, 97) and got[1].recommendation == "Sangat Direkomendasikan" and got[1].risks == []
+    assert got[1].reason == "Tender ini cocok dengan profil perusahaan. Kualifikasi memadai. Kemampuan keuangan mencukupi. Pengalaman relevan tersedia." and got[1].strengths[0] == "KBLI 62019 sesuai" and "Modal mencukupi (50% dari HPS)" in got[1].strengths
+    assert parts(2) == (0, 50, 20, 25, 40, 21) and got[2].risks[0] == "KBLI 62019 tidak sesuai" and got[2].reason.endswith(" Kualifikasi belum memadai.")
+    assert parts(3) == (50, 50, 30, 60, 43, 46) and got[3].strengths == ["Belum ada peserta terdaftar"] and got[3].risks == []
+    assert parts(4) == (12, 30, 70, 5, 38, 27) and got[4].risks[-1] == "Deadline sudah lewat" and "Penghasilan tidak mencukupi" in got[4].risks
+
+
+def test_recommended_candidates(spark):
+    """Priority first, then value; a company without codes gets qualification stages alone."""
+    t = [(i, "Evaluasi Kualifikasi" if i % 2 else "Evaluasi", "62019" if i % 3 == 0 else "41011", i % 5, 100 + i) for i in range(1, 60)] + [(99, "Tender Selesai", "62019", 9, 9)]
+    tenders = spark.createDataFrame(t, "tender_id long, tahap string, kbli_code string, priority_score int, hps long")
+    firms = spark.createDataFrame([(1, ["62019"]), (2, [])], "company_id long, codes array<string>")
+    got = M.recommended_candidates(tenders, firms, matching=4, others=3, without=5).collect()
+    best = lambda rows, n: [x[0] for x in sorted(rows, key=lambda x: (-x[3], -x[4], x[0]))][:n]
+    live = [x for x in t if x[0] != 99]
+    place = lambda c, m: [r.tender_id for r in sorted(got, key=lambda r: r.place) if r.company_id == c and r.kbli_match == m]
+    assert place(1, True) == best([x for x in live if x[2] == "62019"], 4) and place(1, False) == best([x for x in live if x[2] != "62019" and x[0] % 2], 3)
+    assert place(2, True) == [] and place(2, False) == best([x for x in live if x[0] % 2], 5)

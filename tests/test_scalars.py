@@ -111,3 +111,29 @@ def test_tokens(spark):
 @pytest.mark.parametrize("cell, amount", [("Rp 855.800.811,31 (lima)", 855800811), ("1.234", 1234), ("1,5,6", None), (".", None), ("abc 1", None), ("", None), (None, None)])
 def test_money_is_the_leading_number(spark, cell, amount):
     assert one(spark, S.parse_money(F.col("h")), h=cell) == amount
+
+
+GOOD = '{"fit_score": 81.9, "eligibility_status": "eligible", "mandatory_passed": 0, "blockers": ["a", "", null, 3], "summary": null, "criteria": [{"requirement": " SBU ", "category": "sbu", "mandatory": true, "status": "pass", "evidence": "x", "action": null}, {"requirement": ""}, 5]}'
+
+
+@pytest.mark.parametrize(
+    "raw, status, passed, score, blockers, criteria",
+    [
+        (GOOD, "ELIGIBLE", False, 81, ["a", "3"], [("SBU", "SBU", True, "pass", "x", None)]),
+        ("```json\n" + GOOD + "\n```  ", "ELIGIBLE", False, 81, ["a", "3"], [("SBU", "SBU", True, "pass", "x", None)]),
+        ("```\n" + GOOD, "ELIGIBLE", False, 81, ["a", "3"], [("SBU", "SBU", True, "pass", "x", None)]),
+        ("Hasil: " + GOOD + " demikian", "ELIGIBLE", False, 81, ["a", "3"], [("SBU", "SBU", True, "pass", "x", None)]),
+        ('{"fit_score": 170}', "ELIGIBLE", True, 100, [], []),
+        ('{"fit_score": -5, "eligibility_status": "unsure"}', "CONDITIONALLY_ELIGIBLE", True, 0, [], []),
+        ('{"eligibility_status": "NOT_ELIGIBLE"}', "NOT_ELIGIBLE", False, 0, [], []),
+        ('{"fit_score": "many"}', "NOT_READY", False, 0, ["Gagal mem-parse respons AI."], []),
+        ("[1, 2]", "NOT_READY", False, 0, ["Gagal mem-parse respons AI."], []),
+        ("```", "NOT_READY", False, 0, ["Gagal mem-parse respons AI."], []),
+        ("no json", "NOT_READY", False, 0, ["Gagal mem-parse respons AI."], []),
+        ("", "NOT_READY", False, 0, ["Gagal mem-parse respons AI."], []),
+        (None, "NOT_READY", False, 0, ["Gagal mem-parse respons AI."], []),
+    ],
+)
+def test_match_response(spark, raw, status, passed, score, blockers, criteria):
+    r = one(spark, S.validate_match_response(F.col("h")), h=raw)
+    assert (r.eligibility_status, r.mandatory_passed, r.fit_score, r.blockers, [tuple(c) for c in r.criteria]) == (status, passed, score, blockers, criteria)
