@@ -12,7 +12,11 @@ def held_out(id: str = "doc_id") -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``most`` labelled rows, chosen by hash of the id, none of them held out."""
+    """(doc_id, text, y) of at most ``most`` labelled rows, chosen by hash of the id, none of them held out.
+
+    Of documents with equal ids the first by text is learned from.
+    """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out())
     sample = rows.orderBy(F.xxhash64("doc_id"), "y").limit(most)
-    return documents.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")  # at most ``most`` rows
+    found = documents.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")  # at most ``most`` rows
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tenderlake.llm import fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, quality, shared, substring_dedup, topk_search, toxicity
@@ -90,6 +91,37 @@ def test_shared_run_is_found(spark):
     assert got[1] & got[2] and not got[1] & got[3]
 
 
+def plain_winnowing(text, k=5, window=8):
+    """(hash, place) of every window's smallest hash, the rightmost of ties, by loops."""
+    signed = 2**64 - 1
+    turn = lambda x, n: (x << n | x >> 64 - n) & signed if n else x
+    h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in SPACED.findall(text.lower())]
+    grams = []
+    for i in range(len(h) - k + 1):
+        g = 0
+        for j in range(k):
+            g ^= turn(h[i + j], k - 1 - j)
+        grams.append(g >> 4)
+    out = []
+    for at in range(max(len(grams) - window + 1, min(len(grams), 1))):
+        own = grams[at : at + window]
+        place = at + max(j for j, g in enumerate(own) if g == min(own))
+        if place not in [p for _, p in out]:
+            out.append((grams[place], place))
+    return out
+
+
+def test_winnowing_matches_a_plain_loop(spark):
+    rows = [(i, t) for i, t in prose(60, seed=2, words=50) if len(t.split()) >= 5] + [(500, "a b a b a b a b a b a b a b a b a b a b"), (501, "One two three four five")]
+    want = {i: plain_winnowing(t) for i, t in rows}
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs(spark, rows)).collect()}
+    order = sorted(want, reverse=True)
+    for k, i in enumerate(order):
+        assert got[i].fingerprint == " ".join(f"{h:x}@{p}" for h, p in want[i])
+        a, b = ({h for h, _ in want[j]} for j in (i, order[(k + 1) % len(order)]))
+        assert got[i].near_next == pytest.approx(len(a & b) / len(a | b))
+
+
 def test_fingerprints_odd(spark):
     got = fingerprints.edited_fingerprints(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and len({r.fingerprint for r in got if r.doc_id in (4, 5)}) == 1
@@ -157,6 +189,42 @@ def test_pairs_of_terms_are_learned():
     assert np.mean((model.scores(np.concatenate(rows), bounds) > 0.5) == y) == 1
 
 
+def test_machine_matches_pairs_by_loops():
+    """The score of each row is the bias, its terms' weights and every pair of their vectors."""
+    r = np.random.default_rng(5)
+    model = toxicity.FactorizationMachine(np.arange(20), 0.3, r.normal(size=20), r.normal(size=(20, 4)))
+    rows = [r.choice(20, n, replace=False) for n in (0, 1, 2, 7, 20)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    got = model.raw(np.concatenate(rows).astype(int), bounds)[0]
+    for row, score in zip(rows, got):
+        want = 0.3 + sum(model.weights[i] for i in row) + sum(model.vectors[i] @ model.vectors[j] for a, i in enumerate(row) for j in row[:a])
+        assert score == pytest.approx(want)
+
+
+def test_trees_match_a_plain_walk():
+    r = np.random.default_rng(6)
+    x, y = r.normal(size=(300, 5)), r.integers(0, 2, 300).astype(float)
+    model = quality.fit(x, y, trees=7, depth=3)
+    for row, score in zip(x[:50], model.raw(x[:50])):
+        want = model.start
+        for feature, cut, value in zip(model.feature, model.cut, model.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            want += value[node - len(feature)]
+        assert score == pytest.approx(want)
+
+
+def test_training_rows_stay_bounded(spark):
+    """Repeated ids of documents don't add to the sample."""
+    from tenderlake.llm.labelled import training_rows
+
+    table = docs(spark, [(i % 10, f"t{i}") for i in range(100)])
+    marks = spark.createDataFrame([(i, 1, 1) for i in range(10)], "doc_id long, quality int, toxic int")
+    got = training_rows(table, marks, "toxic", 4).collect()
+    assert len(got) == 4 and all(r.text == f"t{r.doc_id}" for r in got)
+
+
 def test_trees_in_arrays():
     r = np.random.default_rng(2)
     x = r.normal(size=(2000, 3))
@@ -434,6 +502,19 @@ def test_near_groups_odd(spark):
 # Search
 
 
+def test_long_texts(spark):
+    """A text of five megabytes in one line beside short ones, through every operator."""
+    table = docs(spark, [(1, "lorem ipsum dolor " * 280_000), (2, "a b c"), (3, "a b c")])
+    marks = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in substring_dedup.without_repeats(table, min_words=1).collect()} == {1, 2}
+    assert fingerprints.edited_fingerprints(table).count() == 3 and toxicity.toxicity(table, marks).count() == 3 and quality.quality(table, marks).count() == 3
+    assert packing.pack_documents(table).groupBy("doc_id").agg(F.sum("length")).count() == 3 and license_scan.scan(table).count() == 3
+    assert [tuple(r) for r in line_dedup.repeated_lines(table).collect()] == [(3, 0, 2, 0)]
+    assert mixing.mix(table).agg(F.sum("taken")).first()[0] == 840_006
+    assert {r.doc_id: r.component_id for r in ngram_join.near_groups(table).collect()} == {1: 1, 2: 2, 3: 2}
+    assert {r.query_id for r in topk_search.search(table, table).collect()} == {1, 2, 3}
+
+
 def test_search_is_exact(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "SHARD", 50)
     rows = prose(300, seed=9) + [(1000, None), (1001, "")]
