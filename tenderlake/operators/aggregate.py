@@ -137,10 +137,16 @@ def recent_n(df: DataFrame, *order: Column, n: int = 10) -> DataFrame:
 
 
 def result_page(df: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
-    """A page of tenders in dashboard order; the total is a count of its own."""
+    """A page of tenders in dashboard order; see ``page_total`` for how many there are."""
     return df.orderBy(F.desc("is_it_priority"), F.desc("priority_score"), F.desc("scraped_at"), "id").offset((page - 1) * size).limit(size)
 
 
+def page_total(df: DataFrame, size: int = 20) -> DataFrame:
+    """One row: total rows and total_pages, at least one."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return total.withColumn("total_pages", F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("long"))
+
+
 def budget_gate(jobs: DataFrame, used: DataFrame, limit: int = 100) -> DataFrame:
     """Jobs that a company's remaining executions of the day admit, in claim order; used: company_id, usage_date, used."""
     day = F.to_date("started_at")

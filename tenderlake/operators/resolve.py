@@ -118,7 +118,8 @@ def stale_matches(pairs: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def tender_winner(tenders: DataFrame, winners: DataFrame) -> DataFrame:
-    w = winners.select(F.col("tender_id").alias("id"), F.col("company_name").alias("winner_name"), F.col("winning_value"))
+    """Each tender with all that is stored of its winner, whose name is winner_name, and whether there is one."""
+    w = winners.withColumnsRenamed({"tender_id": "id", "company_name": "winner_name"})
     return tenders.select("id").join(w, "id", "left").withColumn("status", F.when(F.col("winner_name").isNull(), "not_available").otherwise("ok"))
 
 

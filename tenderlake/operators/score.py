@@ -347,3 +347,18 @@ def next_job_state(jobs: DataFrame, as_of: Column, retry_minutes: int = 15) -> D
     status = F.when(o == "success", "completed").when(o == "rate_limited", "pending").when(o == "permanent", "failed").when(o == "skip", "skipped").when(tried >= F.col("max_attempts"), "failed").otherwise("pending")
     later = as_of + F.make_dt_interval(F.lit(0), F.lit(0), (F.lit(retry_minutes) * tried).cast("int"))
     return jobs.withColumn("next_status", status).withColumn("next_attempts", F.when(o.isin("rate_limited", "skip"), F.col("attempts")).otherwise(tried)).withColumn("next_scheduled_at", F.when((o == "transient") & (F.col("next_status") == "pending"), later).when(o == "rate_limited", as_of + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(retry_minutes))).otherwise(F.col("scheduled_at")))
+
+
+def cascade_to_scores(jobs: DataFrame) -> DataFrame:
+    """(tender_id, company_id, id, next_status) of score jobs after the match jobs' ``outcome``.
+
+    jobs: id, tender_id, company_id, job_type (match or score), status, outcome. After a success the pair's score job is
+    pending again if it had failed or was skipped, and made (id null) if there was none; after a skip it is skipped unless
+    it is completed. A success outweighs a skip. Others keep their status.
+    """
+    pair = ["tender_id", "company_id"]
+    matched = jobs.where("job_type = 'match'").groupBy(*pair).agg(F.coalesce(F.bool_or(F.col("outcome") == "success"), F.lit(False)).alias("done"), F.coalesce(F.bool_or(F.col("outcome") == "skip"), F.lit(False)).alias("left_out"))
+    scores = jobs.where("job_type = 'score'").select(*pair, "id", "status")
+    status = F.when(F.col("done"), F.when(F.col("status").isNull() | F.col("status").isin("failed", "skipped"), "pending").otherwise(F.col("status"))).when(F.col("left_out") & (F.col("status") != "completed"), "skipped").otherwise(F.col("status"))
+    rows = matched.join(scores, pair, "full").withColumn("next_status", status)
+    return rows.where("next_status is not null").select(*pair, "id", "next_status")

@@ -308,7 +308,7 @@ def j7_stale_matches(spark, sf_dir):
     return R.stale_matches(rows, rows.where("company_id % 5 <> 0")).select("tender_id", "company_id")
 
 
-@query("SELECT t.id, company_name AS winner_name, winning_value, CASE WHEN company_name IS NULL THEN 'not_available' ELSE 'ok' END AS status FROM tenders t LEFT JOIN winners w ON w.tender_id = t.id", "tenders", "winners")
+@query("SELECT t.id, company_name AS winner_name, company_id, npwp, created_at, winning_value, CASE WHEN company_name IS NULL THEN 'not_available' ELSE 'ok' END AS status FROM tenders t LEFT JOIN winners w ON w.tender_id = t.id", "tenders", "winners")
 def j8_tender_winner(spark, sf_dir):
     return R.tender_winner(D.tenders(spark, sf_dir), D.winners(spark, sf_dir))
 
@@ -480,6 +480,19 @@ def m11_next_job_state(spark, sf_dir):
     return M.next_job_state(rows, now()).select("id", "next_status", "next_attempts")
 
 
+@query(
+    """, j AS (SELECT *, ['success', 'rate_limited', 'permanent', 'transient', 'skip'][CAST(id % 5 AS INTEGER) + 1] AS outcome FROM jobs),
+    m AS (SELECT tender_id, company_id, bool_or(outcome = 'success') AS done, bool_or(outcome = 'skip') AS left_out FROM j WHERE job_type = 'match' GROUP BY ALL),
+    s AS (SELECT tender_id, company_id, id, status FROM j WHERE job_type = 'score')
+    SELECT tender_id, company_id, id, CASE WHEN done THEN CASE WHEN status IS NULL OR status IN ('failed', 'skipped') THEN 'pending' ELSE status END WHEN left_out AND status <> 'completed' THEN 'skipped' ELSE status END AS next_status
+    FROM m FULL JOIN s USING (tender_id, company_id) WHERE done OR status IS NOT NULL""",
+    "jobs",
+)
+def m11_cascade_to_scores(spark, sf_dir):
+    rows = D.jobs(spark, sf_dir).withColumn("outcome", D.pick(("success", "rate_limited", "permanent", "transient", "skip"), F.col("id")))
+    return M.cascade_to_scores(rows)
+
+
 # Aggregates
 
 
@@ -601,6 +614,11 @@ def w3_result_page(spark, sf_dir):
     return A.result_page(D.tenders(spark, sf_dir), page=2).select("id")
 
 
+@query("SELECT count(*) AS total, greatest(CAST(ceil(count(*) / 20) AS BIGINT), 1) AS total_pages FROM tenders", "tenders")
+def w3_page_total(spark, sf_dir):
+    return A.page_total(D.tenders(spark, sf_dir))
+
+
 @query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY company_id, CAST(started_at AS DATE) ORDER BY priority DESC, scheduled_at NULLS FIRST, id) AS r, count(*) FILTER (status = 'completed') OVER (PARTITION BY company_id, CAST(started_at AS DATE)) AS used FROM jobs) WHERE r <= 5 - used", "jobs")
 def w4_budget_gate(spark, sf_dir):
     jobs = D.jobs(spark, sf_dir)
