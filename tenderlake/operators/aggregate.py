@@ -80,19 +80,28 @@ def frequency_topk(df: DataFrame, column: Column, k: int = 20) -> DataFrame:
 
 
 def intelligence_status(tenders: DataFrame, matches: DataFrame, scores: DataFrame, companies: DataFrame) -> DataFrame:
-    """Per company: submittable tenders, how many are matched, scored and ready, percentages half-even, and a state.
+    """Per company: open tenders, how many are matched, scored and ready, percentages matched and ready (half-even), a state and a message.
 
-    Where no tender is submittable all scores count.
+    Where no tender is open all scores count.
     """
-    live = tenders.where(P.is_submittable(F.col("tahap")) & ~P.is_terminal(F.col("tahap"))).select(F.col("id").alias("tender_id"))
+    live = tenders.where(~P.is_terminal(F.col("tahap"))).select(F.col("id").alias("tender_id"))
     total = live.agg(F.count(F.lit(1)).alias("tenders"))
     m = matches.join(live, "tender_id", "left_semi").groupBy("company_id").agg(F.count(F.lit(1)).alias("matched"))
     s = scores.join(live.withColumn("live", F.lit(True)), "tender_id", "left").crossJoin(F.broadcast(total)).where("live or tenders = 0")
     s = s.groupBy("company_id").agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("status") == "ready").alias("ready"))
     rows = companies.select(F.col("id").alias("company_id")).crossJoin(F.broadcast(total)).join(m, "company_id", "left").join(s, "company_id", "left").na.fill(0)
     percent = lambda c: F.coalesce(F.bround(F.try_divide(F.col(c) * 100.0, F.col("tenders"))).cast("int"), F.lit(0))
-    rows = rows.withColumn("matched_percent", percent("matched")).withColumn("scored_percent", percent("scored"))
-    return rows.withColumn("state", F.when(F.col("ready") == 0, "NOT_READY").when((F.col("matched") >= F.col("tenders")) & (F.col("scored") >= F.col("tenders")), "READY").otherwise("PARTIAL"))
+    rows = rows.withColumn("matched_percent", percent("matched")).withColumn("ready_percent", percent("ready"))
+    state = F.when((F.col("tenders") == 0) | (F.col("matched") == 0) | (F.col("ready") == 0), "NOT_READY").when((F.col("matched_percent") >= 100) & (F.col("ready_percent") >= 100), "READY").otherwise("PARTIAL")
+    # What is said of a state.
+    message = (
+        F.when(F.col("state") == "READY", F.concat(F.lit("Pipeline siap: "), "ready", F.lit(" peluang layak tersedia untuk "), "tenders", F.lit(" tender aktif.")))
+        .when(F.col("state") == "PARTIAL", F.concat(F.lit("Pipeline sebagian siap: "), "ready", F.lit(" peluang siap dari "), "tenders", F.lit(" tender aktif.")))
+        .when(F.col("tenders") == 0, "Belum ada tender aktif yang dapat dianalisis.")
+        .when(F.col("matched") == 0, "Belum ada analisis AI. Jalankan AI Match untuk tender aktif.")
+        .otherwise("Belum ada skor peluang yang siap. Selesaikan Opportunity Score.")
+    )
+    return rows.withColumn("state", state).withColumn("message", message)
 
 
 def company_completion(companies: DataFrame, quals: DataFrame) -> DataFrame:

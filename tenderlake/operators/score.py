@@ -100,57 +100,113 @@ def company_words(profiles: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("qual_hits", category_hits(F.col("tokens"))).drop(text)
 
 
+def requirement_flags(quals: DataFrame) -> DataFrame:
+    """(company_id, says_sbu, says_izin, gate_sbu, gate_izin): what active qualifications say by category or name, for the matcher and for the hard gates."""
+    category, name = F.lower(S.text("category")), F.lower(S.text("name"))
+    holds = lambda *words: reduce(Column.__or__, (F.contains(c, F.lit(w)) for c in (category, name) for w in words))
+    named = lambda *words: reduce(Column.__or__, (F.contains(name, F.lit(w)) for w in words))
+    flags = {"says_sbu": holds("sbu", "badan usaha"), "says_izin": holds("izin", "nib", "siup"), "gate_sbu": (category == "sbu") | named("sbu", "sertifikat badan usaha"), "gate_izin": (category == "izin_usaha") | named("izin", "nib")}
+    return quals.where("status = 'active'").groupBy("company_id").agg(*(F.bool_or(c).alias(n) for n, c in flags.items()))
+
+
+CRITERION = "struct<requirement:string,category:string,mandatory:boolean,status:string,evidence:string,action:string>"
+
+
+def _criterion(requirement, category, mandatory: bool, status, evidence, action) -> Column:
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    values = zip(("requirement", "category", "mandatory", "status", "evidence", "action"), (requirement, category, mandatory, status, evidence, action))
+    return F.struct(*(as_column(v).alias(n) for n, v in values)).cast(CRITERION)
+
+
+def _own_codes() -> Column:
+    return F.coalesce(F.nullif(F.array_join(F.sort_array("codes"), ", "), F.lit("")), F.lit("tidak ada"))
+
+
 def rule_match(pairs: DataFrame) -> DataFrame:
-    """Adds status, fit_score, blockers, missing and actions to pairs of ``tender_words`` and ``company_words`` rows.
+    """Adds status, fit_score, blockers, missing, actions, criteria and summary to pairs of ``tender_words`` and ``company_words`` rows.
 
     pairs also need codes, has_sbu, has_izin, nib, npwp, qualifications. The cosine of a pair is 0 (see ``tfidf_cosine``), so
-    the soft score is 0.4 of the category score.
+    the soft score is 0.4 of the category score. The texts are fixed values.
     """
-    gates = F.col("gates")
+    gates, nib, npwp = F.col("gates"), F.trim(S.text("nib")), F.trim(S.text("npwp"))
     soft = F.lit(0.4) * keyword_category_score(F.col("req_hits"), F.col("qual_hits"))
-    no_kbli = gates["kbli"].isNotNull() & ~F.array_contains("codes", gates["kbli"])
-    no_sbu = gates["sbu"] & ~F.col("has_sbu")
-    no_license = gates["license"] & ~((F.length(S.text("nib")) >= 5) | F.col("has_izin"))
-    no_npwp = gates["npwp"] & (F.length(S.text("npwp")) < 8)
-    blockers = F.array_compact(F.array(
-        F.when(no_kbli, F.concat(F.lit("KBLI mismatch: Tender membutuhkan KBLI "), gates["kbli"], F.lit(", perusahaan tidak memilikinya."))),
-        F.when(no_sbu, "SBU tidak ditemukan pada profil perusahaan."), F.when(no_license, "NIB / Izin Usaha tidak ditemukan."), F.when(no_npwp, "NPWP perusahaan tidak tersedia."),
-    ))
-    actions = F.array_compact(F.array(
-        F.when(no_kbli, F.concat(F.lit("Lengkapi KBLI "), gates["kbli"], F.lit(" di profil perusahaan."))), F.when(no_sbu, "Unggah dokumen SBU yang masih berlaku."),
-        F.when(no_license, "Lengkapi data NIB dan Izin Usaha."), F.when(no_npwp, "Lengkapi NPWP perusahaan."),
-    ))
-    unmet = F.filter("sentences", lambda s: F.size(F.array_intersect(s["words"], F.col("tokens"))) / F.greatest(F.size(s["words"]), F.lit(1)) <= 0.3)
-    missing = F.transform(unmet, lambda s: F.substring(s["sentence"], 1, 80))
-    empty = (F.col("qualifications") == 0) & (S.text("nib") == "")
-    rows = pairs.withColumn("blockers", F.when(empty, F.array(F.lit("Tidak ada data kualifikasi perusahaan."))).otherwise(blockers)).withColumn("_soft", soft)
+    say = lambda *x: F.concat(*(y if isinstance(y, Column) else F.lit(y) for y in x))
+    # asked, missing, criterion, category, evidence if there, evidence if missing, what to do, blocker, action
+    checks = [
+        (gates["kbli"].isNotNull(), ~F.array_contains("codes", gates["kbli"]), say("Kesesuaian KBLI (", gates["kbli"], ")"), "KBLI", say("KBLI ", gates["kbli"], " aktif terdaftar pada profil perusahaan."), say("Perusahaan memiliki KBLI: ", _own_codes(), "."),
+         say("Tambahkan KBLI ", gates["kbli"], " pada profil perusahaan jika bidang usaha sesuai."), say("KBLI mismatch: Tender membutuhkan KBLI ", gates["kbli"], ", perusahaan tidak memilikinya."), say("Lengkapi KBLI ", gates["kbli"], " di profil perusahaan.")),
+        (gates["sbu"], ~F.col("has_sbu"), "Kepemilikan SBU (Sertifikat Badan Usaha) aktif", "SBU", "Dokumen SBU aktif terdaftar pada profil kualifikasi.", "Tidak ada dokumen SBU tercatat pada profil perusahaan.",
+         "Unggah dan verifikasi SBU yang sesuai dengan subklasifikasi tender.", F.lit("SBU tidak ditemukan pada profil perusahaan."), F.lit("Unggah dokumen SBU yang masih berlaku.")),
+        (gates["license"], ~((F.length(nib) >= 5) | F.col("has_izin")), "Izin Usaha / NIB (Nomor Induk Berusaha) aktif", "BUSINESS_LICENSE", say("NIB ", nib, " / Izin Usaha aktif tercatat."), "NIB / Izin usaha tidak ditemukan pada profil perusahaan.",
+         "Lengkapi NIB atau Izin Usaha perusahaan.", F.lit("NIB / Izin Usaha tidak ditemukan."), F.lit("Lengkapi data NIB dan Izin Usaha.")),
+        (gates["npwp"], F.length(npwp) < 8, "Nomor Pokok Wajib Pajak (NPWP)", "FINANCIAL", say("NPWP ", npwp, " valid."), "NPWP perusahaan belum diisi atau tidak valid.",
+         "Lengkapi nomor NPWP perusahaan di profil.", F.lit("NPWP perusahaan tidak tersedia."), F.lit("Lengkapi NPWP perusahaan.")),
+    ]
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    hard = [F.when(asked, _criterion(title, kind, True, F.when(fails, "fail").otherwise("pass"), F.when(fails, as_column(bad)).otherwise(as_column(good)), F.when(fails, as_column(todo)))) for asked, fails, title, kind, good, bad, todo, _, _ in checks]
+    blockers = F.array_compact(F.array(*(F.when(asked & fails, blocker) for asked, fails, *_, blocker, _ in checks)))
+    actions = F.array_compact(F.array(*(F.when(asked & fails, action) for asked, fails, *_, action in checks)))
+    shared = F.transform("sentences", lambda s: F.struct(s["sentence"].alias("sentence"), F.size(F.array_intersect(s["words"], F.col("tokens"))).alias("hits"), F.greatest(F.size(s["words"]), F.lit(1)).alias("of")))
+    technical = lambda s: S.contains_any(s["sentence"], ("teknis", "sistem", "software", "alat", "metode"))
+    met = lambda s, share: s["hits"] / s["of"] > share
+    todo = lambda s: F.when(met(s, 0.1), "Periksa kesiapan dokumen teknis pendukung").otherwise("Perlu verifikasi dokumen pendukung sebelum penawaran")
+    evidence = lambda s: F.when(s["hits"] > 0, say("Kesesuaian profil teknis: ", s["hits"].cast("string"), "/", s["of"].cast("string"), " istilah cocok.")).otherwise("Belum ditemukan bukti eksplisit.")
+    rows = pairs.withColumn("_soft", soft).withColumn("_shared", shared)
+    easy = F.transform("_shared", lambda s: _criterion(F.substring(s["sentence"], 1, 120), F.when(technical(s), "TECHNICAL").otherwise("EXPERIENCE"), False, F.when(met(s, 0.3), "pass").otherwise("needs_action"), evidence(s), F.when(~met(s, 0.3), todo(s))))
+    missing = F.transform(F.filter("_shared", lambda s: ~met(s, 0.3)), lambda s: F.substring(s["sentence"], 1, 80))
+    empty, none = (F.col("qualifications") == 0) & (F.length(nib) < 5), F.array().cast("array<string>")
+    rows = rows.withColumn("blockers", F.when(empty, F.array(F.lit("Tidak ada data kualifikasi perusahaan."))).otherwise(blockers))
+    rows = rows.withColumn("criteria", F.when(empty, F.array().cast(f"array<{CRITERION}>")).otherwise(F.concat(F.array_compact(F.array(*hard)), easy)))
     blocked = F.size("blockers") > 0
     score = F.when(empty, 0).when(blocked, F.least(F.lit(25), (F.col("_soft") * 25).cast("int"))).otherwise((50 + 50 * F.least(F.lit(1.0), F.col("_soft") * 2)).cast("int"))
     rows = rows.withColumn("status", F.when(empty, "NOT_READY").when(blocked, "NOT_ELIGIBLE").otherwise("ELIGIBLE")).withColumn("fit_score", score.cast("int"))
     default = F.when(F.col("status") == "ELIGIBLE", F.array(F.lit("Siapkan berkas penawaran."))).otherwise(F.array(F.lit("Penuhi kendala kualifikasi mutlak.")))
-    return rows.withColumn("missing", missing).withColumn("actions", F.when(F.size(actions) > 0, actions).otherwise(default)).drop("_soft")
+    actions = F.when(empty, F.array(F.lit("Lengkapi profil kualifikasi perusahaan."))).when(F.size(actions) > 0, actions).otherwise(default)
+    summary = (
+        F.when(empty, "Profil kualifikasi perusahaan belum diisi.")
+        .when(blocked, say("Tidak memenuhi syarat mutlak (", F.size("blockers").cast("string"), " kendala fatal: ", F.array_join(F.slice("blockers", 1, 2), "; "), ")"))
+        .otherwise(say("Memenuhi seluruh persyaratan kualifikasi tender (Skor Teknis: ", F.col("fit_score").cast("string"), "%)"))
+    )
+    return rows.withColumn("missing", F.when(empty, none).otherwise(missing)).withColumn("actions", actions).withColumn("summary", summary).drop("_soft", "_shared")
+
+
+def _set_criterion(criteria: Column, category: str, new: Column, at: int) -> Column:
+    """The first criterion of the category, or that names it, gets what ``new`` says but its own title; else ``new`` is put at a place."""
+    found = F.array_position(F.transform(criteria, lambda c: (c["category"] == category) | F.contains(F.lower(c["requirement"]), F.lit(category.lower()))), True)
+    replaced = F.transform(criteria, lambda c, i: F.when(i + 1 == found, F.struct(c["requirement"].alias("requirement"), c["category"].alias("category"), new["mandatory"].alias("mandatory"), new["status"].alias("status"), new["evidence"].alias("evidence"), new["action"].alias("action")).cast(CRITERION)).otherwise(c))
+    put = F.concat(F.slice(criteria, 1, at), F.array(new), F.slice(criteria, at + 1, F.greatest(F.size(criteria) - at, F.lit(0))))
+    return F.when(found > 0, replaced).otherwise(put)
 
 
 def enforce_hard_gates(rows: DataFrame) -> DataFrame:
-    """Holds any match against the gates anew: kbli_code, codes, has_sbu, has_izin, nib, qualifications, blockers, fit_score.
+    """Holds any match against the gates anew: kbli_code, codes, has_sbu, has_izin, nib, qualifications, blockers, criteria, summary, fit_score.
 
-    Also needs ``gates``, or else ``requirement`` to find them in.
+    Also needs ``gates``, or else ``requirement`` to find them in. The company's flags are ``gate_sbu`` and ``gate_izin`` if
+    there, else has_sbu and has_izin. The texts are fixed values.
     """
     gates = F.col("gates") if "gates" in rows.columns else required_gates(F.col("requirement"))
+    sbu, izin = (F.col(f"gate_{n}") if f"gate_{n}" in rows.columns else F.col(f"has_{n}") for n in ("sbu", "izin"))
     has_nib = F.length(F.trim(S.text("nib"))) >= 5
     known = lambda word: F.exists("blockers", lambda b: F.contains(F.lower(b), F.lit(word)))
+    say = lambda *x: F.concat(*(y if isinstance(y, Column) else F.lit(y) for y in x))
     code = F.trim(S.text("kbli_code"))
+    no_code, no_sbu = (code != "") & ~F.array_contains("codes", code), gates["sbu"] & ~sbu
     added = F.array_compact(F.array(
-        F.when((code != "") & ~F.array_contains("codes", code) & ~known("kbli mismatch"), F.concat(F.lit("KBLI mismatch: Tender mensyaratkan KBLI "), code, F.lit(", perusahaan tidak memilikinya."))),
-        F.when(gates["sbu"] & ~F.col("has_sbu") & ~known("sbu"), "SBU tidak ditemukan pada profil perusahaan."),
-        F.when(~has_nib & ~F.col("has_izin") & ~known("izin") & ~known("nib"), "NIB / Izin Usaha tidak ditemukan pada profil perusahaan."),
+        F.when(no_code & ~known("kbli mismatch"), say("KBLI mismatch: Tender mensyaratkan KBLI ", code, ", perusahaan tidak memilikinya.")),
+        F.when(no_sbu & ~known("sbu"), "SBU tidak ditemukan pada profil perusahaan."), F.when(~has_nib & ~izin & ~known("izin") & ~known("nib"), "NIB / Izin Usaha tidak ditemukan pada profil perusahaan."),
     ))
     unready = (F.col("qualifications") == 0) & ~has_nib
-    blockers = F.when(unready, F.array(F.lit("Tidak ada data kualifikasi perusahaan."))).otherwise(F.concat("blockers", added))
-    rows = rows.withColumn("_b", blockers)
-    status = F.when(unready, "NOT_READY").when(F.size("_b") > 0, "NOT_ELIGIBLE").otherwise("ELIGIBLE")
-    score = F.when(unready, 0).when(F.size("_b") > 0, F.least(F.lit(25), F.col("fit_score"))).otherwise(F.col("fit_score"))
-    return rows.withColumn("blockers", F.col("_b")).withColumn("status", status).withColumn("fit_score", score.cast("int")).drop("_b")
+    rows = rows.withColumn("_b", F.when(unready, F.array(F.lit("Tidak ada data kualifikasi perusahaan."))).otherwise(F.concat("blockers", added)))
+    kbli = _criterion(say("Kesesuaian KBLI (", code, ")"), "KBLI", True, "fail", say("KBLI perusahaan: ", _own_codes()), say("Tambahkan KBLI ", code, " pada profil perusahaan jika bidang usaha sesuai."))
+    paper = _criterion("Kepemilikan SBU (Sertifikat Badan Usaha) aktif", "SBU", True, "fail", "Tidak ada dokumen SBU aktif.", "Unggah dokumen SBU yang sesuai.")
+    rows = rows.withColumn("criteria", F.when(no_code, _set_criterion(F.col("criteria"), "KBLI", kbli, 0)).otherwise(F.col("criteria")))
+    rows = rows.withColumn("criteria", F.when(no_sbu, _set_criterion(F.col("criteria"), "SBU", paper, 1)).otherwise(F.col("criteria")))
+    rows = rows.withColumn("criteria", F.when(unready, F.array().cast(f"array<{CRITERION}>")).otherwise(F.col("criteria")))
+    blocked, open_ = F.size("_b") > 0, F.exists("criteria", lambda c: c["mandatory"] & (c["status"] == "needs_action"))
+    status = F.when(unready, "NOT_READY").when(blocked, "NOT_ELIGIBLE").when(open_, "CONDITIONALLY_ELIGIBLE").otherwise("ELIGIBLE")
+    score = F.when(unready, 0).when(blocked, F.least(F.lit(25), F.col("fit_score"))).otherwise(F.col("fit_score"))
+    summary = F.when(unready, "Profil kualifikasi perusahaan belum diisi.").when(blocked, say("Tidak memenuhi syarat mutlak — ", F.size("_b").cast("string"), " kendala fatal: ", F.array_join(F.slice("_b", 1, 2), "; "))).otherwise(F.col("summary"))
+    return rows.withColumn("status", status).withColumn("fit_score", score.cast("int")).withColumn("summary", summary).withColumn("blockers", F.col("_b")).drop("_b")
 
 
 def match_pairs(pairs: DataFrame, tenders: DataFrame, firms: DataFrame) -> DataFrame:
@@ -163,7 +219,8 @@ def match_pairs(pairs: DataFrame, tenders: DataFrame, firms: DataFrame) -> DataF
     rows = pairs.join(keyed.drop("requirement"), "tender_id")
     texts = tender_words(keyed.select("key", "requirement").dropDuplicates(["key"])).drop("requirement")
     matched = rule_match(rows.select("key", "company_id").distinct().join(texts, "key").join(firms, "company_id"))
-    matched = matched.select("key", "company_id", "gates", "codes", "has_sbu", "has_izin", "nib", "qualifications", "status", "fit_score", "blockers", "missing", "actions")
+    kept = ["key", "company_id", "gates", "codes", "has_sbu", "has_izin", "nib", "qualifications", "status", "fit_score", "blockers", "missing", "actions", "criteria", "summary"]
+    matched = matched.select(*kept, *(c for c in ("gate_sbu", "gate_izin") if c in matched.columns))
     return enforce_hard_gates(rows.join(matched, ["key", "company_id"])).drop("key")
 
 

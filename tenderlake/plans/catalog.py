@@ -421,9 +421,11 @@ def m10_recommended(spark, sf_dir):
 def m5_rule_match(spark, sf_dir):
     firms = _profile(spark, sf_dir).select("company_id", "codes", "has_sbu", "has_izin", "nib", "npwp", "qualifications")
     texts = D.qualifications(spark, sf_dir).where("status = 'active'").groupBy("company_id").agg(F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct("category", "name", "kbli_code", "project_name", "client_name")))), " ").alias("text"))
+    flags = M.requirement_flags(D.qualifications(spark, sf_dir))
+    firms = firms.drop("has_sbu", "has_izin").join(flags, "company_id", "left").na.fill(False, flags.columns[1:]).withColumnsRenamed({"says_sbu": "has_sbu", "says_izin": "has_izin"})
     firms = M.company_words(firms.join(texts, "company_id", "left"), "text")
     tenders = D.tenders(spark, sf_dir).select(F.col("id").alias("tender_id"), "kbli_code", F.col("requirement_text").alias("requirement"))
-    return M.match_pairs(D.matches(spark, sf_dir).select("tender_id", "company_id"), tenders, firms).select("tender_id", "company_id", "status", "fit_score", "blockers", "missing", "actions")
+    return M.match_pairs(D.matches(spark, sf_dir).select("tender_id", "company_id"), tenders, firms).select("tender_id", "company_id", "status", "fit_score", "blockers", "missing", "actions", "criteria", "summary")
 
 
 @query()
@@ -554,15 +556,18 @@ def a5_frequency_topk(spark, sf_dir):
 
 
 @query(
-    f""", live AS (SELECT id FROM tenders WHERE {SUBMITTABLE} AND NOT {_any("tahap", K.TERMINAL)}), m AS (SELECT company_id, count(*) AS matched FROM matches WHERE tender_id IN (SELECT id FROM live) GROUP BY ALL),
-    s AS (SELECT company_id, count(*) AS scored, count(*) FILTER (fit_score >= 50) AS ready FROM matches WHERE tender_id % 2 = 0 AND tender_id IN (SELECT id FROM live) GROUP BY ALL)
-    SELECT company_id, tenders, matched, scored, ready, CAST(round_even(matched * 100.0::DOUBLE / tenders, 0) AS INTEGER) AS matched_percent, CAST(round_even(scored * 100.0::DOUBLE / tenders, 0) AS INTEGER) AS scored_percent, CASE WHEN ready = 0 THEN 'NOT_READY' WHEN matched >= tenders AND scored >= tenders THEN 'READY' ELSE 'PARTIAL' END AS state
-    FROM (SELECT c.id AS company_id, (SELECT count(*) FROM live) AS tenders, coalesce(matched, 0) AS matched, coalesce(scored, 0) AS scored, coalesce(ready, 0) AS ready FROM companies c LEFT JOIN m ON m.company_id = c.id LEFT JOIN s ON s.company_id = c.id)""",
+    f""", live AS (SELECT id FROM tenders WHERE NOT {_any("tahap", ("selesai", "kontrak", "pembatalan", "dibatalkan", "gugur"))}), m AS (SELECT company_id, count(*) AS matched FROM matches WHERE tender_id IN (SELECT id FROM live) GROUP BY ALL),
+    s AS (SELECT company_id, count(*) AS scored, count(*) FILTER (fit_score >= 50 AND company_id % 3 <> 0) AS ready FROM matches WHERE tender_id IN (SELECT id FROM live) GROUP BY ALL),
+    counted AS (SELECT c.id AS company_id, (SELECT count(*) FROM live) AS tenders, coalesce(matched, 0) AS matched, coalesce(scored, 0) AS scored, coalesce(ready, 0) AS ready FROM companies c LEFT JOIN m ON m.company_id = c.id LEFT JOIN s ON s.company_id = c.id)
+    SELECT *, CAST(round_even(matched * 100.0::DOUBLE / tenders, 0) AS INTEGER) AS matched_percent, CAST(round_even(ready * 100.0::DOUBLE / tenders, 0) AS INTEGER) AS ready_percent,
+      CASE WHEN matched = 0 OR ready = 0 THEN 'NOT_READY' WHEN round_even(matched * 100.0::DOUBLE / tenders, 0) >= 100 AND round_even(ready * 100.0::DOUBLE / tenders, 0) >= 100 THEN 'READY' ELSE 'PARTIAL' END AS state,
+      CASE WHEN matched = 0 THEN 'Belum ada analisis AI. Jalankan AI Match untuk tender aktif.' WHEN ready = 0 THEN 'Belum ada skor peluang yang siap. Selesaikan Opportunity Score.'
+        ELSE 'Pipeline sebagian siap: ' || ready || ' peluang siap dari ' || tenders || ' tender aktif.' END AS message FROM counted""",
     "tenders", "matches", "companies",
 )
 def a6_intelligence_status(spark, sf_dir):
     m = D.matches(spark, sf_dir)
-    scores = m.where("tender_id % 2 = 0").withColumn("status", F.when(F.col("fit_score") >= 50, "ready").otherwise("not_ready"))
+    scores = m.withColumn("status", F.when((F.col("fit_score") >= 50) & (F.col("company_id") % 3 != 0), "ready").otherwise("not_ready"))
     return A.intelligence_status(D.tenders(spark, sf_dir), m, scores, D.companies(spark, sf_dir))
 
 

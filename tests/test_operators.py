@@ -78,7 +78,18 @@ def test_matching_gates(spark):
     assert matched(spark).status == "ELIGIBLE" and matched(spark).fit_score >= 50
     for bad in (matched(spark, codes=("41011",)), matched(spark, sbu=False)):
         assert bad.status == "NOT_ELIGIBLE" and bad.fit_score <= 25 and bad.blockers
-    assert matched(spark, codes=(), sbu=False, nib="", quals=0).status == "NOT_READY"
+    nothing = matched(spark, codes=(), sbu=False, nib="", quals=0)
+    assert (nothing.status, nothing.criteria, nothing.summary, nothing.actions) == ("NOT_READY", [], "Profil kualifikasi perusahaan belum diisi.", ["Lengkapi profil kualifikasi perusahaan."])
+
+
+def test_matching_criteria(spark):
+    good = matched(spark, requirement="Memiliki KBLI 62019 dan SBU aktif. Pengalaman sistem informasi komputer. NPWP dan NIB")
+    assert [(c.category, c.mandatory, c.status) for c in good.criteria] == [("KBLI", True, "pass"), ("SBU", True, "pass"), ("BUSINESS_LICENSE", True, "pass"), ("FINANCIAL", True, "pass"), ("TECHNICAL", False, "pass")]
+    assert good.criteria[4].evidence == "Kesesuaian profil teknis: 2/4 istilah cocok." and good.summary == f"Memenuhi seluruh persyaratan kualifikasi tender (Skor Teknis: {good.fit_score}%)"
+    bad = matched(spark, codes=("41011",), sbu=False)
+    assert [(c.category, c.status, c.evidence) for c in bad.criteria[:2]] == [("KBLI", "fail", "KBLI perusahaan: 41011"), ("SBU", "fail", "Tidak ada dokumen SBU aktif.")] and bad.summary.startswith("Tidak memenuhi syarat mutlak — 2 kendala fatal: KBLI mismatch")
+    other = matched(spark, codes=("41011",), requirement="Pengalaman membangun jembatan gantung panjang")
+    assert [(c.category, c.status, c.action) for c in other.criteria] == [("KBLI", "fail", "Tambahkan KBLI 62019 pada profil perusahaan jika bidang usaha sesuai."), ("EXPERIENCE", "needs_action", "Perlu verifikasi dokumen pendukung sebelum penawaran")]
 
 
 def test_no_history_is_null(spark):
