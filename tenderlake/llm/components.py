@@ -45,11 +45,15 @@ def grouped(entries: DataFrame, possible: str, texts: Callable[[DataFrame], Data
     link meets. texts: (id, ...) of ids, what check needs. check: of distinct pairs (a, b) and these texts, those that link.
 
     All pairs of a block of up to ``small`` ids are tested. In a larger block each id is held against the block's first,
-    so a block of copies takes a test each, not all pairs; and again against one id after the other, chosen by hash, as
-    long as that merges components and what is still apart within blocks is more than ``spare`` pairs for each row (before
-    ``possible``). Then all pairs across components are tested, so no link of any block is lost. With ``finer``, blocks that hold more than
-    that are dealt to smaller ones by these keys before, and where ids held against others merge none any more, the
-    pairs left in the largest blocks are not tested.
+    so a block of copies takes a test each, not all pairs.
+
+    Without ``finer`` ids are then held against one id of their block after the other, chosen by hash, as long as that merges
+    components and what is still apart within blocks is more than ``spare`` pairs for each row (before ``possible``). Then
+    all pairs across components are tested, so no link of any block is lost.
+
+    With ``finer``, all is tested in one go: large blocks are also dealt to smaller ones by these keys, and of those the small
+    ones tested in full, the others against their first. So the work is at most small + 1 pairs for each row and key, and
+    pairs that only meet in blocks that are large even then are not tested.
     """
     columns = [c for c in entries.columns if c != "key"]
     second = [F.col(c).alias(f"{c}_") for c in columns]
@@ -78,9 +82,22 @@ def grouped(entries: DataFrame, possible: str, texts: Callable[[DataFrame], Data
         pairs, held = mixed.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("within")) / 2, F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()  # one row
         return (shared.written(now.join(mixed.select("key"), "key", "left_semi"), "apart") if pairs else now), pairs, held
 
+    def pairs_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs to test of dealt rows, and the rows of large blocks."""
+        few, many = rows.where(F.col("held") <= small), rows.where(F.col("held") > small).drop("held")
+        return candidates(all_pairs(few)).union(candidates(against_one(many, F.min_by(F.struct(*second), "id")))), many
+
     members = dealt(entries, "members")
-    few, many = members.where(F.col("held") <= small), members.where(F.col("held") > small).drop("held")
-    tested = shared.written(candidates(all_pairs(few)).union(candidates(against_one(many, F.min_by(F.struct(*second), "id")))).distinct(), "pairs")
+    tested, many = pairs_of(members)
+    if finer is not None:
+        parts = dealt(many.withColumn("part", F.explode(finer)).select(F.xxhash64("key", "part").alias("key"), *columns), "finer")
+        tested = shared.written(tested.union(pairs_of(parts)[0]).distinct(), "pairs")
+        shared.drop(members, parts)
+        known = texts(tested.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        links = shared.written(check(tested, known), "linked")
+        shared.drop(known, tested)
+        return components(links)
+    tested = shared.written(tested.distinct(), "pairs")
     known = texts(tested.select(F.explode(F.array("a", "b")).alias("id")).union(many.select("id")).distinct())
     links, found = shared.written(check(tested, known), "linked"), None
 
@@ -95,11 +112,6 @@ def grouped(entries: DataFrame, possible: str, texts: Callable[[DataFrame], Data
 
     found = components(links)
     rest, across, held = apart(many, found)
-    if finer is not None and across > spare * held:
-        rest = dealt(rest.withColumn("part", F.explode(finer)).select(F.xxhash64("key", "part").alias("key"), *columns, "label"), "finer")
-        if also(all_pairs(rest.where(F.col("held") <= small), "label != label_")):
-            found = components(links)
-        rest, across, held = apart(rest.where(F.col("held") > small).drop("held"), found)
     turn, merges = 0, True
     while across > spare * held and merges:
         turn += 1
@@ -107,6 +119,6 @@ def grouped(entries: DataFrame, possible: str, texts: Callable[[DataFrame], Data
         if merges:
             found = components(links)
             rest, across, held = apart(rest, found)
-    if across and (finer is None or across <= spare * held) and also(all_pairs(rest, "label != label_")):
+    if across and also(all_pairs(rest, "label != label_")):
         found = components(links)
     return found

@@ -91,5 +91,5 @@ def with_partners(rows: DataFrame, name: str) -> DataFrame:
     dealt = rows.repartition("key")
     others = [c for c in rows.columns if c != "key"]
     counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias(name), *(F.max(c).alias(f"_{c}") for c in others))
-    counts = counts.where((F.col(name) > 1) & F.coalesce(*(F.xxhash64(f"_{c}") for c in others)).isNotNull()).select("key", name)
+    counts = counts.where((F.col(name) > 1) & F.coalesce(*(F.col(f"_{c}").cast("string") for c in others)).isNotNull()).select("key", name)
     return dealt.join(counts.hint("shuffle_hash"), "key")

@@ -115,6 +115,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 30_000, least: in
             yield pa.RecordBatch.from_arrays([ragged(items[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]), batch.column(1)], ["terms", "y"])
 
     kept = rows.mapInArrow(own, "terms array<long>, y int").orderBy("y", F.xxhash64("terms")).toArrow()  # at most ``most`` rows
+    shared.drop(rows, chosen)
     lists = kept["terms"].combine_chunks()
     bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))])
     return fit(held, lists.flatten().to_numpy(), bounds, kept["y"].to_numpy().astype(float))
