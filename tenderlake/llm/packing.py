@@ -8,6 +8,7 @@ length, which Spark computes from counts of hash ranges.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections import defaultdict
@@ -127,13 +128,17 @@ def tokenised_pieces(documents: DataFrame, id: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(path)
-        for batch in pieces(batches, "text", 4 << 20):
-            rows: list[tuple] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.batch(texts), strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                rows += [(doc, k, at, len(x := ids[at : at + capacity]), zlib.crc32(x.tobytes())) for k, at in enumerate(range(0, len(ids), capacity))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        gc.disable()  # nothing here makes cycles, and a collection walks the whole store
+        try:
+            for batch in pieces(batches, "text", 4 << 20):
+                rows: list[tuple] = []
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for doc, ids in zip(batch.column(0).to_pylist(), encoder.batch(texts), strict=True):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    rows += [(doc, k, at, len(x := ids[at : at + capacity]), zlib.crc32(x.tobytes())) for k, at in enumerate(range(0, len(ids), capacity))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            gc.enable()
 
     return shared.only(documents, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, PIECES)
 
