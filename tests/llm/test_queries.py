@@ -22,7 +22,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     want = con.sql(catalog.SQL[name])
     names = sorted(want.columns)
     expected = sorted(con.sql("SELECT " + ", ".join(f'"{n}"' for n in names) + f" FROM ({catalog.SQL[name]})").fetchall(), key=repr)
