@@ -154,3 +154,9 @@ STAGE_SHAPES = (
 
 # What a match can say of eligibility.
 ELIGIBILITY = ("ELIGIBLE", "CONDITIONALLY_ELIGIBLE", "NOT_ELIGIBLE", "NOT_READY", "NOT_APPLICABLE")
+
+# Titles of a qualification's categories and classes.
+CATEGORY_TITLES = {"izin_usaha": "Izin Usaha", "sbu": "SBU (Sertifikat Badan Usaha)", "pengalaman_kerja": "Pengalaman Kerja", "sertifikasi": "Sertifikasi", "sdm": "Sumber Daya Manusia"}
+CLASS_TITLES = {"kecil": "Kecil", "menengah": "Menengah", "besar": "Besar"}
+# Titles of submission statuses.
+SUBMISSION_TITLES = {"belum_diproses": "Belum Diproses", "cocok_diproses": "Cocok & Diproses", "sudah_submit": "Sudah Submit", "menang": "Berhasil Menang", "gagal": "Gagal Menang", "tidak_cocok": "Tidak Cocok"}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tenderlake.functions import keywords as K
 from tenderlake.functions import scalars as S
 
 AUTO_LINK = ("EXACT_NPWP", "EXACT_OFFICIAL_IDENTIFIER", "EXACT_MATCH_NAME_MASKED_NPWP")
@@ -94,6 +97,41 @@ def candidate_pairs(tenders: DataFrame, companies: DataFrame, existing: DataFram
     return pairs.join(existing.select("tender_id", "company_id"), ["tender_id", "company_id"], "left_anti")
 
 
+def pair_delta(tenders_before: DataFrame, tenders_after: DataFrame, firms_before: DataFrame, firms_after: DataFrame) -> DataFrame:
+    """(tender_id, company_id, change) of the pairs that differ between two snapshots; no other pair is formed.
+
+    change: ``new`` for a new tender or a company that wasn't active before, ``changed`` for a company whose fingerprint is
+    another. tenders: id, filtered as for ``candidate_pairs``; firms: company_id, is_active, fingerprint (null: none).
+    Tenders and companies are compared by id first, so what is multiplied is new tenders with companies and changed
+    companies with the other tenders.
+    """
+    ids = tenders_after.select(F.col("id").alias("tender_id"))
+    seen = tenders_before.select(F.col("id").alias("tender_id"))
+    had = firms_before.where("is_active").select("company_id", F.lit(True).alias("_had"), F.col("fingerprint").alias("_fingerprint"))
+    firms = firms_after.where("is_active").join(had, "company_id", "left")
+    change = F.when(F.col("_had").isNull(), "new").when(~F.col("fingerprint").eqNullSafe(F.col("_fingerprint")), "changed")
+    firms = firms.select("company_id", change.alias("change"))
+    fresh = ids.join(seen, "tender_id", "left_anti").crossJoin(firms.select("company_id")).withColumn("change", F.lit("new"))
+    return fresh.unionByName(ids.join(seen, "tender_id", "left_semi").crossJoin(firms.where("change is not null")))
+
+
+def new_candidates(delta: DataFrame, existing: DataFrame) -> DataFrame:
+    """``candidate_pairs`` of the snapshot after, given that all pairs of the one before have jobs in ``existing``."""
+    return delta.where("change = 'new'").select("tender_id", "company_id").join(existing, ["tender_id", "company_id"], "left_anti")
+
+
+def stale_delta(delta: DataFrame, tenders: DataFrame, firms: DataFrame, matches: DataFrame, version: str) -> DataFrame:
+    """(tender_id, company_id, cache_key): ``stale_matches`` over all pairs of the snapshot after, by its ``pair_delta`` and the matches that failed before.
+
+    matches: tender_id, company_id, cache_key, fit_score of every pair of the snapshot before; firms: as for ``pair_delta``.
+    """
+    live = firms.where("is_active").select("company_id", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
+    failed = matches.where("fit_score <= 0").select("tender_id", "company_id").join(tenders.select(F.col("id").alias("tender_id")), "tender_id", "left_semi")
+    rows = delta.select("tender_id", "company_id").unionByName(failed).distinct().join(live, "company_id")
+    key = S.match_cache_key(F.col("tender_id"), F.col("company_id"), F.col("fingerprint"), version)
+    return stale_matches(rows.select("tender_id", "company_id", key.alias("cache_key")), matches)
+
+
 def kbli_matches(tenders: DataFrame, profile: DataFrame) -> DataFrame:
     """(tender_id, company_id) where the tender's code is one of the company's; profile: company_id, codes."""
     codes = profile.select("company_id", F.explode("codes").alias("kbli_code")).where("kbli_code != ''")
@@ -132,12 +170,36 @@ def tender_competition(tenders: DataFrame, participants: DataFrame) -> DataFrame
 
 
 def listing(rows: DataFrame, tenders: DataFrame, companies: DataFrame) -> DataFrame:
-    """Rows with (tender_id, company_id) plus tender and company names, cut to 80 characters."""
+    """Rows with (tender_id, company_id) plus names of the tender, cut to 80 characters, and of the company."""
     t = tenders.select(F.col("id").alias("tender_id"), F.substring("nama_paket", 1, 80).alias("tender_name"))
-    c = companies.select(F.col("id").alias("company_id"), F.substring("name", 1, 80).alias("company_name"))
+    c = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
     return rows.join(t, "tender_id").join(c, "company_id")
 
 
+def submission_listing(submissions: DataFrame, tenders: DataFrame, companies: DataFrame) -> DataFrame:
+    """Submissions with names, the tender's value, and their status under its title; notes and updated_by if there are any."""
+    values = tenders.select(F.col("id").alias("tender_id"), F.coalesce("hps", F.lit(0)).alias("tender_hps"))
+    title = reduce(lambda c, x: c.when(F.col("status") == x[0], x[1]), K.SUBMISSION_TITLES.items(), F.when(F.lit(False), "")).otherwise(F.col("status"))
+    rows = listing(submissions, tenders, companies).join(values, "tender_id").withColumn("status_display", title)
+    extra = [c for c in ("id", "notes", "updated_by") if c in submissions.columns]
+    return rows.select(*extra, "tender_id", "tender_name", "tender_hps", "company_id", "company_name", "status", "status_display", "updated_at")
+
+
+#: What a match of an earlier version lacks; None is an empty list.
+MATCH_DEFAULTS = {"eligibility_status": "ELIGIBLE", "mandatory_passed": True, "matcher_version": "v0.2", "blockers": None, "missing_requirements": None, "recommended_actions": None}
+
+
+def match_listing(matches: DataFrame, tenders: DataFrame, companies: DataFrame) -> DataFrame:
+    """Matches with names; what a match lacks has its default."""
+    rows = matches
+    for name, plain in MATCH_DEFAULTS.items():
+        value = F.array().cast("array<string>") if plain is None else F.lit(plain)
+        rows = rows.withColumn(name, F.coalesce(name, value) if name in matches.columns else value)
+    named = listing(rows, tenders, companies)
+    extra = [c for c in ("id", "summary", "criteria", "llm_provider", "llm_model", "created_at") if c in matches.columns]
+    return named.select("tender_id", "tender_name", "company_id", "company_name", "fit_score", *MATCH_DEFAULTS, *extra)
+
+
 def watchlist_listing(watchlist: DataFrame, tenders: DataFrame, companies: DataFrame, as_of: Column) -> DataFrame:
     dates = tenders.select(F.col("id").alias("tender_id"), S.deadline_first_match(F.col("jadwal")).alias("deadline"))
     rows = listing(watchlist, tenders, companies).join(dates, "tender_id", "left").withColumn("days_left", S.days_left(F.col("deadline"), as_of))

@@ -28,18 +28,34 @@ def company_profile(companies: DataFrame, quals: DataFrame) -> DataFrame:
     )
 
 
-#: What a company's fingerprint is made of, besides the id that orders it.
-FINGERPRINTED = ("category", "name", "kbli_code", "kbli_codes", "status", "project_name", "client_name", "project_year", "value_amount")
+#: What is said of a qualification, besides the id that orders them. The names are keys of the JSON that is matched.
+FINGERPRINTED = (
+    "category", "name", "number", "kbli_code", "kbli_codes", "details", "klasifikasi_usaha", "value_amount", "project_name", "client_name", "project_year", "valid_from", "valid_until", "status",
+)
+
+
+def _as_json(quals: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """(company_id, json): active qualifications in order of id, fields in order of name, map entries in order of key, nulls said."""
+    kinds = dict(quals.dtypes)
+    in_order = {n: F.map_from_entries(F.array_sort(F.map_entries(c))) if kinds.get(n, "").startswith("map") else c for n, c in fields.items()}
+    said = F.to_json(F.struct(*(in_order[n].alias(n) for n in sorted(in_order))), {"ignoreNullFields": "false"})
+    listed = quals.where("status = 'active'").groupBy("company_id").agg(F.sort_array(F.collect_list(F.struct("id", said.alias("said")))).alias("items"))
+    return listed.select("company_id", F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["said"]), ","), F.lit("]")).alias("json"))
 
 
 def qualification_fingerprint(quals: DataFrame, fields: tuple[str, ...] = FINGERPRINTED) -> DataFrame:
-    """(company_id, fingerprint): a hash of a company's active qualifications, which changes when any of them does.
+    """(company_id, fingerprint): a hash of a company's active qualifications, which changes when any of them does."""
+    return _as_json(quals, {n: F.col(n) for n in fields}).select("company_id", F.sha2("json", 256).alias("fingerprint"))
+
+
+def qualification_text(quals: DataFrame) -> DataFrame:
+    """(company_id, text): what a company's text is matched by, the JSON of its active qualifications with its keys.
 
-    It is of their JSON in order of id, fields in order of name.
+    Categories and classes are under their titles too, as the matcher reads them.
     """
-    item = F.struct("id", F.struct(*sorted(fields)).alias("item"))
-    listed = quals.where("status = 'active'").groupBy("company_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return listed.select("company_id", F.sha2(F.to_json(F.transform("items", lambda x: x["item"])), 256).alias("fingerprint"))
+    titled = lambda c, titles: F.coalesce(*(F.when(F.col(c) == k, v) for k, v in titles.items()), S.text(c))
+    fields = {n: F.col(n) for n in FINGERPRINTED} | {"category": titled("category", K.CATEGORY_TITLES), "category_raw": F.col("category"), "klasifikasi_usaha": titled("klasifikasi_usaha", K.CLASS_TITLES)}
+    return _as_json(quals, fields).select("company_id", F.col("json").alias("text"))
 
 
 def required_gates(req: Column) -> Column:
@@ -85,6 +101,61 @@ def tfidf_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
     return dots.join(na, "left_id").join(nb, "right_id").select("left_id", "right_id", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 
 
+def tfidf_weights(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(side, id, word, w, df): unit vectors of (id, tokens) rows over a common corpus; side 0 is left. Words in every document weigh nothing and are left out.
+
+    df counts the right side's documents. Sums are in order of words, so a text has the same weights in every run.
+    """
+    rows = left.select(F.lit(0).alias("side"), "id", "tokens").union(right.select(F.lit(1).alias("side"), "id", "tokens")).where(F.size("tokens") > 0)
+    words = rows.select("side", "id", F.size("tokens").alias("length"), F.explode("tokens").alias("word")).groupBy("side", "id", "length", "word").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.agg(F.count(F.lit(1)).cast("double").alias("total"))
+    idf = words.groupBy("word").agg(F.count(F.lit(1)).alias("of"), F.count_if(F.col("side") == 1).alias("df")).crossJoin(F.broadcast(total))  # total: one row
+    idf = idf.select("word", "df", F.ln(F.col("total") / F.col("of")).alias("idf")).where("idf > 0")
+    weighed = words.join(idf, "word").select("side", "id", F.struct("word", (F.col("n") / F.col("length") * F.col("idf")).alias("w"), "df").alias("x"))
+    listed = weighed.groupBy("side", "id").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # of one document
+    norm = F.sqrt(F.aggregate("xs", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    return listed.withColumn("norm", norm).select("side", "id", F.explode("xs").alias("x"), "norm").select("side", "id", "x.word", (F.col("x.w") / F.col("norm")).alias("w"), "x.df")
+
+
+def _dots(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Adds cosine to (left_id, right_id): the left vector as a map, looked up in order of the right one's words."""
+    side = lambda k, name: vectors.where(f"side = {k}").select(F.col("id").alias(f"{name}_id"), F.col("xs").alias(name))
+    rows = pairs.join(side(0, "left"), "left_id").join(side(1, "right"), "right_id").withColumn("left", F.map_from_entries("left"))
+    dot = F.aggregate("right", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at("left", x["word"]), F.lit(0.0)))
+    return rows.select("left_id", "right_id", dot.alias("cosine"))
+
+
+def _meet(keys: DataFrame, postings: DataFrame, block: int) -> DataFrame:
+    """Distinct (left_id, right_id) with a key word in common. Postings of a word with more than ``block`` documents are split, each part met by itself."""
+    parts = F.greatest(F.ceil(F.col("df") / block), F.lit(1)).cast("int")
+    a = keys.select("left_id", "word", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    b = postings.select("right_id", "word", F.pmod(F.xxhash64("right_id"), parts).cast("int").alias("part"))
+    return a.join(b, ["word", "part"]).select("left_id", "right_id").distinct()
+
+
+def tfidf_best(left: DataFrame, right: DataFrame, block: int = 10_000, digits: int = 9) -> DataFrame:
+    """(left_id, right_id, cosine): for each left document the most similar right one, as of ``tfidf_cosine``; the smallest id among those equal in ``digits``.
+
+    Exact by maximum weights: no document gets more out of a word than the left weight times the word's largest right
+    weight. A left document first meets those that share its rarest word, which gives a cosine to beat. Of its words, by
+    what they could give at most, only as many are keys as are needed so that the rest together can't reach it.
+    """
+    weights = tfidf_weights(left, right)
+    largest = weights.where("side = 1").groupBy("word").agg(F.max("w").alias("most"))
+    own = weights.where("side = 0").join(largest, "word").select(F.col("id").alias("left_id"), "word", "df", (F.col("w") * F.col("most")).alias("bound"))
+    postings = weights.where("side = 1").select(F.col("id").alias("right_id"), "word", "df")
+    vectors = weights.groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("word", "w"))).alias("xs"))
+    rarest = own.groupBy("left_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"), F.min("df").alias("df"))
+    first = _dots(_meet(rarest, postings, block), vectors)
+    reached = first.groupBy("left_id").agg((F.max("cosine") - 2 * 10.0**-digits).alias("reached"))
+    ranked = own.groupBy("left_id").agg(F.sort_array(F.collect_list(F.struct("bound", "word", "df"))).alias("xs"))  # of one document; smallest bound first
+    sums = F.transform("xs", lambda x, k: F.struct(F.aggregate(F.slice("xs", F.lit(1), k + 1), F.lit(0.0), lambda s, y: s + y["bound"]).alias("upto"), x["word"].alias("word"), x["df"].alias("df")))
+    keys = ranked.withColumn("xs", sums).join(reached, "left_id").select("left_id", "reached", F.explode("xs").alias("x")).where(F.col("x.upto") * (1 + 1e-12) >= F.col("reached")).select("left_id", "x.word", "x.df")
+    scored = _dots(_meet(keys, postings, block), vectors).withColumn("cosine", F.round("cosine", digits))
+    best = F.max_by(F.struct("right_id", "cosine"), F.struct("cosine", -F.col("right_id")))
+    return scored.groupBy("left_id").agg(best.alias("b")).select("left_id", "b.*")
+
+
 def tender_words(tenders: DataFrame, requirement: str = "requirement") -> DataFrame:
     """Adds what matching needs of a tender, once for all its pairs: gates, req_hits and sentences (first five that count)."""
     req = S.text(requirement)
@@ -206,7 +277,8 @@ def enforce_hard_gates(rows: DataFrame) -> DataFrame:
     status = F.when(unready, "NOT_READY").when(blocked, "NOT_ELIGIBLE").when(open_, "CONDITIONALLY_ELIGIBLE").otherwise("ELIGIBLE")
     score = F.when(unready, 0).when(blocked, F.least(F.lit(25), F.col("fit_score"))).otherwise(F.col("fit_score"))
     summary = F.when(unready, "Profil kualifikasi perusahaan belum diisi.").when(blocked, say("Tidak memenuhi syarat mutlak — ", F.size("_b").cast("string"), " kendala fatal: ", F.array_join(F.slice("_b", 1, 2), "; "))).otherwise(F.col("summary"))
-    return rows.withColumn("status", status).withColumn("fit_score", score.cast("int")).withColumn("summary", summary).withColumn("blockers", F.col("_b")).drop("_b")
+    passed = ~(unready | blocked)
+    return rows.withColumns({"status": status, "fit_score": score.cast("int"), "mandatory_passed": passed, "summary": summary, "blockers": F.col("_b")}).drop("_b")
 
 
 def match_pairs(pairs: DataFrame, tenders: DataFrame, firms: DataFrame) -> DataFrame:
@@ -270,6 +342,47 @@ def opportunity_score(pairs: DataFrame, as_of: Column) -> DataFrame:
     return rows.select(*pairs.columns, "status", *scores, "final_score", "classification")
 
 
+def stored_scores(scored: DataFrame, existing: DataFrame | None = None, version: str = "v0.1") -> DataFrame:
+    """Rows of the score table after ``opportunity_score``: with their class, breakdown and version.
+
+    A pair whose tender takes no submissions keeps the row that it has in ``existing``. scored also needs summary of the
+    match, and days_left (null without a deadline). The texts are fixed values.
+    """
+    say = lambda *x: F.concat(*(y if isinstance(y, Column) else F.lit(y) for y in x))
+    ready, days = F.col("status") == "ready", F.col("days_left")
+    money, dated = (F.col("hps") > 0) & (F.col("penghasilan") > 0), days.isNotNull()
+    kbli = (F.trim(S.text("kbli_code")) != "") & F.array_contains("codes", F.trim(S.text("kbli_code")))
+    percent = F.bround(F.try_divide(F.col("hps").cast("double"), F.col("penghasilan").cast("double")) * 100, 0).cast("long").cast("string")
+    left = say("Tersisa ", days.cast("string"), " hari sebelum deadline")
+    fit = F.col("fit_score")
+    alignment = lambda word: F.lit(f"Tender memiliki alignment {word} dengan qualification perusahaan.")
+    why = {
+        "qualification": F.when(S.text("summary") != "", F.col("summary")).otherwise("Berdasarkan analisis AI."),
+        "financial": F.when(money, say("Nilai HPS berada pada kisaran ", percent, "% dari penghasilan tahunan perusahaan.")).otherwise("Data HPS atau penghasilan tahunan tidak tersedia."),
+        "experience": F.when(F.col("experience") == 0, "Tidak ada pengalaman kerja tercatat.").when(F.col("complete") > 0, say("Terdapat ", F.col("complete").cast("string"), " pengalaman kerja aktif dengan data proyek yang lengkap.")).otherwise(say("Terdapat ", F.col("experience").cast("string"), " pengalaman kerja aktif.")),
+        "deadline": F.when(~dated, "Info deadline tidak tersedia.").when(days >= 7, say(left, ".")).when(days >= 4, say(left, " — mulai siapkan.")).when(days >= 2, say(left, " — mendesak.")).when(days >= 1, say(left, " — sangat mendesak.")).when(days == 0, "Deadline hari ini.").otherwise("Deadline sudah lewat."),
+        "strategic": F.when(kbli & (fit >= 90), alignment("tinggi")).when(fit >= 80, alignment("baik")).when(fit >= 70, alignment("cukup")).when(fit >= 50, alignment("moderat")).otherwise(alignment("rendah")),
+    }
+    source = {"qualification": "AIMatchResult.fit_score", "financial": "HPS / penghasilan_tahunan", "experience": "CompanyQualification.pengalaman_kerja", "deadline": "TenderResult.jadwal_json", "strategic": "fit_score + KBLI match"}
+    there = {"financial": money, "deadline": dated}
+    part = lambda n: F.struct(F.when(there.get(n, F.lit(True)), F.col(f"{n}_score")).alias("score"), F.lit(round(100 * K.WEIGHTS[n])).alias("weight_pct"), F.lit(source[n]).alias("source"), there.get(n, F.lit(True)).alias("available"))
+    title = lambda n: say(f"{n.capitalize()}: ", F.when(there.get(n, F.lit(True)), F.col(f"{n}_score").cast("string")).otherwise("NOT AVAILABLE"))
+    lines = F.array(*(line for n in why for line in (title(n), why[n])))
+    message = F.when(~P.is_submittable(F.col("tahap")), "Tender tidak dalam status submittable (Pengumuman Prakualifikasi).").when(~ready, "Analisis AI belum tersedia. Jalankan AI Match terlebih dahulu.")
+    breakdown = F.struct(
+        message.alias("message"), F.when(ready, F.struct(*(part(n).alias(n) for n in why))).alias("components"), F.when(ready, lines).alias("explanation"), F.when(ready, S.text("summary")).alias("ai_match_summary"),
+        F.when(ready, kbli).alias("kbli_match"), F.when(ready, money).alias("financial_available"), F.when(ready, dated).alias("deadline_available"),
+    )
+    numbers = [f"{n}_score" for n in why] + ["final_score"]
+    columns = ["tender_id", "company_id", "status", *numbers, "classification", "breakdown", "calculation_version"]
+    rows = scored.withColumns({"classification": F.when(ready, F.col("classification")).otherwise(K.CLASSES[-1][1]), "breakdown": breakdown, "calculation_version": F.lit(version)})
+    if existing is None:
+        return rows.select(*columns)
+    had = existing.select("tender_id", "company_id", F.struct(*columns[2:]).alias("_had"))
+    kept = ~P.is_submittable(F.col("tahap")) & F.col("_had").isNotNull()
+    return rows.join(had, ["tender_id", "company_id"], "left").select("tender_id", "company_id", *(F.when(kept, F.col("_had")[c]).otherwise(F.col(c)).alias(c) for c in columns[2:]))
+
+
 def recent_experience(quals: DataFrame, as_of: Column, years: int = 3) -> DataFrame:
     """(company_id, recent): projects since that many years ago, whatever the status of the qualification."""
     return quals.where((F.col("category") == "pengalaman_kerja") & (F.col("project_year") >= F.year(as_of) - years)).groupBy("company_id").agg(F.count(F.lit(1)).alias("recent"))
@@ -382,10 +495,15 @@ def recommended_candidates(tenders: DataFrame, profiles: DataFrame, matching: in
     placed = Window.partitionBy("company_id").orderBy(*best)
     hits = own.withColumn("place", F.row_number().over(placed)).where(F.col("place") <= matching)
     # The first of the rest are among the first few overall, as each of a company's codes has at most ``without`` above them.
-    rest = of_code(live.where(F.contains(F.lower("tahap"), F.lit("kualifikasi"))), without).withColumn("_all", F.row_number().over(Window.orderBy(*best)))
+    # So one array, of at most ``without`` tenders a code, goes to all companies, and each reads no more than its beginning.
+    rest = of_code(live.where(F.contains(F.lower("tahap"), F.lit("kualifikasi"))), without)
+    entry = F.struct((-F.col("priority_score")).alias("priority"), (-F.col("hps")).alias("value"), "tender_id", "kbli_code")
+    heads = rest.agg(F.sort_array(F.collect_list(entry)).alias("heads"))
     firms = profiles.select("company_id", "codes", F.when(F.size("codes") > 0, others).otherwise(without).alias("_most"))
-    far = firms.join(rest, (F.col("_all") <= F.col("_most") + F.size("codes") * without) & ~F.array_contains("codes", F.col("kbli_code")))
-    far = far.withColumn("place", F.row_number().over(placed)).where(F.col("place") <= F.col("_most"))
+    begin = F.slice("heads", F.lit(1), F.col("_most") + F.size("codes") * without)
+    chosen = F.slice(F.filter(begin, lambda x: ~F.array_contains("codes", x["kbli_code"])), F.lit(1), F.col("_most"))
+    far = firms.crossJoin(F.broadcast(heads)).select("company_id", F.posexplode(chosen).alias("at", "x"))  # heads: one row
+    far = far.select("company_id", "x.tender_id", (F.col("at") + 1).alias("place"))
     kept = "company_id", "tender_id", "place"
     return hits.select(*kept, F.lit(True).alias("kbli_match")).unionByName(far.select(*kept, F.lit(False).alias("kbli_match")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tenderlake.functions import keywords as K
@@ -22,13 +22,14 @@ def _filled(df: DataFrame, c: str) -> Column:
     return F.size(c) > 0 if kind.startswith("array") else F.coalesce(F.col(c) != 0, F.lit(False)) if kind in ("int", "bigint") else F.col(c).isNotNull()
 
 
-def upsert(target: DataFrame, batch: DataFrame, keys: list[str], mode: str = "overwrite", order: Column | None = None) -> DataFrame:
-    """The target after the batch, whose last row of each key (by ``order``) counts.
+def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: Column, mode: str = "overwrite") -> DataFrame:
+    """The target after the batch, whose last row of each key by ``order`` counts, among equals the one with the largest values.
 
     overwrite: all columns, blanks too. stage1: only the listing's columns. fill: only values that aren't blank. recrawl:
     all, but four columns keep their old value against a blank. first_seen, if there is such a column, keeps the first.
     """
-    batch = latest_per_key(batch, keys, *([order] if order is not None else [F.lit(1)]))
+    tie = F.to_json(F.struct(*sorted(batch.columns)))
+    batch = latest_per_key(batch, keys, order, tie)
     columns = [c for c in target.columns if c not in keys]
     new = batch.select(*keys, F.lit(True).alias("_new"), *(F.struct(F.col(c).alias("v"), _filled(batch, c).alias("filled")).alias(f"_{c}") for c in columns if c in batch.columns))
     joined = target.withColumn("_old", F.lit(True)).join(new, keys, "full_outer")
@@ -45,17 +46,17 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], mode: str = "ov
 
 
 def upsert_tenders(target: DataFrame, batch: DataFrame, mode: str = "overwrite") -> DataFrame:
-    return upsert(target, batch, KEYS, mode, F.col("scraped_at"))
+    return upsert(target, batch, KEYS, F.col("scraped_at"), mode)
 
 
-def upsert_participants(target: DataFrame, batch: DataFrame, order: Column | None = None) -> DataFrame:
+def upsert_participants(target: DataFrame, batch: DataFrame, order: Column) -> DataFrame:
     """By tender and trimmed name; rows without a name are skipped and nothing is deleted."""
     batch = batch.withColumn("name", F.trim(S.text("name"))).where("name != ''")
-    return upsert(target, batch, ["tender_id", "name"], "overwrite", order)
+    return upsert(target, batch, ["tender_id", "name"], order)
 
 
 def upsert_winners(target: DataFrame, batch: DataFrame) -> DataFrame:
-    return upsert(target, batch.where(F.length(F.trim(S.text("company_name"))) > 0), ["tender_id"], "overwrite", F.col("created_at"))
+    return upsert(target, batch.where(F.length(F.trim(S.text("company_name"))) > 0), ["tender_id"], F.col("created_at"))
 
 
 def derive_submissions(participants: DataFrame, winners: DataFrame, existing: DataFrame) -> DataFrame:
@@ -77,13 +78,25 @@ def auto_watchlist(existing: DataFrame, derived: DataFrame) -> DataFrame:
 
 
 def purge(tenders: DataFrame, submissions: DataFrame, mode: str) -> DataFrame:
-    """Adds deleted to every tender. completed and non_retained spare tenders with a submission that matters."""
+    """Adds deleted and spared to every tender: completed and non_retained spare tenders with a submission that matters."""
     tahap, safe = F.col("tahap"), submissions.where(F.col("status").isin(*K.PROTECTED_SUBMISSIONS)).select(F.col("tender_id").alias("id")).distinct().withColumn("_safe", F.lit(True))
     retained = S.contains_any(tahap, K.AWARDED) | S.contains_any(tahap, K.ACCEPT)
     gone = {"non_prakualifikasi": ~F.col("is_prakualifikasi"), "inactive": S.contains_any(tahap, K.PURGE_INACTIVE), "non_retained": ~retained, "completed": S.contains_any(tahap, K.PURGE_COMPLETED), "all": F.lit(True)}[mode]
     rows = tenders.join(safe, "id", "left")
     spared = F.coalesce("_safe", F.lit(False)) if mode in ("non_retained", "completed") else F.lit(False)
-    return rows.withColumn("deleted", gone & ~spared).drop("_safe")
+    return rows.withColumn("deleted", gone & ~spared).withColumn("spared", gone & spared).drop("_safe")
+
+
+def purge_counts(rows: DataFrame) -> list[Column]:
+    """Aggregates over ``purge`` rows: total, kept, deleted, spared."""
+    n = lambda c: F.count_if(c).cast("long")
+    return [F.count(F.lit(1)).alias("total"), n(~rows["deleted"]).alias("kept"), n(rows["deleted"]).alias("deleted"), n(rows["spared"]).alias("spared")]
+
+
+def purged(tenders: DataFrame, submissions: DataFrame, mode: str, name: str = "purge") -> tuple[DataFrame, Observation]:
+    """``purge`` and its counts, which come with the one pass that writes the rows: ``observation.get`` once they are written."""
+    rows, counts = purge(tenders, submissions, mode), Observation(name)
+    return rows.observe(counts, *purge_counts(rows)), counts
 
 
 def cascade_delete(children: DataFrame, deleted: DataFrame) -> DataFrame:

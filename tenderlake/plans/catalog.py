@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,8 +147,15 @@ def f26_tokenize(spark, sf_dir):
     return D.table(spark, sf_dir, "documents").select("doc_id", F.size(S.tokenize(F.col("text"))).alias("tokens"))
 
 
-_FINGERPRINT = """fingerprints AS (SELECT company_id, sha256(to_json(list({'category': category, 'client_name': client_name, 'kbli_code': kbli_code, 'kbli_codes': kbli_codes, 'name': name, 'project_name': project_name,
-  'project_year': project_year, 'status': status, 'value_amount': value_amount} ORDER BY id))::VARCHAR) AS fingerprint FROM qualifications WHERE status = 'active' GROUP BY company_id)"""
+_FIELDS = ("category", "client_name", "details", "kbli_code", "kbli_codes", "klasifikasi_usaha", "name", "number", "project_name", "project_year", "status", "valid_from", "valid_until", "value_amount")
+
+
+def _fingerprints(of: str = "qualifications", name: str = "fingerprints") -> str:
+    said = ", ".join(f"'{n}': {n}" for n in _FIELDS)
+    return f"{name} AS (SELECT company_id, sha256(to_json(list({{{said}}} ORDER BY id))::VARCHAR) AS fingerprint FROM {of} WHERE status = 'active' GROUP BY company_id)"
+
+
+_FINGERPRINT = _fingerprints()
 
 
 @query(f", {_FINGERPRINT} SELECT tender_id, company_id, fingerprint, sha256(tender_id || ':' || company_id || ':' || fingerprint || ':v1') AS cache_key FROM matches JOIN fingerprints USING (company_id)", "matches", "qualifications")
@@ -302,10 +310,43 @@ def j6_matched_tenders(spark, sf_dir):
     return R.matched_tenders(D.tenders(spark, sf_dir), D.matches(spark, sf_dir)).select("id")
 
 
-@query("SELECT tender_id, company_id FROM matches WHERE fit_score = 0 OR company_id % 5 = 0", "matches")
+# The snapshot before: tenders seen so far, some companies inactive, some qualifications under another number.
+SEEN = "1998-01-01"
+_BEFORE = "earlier AS (SELECT * REPLACE (CASE WHEN company_id % 8 = 0 THEN number || '-lama' ELSE number END AS number) FROM qualifications), " + _fingerprints("earlier", "fingerprints_before")
+
+
+def _firms(spark, sf_dir, before: bool = False):
+    """company_id, is_active, fingerprint of a snapshot."""
+    quals, firms = D.qualifications(spark, sf_dir), D.companies(spark, sf_dir).select(F.col("id").alias("company_id"), "is_active")
+    if before:
+        quals = quals.withColumn("number", F.when(F.col("company_id") % 8 == 0, F.concat("number", F.lit("-lama"))).otherwise(F.col("number")))
+        firms = firms.withColumn("is_active", F.col("is_active") & (F.col("company_id") % 9 != 0))
+    return firms.join(M.qualification_fingerprint(quals), "company_id", "left")
+
+
+@query(
+    f""", {_FINGERPRINT}, {_BEFORE}
+    SELECT t.id AS tender_id, c.id AS company_id, CASE WHEN t.scraped_at >= TIMESTAMP '{SEEN}' OR c.id % 9 = 0 THEN 'new' ELSE 'changed' END AS change
+    FROM tenders t, companies c LEFT JOIN fingerprints f ON f.company_id = c.id LEFT JOIN fingerprints_before b ON b.company_id = c.id
+    WHERE {SUBMITTABLE} AND is_active AND (t.scraped_at >= TIMESTAMP '{SEEN}' OR c.id % 9 = 0 OR f.fingerprint IS DISTINCT FROM b.fingerprint)""",
+    "tenders", "companies", "qualifications",
+)
+def j4_pair_delta(spark, sf_dir):
+    t = D.tenders(spark, sf_dir).where(P.is_submittable(F.col("tahap"))).select("id", "scraped_at")
+    return R.pair_delta(t.where(F.col("scraped_at") < SEEN), t, _firms(spark, sf_dir, True), _firms(spark, sf_dir))
+
+
+@query(
+    f""", {_FINGERPRINT}, {_BEFORE}
+    SELECT tender_id, company_id FROM matches LEFT JOIN fingerprints f USING (company_id) LEFT JOIN fingerprints_before b USING (company_id)
+    WHERE fit_score = 0 OR f.fingerprint IS DISTINCT FROM b.fingerprint""",
+    "matches", "qualifications",
+)
 def j7_stale_matches(spark, sf_dir):
-    rows = D.matches(spark, sf_dir).withColumn("cache_key", S.match_cache_key(F.col("tender_id"), F.col("company_id"), F.lit("f"), "v2"))
-    return R.stale_matches(rows, rows.where("company_id % 5 <> 0")).select("tender_id", "company_id")
+    """Matches were made under the fingerprints of the snapshot before."""
+    key = S.match_cache_key(F.col("tender_id"), F.col("company_id"), F.coalesce("fingerprint", F.lit("")), "v2")
+    under = lambda before: D.matches(spark, sf_dir).join(_firms(spark, sf_dir, before), "company_id").withColumn("cache_key", key)
+    return R.stale_matches(under(False), under(True)).select("tender_id", "company_id")
 
 
 @query("SELECT t.id, company_name AS winner_name, company_id, npwp, created_at, winning_value, CASE WHEN company_name IS NULL THEN 'not_available' ELSE 'ok' END AS status FROM tenders t LEFT JOIN winners w ON w.tender_id = t.id", "tenders", "winners")
@@ -324,6 +365,20 @@ def j10_watchlist_listing(spark, sf_dir):
     return R.watchlist_listing(watch, D.tenders(spark, sf_dir), D.companies(spark, sf_dir), as_of()).select("tender_id", "company_id", "tender_name", "company_name", "deadline", "urgency")
 
 
+_TITLES = "CASE s.status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.SUBMISSION_TITLES.items()) + " END"
+
+
+@query(f"SELECT tender_id, substr(nama_paket, 1, 80) AS tender_name, hps AS tender_hps, company_id, c.name AS company_name, s.status, {_TITLES} AS status_display, s.updated_at FROM submissions s JOIN tenders t ON t.id = s.tender_id JOIN companies c ON c.id = s.company_id", "submissions", "tenders", "companies")
+def j10_submission_listing(spark, sf_dir):
+    return R.submission_listing(D.submissions(spark, sf_dir), D.tenders(spark, sf_dir), D.companies(spark, sf_dir))
+
+
+@query("SELECT tender_id, substr(nama_paket, 1, 80) AS tender_name, company_id, c.name AS company_name, fit_score, 'ELIGIBLE' AS eligibility_status, true AS mandatory_passed, 'v0.2' AS matcher_version FROM matches m JOIN tenders t ON t.id = m.tender_id JOIN companies c ON c.id = m.company_id", "matches", "tenders", "companies")
+def j10_match_listing(spark, sf_dir):
+    rows = R.match_listing(D.matches(spark, sf_dir), D.tenders(spark, sf_dir), D.companies(spark, sf_dir))
+    return rows.select("tender_id", "tender_name", "company_id", "company_name", "fit_score", "eligibility_status", "mandatory_passed", "matcher_version")
+
+
 _WON = "(source_id = w.company_id OR lower(substr(p.name, 5)) = lower(substr(w.company_name, 5)) AND p.name NOT LIKE 'CV.%' OR p.npwp = w.npwp OR p.npwp LIKE '0****%' AND substr(p.npwp, 6) = substr(w.npwp, 6))"
 
 
@@ -375,6 +430,34 @@ def m7_opportunity_score(spark, sf_dir):
     return _scored(spark, sf_dir).select("tender_id", "company_id", "status", "financial_score", "deadline_score", "strategic_score", "final_score", "classification")
 
 
+_STORED = "NOT submittable AND company_id % 2 = 0"
+_ALIGNED = "CASE WHEN kbli_code <> '' AND list_contains(codes, kbli_code) AND fit_score >= 90 THEN 'tinggi' WHEN fit_score >= 80 THEN 'baik' WHEN fit_score >= 70 THEN 'cukup' WHEN fit_score >= 50 THEN 'moderat' ELSE 'rendah' END"
+
+
+@query(
+    f""", {PROFILE}, {_SCORE}, told AS (SELECT *, {SUBMITTABLE} AS submittable,
+      'Qualification: ' || fit_score || '|' || CASE WHEN fit_score % 3 = 0 THEN 'Berdasarkan analisis AI.' ELSE 'Ringkasan ' || fit_score END || '|' ||
+      CASE WHEN ratio IS NULL THEN 'Financial: NOT AVAILABLE|Data HPS atau penghasilan tahunan tidak tersedia.' ELSE 'Financial: ' || f || '|Nilai HPS berada pada kisaran ' || CAST(round_even(ratio * 100, 0) AS BIGINT) || '% dari penghasilan tahunan perusahaan.' END || '|' ||
+      'Experience: ' || e || '|' || CASE WHEN experience = 0 THEN 'Tidak ada pengalaman kerja tercatat.' WHEN complete > 0 THEN 'Terdapat ' || complete || ' pengalaman kerja aktif dengan data proyek yang lengkap.' ELSE 'Terdapat ' || experience || ' pengalaman kerja aktif.' END || '|' ||
+      CASE WHEN days IS NULL THEN 'Deadline: NOT AVAILABLE|Info deadline tidak tersedia.' ELSE 'Deadline: ' || d || '|' || CASE WHEN days >= 7 THEN 'Tersisa ' || days || ' hari sebelum deadline.' WHEN days >= 4 THEN 'Tersisa ' || days || ' hari sebelum deadline — mulai siapkan.' WHEN days >= 2 THEN 'Tersisa ' || days || ' hari sebelum deadline — mendesak.'
+        WHEN days >= 1 THEN 'Tersisa ' || days || ' hari sebelum deadline — sangat mendesak.' WHEN days = 0 THEN 'Deadline hari ini.' ELSE 'Deadline sudah lewat.' END END || '|' ||
+      'Strategic: ' || s || '|Tender memiliki alignment ' || {_ALIGNED} || ' dengan qualification perusahaan.' AS explanation FROM classed)
+    SELECT tender_id, company_id, CASE WHEN {_STORED} THEN 'ready' WHEN ready THEN 'ready' ELSE 'not_ready' END AS status, CASE WHEN {_STORED} THEN 77 ELSE final_score END AS final_score,
+      CASE WHEN {_STORED} THEN 'LAYAK_DIKEJAR' WHEN ready THEN classification ELSE 'TIDAK_DIREKOMENDASIKAN' END AS classification, CASE WHEN {_STORED} THEN 'v0.0' ELSE 'v0.1' END AS calculation_version,
+      CASE WHEN NOT submittable AND NOT ({_STORED}) THEN 'Tender tidak dalam status submittable (Pengumuman Prakualifikasi).' WHEN NOT ready AND NOT ({_STORED}) THEN 'Analisis AI belum tersedia. Jalankan AI Match terlebih dahulu.' END AS message,
+      CASE WHEN ready THEN explanation END AS explanation, CASE WHEN ready AND ratio IS NOT NULL THEN f END AS financial FROM told""",
+    "tenders", "companies", "qualifications", "matches",
+)
+def m7_stored_scores(spark, sf_dir):
+    """Every other company has older scores, which stay where the tender takes no submissions."""
+    fit = F.col("fit_score")
+    scored = _scored(spark, sf_dir).withColumn("days_left", F.datediff("deadline", as_of())).withColumn("summary", F.when(fit % 3 == 0, "").otherwise(F.concat(F.lit("Ringkasan "), fit.cast("string"))))
+    fresh = M.stored_scores(scored)
+    old = fresh.where("company_id % 2 = 0").withColumns({"status": F.lit("ready"), "final_score": F.lit(77), "classification": F.lit("LAYAK_DIKEJAR"), "calculation_version": F.lit("v0.0"), "breakdown": F.when(F.lit(False), F.col("breakdown"))})
+    b = F.col("breakdown")
+    return M.stored_scores(scored, old).select("tender_id", "company_id", "status", "final_score", "classification", "calculation_version", b["message"].alias("message"), F.array_join(b["explanation"], "|").alias("explanation"), b["components"]["financial"]["score"].alias("financial"))
+
+
 _CLASS_PLACE = "CASE classification " + " ".join(f"WHEN '{b}' THEN {i}" for i, (_, b) in enumerate(K.CLASSES)) + " ELSE 9 END"
 
 
@@ -417,15 +500,74 @@ def m10_recommended(spark, sf_dir):
     return M.recommended(M.opportunity_score(chosen.join(tenders, "tender_id").join(firms, "company_id"), as_of()))
 
 
-@query()
-def m5_rule_match(spark, sf_dir):
+def _matched(spark, sf_dir):
     firms = _profile(spark, sf_dir).select("company_id", "codes", "has_sbu", "has_izin", "nib", "npwp", "qualifications")
-    texts = D.qualifications(spark, sf_dir).where("status = 'active'").groupBy("company_id").agg(F.array_join(F.sort_array(F.collect_list(F.to_json(F.struct("category", "name", "kbli_code", "project_name", "client_name")))), " ").alias("text"))
-    flags = M.requirement_flags(D.qualifications(spark, sf_dir))
+    quals = D.qualifications(spark, sf_dir)
+    flags = M.requirement_flags(quals)
     firms = firms.drop("has_sbu", "has_izin").join(flags, "company_id", "left").na.fill(False, flags.columns[1:]).withColumnsRenamed({"says_sbu": "has_sbu", "says_izin": "has_izin"})
-    firms = M.company_words(firms.join(texts, "company_id", "left"), "text")
+    firms = M.company_words(firms.join(M.qualification_text(quals), "company_id", "left"), "text")
     tenders = D.tenders(spark, sf_dir).select(F.col("id").alias("tender_id"), "kbli_code", F.col("requirement_text").alias("requirement"))
-    return M.match_pairs(D.matches(spark, sf_dir).select("tender_id", "company_id"), tenders, firms).select("tender_id", "company_id", "status", "fit_score", "blockers", "missing", "actions", "criteria", "summary")
+    return M.match_pairs(D.matches(spark, sf_dir).select("tender_id", "company_id"), tenders, firms)
+
+
+@query()
+def m5_rule_match(spark, sf_dir):
+    return _matched(spark, sf_dir).select("tender_id", "company_id", "status", "fit_score", "mandatory_passed", "blockers", "missing", "actions", "criteria", "summary")
+
+
+def _tokens(text: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
+    return f"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1 AND NOT list_contains([{stop}], w))"
+
+
+def _hits(tokens: str, words) -> str:
+    return "(" + " + ".join(f"(len(list_filter({tokens}, lambda w: contains(w, '{x}'))) > 0)::INTEGER" for x in words) + ")"
+
+
+def _titled(c: str, titles: dict[str, str]) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in titles.items()) + f" ELSE {c} END"
+
+
+_SAID = ", ".join(f"'{n}': {n}" for n in _FIELDS if n not in ("category", "klasifikasi_usaha"))
+_RATIO = lambda k: f"CASE WHEN r[{k}] > 0 AND q[{k}] > 0 THEN least(r[{k}], q[{k}])::DOUBLE / greatest(r[{k}], q[{k}]) ELSE 0.0::DOUBLE END"
+_NAMED = lambda c, words: "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in words) + ")"
+
+
+@query(
+    f""", {PROFILE},
+    said AS (SELECT company_id, to_json(list({{{_SAID}, 'category': {_titled("category", K.CATEGORY_TITLES)}, 'category_raw': category, 'klasifikasi_usaha': {_titled("klasifikasi_usaha", K.CLASS_TITLES)}}} ORDER BY id))::VARCHAR AS text,
+        bool_or({_NAMED("category", ("sbu", "badan usaha"))} OR {_NAMED("name", ("sbu", "badan usaha"))}) AS says_sbu, bool_or(category = 'sbu' OR {_NAMED("name", ("sbu", "sertifikat badan usaha"))}) AS gate_sbu
+      FROM qualifications WHERE status = 'active' GROUP BY company_id),
+    firms AS (SELECT p.company_id, p.codes, coalesce(says_sbu, false) AS says_sbu, coalesce(gate_sbu, false) AS gate_sbu, [{", ".join(_hits(_tokens("text"), w) for w in K.CATEGORY_WORDS.values())}] AS q FROM profile p LEFT JOIN said USING (company_id)),
+    needs AS (SELECT requirement_text, nullif(regexp_extract(lower(requirement_text), 'kbli[:\\s]+([0-9]{{5}})', 1), '') AS kbli, regexp_matches(lower(requirement_text), '\\b(sbu|sertifikat badan usaha)\\b') AS sbu,
+        [{", ".join(_hits(_tokens("requirement_text"), w) for w in K.CATEGORY_WORDS.values())}] AS r FROM (SELECT DISTINCT requirement_text FROM tenders)),
+    held AS (SELECT m.tender_id, m.company_id, 0.4::DOUBLE * ((0.0::DOUBLE + {_RATIO(1)} + {_RATIO(2)} + {_RATIO(3)} + {_RATIO(4)} + {_RATIO(5)}) / 5) AS soft,
+        (n.kbli IS NOT NULL AND NOT list_contains(f.codes, n.kbli)) OR (n.sbu AND NOT f.says_sbu) AS first, (t.kbli_code <> '' AND NOT list_contains(f.codes, t.kbli_code)) OR (n.sbu AND NOT f.gate_sbu) AS second
+      FROM matches m JOIN tenders t ON t.id = m.tender_id JOIN needs n ON n.requirement_text = t.requirement_text JOIN firms f ON f.company_id = m.company_id)
+    SELECT tender_id, company_id, CASE WHEN first OR second THEN 'NOT_ELIGIBLE' ELSE 'ELIGIBLE' END AS status, NOT (first OR second) AS mandatory_passed,
+      CAST(CASE WHEN first THEN least(25, trunc(soft * 25)) WHEN second THEN 25 ELSE trunc(50 + 50 * least(1.0, soft * 2)) END AS INTEGER) AS fit_score FROM held""",
+    "tenders", "companies", "qualifications", "matches",
+)
+def m6_match_status(spark, sf_dir):
+    """Every company here has a NIB and a tax number, so the gates that can fail are codes and SBU."""
+    return _matched(spark, sf_dir).select("tender_id", "company_id", "status", "mandatory_passed", "fit_score")
+
+
+@query(
+    f"""WITH d AS (SELECT 1 AS side, doc_id AS id, {_tokens("text")} AS tokens FROM documents UNION ALL SELECT 0, item_id, {_tokens("text")} FROM benchmark),
+    words AS (SELECT side, id, len(tokens) AS length, unnest(tokens) AS word FROM d),
+    tf AS (SELECT side, id, word, count(*) / any_value(length)::DOUBLE AS tf FROM words GROUP BY side, id, word),
+    idf AS (SELECT word, ln((SELECT count(*) FROM d WHERE len(tokens) > 0)::DOUBLE / count(*)) AS idf FROM tf GROUP BY word),
+    v AS (SELECT side, id, word, tf * idf AS w FROM tf JOIN idf USING (word) WHERE idf > 0),
+    norms AS (SELECT side, id, sqrt(sum(w * w)) AS norm FROM v GROUP BY side, id),
+    dots AS (SELECT a.id AS left_id, b.id AS right_id, sum(a.w * b.w) AS dot FROM v a JOIN v b ON a.word = b.word AND a.side = 0 AND b.side = 1 GROUP BY a.id, b.id),
+    cosines AS (SELECT left_id, right_id, round(dot / (x.norm * y.norm), 9) AS cosine FROM dots JOIN norms x ON x.side = 0 AND x.id = left_id JOIN norms y ON y.side = 1 AND y.id = right_id)
+    SELECT left_id, right_id, cosine FROM cosines QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY cosine DESC, right_id) = 1"""
+)
+def m4_tfidf_best(spark, sf_dir):
+    docs = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), S.tokenize(F.col("text")).alias("tokens"))
+    items = D.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), S.tokenize(F.col("text")).alias("tokens"))
+    return M.tfidf_best(items, docs)
 
 
 @query()
@@ -673,7 +815,7 @@ def u1_upsert_fill(spark, sf_dir):
 def u2_upsert_participants(spark, sf_dir):
     rows = D.participants(spark, sf_dir).select("tender_id", "source_id", "name", "alasan")
     batch = rows.withColumn("alasan", F.when(F.col("source_id") % 3 == 0, "baru").otherwise(F.col("alasan")))
-    return U.upsert_participants(rows, batch).select("tender_id", "name", "alasan")
+    return U.upsert_participants(rows, batch, F.col("source_id")).select("tender_id", "name", "alasan")
 
 
 @query("SELECT tender_id, company_name, CASE WHEN tender_id % 3 = 0 THEN winning_value + 1 ELSE winning_value END AS winning_value FROM winners", "winners")
@@ -709,6 +851,16 @@ def u6_purge(spark, sf_dir):
     return a.union(b).union(c)
 
 
+_GONE = {"completed": _any("tahap", K.PURGE_COMPLETED), "inactive": _any("tahap", K.PURGE_INACTIVE), "non_retained": f"NOT ({_any('tahap', (*K.AWARDED, *K.ACCEPT))})", "non_prakualifikasi": "NOT is_prakualifikasi", "all": "true"}
+_SPARED = lambda m: _SAFE if m in ("completed", "non_retained") else "false"
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS mode, count(*) AS total, count(*) FILTER (NOT ({c} AND NOT {_SPARED(m)})) AS kept, count(*) FILTER ({c} AND NOT {_SPARED(m)}) AS deleted, count(*) FILTER ({c} AND {_SPARED(m)}) AS spared FROM tenders" for m, c in _GONE.items()), "tenders", "submissions")
+def u6_purge_counts(spark, sf_dir):
+    t, s = D.tenders(spark, sf_dir), D.submissions(spark, sf_dir)
+    return reduce(DataFrame.unionByName, ((rows := U.purge(t, s, m)).agg(*U.purge_counts(rows)).select(F.lit(m).alias("mode"), "total", "kept", "deleted", "spared") for m in _GONE))
+
+
 @query(f"SELECT tender_id, source_id FROM participants WHERE tender_id NOT IN (SELECT id FROM tenders WHERE {_any('tahap', K.PURGE_INACTIVE)})", "participants", "tenders")
 def u7_cascade_delete(spark, sf_dir):
     gone = U.purge(D.tenders(spark, sf_dir), D.submissions(spark, sf_dir), "inactive").where("deleted")

@@ -77,6 +77,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CLASSES = ("kecil", "menengah", "besar", "")
 CATEGORIES = ("izin_usaha", "sbu", "sdm", "pengalaman_kerja", "keuangan")
 
 
@@ -88,6 +89,8 @@ def qualifications(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(CODES, k + n).alias("kbli_code"), F.array(pick(CODES, k), pick(CODES, k + 2 * n)).alias("kbli_codes"),
         F.when((k + n) % 4 != 0, "active").when((k + n) % 8 != 0, "needs_renewal").otherwise("expired").alias("status"), F.when(k % 2 == 0, F.concat(F.lit("Proyek "), k.cast("string"))).otherwise("").alias("project_name"),
         F.when(k % 3 != 0, "Klien").otherwise("").alias("client_name"), (F.lit(1990) + k % 7).cast("int").alias("project_year"), (k * 1_000_000).alias("value_amount"),
+        F.concat(F.lit("No-"), (k * 10 + n).cast("string")).alias("number"), F.create_map(F.lit("penerbit"), F.concat(F.lit("Lembaga "), (k % 5).cast("string"))).alias("details"), pick(CLASSES, k).alias("klasifikasi_usaha"),
+        F.date_add(F.lit("1994-01-01").cast("date"), (k % 700).cast("int")).alias("valid_from"), F.when(k % 4 != 0, F.date_add(F.lit("1996-01-01").cast("date"), (k % 400).cast("int"))).alias("valid_until"),
     )
 
 
@@ -181,7 +184,9 @@ FROM supplier""",
 SELECT s_suppkey * 10 + n AS id, s_suppkey AS company_id, {_sql_pick(CATEGORIES, "(n - 1)")} AS category, 'Dokumen ' || {_sql_pick(CATEGORIES, "(n - 1)")} AS name,
   {_sql_pick(CODES, "(s_suppkey + n)")} AS kbli_code, [{_sql_pick(CODES, "s_suppkey")}, {_sql_pick(CODES, "(s_suppkey + 2 * n)")}] AS kbli_codes,
   CASE WHEN (s_suppkey + n) % 4 <> 0 THEN 'active' WHEN (s_suppkey + n) % 8 <> 0 THEN 'needs_renewal' ELSE 'expired' END AS status, CASE WHEN s_suppkey % 2 = 0 THEN 'Proyek ' || s_suppkey ELSE '' END AS project_name,
-  CASE WHEN s_suppkey % 3 <> 0 THEN 'Klien' ELSE '' END AS client_name, CAST(1990 + s_suppkey % 7 AS INTEGER) AS project_year, s_suppkey * 1000000 AS value_amount
+  CASE WHEN s_suppkey % 3 <> 0 THEN 'Klien' ELSE '' END AS client_name, CAST(1990 + s_suppkey % 7 AS INTEGER) AS project_year, s_suppkey * 1000000 AS value_amount,
+  'No-' || (s_suppkey * 10 + n) AS number, MAP {{'penerbit': 'Lembaga ' || (s_suppkey % 5)}} AS details, {_sql_pick(CLASSES, "s_suppkey")} AS klasifikasi_usaha,
+  CAST(DATE '1994-01-01' + CAST(s_suppkey % 700 AS INTEGER) AS DATE) AS valid_from, CASE WHEN s_suppkey % 4 <> 0 THEN CAST(DATE '1996-01-01' + CAST(s_suppkey % 400 AS INTEGER) AS DATE) END AS valid_until
 FROM supplier, range(1, 6) t(n) WHERE (s_suppkey + n) % 3 <> 0""",
     "participants": """
 SELECT l_orderkey AS tender_id, l_suppkey AS source_id,

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import merge
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,6 +48,14 @@ class _Page(HTMLParser):
         self.close()
         while self.open:
             self._end()
+        self.whole = "".join(self.parts)
+        self.offset = [0, *accumulate(map(len, self.parts))]
+        #: Lower-cased letter by letter: the one letter that would become two stays one.
+        self.lower = self.whole.replace("\u0130", "i").lower()
+        self.of_tag: dict[str, list[int]] = {}
+        for node, tag in enumerate(self.tags):
+            self.of_tag.setdefault(tag, []).append(node)
+        self._found: dict[str, list[int]] = {}
 
     def _end(self) -> None:
         node = self.open.pop()
@@ -74,19 +85,38 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         self.parts.append(data)
 
+    def _of(self, tags: tuple[str, ...], first: int, last: int) -> list[int]:
+        """Elements of these tags from first to last, in document order."""
+        lists = [self.of_tag.get(tag, []) for tag in tags]
+        slices = [x[bisect_left(x, first) : bisect_right(x, last)] for x in lists]
+        return slices[0] if len(slices) == 1 else list(merge(*slices))
+
     def all(self, *tags: str) -> list[int]:
-        return [i for i, tag in enumerate(self.tags) if tag in tags]
+        return self._of(tags, 0, len(self.tags))
 
     def within(self, node: int, *tags: str) -> list[int]:
-        return [i for i in range(node + 1, self.last[node] + 1) if self.tags[i] in tags]
+        return self._of(tags, node + 1, self.last[node])
+
+    def bounds(self, node: int) -> tuple[int, int]:
+        """Where the text of the element and its descendants begins and ends in the page's."""
+        first, last = self.span[node]
+        return self.offset[first], self.offset[last]
 
     def text(self, node: int) -> str:
         """The element's text, its descendants' too."""
-        return "".join(self.parts[slice(*self.span[node])]).strip()
+        return self.whole[slice(*self.bounds(node))].strip()
 
     def up(self, node: int) -> str:
         return self.text(self.parent[node]) if self.parent[node] >= 0 else ""
 
+    def find(self, word: str, node: int) -> int:
+        """First place of a lower-case word within an element's text, or -1. Places are found once for the page."""
+        if word not in self._found:
+            self._found[word] = [m.start() for m in re.finditer(re.escape(word), self.lower)]
+        places, (first, last) = self._found[word], self.bounds(node)
+        k = bisect_left(places, first)
+        return places[k] if k < len(places) and places[k] + len(word) <= last else -1
+
 
 def _labels(page: _Page, rows: list[int]) -> dict[str, str]:
     out = dict.fromkeys(LABELS, "")
@@ -157,9 +187,12 @@ def _winner(page: _Page, rows: list[int]) -> dict | None:
 
 def _requirements(page: _Page, rows: list[int]) -> str:
     """Sections under headings; else the page's tables; else its text."""
-    sections = [s for i in page.all("h2", "h3", "h4", "strong", "b", "td", "th") if any(h in page.text(i).lower() for h in HEADINGS) and len(s := page.up(i)) > 20]
+    sections = []
+    for i in page.all("h2", "h3", "h4", "strong", "b", "td", "th"):
+        if len(sections) < 5 and any(page.find(h, i) >= 0 for h in HEADINGS) and len(s := page.up(i)) > 20:
+            sections.append(s)
     if sections:
-        return "\n\n".join(sections[:5])[:4000]
+        return "\n\n".join(sections)[:4000]
     lines = [" | ".join(c for c in map(page.text, page.within(row, "td")) if c) for row in rows]
     if lines := [x for x in lines if len(x) > 10]:
         return "\n".join(lines[:30])[:4000]
@@ -170,14 +203,13 @@ def _requirements(page: _Page, rows: list[int]) -> str:
 def _stage(page: _Page, cells: list[list[str]]) -> str:
     """What stands behind the stage's heading in the text of its parent; else the cell beside it."""
     for i in page.all("td", "span", "div", "p", "strong", "b", "label"):
-        own = page.text(i).lower()
         for heading in STAGES:
-            if heading in own:
-                text = page.up(i)
-                at = text.lower().find(heading)
-                after = re.sub(r"^[:\s]+", "", text[at + len(heading) :].strip()) if at >= 0 else ""
-                if after:
-                    return after.lower().split("\n")[0].strip()
+            if page.parent[i] >= 0 and page.find(heading, i) >= 0:
+                _, end = page.bounds(page.parent[i])
+                begin = re.compile(r"[:\s]*").match(page.whole, page.find(heading, page.parent[i]) + len(heading), end).end()
+                if begin < end:
+                    stop = page.whole.find("\n", begin, end)
+                    return page.whole[begin : end if stop < 0 else stop].lower().strip()
     return next((r[1].lower() for r in cells if len(r) > 1 and "tahap" in r[0].lower() and r[1]), "")
 
 
@@ -191,6 +223,28 @@ def parse_page(html: str | None) -> dict:
     }
 
 
+def balanced(pages: DataFrame, column: str = "html", megabytes: int = 16) -> DataFrame:
+    """The same rows, dealt so that each task has about the same bytes of ``column``: a large page doesn't keep small ones waiting.
+
+    Rows fall into classes of size by powers of two, and each class into parts of ``megabytes`` by the hash of the text;
+    classes are counted first, one row each. So a part of small pages has many rows, one of large pages few.
+    """
+    size = F.coalesce(F.octet_length(column), F.lit(0))
+    level = F.ceil(F.log2(size + 1)).cast("int")
+    sums = {r[0]: r[1] for r in pages.groupBy(level.alias("level")).agg(F.sum(size).alias("n")).collect()}  # 32 at most
+    parts, first = {}, 0
+    for k, n in sorted(sums.items(), reverse=True):
+        count = max(1, -(-n // (megabytes << 20)))
+        parts[k] = (first, count)
+        first += count
+    if not parts:
+        return pages
+    at = lambda place: F.coalesce(*(F.when(level == k, v[place]) for k, v in parts.items()))
+    part = at(0) + F.pmod(F.xxhash64(*(c for c, kind in pages.dtypes if not kind.startswith("map"))), at(1))
+    # a range for each part: a hash of the part's number would put several into one task
+    return pages.withColumn("_part", part.cast("int")).repartitionById(first, "_part").drop("_part")
+
+
 def extract_pages(pages: DataFrame, id: str = "page_id") -> DataFrame:
     """One row per page (id, html) with all that its elements say; a page is parsed once for all fields.
 
@@ -204,6 +258,6 @@ def extract_pages(pages: DataFrame, id: str = "page_id") -> DataFrame:
             kept = batch[[id, "stage"]].reset_index(drop=True)
             yield kept.join(pd.DataFrame(rows)) if rows else pd.DataFrame(columns=[id])
 
-    found = pages.select(id, "html", S.extract_tahap(F.col("html")).alias("stage")).mapInPandas(run, f"{id} {kind}, stage string, {FIELDS}")
+    found = balanced(pages.select(id, "html")).select(id, "html", S.extract_tahap(F.col("html")).alias("stage")).mapInPandas(run, f"{id} {kind}, stage string, {FIELDS}")
     stage = F.coalesce(F.nullif("stage", F.lit("")), F.nullif("tahap", F.lit("")), F.lit(UNKNOWN_STAGE))
     return found.withColumn("tahap", stage).drop("stage")

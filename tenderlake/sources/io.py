@@ -35,14 +35,54 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("kind", page_kind(F.col("url")))
 
 
-def read_table(spark: SparkSession, source: str, table: str | None = None, partitions: int = 32, bounds: tuple[int, int] | None = None, **options) -> DataFrame:
-    """A model table from Parquet, or from JDBC in ranges of its id."""
+def _where(low: int | None, high: int | None, key: str) -> str:
+    parts = [f"{key} >= {low}"] * (low is not None) + [f"{key} < {high}"] * (high is not None)
+    return " AND ".join(parts) or "1 = 1"
+
+
+def key_ranges(spark: SparkSession, source: str, table: str, key: str, partitions: int = 32, buckets: int = 1000, **options) -> list[str]:
+    """Conditions that cut a JDBC table into ranges of an integer key of about equal numbers of rows; the first has rows without a key.
+
+    The database counts rows by bucket of the key; a bucket with more than a range's share is counted anew in finer ones,
+    so sparse ids, gaps and clusters don't skew. At most ``buckets`` numbers a query come to the driver.
+    """
+
+    key = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(source).quoteIdentifier(key)
+
+    def ask(sql: str) -> list:
+        return spark.read.format("jdbc").options(url=source, dbtable=f"({sql}) q", **options).load().collect()
+
+    low, high, total = ask(f"SELECT MIN({key}) AS a, MAX({key}) AS b, COUNT({key}) AS c FROM {table}")[0]
+    if not total:
+        return ["1 = 1"]
+    share = -(-total // partitions)
+
+    def counts(low: int, high: int) -> list[tuple[int, int]]:
+        """(first key, rows) of buckets in [low, high) that have rows and, unless they are of one key, a share of them at most."""
+        width = max(1, -(-(high - low) // buckets))
+        rows = ask(f"SELECT ({key} - {low}) / {width} AS a, COUNT(*) AS b FROM {table} WHERE {key} >= {low} AND {key} < {high} GROUP BY ({key} - {low}) / {width}")
+        found = []
+        for a, n in sorted((int(a), int(n)) for a, n in rows):
+            begin = low + a * width
+            found += counts(begin, min(begin + width, high)) if n > share and width > 1 else [(begin, n)]
+        return found
+
+    cuts, held = [], 0
+    for begin, n in counts(int(low), int(high) + 1):
+        if held and held + n > share:
+            cuts, held = [*cuts, begin], 0
+        held += n
+    edges = [None, *cuts, None]
+    ranges = [_where(a, b, key) for a, b in zip(edges, edges[1:], strict=False)]
+    return [f"({ranges[0]}) OR {key} IS NULL", *ranges[1:]]
+
+
+def read_table(spark: SparkSession, source: str, table: str | None = None, key: str = "id", partitions: int = 32, **options) -> DataFrame:
+    """A model table from Parquet, or from JDBC in ranges of its key that have about equal numbers of rows."""
     if table is None:
         return spark.read.parquet(source)
-    reader = spark.read.format("jdbc").options(url=source, dbtable=table, **options)
-    if bounds:
-        reader = reader.options(partitionColumn="id", lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
-    return reader.load()
+    properties = {k: str(v) for k, v in options.items()}
+    return spark.read.jdbc(source, table, predicates=key_ranges(spark, source, table, key, partitions, **options), properties=properties)
 
 
 COLUMNS = {
@@ -63,7 +103,14 @@ def export_csv(df: DataFrame, path: str, by_instansi: bool = False, dashboard: b
     (writer.partitionBy(COLUMNS["kode_instansi"]) if by_instansi else writer).csv(path)
 
 
-def write_table(df: DataFrame, path: str, keys: list[str], partitions: int | None = None) -> None:
-    """Parquet in folders by ``keys``, each task's rows of few folders."""
-    dealt = df.repartition(*([partitions] if partitions else []), *keys, F.pmod(F.xxhash64(*df.columns[:1]), F.lit(8)))
-    dealt.write.mode("overwrite").partitionBy(*keys).parquet(path)
+def write_table(df: DataFrame, path: str, keys: list[str], tenant: str | None = None, tenants: int = 100_000, partitions: int | None = None, **options) -> None:
+    """Parquet in folders by ``keys``, each task's rows of few folders; for reads of one ``tenant``, such as a company.
+
+    Files are sorted by the tenant, so its rows lie in few row groups with narrow ranges, and have a Bloom filter of it, so
+    a reader skips the groups that can't hold it. A tenant with many rows is dealt to eight tasks like any other.
+    """
+    dealt = df.repartition(*([partitions] if partitions else []), *keys, F.pmod(F.xxhash64(*([tenant] if tenant else df.columns[:1])), F.lit(8)))
+    writer = df.write if not keys and not tenant else dealt.sortWithinPartitions(*keys, *([tenant] if tenant else [])).write
+    if tenant:
+        writer = writer.options(**{f"parquet.bloom.filter.enabled#{tenant}": "true", f"parquet.bloom.filter.expected.ndv#{tenant}": str(tenants)})
+    writer.options(**options).mode("overwrite").partitionBy(*keys).parquet(path)

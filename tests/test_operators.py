@@ -1,16 +1,20 @@
 """Scenario fixtures: resolution, scores, upserts, purge, pages, streams."""
 
+import collections
 import datetime
+import math
+import random
+import time
 
 from pyspark.sql import functions as F
 
+from tenderlake.functions import scalars as S
 from tenderlake.operators import aggregate as A
 from tenderlake.operators import resolve as R
 from tenderlake.operators import score as M
 from tenderlake.operators import upsert as U
 from tenderlake.sources import html as H
 from tenderlake.sources import io
-from tenderlake.streaming import jobs as T
 
 COMPANIES = [(1, "PT. Maju Jaya", "9120 0000 1", "01.234.567.8-901.000"), (2, "CV Bersama", "912", "0823955182421000"), (3, "PT Ganda", "", "555555555555555"), (4, "PT Lain", "", "555555555555555")]
 
@@ -179,47 +183,6 @@ def test_discovery_and_csv(spark, tmp_path):
     assert io.read_table(spark, str(tmp_path / "t")).count() == 1
 
 
-def stream(spark, folder, df):
-    df.write.parquet(str(folder))
-    return spark.readStream.schema(df.schema).parquet(str(folder))
-
-
-def drained(query_df, name, mode="append", **options):
-    q = query_df.writeStream.format("memory").queryName(name).outputMode(mode).options(**options).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return query_df.sparkSession.table(name)
-
-
-HISTORY = [(1, 1, "a", 1, 1), (1, 1, "a", 2, 2), (1, 1, "b", 3, 3), (2, 1, "a", 1, 4)]
-
-
-def test_stream_status_changes(spark, tmp_path):
-    df = spark.createDataFrame([(t, c, s, datetime.datetime(2026, 1, d), e) for t, c, s, d, e in HISTORY], "tender_id long, company_id long, status string, updated_at timestamp, event_id long")
-    got = drained(T.stream_status_changes(stream(spark, tmp_path / "in", df)), "changes", "append", checkpointLocation=str(tmp_path / "cp"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, A.status_changes(df, "updated_at", "event_id").collect()))
-
-
-def test_stream_dedup_and_usage(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a", datetime.datetime(2026, 1, 1, 1)), (1, "a", datetime.datetime(2026, 1, 1, 2)), (1, "b", datetime.datetime(2026, 1, 3))], "company_id long, name string, started_at timestamp")
-    assert drained(T.stream_dedup(stream(spark, tmp_path / "a", df), ["company_id", "name"], "started_at", "1 day"), "deduped", checkpointLocation=str(tmp_path / "ca")).count() == 2
-    got = drained(T.stream_daily_usage(stream(spark, tmp_path / "b", df), "1 hour"), "usage", "complete", checkpointLocation=str(tmp_path / "cb"))
-    assert sorted(map(tuple, got.collect())) == sorted((r.company_id, r.usage_date, r.used) for r in A.daily_usage(df).collect())
-
-
-def test_stream_upsert(spark, tmp_path):
-    at = datetime.datetime(2026, 1, 1)
-    df = tender_rows(spark, ("K", "1", "a", "x", "", at), ("K", "2", "b", "y", "", at))
-    state = {}
-
-    def write(new, number):
-        new.write.mode("overwrite").parquet(str(tmp_path / f"snapshot{number}"))
-        state["now"] = str(tmp_path / f"snapshot{number}")
-
-    read = lambda: spark.read.parquet(state["now"]) if state else None
-    T.stream_upsert(stream(spark, tmp_path / "in", df), read, write, U.upsert_tenders, str(tmp_path / "cp")).start().awaitTermination()
-    assert sorted(r.id_lelang for r in read().collect()) == ["1", "2"]
-
-
 PAIR = "tender_id long, company_id long, hps long, kbli_code string, deadline date, is_it_priority boolean, is_prakualifikasi boolean, peserta_count int, metode string, ai_score int, codes array<string>, has_izin boolean, has_sbu boolean, has_sdm boolean, experience long, recent long, modal long, penghasilan long"
 
 
@@ -253,3 +216,172 @@ def test_recommended_candidates(spark):
     place = lambda c, m: [r.tender_id for r in sorted(got, key=lambda r: r.place) if r.company_id == c and r.kbli_match == m]
     assert place(1, True) == best([x for x in live if x[2] == "62019"], 4) and place(1, False) == best([x for x in live if x[2] != "62019" and x[0] % 2], 3)
     assert place(2, True) == [] and place(2, False) == best([x for x in live if x[0] % 2], 5)
+
+
+def test_delta_join_equals_all_pairs(spark):
+    """Three rounds of random changes: pairs to make and matches to redo are those of the whole tables."""
+    r = random.Random(6)
+    quals = {c: [str(r.random())] for c in range(12)}
+    firms, tenders = {c: r.random() < 0.8 for c in range(12)}, set(range(20))
+    frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+
+    def snapshot():
+        q = frame(((k * 100 + c, c, n, "active" if n else "expired") for c, ns in quals.items() for k, n in enumerate(ns)), "id long, company_id long, number string, status string")
+        f = frame(firms.items(), "company_id long, is_active boolean").join(M.qualification_fingerprint(q, ("number", "status")), "company_id", "left")
+        return frame(((t,) for t in tenders), "id long"), f
+
+    def key(f):
+        return S.match_cache_key(F.col("tender_id"), F.col("company_id"), F.coalesce(f["fingerprint"], F.lit("")), "v")
+
+    pairs = lambda rows: {(x.tender_id, x.company_id) for x in rows.collect()}
+    no_match = frame([], "tender_id long, company_id long, cache_key string, fit_score int")
+    t, f = snapshot()
+    matches = {(a, b): (k, r.choice((0, 50))) for a, b, k in t.select(F.col("id").alias("tender_id")).crossJoin(f.where("is_active")).select("tender_id", "company_id", key(f)).collect()}
+    jobs = set(matches)
+    for _ in range(3):
+        before = t, f
+        tenders -= set(r.sample(sorted(tenders), 3))
+        tenders |= {max(tenders) + n for n in range(1, 4)}
+        quals[r.randrange(12)].append(str(r.random()))
+        quals[r.randrange(12)] = []
+        firms[r.randrange(12)] = r.random() < 0.5
+        firms[max(firms) + 1] = True
+        t, f = snapshot()
+        delta = R.pair_delta(before[0], t, before[1], f)
+        existing = frame(jobs, "tender_id long, company_id long")
+        stored = frame(((a, b, k, n) for (a, b), (k, n) in matches.items()), no_match.schema)
+        whole = t.select(F.col("id").alias("tender_id")).crossJoin(f.where("is_active"))
+        assert pairs(R.new_candidates(delta, existing)) == pairs(R.candidate_pairs(t, f.withColumnRenamed("company_id", "id"), existing))
+        redo = R.stale_delta(delta, t, f, stored, "v")
+        assert pairs(redo) == pairs(R.stale_matches(whole.withColumn("cache_key", key(f)), stored)) and redo.count() == redo.distinct().count()
+        assert pairs(delta) < pairs(whole)
+        jobs |= pairs(R.new_candidates(delta, existing))
+        matches |= {(x.tender_id, x.company_id): (x.cache_key, r.choice((0, 50))) for x in redo.collect()}
+
+
+def test_fingerprint_follows_every_field(spark):
+    base = {"id": 1, "company_id": 5, "category": "sbu", "name": "n", "number": "1", "kbli_code": "62019", "kbli_codes": ["62019"], "details": {"b": "1", "a": "2"}, "klasifikasi_usaha": "kecil", "value_amount": 1, "project_name": "p", "client_name": "c", "project_year": 2020, "valid_from": datetime.date(2020, 1, 1), "valid_until": None, "status": "active"}
+    schema = "id long, company_id long, category string, name string, number string, kbli_code string, kbli_codes array<string>, details map<string,string>, klasifikasi_usaha string, value_amount long, project_name string, client_name string, project_year int, valid_from date, valid_until date, status string"
+    changes = {"category": "sdm", "name": "m", "number": "2", "kbli_code": "x", "kbli_codes": [], "details": {"a": "1"}, "klasifikasi_usaha": "", "value_amount": 2, "project_name": "", "client_name": "", "project_year": 0, "valid_from": None, "valid_until": datetime.date(2027, 1, 1)}
+    rows = [base] + [base | {"company_id": 10 + k, c: v} for k, (c, v) in enumerate(changes.items())] + [base | {"company_id": 6, "details": {"a": "2", "b": "1"}}, base | {"company_id": 7, "status": "expired"}]
+    quals = spark.createDataFrame([tuple(x[c] for c in base) for x in rows], schema)
+    found = {x.company_id: x.fingerprint for x in M.qualification_fingerprint(quals).collect()}
+    assert found[5] == found[6] and 7 not in found and len(set(found.values())) == len(found) - 1 == len(changes) + 1
+    text = {x.company_id: x.text for x in M.qualification_text(quals).collect()}[5]
+    assert '"klasifikasi_usaha":"Kecil"' in text and '"category_raw":"sbu"' in text and '"category":"SBU (Sertifikat Badan Usaha)"' in text
+    # a profile that only has staff meets the first category by the key alone
+    only = spark.createDataFrame([tuple((base | {"category": "sdm", "name": "", "klasifikasi_usaha": ""})[c] for c in base)], schema)
+    tokens = M.qualification_text(only).select(S.tokenize(F.col("text")).alias("t"))
+    assert tokens.select(M.category_hits(F.col("t"))[0]).first()[0] > 0
+
+
+def plain_best(left, right):
+    """(left id, right id, cosine) by loops over all pairs."""
+    docs = [(0, i, t) for i, t in left if t] + [(1, i, t) for i, t in right if t]
+    df = collections.Counter(w for _, _, t in docs for w in set(t))
+    vectors = {}
+    for side, i, t in docs:
+        v = {w: n / len(t) * math.log(len(docs) / df[w]) for w, n in collections.Counter(t).items() if df[w] < len(docs)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors[side, i] = {w: x / norm for w, x in v.items()}
+    out = {}
+    for i, _ in left:
+        dots = [(-round(sum(x * vectors[1, j].get(w, 0) for w, x in vectors.get((0, i), {}).items()), 9), j) for j, t in right if (1, j) in vectors]
+        best = min(dots, default=(0, None))
+        if best[0] < 0:
+            out[i] = (best[1], -best[0])
+    return out
+
+
+def test_best_cosine_matches_all_pairs(spark):
+    r = random.Random(9)
+    word = lambda: f"w{int(r.paretovariate(0.7)) % 60}"
+    left, right = ([(k, [word() for _ in range(r.randint(0, 12))] + ["all"]) for k in range(n)] for n in (40, 150))
+    right += [(200 + k, right[k][1]) for k in range(20)] + [(300, []), (301, ["lone"])]  # copies: the smaller id counts
+    left += [(100, []), (101, ["nowhere"])]
+    schema = "id long, tokens array<string>"
+    for block in (10_000, 7):
+        got = {x.left_id: (x.right_id, x.cosine) for x in M.tfidf_best(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), block).collect()}
+        want = plain_best(left, right)
+        assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 2e-9 for i in want)
+    assert M.tfidf_best(spark.createDataFrame([], schema), spark.createDataFrame(right, schema)).count() == 0
+
+
+def test_stored_scores(spark):
+    schema = "tender_id long, company_id long, tahap string, fit_score int, hps long, penghasilan long, kbli_code string, codes array<string>, experience long, complete long, deadline date, summary string"
+    at = datetime.date(2026, 1, 1)
+    rows = [(1, 1, "Pengumuman Prakualifikasi", 95, 100, 400, "62019", ["62019"], 1, 1, at + datetime.timedelta(5), "baik"), (2, 1, "Pengumuman Prakualifikasi", 40, 0, 400, "", [], 0, 0, None, None), (3, 1, "Tender Selesai", 90, 1, 1, "", [], 0, 0, at, ""), (4, 1, "Pengumuman Prakualifikasi", None, 1, 1, "", [], 0, 0, at, ""), (5, 1, "Tender Selesai", 90, 1, 1, "", [], 0, 0, at, "")]
+    scored = M.opportunity_score(spark.createDataFrame(rows, schema), F.lit(at)).withColumn("days_left", F.datediff("deadline", F.lit(at)))
+    first = M.stored_scores(scored)
+    had = first.where("tender_id = 3").withColumn("final_score", F.lit(88)).unionByName(first.where("tender_id = 1").withColumn("final_score", F.lit(1)))
+    got = {r.tender_id: r for r in M.stored_scores(scored, had).collect()}
+    b = got[1].breakdown
+    assert (b.components.financial.score, b.components.financial.available, b.components.deadline.weight_pct, b.kbli_match) == (90, True, 15, True) and got[1].final_score > 1
+    assert b.explanation == ["Qualification: 95", "baik", "Financial: 90", "Nilai HPS berada pada kisaran 25% dari penghasilan tahunan perusahaan.", "Experience: 75", "Terdapat 1 pengalaman kerja aktif dengan data proyek yang lengkap.", "Deadline: 80", "Tersisa 5 hari sebelum deadline — mulai siapkan.", "Strategic: 100", "Tender memiliki alignment tinggi dengan qualification perusahaan."]
+    b = got[2].breakdown
+    assert not b.components.financial.available and not b.deadline_available and b.explanation[2:4] == ["Financial: NOT AVAILABLE", "Data HPS atau penghasilan tahunan tidak tersedia."]
+    assert got[3].final_score == 88 and got[4].breakdown.message.startswith("Analisis AI belum") and got[4].classification == got[5].classification == "TIDAK_DIREKOMENDASIKAN" and got[5].breakdown.message.startswith("Tender tidak")
+
+
+def test_purge_counts_come_with_the_write(spark, tmp_path):
+    tenders = spark.createDataFrame([(1, "Tender Selesai", False), (2, "Tender Selesai", False), (3, "Evaluasi", True)], "id long, tahap string, is_prakualifikasi boolean")
+    submissions = spark.createDataFrame([(2, 1, "menang")], "tender_id long, company_id long, status string")
+    rows, counts = U.purged(tenders, submissions, "completed")
+    rows.write.parquet(str(tmp_path / "out"))
+    assert counts.get == {"total": 3, "kept": 2, "deleted": 1, "spared": 1}
+
+
+def test_deep_page_in_linear_time():
+    """Elements within elements, each of which holds the headings: their texts aren't put together anew."""
+    depth = 900
+    page = "<body>" + "<div>" * depth + "<b>Persyaratan</b> tahap saat ini: Evaluasi\n" + "isi " * 500_000 + "</div>" * depth + "</body>"
+    began = time.time()
+    found = H.parse_page(page)
+    assert time.time() - began < 5 and found["tahap"] == "evaluasi" and found["requirement_text"].startswith("Persyaratan tahap saat ini")
+
+
+def test_pages_are_dealt_by_bytes(spark):
+    """A large page among small ones: parts of equal bytes, the small ones not behind it; the rows are the same."""
+    rows = [(i, "x" * (200 + i % 300)) for i in range(8000)] + [(9000, "y" * (8 << 20)), (9001, None), (9002, "")]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    dealt = H.balanced(pages, megabytes=1).withColumn("part", F.spark_partition_id())
+    sizes = {r.part: (r.n, r.bytes) for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).collect()}
+    large = max(sizes.values(), key=lambda x: x[1])
+    assert large == (1, 8 << 20) and sum(n for n, _ in sizes.values()) == len(rows)
+    assert all(size < 3 << 20 for n, size in sizes.values() if n > 1)
+    assert H.balanced(pages.limit(0)).count() == 0
+    assert sorted(map(tuple, H.balanced(pages, megabytes=1).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_jdbc_ranges_follow_the_keys(spark):
+    """Clustered and sparse ids with gaps, negative ones and none: ranges of like size that hold every row once."""
+    url = "jdbc:derby:memory:tenders;create=true"
+    keys = [*range(1000), *(10**12 + 7 * k for k in range(500)), -5, -(10**9), *(5 * 10**11 + k for k in range(500))]
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(k, f"n{k}") for k in keys] + [(None, "none")], "id long, name string")
+    rows.write.jdbc(url, "tenders", properties=options)
+    got = io.read_table(spark, url, "tenders", partitions=8, **options)
+    assert sorted(r.name for r in got.collect()) == sorted(r.name for r in rows.collect())
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert 8 <= len(sizes) <= 16 and max(sizes) <= 2 * -(-len(keys) // 8)
+    spark.createDataFrame([], "id long, name string").write.jdbc(url, "empty_one", properties=options)
+    assert io.read_table(spark, url, "empty_one", **options).count() == 0
+
+
+def scanned(df):
+    """Rows that the scan gave."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_tenant_reads_skip_row_groups(spark, tmp_path):
+    rows = spark.range(200_000).select((F.col("id") % 2000 * 3).alias("company_id"), F.col("id").alias("tender_id"), F.sha2(F.col("id").cast("string"), 256).alias("note"), (F.col("id") % 2).cast("string").alias("year"))
+    io.write_table(rows, str(tmp_path / "t"), ["year"], "company_id", partitions=4, **{"parquet.block.size": str(1 << 18), "parquet.page.row.count.limit": "2000"})
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert table.count() == 200_000
+    mine = table.where("company_id = 300")
+    assert mine.count() == 100 and scanned(table.where("company_id = 300").select("tender_id", "note")) < 40_000
+    absent = table.where("company_id = 301").select("tender_id", "note")  # within the range of values, but of no row
+    assert absent.count() == 0 and scanned(table.where("company_id = 301").select("tender_id", "note")) < 20_000
