@@ -188,7 +188,7 @@ def kbli_description(code: Column) -> Column:
 
 def extract_tahap(html: Column) -> Column:
     """The stage in a detail page, lower-cased, by the first of four shapes that gives text; else ''."""
-    return F.lower(F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text(html), s, 1)), F.lit("")) for s in K.STAGE_SHAPES), F.lit("")))
+    return F.lower(F.coalesce(*(F.nullif(F.trim(F.replace(F.regexp_extract(text(html), s, 1), F.lit("&nbsp;"), F.lit(" "))), F.lit("")) for s in K.STAGE_SHAPES), F.lit("")))
 
 
 def extract_budget_year(c: Column) -> Column:

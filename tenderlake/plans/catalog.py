@@ -653,7 +653,7 @@ _FACETS += [("stage", g, _any("tahap", w)) for g, w in K.STAGE_GROUPS.items()] +
 )
 def a1_facet_counts(spark, sf_dir):
     t = D.tenders(spark, sf_dir)
-    codes = t.select("kbli_code").limit(1).select(F.explode(F.array(*map(F.lit, (*K.KBLI_TARGETS, "99999")))).alias("code"))
+    codes = spark.range(1).select(F.explode(F.array(*map(F.lit, (*K.KBLI_TARGETS, "99999")))).alias("code"))
     return A.facet_counts(t, codes, {"jenis": F.col("jenis") == "Jasa Lainnya"})
 
 
@@ -889,6 +889,89 @@ def s4_export_rows(spark, sf_dir):
     return io.export_rows(D.tenders(spark, sf_dir).select("kode_instansi", "id_lelang", "hps", "is_it_priority", "scraped_at"), dashboard=True)
 
 
+def _cells(*cells, tag: str = "td"):
+    as_column = lambda c: F.lit(c) if isinstance(c, str) else c
+    return F.concat(F.lit("<tr>"), *(x for c in cells for x in (F.lit(f"<{tag}>"), as_column(c), F.lit(f"</{tag}>"))), F.lit("</tr>\n"))
+
+
+def _page(*rows):
+    return F.concat(F.lit("<html><body><div>menu</div><table>"), *rows, F.lit("</table></body></html>"))
+
+
+def _parsed(rows, html):
+    """What the parser says of pages made of ``rows``, one for each id."""
+    return H.extract_pages(rows.select(F.col("id").alias("page_id"), html.alias("html"))).withColumnRenamed("page_id", "id")
+
+
+@query("SELECT id, 'https://portal.example/' || kode_instansi || '/' || p.path || '/' || id_lelang || '/' || p.last AS url, p.kind FROM tenders, (VALUES ('lelang', 'pengumumanlelang', 'pengumuman'), ('lelang', 'jadwal', 'jadwal'), ('lelang', 'peserta', 'peserta'), ('evaluasi', 'hasil', 'hasil'), ('evaluasi', 'pemenang', 'pemenang')) p(path, last, kind)", "tenders")
+def s2_page_kinds(spark, sf_dir):
+    urls = F.explode(F.array(*(S.tender_url(F.lit("https://portal.example"), F.col("kode_instansi"), F.col("id_lelang"), k) for k in ("pengumuman", "jadwal", "peserta", "hasil", "pemenang"))))
+    return D.tenders(spark, sf_dir).select("id", urls.alias("url")).withColumn("kind", io.page_kind(F.col("url")))
+
+
+@query("SELECT id, lower(trim(tahap)) AS tahap FROM tenders", "tenders")
+def f20_extract_tahap(spark, sf_dir):
+    """A stage behind its heading, its attribute or its class in the source of a page."""
+    said = lambda before, after: F.concat(F.lit(before), F.col("tahap"), F.lit(after))
+    html = F.when(F.col("id") % 3 == 0, said("<p>Tahap Tender Saat Ini: <b> ", "</b></p>")).when(F.col("id") % 3 == 1, said("<div data-tahap='x'>&nbsp;", " </div>")).otherwise(said("<i class='tahap kini'>", "</i>"))
+    return D.tenders(spark, sf_dir).select("id", S.extract_tahap(html).alias("tahap"))
+
+
+@query("SELECT id, lokasi, 'Tender - Pascakualifikasi' AS metode, '1996' AS tahun, satuan_kerja FROM tenders", "tenders")
+def h1_label_values(spark, sf_dir):
+    t = D.tenders(spark, sf_dir).select("id", "lokasi", "satuan_kerja")
+    rows = _cells("Kode", F.col("id").cast("string")), _cells("Satuan Kerja", F.col("satuan_kerja")), _cells("Metode Pengadaan", "Tender -  Pascakualifikasi"), _cells("Tahun Anggaran", "APBD 1996"), _cells("Lokasi Pekerjaan", F.col("lokasi"))
+    return _parsed(t, _page(*rows)).select("id", "lokasi", "metode", "tahun", "satuan_kerja")
+
+
+@query("SELECT id, array_to_string([x.no || '|' || trim(x.tahap) || '|' || x.mulai || '|' || x.sampai FOR x IN jadwal], ';') AS jadwal FROM tenders", "tenders")
+def h2_schedule(spark, sf_dir):
+    t = D.tenders(spark, sf_dir).select("id", "jadwal")
+    head = _cells("No", "Tahap", "Mulai", "Sampai", tag="th")
+    rows = F.array_join(F.transform("jadwal", lambda x: _cells(x["no"], x["tahap"], x["mulai"], x["sampai"], "Tidak Ada")), "")
+    said = F.transform("jadwal", lambda x: F.concat_ws("|", x["no"], x["tahap"], x["mulai"], x["sampai"]))
+    return _parsed(t, _page(head, rows)).select("id", F.array_join(said, ";").alias("jadwal"))
+
+
+def _bids(spark, sf_dir):
+    """id, bids: a tender's participants in order of name, numbered from 1."""
+    p = D.participants(spark, sf_dir)
+    return p.groupBy(F.col("tender_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("name", "npwp", "alasan"))).alias("bids"))
+
+
+_BIDS = "SELECT tender_id AS id, string_agg(name || '|' || {npwp} || '|' || alasan, ';' ORDER BY name, npwp, alasan) AS bids FROM participants GROUP BY tender_id"
+_SAID_BIDS = lambda c: F.array_join(F.transform(c, lambda b: F.concat_ws("|", b["name"], b["npwp"], b["alasan"])), ";")
+
+
+@query(_BIDS.format(npwp="npwp"), "participants")
+def h3_participants(spark, sf_dir):
+    """The bidders' page: number, name, tax number, note."""
+    rows = F.array_join(F.transform("bids", lambda b, k: _cells((k + 1).cast("string"), b["name"], b["npwp"], b["alasan"])), "")
+    return _parsed(_bids(spark, sf_dir), _page(_cells("No", "Nama Peserta", "NPWP", "Keterangan", tag="th"), rows)).select("id", _SAID_BIDS("peserta").alias("bids"))
+
+
+@query(_BIDS.format(npwp="CASE WHEN npwp = 'ABC' THEN '' ELSE npwp END"), "participants")
+def h4_evaluation(spark, sf_dir):
+    """The results' page: what looks like a tax number is one, and the reason stands behind a value."""
+    rows = F.array_join(F.transform("bids", lambda b, k: _cells((k + 1).cast("string"), b["name"], F.lit("77,5"), b["npwp"], b["alasan"])), "")
+    return _parsed(_bids(spark, sf_dir), _page(_cells("1", "Nama Peserta", "NPWP"), rows)).select("id", _SAID_BIDS("evaluasi").alias("bids"))
+
+
+@query("SELECT tender_id AS id, company_name, npwp, winning_value FROM winners", "winners")
+def h5_winner(spark, sf_dir):
+    w = D.winners(spark, sf_dir).withColumnRenamed("tender_id", "id")
+    price = F.concat(F.lit("Rp. "), F.replace(F.format_number("winning_value", 0), F.lit(","), F.lit(".")), F.lit(",00"))
+    inner = F.concat(F.lit("<table>"), _cells("Nama Pemenang", "Alamat", "NPWP", "Harga Penawaran", "Harga Terkoreksi", "Harga Negosiasi", tag="th"), _cells(F.col("company_name"), "Jl. Raya", F.col("npwp"), price, "", ""), F.lit("</table>"))
+    return _parsed(w, _page(_cells("Nama Tender", "Paket"), _cells(inner))).select("id", "winner.company_name", "winner.npwp", "winner.winning_value")
+
+
+@query("SELECT id, lower(trim(tahap)) AS tahap FROM tenders", "tenders")
+def h7_stage_dom(spark, sf_dir):
+    """A stage that stands apart from its heading, so that only the elements' text tells it."""
+    html = F.concat(F.lit("<body><div><p><b>Tahap Tender</b></p></div><div><span><i>Tahapan</i> Saat Ini</span> : "), F.col("tahap"), F.lit("\nlain</div></body>"))
+    return _parsed(D.tenders(spark, sf_dir).select("id", "tahap"), html).select("id", "tahap")
+
+
 @query()
 def h6_extract_pages(spark, sf_dir):
     return H.extract_pages(D.table(spark, sf_dir, "pages")).select("page_id", "lokasi", "tahap", "requirement_text")

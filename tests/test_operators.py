@@ -385,3 +385,30 @@ def test_tenant_reads_skip_row_groups(spark, tmp_path):
     assert mine.count() == 100 and scanned(table.where("company_id = 300").select("tender_id", "note")) < 40_000
     absent = table.where("company_id = 301").select("tender_id", "note")  # within the range of values, but of no row
     assert absent.count() == 0 and scanned(table.where("company_id = 301").select("tender_id", "note")) < 20_000
+
+
+def test_bidder_and_winner_pages():
+    """Pages as portals show them: rows without a name, cells of either tag, no table, no page, nested tables, prices left out."""
+    bids = lambda *rows: "<table><tr><th>No</th><th>Nama</th><th>NPWP</th></tr>" + "".join(f"<tr><td>{n}</td><td>{name or ''}</td><td>{tax}</td></tr>" for n, name, tax in rows) + "</table>"
+    named = lambda html: [(b["name"], b["npwp"]) for b in H.parse_page(html)["peserta"]]
+    assert named(bids((1, "PT Satu", "111222333444555"), (2, "CV Dua", ""), (3, None, "999"))) == [("PT Satu", "111222333444555"), ("CV Dua", "")]
+    for empty in ("<table></table>", "<<< no page", "", None):
+        page = H.parse_page(empty)
+        assert page["peserta"] == page["evaluasi"] == page["jadwal"] == [] and page["winner"] is None
+    row = "<tr><td>{}</td><td>{}</td><th>{}</th><td><i class='fa fa-close'></i></td><th style='text-align:right'>{}</th><td>{}</td></tr>"
+    judged = "<table><tr><th>No</th><th>Nama Peserta</th><th>NPWP</th><th>Lulus</th><th>Nilai</th><th>Alasan</th></tr>" + row.format(1, "PT Tiga", "01*2**3****45*6", "61,5", "Tidak lulus unsur pengalaman") + row.format(2, "PT Empat", "09*8**7****65*4", "100,0", "") + "</table>"
+    assert [(b["name"], b["npwp"], b["nilai"], b["alasan"]) for b in H.parse_page(judged)["evaluasi"]] == [("PT Tiga", "01*2**3****45*6", "61,5", "Tidak lulus unsur pengalaman"), ("PT Empat", "09*8**7****65*4", "100,0", H.FAILED)]
+    head = "<tr>" + "".join(f"<th>{x}</th>" for x in ("Nama Pemenang", "Alamat", "NPWP", "Harga Penawaran", "Harga Terkoreksi", "Harga Negosiasi")) + "</tr>"
+    data = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    page = lambda *rows: "<table><tr><th>Pagu</th><td>Rp. 900.000,00</td></tr><tr><td colspan='2'><table>" + head + "".join(rows) + "</table></td></tr></table>"
+    won = H.parse_page(page(data("CV Lima", "Jl. A - B", "00*1", "Rp. 855.800.811,31", "Rp. 855.800.811,31", "Rp. 855.301.311,32"), data("PT Enam", "", "", "Rp. 1,00", "", "")))["winner"]
+    assert (won["company_name"], won["harga_penawaran"], won["harga_negosiasi"], won["winning_value"]) == ("CV Lima", 855800811, 855301311, 855301311)
+    bare = H.parse_page(page(data("CV Lima", "Jl", "1", "", "", "")))["winner"]
+    assert bare["company_name"] == "CV Lima" and bare["winning_value"] is None and H.parse_page(page(data("", "", "", "", "", "")))["winner"] is None
+
+
+def test_captured_pages_get_their_kind(spark, tmp_path):
+    urls = ["https://p.example/k/lelang/1/pengumumanlelang", "https://p.example/k/lelang/1/jadwal?x=1", "https://p.example/k/lelang/1/peserta", "https://p.example/k/evaluasi/1/hasil#top", "https://p.example/k/evaluasi/1/pemenang/", "https://p.example/jadwalx", None]
+    spark.createDataFrame([(u, "<p/>") for u in urls], "url string, html string").write.parquet(str(tmp_path / "pages"))
+    got = {r.url: r.kind for r in io.read_pages(spark, str(tmp_path / "pages")).collect()}
+    assert [got[u] for u in urls] == ["pengumuman", "jadwal", "peserta", "hasil", "pemenang", "", ""]
