@@ -89,7 +89,8 @@ class _Chunk:
         return h
 
 
-STRIPES = "lang string, prefix string, segment int, words array<string>, counts array<bigint>"
+#: Words and counts are joined by spaces, which no word has: an array would pad each to eight bytes.
+STRIPES = "lang string, prefix string, segment int, words string, counts string"
 
 
 def _stripes(size: int, frequent, hot: frozenset[int]):
@@ -128,8 +129,8 @@ def _stripes(size: int, frequent, hot: frozenset[int]):
                     c.langs.take(pa.array(c.lang[at[opens]])).cast(pa.string()),
                     (pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if words else pa.array([""] * len(opens))).cast(pa.string()),
                     pa.array(segment[opens].astype(np.int32)),
-                    pa.ListArray.from_arrays(bounds, c.dictionary.take(pa.array(last)).cast(pa.string())),
-                    pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int64))),
+                    pc.binary_join(pa.ListArray.from_arrays(bounds, c.dictionary.take(pa.array(last)).cast(pa.string())), " "),
+                    pc.binary_join(pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int64)).cast(pa.string())), " "),
                 ],
                 names=["lang", "prefix", "segment", "words", "counts"],
             )
@@ -139,7 +140,8 @@ def _stripes(size: int, frequent, hot: frozenset[int]):
 
 def _merged(stripes: DataFrame) -> DataFrame:
     """lang, prefix, word, f: stripes of one prefix (and segment) are dealt once and added up by element."""
-    entries = stripes.repartition("lang", "prefix", "segment").select("lang", "prefix", "segment", F.explode(F.arrays_zip("words", "counts")).alias("e"))
+    words, counts = F.split("words", " "), F.split("counts", " ").cast("array<bigint>")
+    entries = stripes.repartition("lang", "prefix", "segment").select("lang", "prefix", "segment", F.explode(F.arrays_zip(words.alias("words"), counts.alias("counts"))).alias("e"))
     return entries.groupBy("lang", "prefix", "segment", F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("f")).drop("segment")
 
 
