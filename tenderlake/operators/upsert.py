@@ -23,12 +23,12 @@ def _filled(df: DataFrame, c: str) -> Column:
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: Column, mode: str = "overwrite") -> DataFrame:
-    """The target after the batch, whose last row of each key by ``order`` counts, among equals the one with the largest values.
+    """The target after the batch, whose last row of each key by ``order`` counts; which of equals does not depend on the run.
 
     overwrite: all columns, blanks too. stage1: only the listing's columns. fill: only values that aren't blank. recrawl:
     all, but four columns keep their old value against a blank. first_seen, if there is such a column, keeps the first.
     """
-    tie = F.to_json(F.struct(*sorted(batch.columns)))
+    tie = F.xxhash64(*(c for c, kind in sorted(batch.dtypes) if "map<" not in kind))
     batch = latest_per_key(batch, keys, order, tie)
     columns = [c for c in target.columns if c not in keys]
     new = batch.select(*keys, F.lit(True).alias("_new"), *(F.struct(F.col(c).alias("v"), _filled(batch, c).alias("filled")).alias(f"_{c}") for c in columns if c in batch.columns))
