@@ -7,8 +7,10 @@ with the regex library's bounded-error matching, which verifies the edits and gi
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -34,6 +36,14 @@ NOTICES = {
     "creative commons attribution": "cc",
     "redistribution and use in source and binary forms": "bsd",
     "all rights reserved": "all-rights-reserved",
+    "permission is hereby granted free of charge": "mit-text",
+    "permission to use copy modify and or distribute": "isc",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "boost software license version": "boost",
+    "eclipse public license": "epl",
+    "released into the public domain": "public-domain",
+    "spdx license identifier": "spdx",
 }
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 MATCHES = "array<struct<label: string, base: boolean, first_word: bigint, words: int, edits: int>>"
@@ -56,28 +66,44 @@ def _fuzzy(notices: tuple[tuple[str, str], ...]) -> list[tuple[str, int, list[tu
     return out
 
 
+@lru_cache(maxsize=65_536)
+def _search(pattern: regex.Pattern, window: str) -> tuple[int, int, int] | None:
+    """(first byte, words, edits) of the pattern in a window; a text full of a notice has the same few windows."""
+    m = pattern.search(window)
+    return m and (len(window[: m.start()].encode()), m[0].count(" ") + 1, sum(m.fuzzy_counts))
+
+
 def matches(text: str | None, base: tuple[tuple[str, str], ...], notices: tuple[tuple[str, str], ...]) -> tuple[int, list[tuple]]:
     """The number of words, and (label, base, first_word, words, edits) of every place; fuzzy ones leave out exact base places."""
     words = WORD.findall((text or "").encode().lower())
     line, out, exact = b" " + b" ".join(words) + b" ", [], set()
+    starts = list(accumulate((len(w) + 1 for w in words), initial=1))
     for phrase, label in base:
         sought, at = b" " + phrase.encode() + b" ", -1
         while (at := line.find(sought, at + 1)) >= 0:
-            out.append((label, True, line.count(b" ", 0, at), phrase.count(" ") + 1, 0))
+            out.append((label, True, bisect_left(starts, at + 1), phrase.count(" ") + 1, 0))
             exact.add((at + 1, label))
     for label, k, seeds, pattern in _fuzzy(notices):
-        size, done = sum(len(s.decode()) for s, _ in seeds), set()
+        whole, done = b"".join(s for s, _ in seeds), set()
+        size, n_words = len(whole.decode()), whole.count(b" ") + 1
         for seed, place in seeds:
             at = -1
             while (at := line.find(seed, at + 1)) >= 0:
-                # Errors are counted in characters, of four bytes at most: cut in bytes first, then in characters.
-                left, right = place + k + 1, size - place + k + 1
-                before = line[max(0, at - 4 * left) : at].decode(errors="ignore")[-left:]
-                start, window = at - len(before.encode()), before + line[at : at + 4 * right].decode(errors="ignore")[:right]
-                if (m := pattern.search(window)) and (found := start + len(window[: m.start()].encode())) not in done:
+                begin = at - len(whole.decode()[:place].encode())
+                if begin > 0 and line.startswith(b" " + whole + b" ", begin - 1):  # without an error: nothing to search for
+                    found, n, wrong = begin, n_words, 0
+                else:
+                    # Errors are counted in characters, of four bytes at most: cut in bytes first, then in characters.
+                    left, right = place + k + 1, size - place + k + 1
+                    before = line[max(0, at - 4 * left) : at].decode(errors="ignore")[-left:]
+                    start, window = at - len(before.encode()), before + line[at : at + 4 * right].decode(errors="ignore")[:right]
+                    if not (m := _search(pattern, window)):
+                        continue
+                    found, n, wrong = start + m[0], m[1], m[2]
+                if found not in done:
                     done.add(found)
                     if (found, label) not in exact:
-                        out.append((label, False, line.count(b" ", 0, found) - 1, m[0].count(" ") + 1, sum(m.fuzzy_counts)))
+                        out.append((label, False, bisect_left(starts, found), n, wrong))
     return len(words), out
 
 
@@ -91,11 +117,13 @@ def scan(documents: DataFrame, id: str = "doc_id", text: str = "text", base: dic
     exact, fuzzy = tuple(base.items()), tuple((base | notices).items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("label", pa.string()), ("base", pa.bool_()), ("first_word", pa.int64()), ("words", pa.int32()), ("edits", pa.int32())]))
+        kind = pa.struct([("label", pa.string()), ("base", pa.bool_()), ("first_word", pa.int64()), ("words", pa.int32()), ("edits", pa.int32())])
         for batch in pieces(batches, "text"):
             found = [matches(t, exact, fuzzy) for t in batch.column(1).to_pylist()]
-            rows = [[dict(zip(("label", "base", "first_word", "words", "edits"), m)) for m in own] for _, own in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(rows, kind)], ["doc_id", "n_words", "matches"])
+            columns = list(zip(*(m for _, own in found for m in own))) or [[]] * len(kind)
+            structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
+            rows = pa.ListArray.from_arrays(pa.array(list(accumulate((len(own) for _, own in found), initial=0)), pa.int32()), structs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), rows], ["doc_id", "n_words", "matches"])
 
     source = shared.only(documents, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     return source.mapInArrow(run, f"doc_id long, n_words long, matches {MATCHES}")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -322,6 +323,23 @@ def test_license_beside_other_characters():
                 assert {label for label, exact, *_ in license_scan.matches(text, (), notices)[1]} == want, text
 
 
+def test_license_text_full_of_matches():
+    """A megabyte of a notice, exact and with an error: every place once, in time that follows the length."""
+    notices = tuple((license_scan.BASE | license_scan.NOTICES).items())
+    for phrase, errors in (("under the mit license", 0), ("under the mot license", 1)):
+        began = time.time()
+        n, found = license_scan.matches(f"{phrase} now " * 40_000, tuple(license_scan.BASE.items()), notices)
+        assert time.time() - began < 4 and n == 200_000
+        assert sorted(at for label, _, at, _, e in found if label == "mit" and e == errors) == list(range(0, 200_000, 5))
+        assert len(found) == 40_000
+
+
+def test_license_short_notices(spark):
+    rows = [(1, "// SPDX-License-Identifier: Apache-2.0"), (2, "Permission is hereby granted, free of charge, to any"), (3, "This is free and unencumbered softwre released into the public domain."), (4, "Boost Software License - Version 1.0")]
+    got = {r.doc_id: {m.label for m in r.matches} for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert got == {1: {"spdx"}, 2: {"mit-text"}, 3: {"unlicense", "public-domain"}, 4: {"boost"}}
+
+
 def test_license_odd(spark):
     got = license_scan.scan(docs(spark, ODD)).collect()
     assert sorted(r.n_words for r in got) == sorted(len(PLAIN.findall((t or "").translate(LOWER))) for _, t in ODD)
