@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 
 from tenderlake.plans import catalog
 
-QUERIES = ["j1_resolve_entities", "j9_tender_competition", "m5_rule_match", "m7_opportunity_score", "m9_radar", "m10_recommended", "a1_facet_counts", "a3_pipeline_summary", "a4_company_intelligence", "u1_upsert_overwrite", "u4_derive_submissions", "w6_status_changes", "h6_extract_pages"]
-LLM = ["op1_substring_dedup", "op2_fingerprints", "op3_toxicity", "op4_packing", "op5_license_scan", "op6_line_dedup", "op7_quality", "op8_mixing", "op9_ngram_join", "op10_topk_search"]
+QUERIES = ["j1_resolve_entities", "j9_tender_competition", "m5_rule_match", "m7_opportunity_score", "m9_radar", "m10_recommended", "a1_facet_counts", "a3_pipeline_summary", "a4_company_intelligence", "u1_upsert_overwrite", "u4_derive_submissions", "w6_status_changes", "h6_extract_pages", "j4_pair_delta", "m4_tfidf_best", "m7_stored_scores"]
+LLM = ["op1_substring_dedup", "op2_fingerprints", "op3_toxicity", "op4_packing", "op5_license_scan", "op6_line_dedup", "op7_quality", "op8_mixing", "op9_ngram_join", "op10_topk_search", "op11_chat_format", "op12_collocations", "op13_source_audit"]
 
 
 def main() -> None:
