@@ -146,8 +146,10 @@ def recent_n(df: DataFrame, *order: Column, n: int = 10) -> DataFrame:
 
 
 def result_page(df: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
-    """A page of tenders in dashboard order; see ``page_total`` for how many there are."""
-    return df.orderBy(F.desc("is_it_priority"), F.desc("priority_score"), F.desc("scraped_at"), "id").offset((page - 1) * size).limit(size)
+    """A page of tenders in dashboard order, numbered on by ``place``; see ``page_total`` for how many there are."""
+    order = [F.desc("is_it_priority"), F.desc("priority_score"), F.desc("scraped_at"), F.col("id")]
+    rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) + (page - 1) * size)  # of a page's rows
 
 
 def page_total(df: DataFrame, size: int = 20) -> DataFrame:

@@ -756,9 +756,9 @@ def w2_recent_n(spark, sf_dir):
     return A.recent_n(D.winners(spark, sf_dir), F.desc("created_at"), F.col("tender_id")).select("company_id", "tender_id", "rank")
 
 
-@query("SELECT id FROM tenders ORDER BY is_it_priority DESC, priority_score DESC, scraped_at DESC, id LIMIT 20 OFFSET 20", "tenders")
+@query("SELECT id, CAST(place AS INTEGER) AS place FROM (SELECT id, row_number() OVER (ORDER BY is_it_priority DESC, priority_score DESC, scraped_at DESC, id) AS place FROM tenders) WHERE place BETWEEN 21 AND 40", "tenders")
 def w3_result_page(spark, sf_dir):
-    return A.result_page(D.tenders(spark, sf_dir), page=2).select("id")
+    return A.result_page(D.tenders(spark, sf_dir), page=2).select("id", "place")
 
 
 @query("SELECT count(*) AS total, greatest(CAST(ceil(count(*) / 20) AS BIGINT), 1) AS total_pages FROM tenders", "tenders")

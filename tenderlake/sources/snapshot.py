@@ -57,8 +57,9 @@ class Snapshot:
         name = f"{version:012d}"
         target = f"{self.path}/data/{name}"
         part = F.when(F.col(self.key).isNull(), "n").otherwise(F.concat(F.lit("v"), F.col(self.key).cast("string")))
-        # what an attempt without a commit has left is replaced
-        rows.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(target)
+        # A value with many rows is dealt to eight tasks; what an attempt without a commit has left is replaced.
+        deal = F.pmod(F.xxhash64(*(c for c, kind in rows.dtypes if "map<" not in kind)), F.lit(8))
+        rows.withColumn("part", part).repartition("part", deal).write.mode("overwrite").partitionBy("part").parquet(target)
         known = {"part=" + self._escaped("n" if v is None else f"v{v}"): v for v in values}
         folders = {f: at for f, at in last["folders"].items() if at[1] not in values}
         folders |= {f: (name, known[f]) for f in self._names(f"data/{name}") if f.startswith("part=")}
