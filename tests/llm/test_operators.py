@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tenderlake.llm import fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, quality, shared, substring_dedup, topk_search, toxicity
+from tenderlake.llm import components, fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, quality, shared, substring_dedup, topk_search, toxicity
 from tests.llm.helpers import LOWER, ODD, PLAIN, SPACED, bm25, docs, groups, prose, shingles
 
 
@@ -456,6 +456,28 @@ def test_a_frequent_run_links_no_others(spark):
     assert {x.doc_id: x.kept_doc_id for x in line_dedup.repeated_lines(docs(spark, rows)).collect()} == want and len(want) == 20
 
 
+def test_lines_that_only_meet_in_large_blocks(spark):
+    """Lines whose runs and SimHash many others have too, so that every block that a pair meets in is large, however it is dealt."""
+    r = random.Random(15)
+    own = lambda: ["".join(r.choice("bcdfghklmnop") for _ in range(10)) for _ in range(4)]
+    rows = [own() for _ in range(60)]
+    rows += [[w[:k] + "z" + w[k + 1 :] for k, w in enumerate(line, 3)] for line in rows[20:30]]
+    rows = [(i, " ".join(["always"] * 6 + line)) for i, line in enumerate(rows)]
+    want = line_groups(spark, rows)
+    assert {x.doc_id: x.kept_doc_id for x in line_dedup.repeated_lines(docs(spark, rows)).collect()} == want and len(want) == 10
+
+
+@pytest.mark.parametrize("links", [{(20, 21)}, {(20, 21), (21, 70), (5, 70)}, {(a, a + 1) for a in range(0, 98, 2)}, set()])
+def test_large_blocks_lose_no_link(spark, links):
+    """A block that finer keys don't divide: whatever links within it is found, and nothing else."""
+    entries = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(100)], "key long, id long")
+    linked = spark.createDataFrame([*links, (-1, -1)], "a long, b long")
+    test = " or ".join(f"(least(id, id_) = {a} and greatest(id, id_) = {b})" for a, b in links) or "false"
+    got = components.grouped(entries, "true", lambda ids: shared.written(ids, "texts"), lambda pairs, _: pairs.join(linked, ["a", "b"]), finer=F.array(F.lit(0).cast("long")), linked=test, share=7)
+    want = groups(range(100), lambda a, b: (a, b) in links)
+    assert {x.node: x.component for x in got.collect()} == {i: g for i, g in want.items() if i != g}
+
+
 def test_lines_are_native(spark):
     plan = line_dedup.repeated_lines(docs(spark, ODD))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
