@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tenderlake.llm import components, fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, quality, shared, substring_dedup, topk_search, toxicity
 from tests.llm.helpers import LOWER, ODD, PLAIN, SPACED, bm25, docs, groups, prose, shingles
 
@@ -465,6 +466,8 @@ def test_lines_that_only_meet_in_large_blocks(spark):
     rows = [(i, " ".join(["always"] * 6 + line)) for i, line in enumerate(rows)]
     want = line_groups(spark, rows)
     assert {x.doc_id: x.kept_doc_id for x in line_dedup.repeated_lines(docs(spark, rows)).collect()} == want and len(want) == 10
+    left = corpus_pipeline.drop_repeated_lines(spark, docs(spark, rows), "")
+    assert {x.doc_id for x in left.where("text = ''").collect()} == set(want) and left.count() == len(rows)
 
 
 @pytest.mark.parametrize("links", [{(20, 21)}, {(20, 21), (21, 70), (5, 70)}, {(a, a + 1) for a in range(0, 98, 2)}, set()])
