@@ -470,6 +470,29 @@ def test_lines_that_only_meet_in_large_blocks(spark):
     assert {x.doc_id for x in left.where("text = ''").collect()} == set(want) and left.count() == len(rows)
 
 
+def test_lines_similar_by_words_are_all_found(spark):
+    """One word in five is replaced by a longer one, so characters say little, and runs and SimHashes differ in much; lines of any length."""
+    r, rows = random.Random(21), []
+    for i, size in enumerate((5, 6, 9, 10, 15, 25, 40, 70) * 8):
+        text = ["".join(r.choice("bcdfghklmnop") for _ in range(3)) for _ in range(size)]
+        other = list(text)
+        for at in r.sample(range(size), size // 5):
+            other[at] = "".join(r.choice("bcdfghklmnop") for _ in range(14))
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    want = line_groups(spark, rows)
+    assert {x.doc_id: x.kept_doc_id for x in line_dedup.repeated_lines(docs(spark, rows)).collect()} == want and len(want) == 64
+
+
+def test_lines_of_rows_with_equal_ids(spark, monkeypatch):
+    """Lines that stand at one place of different rows with one id are told apart; the same in several parts."""
+    r = random.Random(22)
+    texts = [" ".join(made_up_line(r, 12)) for _ in range(20)]
+    rows = [(7, t) for t in texts] + [(100 + i, t.replace(t.split()[5], "changed")) for i, t in enumerate(texts)]
+    monkeypatch.setattr(line_dedup, "PART_LINES", 10)
+    got = [tuple(x) for x in line_dedup.repeated_lines(docs(spark, rows)).collect()]
+    assert sorted(got) == [(100 + i, 0, 7, 0) for i in range(20)]
+
+
 @pytest.mark.parametrize("links, spare", [({(20, 21)}, 64), ({(20, 21), (21, 70), (5, 70)}, 64), ({(a, a + 1) for a in range(0, 98, 2)}, 64), (set(), 64), ({(20, 21), *((a, b) for a in range(30, 100) for b in range(30, a))}, 1)])
 def test_large_blocks_lose_no_link(spark, links, spare):
     """A block that finer keys don't divide: whatever links within it is found, and nothing else."""
