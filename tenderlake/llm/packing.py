@@ -19,6 +19,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 from tenderlake.llm import shared
-from tenderlake.llm.textbytes import pieces
+from tenderlake.llm.textbytes import IS_SPACED, LOWER, pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -47,7 +48,7 @@ class _Encoder:
 
     CLOSED = re.compile(rb"(.*[^!-/:-@\[-`{-~])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         tokenizer = _tokenizer(path)
         self.encode, self.model, self.most = tokenizer.encode_batch_fast, tokenizer.model, most
         self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -100,24 +101,36 @@ class _Encoder:
             ids, lengths = self.take(parts.ravel())
             self.add([x[0] for x in closed], ids, lengths.reshape(-1, 2).sum(1))
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
+    def batch(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         if len(self.codes) > self.most:
             self.clear()
-        chunks, counts = [], []
-        for text in texts:
-            raw = text.encode()
-            own = (raw if b"<|" in raw else raw.lower()).split()
-            chunks += own
-            counts.append(len(own))
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts)).cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data, offsets = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+        marks = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        data = np.where(np.repeat(marks, np.diff(offsets)), data, LOWER[data]) if marks.any() else LOWER[data]
+        solid, first = IS_SPACED[data], np.zeros(len(data) + 1, bool)
+        first[1:-1] = ~solid[:-1]
+        first[offsets] = True
+        starts, packed = np.flatnonzero(first[:-1] & solid), np.concatenate([[0], np.cumsum(solid)])
+        bounds = np.append(packed[starts], packed[-1])
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[solid])]).dictionary_encode()
+        chunks = found.dictionary.to_pylist()
         codes = np.fromiter(map(self.codes.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(codes < 0).tolist()
-        self.learn(list({chunks[i] for i in missing}))
+        self.learn([chunks[i] for i in missing])
         codes[missing] = [self.codes[chunks[i]] for i in missing]
-        ids, lengths = self.take(codes)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
+        ids, lengths = self.take(codes[found.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offsets[1:])]
         return np.split(ids, ends[:-1])
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One for all tasks of a Python worker, so that each starts with the chunks of those before."""
+    return _Encoder(path)
+
+
 def tokenised_pieces(documents: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """A row per piece: doc_id, piece (from 0), start, length and ids_crc32 (of the little-endian 32-bit ids).
 
@@ -127,13 +140,12 @@ def tokenised_pieces(documents: DataFrame, id: str = "doc_id", text: str = "text
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(path)
+        encoder = _encoder(path)
         gc.disable()  # nothing here makes cycles, and a collection walks the whole store
         try:
-            for batch in pieces(batches, "text", 4 << 20):
+            for batch in pieces(batches, "text", 8 << 20):
                 rows: list[tuple] = []
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.batch(texts), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1)), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     rows += [(doc, k, at, len(x := ids[at : at + capacity]), zlib.crc32(x.tobytes())) for k, at in enumerate(range(0, len(ids), capacity))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -262,6 +262,14 @@ def test_encoder_is_the_tokenizer():
         assert list(ids) == encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_takes_slices_and_nulls():
+    """Part of an Arrow column, with nulls, empty texts, outer white space and characters of which a byte looks like white space."""
+    path = packing.public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", "one", " Two\n", "three", None, "", "\u00c5\u0105\u0160 \u2028x<|Y", "FOUR"] * 3
+    encode, got = packing._tokenizer(path).encode, packing._Encoder(path).batch(packing.pa.array(texts).slice(2, 20))
+    assert [list(x) for x in got] == [encode(t or "", add_special_tokens=False).ids for t in texts[2:22]]
+
+
 def test_packing_is_near_an_exact_optimum():
     """On small histograms: against the fewest sequences by a search over all packings."""
     from functools import lru_cache
