@@ -513,6 +513,15 @@ def test_large_blocks_lose_no_link(spark, links, spare):
     assert {x.node: x.component for x in got.collect()} == {i: g for i, g in want.items() if i != g}
 
 
+def test_large_blocks_in_parts(spark):
+    """The same in three parts of the keys."""
+    entries = spark.createDataFrame([(k, i) for k in range(6) for i in range(100) if k < 5 or i < 3], "key long, id long")
+    linked = spark.createDataFrame([(20, 21), (5, 70)], "a long, b long")
+    test = "concat(least(id, id_), ' ', greatest(id, id_)) in ('20 21', '5 70')"
+    got = components.grouped(entries, "true", lambda ids: shared.written(ids, "texts"), lambda pairs, _: pairs.join(linked, ["a", "b"]), finer=F.array(F.lit(0).cast("long")), linked=test, share=7, parts=3)
+    assert {(x.node, x.component) for x in got.collect()} == {(21, 20), (70, 5)}
+
+
 def test_lines_are_native(spark):
     plan = line_dedup.repeated_lines(docs(spark, ODD))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
