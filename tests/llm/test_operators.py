@@ -478,6 +478,28 @@ def test_lines_that_only_meet_in_large_blocks(spark):
     assert {x.doc_id for x in left.where("text = ''").collect()} == set(want) and left.count() == len(rows)
 
 
+def test_letter_counts_bound_edits(spark):
+    """Texts within k edits of each other differ in 2 k bits of their letter counts at most, so no similar line is left out; unlike ones are told apart."""
+    r, rows = random.Random(5), []
+    for n in (3, 20, 90, 400):
+        for k in (1, 2, n // 5 + 1, n):
+            text = "".join(r.choice("eeeeaatxz 0129\u00e9\u6587") for _ in range(n))
+            rows += [(text, edited(r, text, k), k), (text, "".join(r.choice("qwb") for _ in range(n)), n)]
+    table = spark.createDataFrame(rows, "norm string, other string, k int")
+    table = table.withColumns({f"count{i}": c for i, c in enumerate(line_dedup.letter_counts("norm"))})
+    table = table.withColumns({f"count{i}_": c for i, c in enumerate(line_dedup.letter_counts("other"))})
+    apart = sum((F.bit_count(F.col(f"count{i}").bitwiseXOR(F.col(f"count{i}_"))) for i in range(4)), F.lit(0))
+    got = table.select("k", F.levenshtein("norm", "other").alias("distance"), apart.alias("bits")).collect()
+    assert all(x.bits <= 2 * x.distance for x in got) and any(x.bits > 2 * (x.k // 5) for x in got)
+
+
+def edited(r, text, k):
+    for _ in range(k):
+        at, way = r.randrange(len(text) + 1), r.randrange(3)
+        text = text[:at] + ("" if way == 0 else r.choice("abe7\u00e9")) + text[at + (way != 1) :]
+    return text
+
+
 def test_lines_similar_by_words_are_all_found(spark):
     """One word in five is replaced by a longer one, so characters say little, and runs and SimHashes differ in much; lines of any length."""
     r, rows = random.Random(21), []
