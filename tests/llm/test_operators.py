@@ -6,6 +6,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -673,6 +674,31 @@ def test_search_odd(spark):
     assert topk_search.search(table, docs(spark, [])).count() == 0 and topk_search.search(docs(spark, []), table).count() == 0
 
 
+def test_search_keeps_ties_and_forms_few_scores(spark, monkeypatch):
+    """Copies in several shards have equal scores and come by id; of single precision sums only what may be among the best is scored exactly."""
+    monkeypatch.setattr(topk_search, "SHARD", 64)
+    texts = dict(prose(400, seed=3))
+    rows = list(texts.items()) + [(1000 + i, texts[i % 3]) for i in range(90)]
+    scored, exact = [], topk_search.Shard._exact
+    monkeypatch.setattr(topk_search.Shard, "_exact", lambda self, docs, dense: (scored.append(len(docs)), exact(self, docs, dense))[1])
+    texts = dict(rows)
+    ids = np.array([i for i, _ in rows])
+    hashes, counts, bounds, lengths = topk_search.term_counts(pa.array([t for _, t in rows]))
+    vocabulary, terms = np.unique(hashes, return_inverse=True)
+    df = np.bincount(terms)
+    impacts = counts * (topk_search.K1 + 1) / (counts + np.repeat(topk_search.K1 * (1 - topk_search.B + topk_search.B * lengths / lengths.mean()), np.diff(bounds)))
+    weights = np.log1p((len(ids) - df + 0.5) / (df + 0.5))[terms] * counts
+    queries = topk_search.Queries(ids, bounds, terms, weights, vocabulary, lengths.mean())
+    found = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+    for at in range(0, len(ids), 64):
+        own = slice(bounds[at], bounds[min(at + 64, len(ids))])
+        shard = topk_search.Shard(ids[at : at + 64], bounds[at : at + 65] - bounds[at], terms[own], impacts[own])
+        shard.best(queries, 7, np.zeros(len(vocabulary)), found)
+    assert all(list(x) == bm25(texts, i, 7) for i, (x, _) in zip(ids, found))
+    assert list(found[0][0]) == [0, *range(1000, 1018, 3)] and len(set(found[0][1])) == 1
+    assert sum(scored) < len(ids) ** 2 / 4
+
+
 def test_written_tables_are_shared(spark):
     table = shared.written(spark.range(5), "t")
     assert shared.shared_folder(spark) in table.inputFiles()[0] and shared.small(table).count() == 5
