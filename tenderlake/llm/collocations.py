@@ -35,7 +35,7 @@ SEGMENTS, HOT_SHARE = 256, 1000
 #: Bits of the bitmap of frequent phrases (8 MB), whatever the input.
 BITS = 1 << 26
 #: Bytes of text that a task counts at a time.
-CHUNK = 8 << 20
+CHUNK = 5 << 20
 IS_BREAK = np.zeros(256, bool)
 IS_BREAK[list(b".,;:!?") + list(range(10, 14))] = True
 IS_WORD = ~IS_BREAK
@@ -96,44 +96,49 @@ STRIPES = "lang string, prefix string, segment int, words string, counts string"
 def _stripes(size: int, frequent, hot: frozenset[int]):
     """A function for ``mapInArrow``: stripes of each chunk's phrases of ``size`` words. frequent: broadcast bitmap of those of one less."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_chunk(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         is_hot = np.array(sorted(hot), np.uint64)
+        c = _Chunk(batch)
+        n = len(c.word) - size + 1
+        if n <= 0:
+            return None
+        before = c.hashes(size - 1)
+        whole = c.run[:n] == c.run[size - 1 :]
+        if size > 1:
+            known = _has(frequent.value, before)
+            whole &= known[:n] & known[1 : n + 1]
+        at = np.flatnonzero(whole)
+        if not len(at):
+            return None
+        prefix = c.lang[at]
+        for k in range(size - 1):
+            prefix = np.unique(prefix * c.n_words + c.word[at + k], return_inverse=True)[1]
+        _, first, counts = np.unique(prefix * c.n_words + c.word[at + size - 1], return_index=True, return_counts=True)
+        at, prefix = at[first], prefix[first]
+        last = c.word[at + size - 1]
+        split = np.ones(len(at), bool) if size == 1 else np.isin(before[at], is_hot)
+        segment = np.where(split, (c.word_hash[last] >> np.uint64(7)) % np.uint64(SEGMENTS), np.uint64(0)).astype(np.int64)
+        order = np.argsort(prefix * SEGMENTS + segment, kind="stable")
+        at, last, counts, segment, key = at[order], last[order], counts[order], segment[order], (prefix * SEGMENTS + segment)[order]
+        opens = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        bounds = pa.array(np.append(opens, len(at)).astype(np.int32))
+        words = [c.dictionary.take(pa.array(c.word[at[opens] + k])) for k in range(size - 1)]
+        return pa.RecordBatch.from_arrays(
+            [
+                c.langs.take(pa.array(c.lang[at[opens]])).cast(pa.string()),
+                (pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if words else pa.array([""] * len(opens))).cast(pa.string()),
+                pa.array(segment[opens].astype(np.int32)),
+                pc.binary_join(pa.ListArray.from_arrays(bounds, c.dictionary.take(pa.array(last)).cast(pa.string())), " "),
+                pc.binary_join(pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int64)).cast(pa.string())), " "),
+            ],
+            names=["lang", "prefix", "segment", "words", "counts"],
+        )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textbytes.pieces(batches, "text", CHUNK):
-            c = _Chunk(batch)
-            n = len(c.word) - size + 1
-            if n <= 0:
-                continue
-            before = c.hashes(size - 1)
-            whole = c.run[:n] == c.run[size - 1 :]
-            if size > 1:
-                known = _has(frequent.value, before)
-                whole &= known[:n] & known[1 : n + 1]
-            at = np.flatnonzero(whole)
-            if not len(at):
-                continue
-            prefix = c.lang[at]
-            for k in range(size - 1):
-                prefix = np.unique(prefix * c.n_words + c.word[at + k], return_inverse=True)[1]
-            _, first, counts = np.unique(prefix * c.n_words + c.word[at + size - 1], return_index=True, return_counts=True)
-            at, prefix = at[first], prefix[first]
-            last = c.word[at + size - 1]
-            split = np.ones(len(at), bool) if size == 1 else np.isin(before[at], is_hot)
-            segment = np.where(split, (c.word_hash[last] >> np.uint64(7)) % np.uint64(SEGMENTS), np.uint64(0)).astype(np.int64)
-            order = np.argsort(prefix * SEGMENTS + segment, kind="stable")
-            at, last, counts, segment, key = at[order], last[order], counts[order], segment[order], (prefix * SEGMENTS + segment)[order]
-            opens = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            bounds = pa.array(np.append(opens, len(at)).astype(np.int32))
-            words = [c.dictionary.take(pa.array(c.word[at[opens] + k])) for k in range(size - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    c.langs.take(pa.array(c.lang[at[opens]])).cast(pa.string()),
-                    (pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if words else pa.array([""] * len(opens))).cast(pa.string()),
-                    pa.array(segment[opens].astype(np.int32)),
-                    pc.binary_join(pa.ListArray.from_arrays(bounds, c.dictionary.take(pa.array(last)).cast(pa.string())), " "),
-                    pc.binary_join(pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int64)).cast(pa.string())), " "),
-                ],
-                names=["lang", "prefix", "segment", "words", "counts"],
-            )
+            found = of_chunk(batch)  # whose arrays are gone before the next one's are made
+            if found is not None:
+                yield found
 
     return count
 

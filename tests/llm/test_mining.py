@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,23 @@ def test_collocations_match_plain_loops(spark):
     assert {tuple(r) for r in collocations.collocations(table(spark, repeated), least=2).collect()} == plain_collocations(repeated, 2000, 2, 100)
 
 
+def test_a_chunk_is_gone_before_the_next(monkeypatch):
+    """Counting four chunks takes no more memory at a time than counting one."""
+    monkeypatch.setattr(collocations, "CHUNK", 1 << 20)
+    r = random.Random(2)
+    text = " ".join(f"w{r.randrange(2000)}" for _ in range(170_000))
+    assert len(text) < collocations.CHUNK < 1.5 * len(text)
+
+    def peak(n):
+        batch = pa.RecordBatch.from_arrays([pa.array([text] * n), pa.array(["en"] * n)], names=["text", "lang"])
+        tracemalloc.start()
+        assert sum(1 for _ in collocations._stripes(1, None, frozenset())(iter([batch]))) == n
+        return tracemalloc.get_traced_memory()[1], tracemalloc.stop()
+
+    peak(1)
+    assert peak(4)[0] < 1.1 * peak(1)[0]
+
+
 def test_collocations_on_odd_rows(spark):
     rows = [(i, t, None, None) for i, t in ODD] + [(20, "x" * 3_000_000 + " y", "en", None), (21, "b c " * 1_200_000, "en", None), (22, "...,,;", "", None)]
     got = {tuple(r) for r in collocations.collocations(table(spark, rows)).collect()}
