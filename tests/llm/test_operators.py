@@ -501,6 +501,24 @@ def edited(r, text, k):
     return text
 
 
+def test_bags_bound_edits(spark):
+    """Of words of which some recur: k edits leave all but k of the longer line in both bags, and lines of other words share less."""
+    r, rows = random.Random(9), []
+    for n in (40, 60, 300):
+        for k in (0, 3, n // 5):
+            text = [r.choice(("those", "of", *made_up_line(r, 3))) for _ in range(n)]
+            other = list(text)
+            for at in r.sample(range(n), k):
+                other[at] = "zzz"
+            rows.append((text, other[: n - k // 2] + other[n - k // 2 :][::-1], ["those"] * n))
+    table = spark.createDataFrame(rows, "x array<string>, y array<string>, z array<string>")
+    of = lambda c: line_dedup.with_bags(line_dedup.with_codes(table.select(F.monotonically_increasing_id().alias("id"), F.lit(0).alias("h1"), F.col(c).alias("words")))).select("id", F.col("code").alias(f"code_{c}"), F.col("bag").alias(f"bag_{c}"))
+    got = of("x").join(of("y"), "id").join(of("z"), "id")
+    shared_ = lambda c: F.size(F.array_intersect("bag_x", f"bag_{c}"))
+    got = got.select(shared_("y").alias("y"), shared_("z").alias("z"), F.char_length("code_x").alias("n"), F.levenshtein("code_x", "code_y").alias("d"), F.levenshtein("code_x", "code_z").alias("e"), F.size("bag_x").alias("size")).collect()
+    assert len(got) == 9 and all(x.size == x.n and x.y >= x.n - x.d and x.z == x.n - x.e < x.n // 2 for x in got)
+
+
 def test_lines_similar_by_words_are_all_found(spark):
     """One word in five is replaced by a longer one, so characters say little, and runs and SimHashes differ in much; lines of any length."""
     r, rows = random.Random(21), []
@@ -536,6 +554,15 @@ def test_large_blocks_lose_no_link(spark, links, spare):
     assert {x.node: x.component for x in got.collect()} == {i: g for i, g in want.items() if i != g}
 
 
+def test_a_pair_of_several_large_blocks_is_tested_once(spark):
+    """In the least block that both are in; the test of a pair fails anywhere else."""
+    entries = spark.createDataFrame([(k, i) for k in (1, 2, 3) for i in range(100)], "key long, id long")
+    linked = spark.createDataFrame([(-1, -1)], "a long, b long")
+    test = "if(key = array_min(array_intersect(keys, keys_)), id + id_ = 75 and abs(id - id_) = 65, raise_error('tested twice'))"
+    got = components.grouped(entries, "true", lambda ids: shared.written(ids, "texts"), lambda pairs, _: pairs.join(linked, ["a", "b"]), finer=F.array(F.lit(0).cast("long")), linked=test, share=7)
+    assert {(x.node, x.component) for x in got.collect()} == {(70, 5)}
+
+
 def test_large_blocks_in_parts(spark):
     """The same in three parts of the keys."""
     entries = spark.createDataFrame([(k, i) for k in range(6) for i in range(100) if k < 5 or i < 3], "key long, id long")
