@@ -1,6 +1,7 @@
 """Boundary tables of the scalar functions and predicates."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,14 @@ def test_kbli(spark, html, code):
     assert one(spark, S.extract_kbli_code(F.col("h")), h=html) == code
 
 
+def test_kbli_of_long_pages(spark):
+    """Looking back from every character took 33 seconds for this one."""
+    pages = spark.range(1).select(F.concat(F.lit("62019 "), F.repeat(F.lit("teks biasa "), 100_000), F.lit("62029 sbu"), F.repeat(F.lit(" x"), 300), F.lit("62090")).alias("h"))
+    began = time.monotonic()
+    assert pages.select(S.extract_kbli_code(F.col("h"))).first()[0] == "62029"
+    assert time.monotonic() - began < 15
+
+
 def test_tahap_of_page(spark):
     assert one(spark, S.extract_tahap(F.col("h")), h='Tahap Tender Saat Ini: <b> Evaluasi </b>') == "evaluasi"
 
