@@ -307,6 +307,23 @@ def test_best_cosine_matches_all_pairs(spark):
     assert M.tfidf_best(spark.createDataFrame([], schema), spark.createDataFrame(right, schema)).count() == 0
 
 
+def test_cosines_of_all_pairs_without_a_join_of_words(spark):
+    """Words of documents and products of postings were shuffled; equal words with line feeds, in parts of few words and blocks of few documents."""
+    r = random.Random(4)
+    rows = lambda n: [(k, [r.choice("abcdefgh") + r.choice(["", "\n", "x\ny"]) for _ in range(r.randint(0, 9))]) for k in range(n)]
+    left, right, schema = rows(12), rows(60), "id long, tokens array<string>"
+    frames = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    docs = [set(t) for _, t in left + right if t]
+    df = collections.Counter(w for t in docs for w in t)
+    vectors = lambda rows: {i: {w: n / len(t) * math.log(len(docs) / df[w]) for w, n in collections.Counter(t).items()} for i, t in rows}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    a, b = vectors(left), vectors(right)
+    want = {(i, j): sum(x * v[w] for w, x in u.items() if w in v) / norm(u) / norm(v) for i, u in a.items() for j, v in b.items() if u.keys() & v.keys()}
+    for got in (M.tfidf_cosine(*frames), M._cosines(*frames, block=5, part_words=40)):
+        assert {(x.left_id, x.right_id): round(x.cosine, 9) for x in got.collect()} == {k: round(x, 9) for k, x in want.items()}
+    assert "Join" not in M.tfidf_cosine(*frames)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stored_scores(spark):
     schema = "tender_id long, company_id long, tahap string, fit_score int, hps long, penghasilan long, kbli_code string, codes array<string>, experience long, complete long, deadline date, summary string"
     at = datetime.date(2026, 1, 1)
