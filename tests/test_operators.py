@@ -429,3 +429,17 @@ def test_captured_pages_get_their_kind(spark, tmp_path):
     spark.createDataFrame([(u, "<p/>") for u in urls], "url string, html string").write.parquet(str(tmp_path / "pages"))
     got = {r.url: r.kind for r in io.read_pages(spark, str(tmp_path / "pages")).collect()}
     assert [got[u] for u in urls] == ["pengumuman", "jadwal", "peserta", "hasil", "pemenang", "", ""]
+
+
+def test_no_pair_of_candidates_is_shuffled(spark):
+    """Pairs were dealt by tender and company to be held against jobs. Null and repeated ids are kept as they were."""
+    tenders, firms = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "id long"), spark.createDataFrame([(7, True), (8, True), (9, False), (None, True)], "id long, is_active boolean")
+    jobs = spark.createDataFrame([(1, 7), (1, 7), (2, 8), (2, None), (None, 8), (5, 8)], "tender_id long, company_id long")
+    got = R.candidate_pairs(tenders, firms, jobs)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 8), (1, None), (2, 7), (2, 7), (2, None), (2, None), (3, 7), (3, 8), (3, None), (None, 7), (None, 8), (None, None)], key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = R.candidate_pairs(tenders, firms, jobs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" in plan and not any("Exchange" in line and "company_id" in line.split("hashpartitioning(")[-1].split(")")[0] for line in plan.splitlines())
