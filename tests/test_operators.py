@@ -443,3 +443,19 @@ def test_no_pair_of_candidates_is_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "CartesianProduct" in plan and not any("Exchange" in line and "company_id" in line.split("hashpartitioning(")[-1].split(")")[0] for line in plan.splitlines())
+
+
+def test_plain_markup_reads_as_by_the_parser(spark, monkeypatch):
+    """Random markup, plain or not, gives the same elements either way, and a page of wanted fields those fields."""
+    r = random.Random(6)
+    said = ["<tr>", "</tr>", "<TD>", "</td>", "<td class='A b'>", "<th\tid=\"x\" class=\"\" >", "</th >", "<table>", "</table>", "<br>", "<p>", "</P>", "<li>", "<i title='y class=\"z\"' class='fa fa-times'>", "</i>", "1", "PT Satu", " a > b ", "\n", "Nama Pemenang", "Tahap Saat Ini", "77,5", "\u0130"]
+    odd = ["&amp;", "<br/>", "<!-- <td> -->", "<script>a < '<td>'</script>", "<title><b>x</title>", "<a href=x>", "< td>", "<", "</>", "<td", "<x-y>", "<b\x0bid='1'>", "<td class='a' class='b'>", "<td hidden>"]
+    pages = ["".join(r.choice(said + odd * (k % 2)) for _ in range(r.randint(0, 60))) for k in range(600)]
+    state = lambda page: (page.tags, page.classes, page.parent, page.last, [page.bounds(n) for n in range(len(page.tags))], page.whole)
+    read = [(state(H._Page(x)), H.parse_page(x)) for x in pages]
+    assert sum(H._Page("")._plain(x) for x in pages) >= 300
+    assert all(H.parse_page(x, (f,)).items() <= whole.items() and f in H.parse_page(x, (f,)) for x, (_, whole) in zip(pages, read) for f in whole)
+    rows = spark.createDataFrame(list(enumerate(pages[:20])), "page_id long, html string")
+    assert H.extract_pages(rows, wanted=("jadwal",)).columns == ["page_id", "jadwal"] and "regexp" not in H.extract_pages(rows, wanted=("jadwal",))._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(H._Page, "_plain", lambda self, html: False)
+    assert read == [(state(H._Page(x)), H.parse_page(x)) for x in pages]
