@@ -146,3 +146,14 @@ GOOD = '{"fit_score": 81.9, "eligibility_status": "eligible", "mandatory_passed"
 def test_match_response(spark, raw, status, passed, score, blockers, criteria):
     r = one(spark, S.validate_match_response(F.col("h")), h=raw)
     assert (r.eligibility_status, r.mandatory_passed, r.fit_score, r.blockers, [tuple(c) for c in r.criteria]) == (status, passed, score, blockers, criteria)
+
+
+def test_match_response_is_parsed_once(spark):
+    """The reply stood in the plan once for each place that needs a part of it, and was parsed over and over."""
+    rows = spark.createDataFrame([('{"fit_score": 71, "criteria": [{"requirement": " a ", "mandatory": 1}, {}, [], "{"], "mandatory_passed": 0}',), ('{"fit_score": null}',), ("{}",), ("[]",), ('"{"',), ("x {\"a\": {}} y",), ("```\n{\"fit_score\": -5}",)], "h string")
+    found = rows.select(S.validate_match_response(F.col("h")).alias("s"))
+    plan = rows.select(S.validate_match_response(F.concat("h", F.lit("<here>"))).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<here>") == 1
+    assert [(x.s.eligibility_status, x.s.mandatory_passed, x.s.fit_score, [c.requirement for c in x.s.criteria]) for x in found.collect()] == [
+        ("ELIGIBLE", False, 71, ["a"]), ("CONDITIONALLY_ELIGIBLE", True, 0, []), ("CONDITIONALLY_ELIGIBLE", True, 0, []), ("NOT_READY", False, 0, []), ("NOT_READY", False, 0, []), ("CONDITIONALLY_ELIGIBLE", True, 0, []), ("CONDITIONALLY_ELIGIBLE", True, 0, []),
+    ]
